@@ -1,8 +1,10 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the rows by (normalised text, salt), each partition is sorted externally,
-and neighbouring rows with the same full text form a run. The salt, a hash of the id, lets a group of copies
-of any size span several partitions; the runs of one text are few and meet by the text's SHA-256.
+Sampled splitters range-partition the rows by content: by the first characters of the normalised text, then a hash
+of all of it, then a salt, so that splitters stay small whatever the length of texts. Each partition is sorted
+externally with the full text as a key, and neighbouring rows with the same full text form a run. The salt, a hash of
+the id, lets a group of copies of any size span several partitions; the runs of one text are few and meet by the
+text's SHA-256.
 
 Defined cases: a null text counts as empty; rows with a null id stay only if no equal text has an id, and then
 one of them; of rows that repeat id and text one stays; an empty table gives an empty result.
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.storage import materialise
 
 SALTS = 16
+#: Characters of a text in a splitter.
+LEAD = 32
 
 
 def normalised(text: Column) -> Column:
@@ -24,20 +28,18 @@ def normalised(text: Column) -> Column:
 
 def _runs(docs: DataFrame, id_col: str, text_col: str, *payload: Column) -> DataFrame:
     """Rows in content order, each with its place in its run; no shuffle beyond the range partitioning."""
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        normalised(F.col(text_col)).alias("norm"),
-        F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("salt"),
-        *payload,
-    ).repartitionByRange("norm", "salt")
-    run = Window.partitionBy("norm", "salt").orderBy(F.asc_nulls_last("id"))
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), *payload).withColumns(
+        {"lead": F.substring("norm", 1, LEAD), "hash": F.xxhash64("norm"), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS))}
+    )
+    rows = rows.repartitionByRange("lead", "hash", "salt")
+    run = Window.partitionBy("lead", "hash", "salt", "norm").orderBy(F.asc_nulls_last("id"))
     return rows.select(
         "id",
         F.sha2("norm", 256).alias("sha"),
         F.first("id").over(run).alias("run_keep"),
         F.row_number().over(run).cast("long").alias("run_place"),
         F.lead(F.lit(1)).over(run).isNull().alias("run_end"),
-        *(c for c in rows.columns if c not in ("id", "norm", "salt")),
+        *(["row"] if payload else []),
     )
 
 

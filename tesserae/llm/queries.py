@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.exact_dedup import exact_groups
 from tesserae.llm.license_scan import license_scan
+from tesserae.llm.quality import quality_scores
+from tesserae.llm.sentencepiece_codec import encode_documents
+from tesserae.llm.sharding import extendible_shards
+from tesserae.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +22,54 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_shards(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op10_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_license_scan,
+        op3_extendible_sharding,
+        op6_quality_classifier,
+        op7_sentencepiece,
+        op8_token_counts,
+        op10_exact_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_extendible_sharding": """
+            WITH r AS (
+                SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+                       ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS hash
+                FROM documents),
+            d AS (
+                SELECT r.*, depth::INT AS depth,
+                       sum(bytes) OVER (PARTITION BY depth, hash >> (60 - depth)) AS shard_bytes
+                FROM r, range(0, 61) AS t(depth)),
+            f AS (
+                SELECT *, row_number() OVER (PARTITION BY doc_id, hash ORDER BY depth) AS place
+                FROM d WHERE shard_bytes <= 1048576 OR depth = 60)
+            SELECT doc_id, right(lpad(bin(hash >> (60 - depth)), 60, '0'), depth) AS shard, depth, 0::BIGINT AS part, bytes,
+                   shard_bytes::BIGINT AS shard_bytes
+            FROM f WHERE place = 1""",
         "op10_exact_dedup": r"""
             WITH n AS (
                 SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
