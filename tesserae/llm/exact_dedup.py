@@ -35,6 +35,7 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, *payload: Column) -> Data
     run = Window.partitionBy("lead", "hash", "salt", "norm").orderBy(F.asc_nulls_last("id"))
     return rows.select(
         "id",
+        "salt",
         F.sha2("norm", 256).alias("sha"),
         F.first("id").over(run).alias("run_keep"),
         F.row_number().over(run).cast("long").alias("run_place"),
@@ -46,10 +47,11 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, *payload: Column) -> Data
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialise(_runs(docs, id_col, text_col), "content-order")
-    groups = (
-        rows.where("run_end").groupBy("sha").agg(F.min("run_keep").alias("keep_id"), F.sum("run_place").alias("group_size"))
+    text = Window.partitionBy("sha")  # one row per salt at most
+    runs = rows.where("run_end").select(
+        "sha", "salt", F.min("run_keep").over(text).alias("keep_id"), F.sum("run_place").over(text).alias("group_size")
     )
-    return rows.join(groups, "sha").select(
+    return rows.join(runs, ["sha", "salt"]).select(
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.exact_dedup import exact_groups
+from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.license_scan import license_scan
 from tesserae.llm.quality import quality_scores
 from tesserae.llm.sentencepiece_codec import encode_documents
@@ -26,6 +27,10 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(_table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan,
         op3_extendible_sharding,
+        op5_jaccard_join,
         op6_quality_classifier,
         op7_sentencepiece,
         op8_token_counts,
@@ -70,6 +76,27 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, right(lpad(bin(hash >> (60 - depth)), 60, '0'), depth) AS shard, depth, 0::BIGINT AS part, bytes,
                    shard_bytes::BIGINT AS shard_bytes
             FROM f WHERE place = 1""",
+        "op5_jaccard_join": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x20\x09-\x0D]+') AS words
+                FROM documents),
+            s AS (
+                SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+                    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+                FROM w),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            p AS (
+                SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+                FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+            l AS (
+                SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                WHERE 100 * common >= 75 * (x.n + y.n - common)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other)
+            SELECT r.node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
+            FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node""",
         "op10_exact_dedup": r"""
             WITH n AS (
                 SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
