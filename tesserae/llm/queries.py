@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.llm.decontaminate import benchmark_matches
 from tesserae.llm.exact_dedup import exact_groups
 from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.license_scan import license_scan
@@ -27,6 +28,10 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(_table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan,
         op3_extendible_sharding,
+        op4_benchmark_decontamination,
         op5_jaccard_join,
         op6_quality_classifier,
         op7_sentencepiece,
