@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.decontaminate import benchmark_matches
 from tesserae.llm.exact_dedup import exact_groups
+from tesserae.llm.html_extract import extract_main_text
 from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.license_scan import license_scan
+from tesserae.llm.line_dedup import line_dedup
 from tesserae.llm.quality import quality_scores
 from tesserae.llm.sentencepiece_codec import encode_documents
 from tesserae.llm.sharding import extendible_shards
@@ -24,6 +26,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -55,12 +65,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan,
+        op2_html_extraction,
         op3_extendible_sharding,
         op4_benchmark_decontamination,
         op5_jaccard_join,
         op6_quality_classifier,
         op7_sentencepiece,
         op8_token_counts,
+        op9_line_dedup,
         op10_exact_dedup,
     )}
 
@@ -103,6 +115,26 @@ def oracle_sql() -> dict[str, str]:
             r(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other)
             SELECT r.node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
             FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node""",
+        "op9_line_dedup": r"""
+            WITH RECURSIVE t AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+            x AS (
+                SELECT doc_id, unnest(range(0, len(lines)))::INT AS place, unnest(lines) AS line FROM t),
+            l AS (SELECT * FROM x WHERE trim(line) <> ''),
+            d AS (SELECT DISTINCT line, length(line) AS n FROM l WHERE length(line) >= 20),
+            e AS (
+                SELECT a.line AS a, b.line AS b FROM d a JOIN d b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line
+                WHERE (substr(a.line, 1, 6) = substr(b.line, 1, 6) OR substr(a.line, -6) = substr(b.line, -6)
+                       OR levenshtein(substr(a.line, 1, 9), substr(b.line, 1, 9)) <= 2)
+                  AND levenshtein(a.line, b.line) <= 2),
+            r(node, other) AS (SELECT line, line FROM l UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other),
+            c AS (SELECT node AS line, min(other) AS head FROM r GROUP BY node),
+            k AS (
+                SELECT doc_id, place, row_number() OVER (PARTITION BY head ORDER BY doc_id, place) > 1 AS gone
+                FROM l JOIN c USING (line)),
+            g AS (SELECT doc_id, list(place ORDER BY place) AS dropped FROM k WHERE gone GROUP BY doc_id)
+            SELECT t.doc_id, coalesce(len(t.lines), 0)::BIGINT AS n_lines, coalesce(len(g.dropped), 0)::BIGINT AS n_dropped,
+                   coalesce(g.dropped, []::INT[]) AS dropped
+            FROM t LEFT JOIN g USING (doc_id)""",
         "op10_exact_dedup": r"""
             WITH n AS (
                 SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
