@@ -50,4 +50,6 @@ def poisson_quantile(u: Column, rate: Column, terms: int = 150) -> Column:
         p = s["p"] * s["r"] / k
         return F.struct(p.alias("p"), (s["c"] + p).alias("c"), (s["n"] + (s["c"] <= s["u"]).cast("int")).alias("n"), s["r"].alias("r"), s["u"].alias("u"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda s: s["n"])
+    # beyond 3 * rate + 12 less than one part in 2^32 is left
+    last = F.least(F.lit(terms), F.ceil(rate * 3 + 12).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["n"])

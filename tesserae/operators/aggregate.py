@@ -158,15 +158,21 @@ def rollup_weighted(df: DataFrame, overlay: DataFrame, on: str, target: str, val
     return df.join(overlay, on).groupBy(target).agg(F.bround(F.sum(F.col(value) * F.col("weight"))).cast("long").alias(value))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r as an aggregate; null where either is constant."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def target_corr(df: DataFrame, cols: list[str], y: str) -> DataFrame:
     """A24. column, r; one job."""
-    return df.agg(*(F.corr(F.col(c).cast("double"), F.col(y).cast("double")).alias(c) for c in cols)).unpivot([], cols, "column", "r")
+    return df.agg(*(correlation(F.col(c), F.col(y)).alias(c) for c in cols)).unpivot([], cols, "column", "r")
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """A25. i, j, a, b, r for all pairs of columns; absolute values; one job over the rows."""
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(*(F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"{i}_{j}") for i, j in pairs))
+    row = df.agg(*(correlation(F.col(cols[i]), F.col(cols[j])).alias(f"{i}_{j}") for i, j in pairs))
     cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.abs(f"{min(i, j)}_{max(i, j)}").alias("r")) for i in range(len(cols)) for j in range(len(cols))))
     return row.select(F.explode(cells).alias("c")).select("c.*")
 

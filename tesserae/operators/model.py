@@ -100,7 +100,7 @@ def significant(summary: DataFrame) -> DataFrame:
     return summary.where("significant")
 
 
-def poisson_deviance(df: DataFrame, y: str = "n", rate: str = "rate") -> Column:
+def poisson_deviance(y: str = "n", rate: str = "rate") -> Column:
     """Mean deviance, as an aggregate."""
     own = F.col(y) * F.log(F.greatest(F.col(y).cast("double"), F.lit(1e-12)) / F.col(rate))
     return 2 * F.avg(F.when(F.col(y) > 0, own).otherwise(0.0) - (F.col(y) - F.col(rate)))
@@ -108,7 +108,7 @@ def poisson_deviance(df: DataFrame, y: str = "n", rate: str = "rate") -> Column:
 
 def _loss(df: DataFrame, model: RateModel, how=None) -> float:
     rows = apply_scaler(df, model.scaler).select("n", rate_of(model.log_rate()).alias("rate"))
-    return float(rows.agg((how or poisson_deviance(rows)).alias("loss")).first()["loss"])
+    return float(rows.agg((poisson_deviance() if how is None else how).alias("loss")).first()["loss"])
 
 
 def _rmse() -> Column:
