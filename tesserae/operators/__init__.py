@@ -1 +1 @@
-
+"""DataFrame to DataFrame operators, by family."""

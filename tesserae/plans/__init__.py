@@ -1 +1 @@
-
+"""Registered queries over the driver tables, with their SQL."""

@@ -1 +1 @@
-
+"""Scans, sinks and tables in the shared folder."""

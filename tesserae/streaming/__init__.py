@@ -1 +1 @@
-
+"""The blueprint has no stream, event-time window or state; nothing is needed here so far."""
