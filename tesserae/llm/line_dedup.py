@@ -4,8 +4,8 @@ Lines within K edits of each other, K + 1 segments each: at least one segment of
 in the longer one, near its own place. Each line puts its segments into an index keyed by (its length, segment
 number, content), and probes the index for its own and up to K smaller lengths with the few substrings that a
 segment can have moved to. Keys with one line are dropped before any text is looked at again. Lines that share a key
-are compared by a parity sketch of their bigrams (K edits change at most 4K bits) and then verified by a banded
-bit-parallel edit distance; both are conditions of the join, so that only true links come out of it.
+are compared by their counts of common letters (K edits change them by 2K at most), which is a condition of the join,
+so that hardly more than the true links come out of it, and then verified by a banded bit-parallel edit distance.
 
 A line that repeats, or links through others to an earlier line, is dropped; the first occurrence (smallest id, then
 place) stays. Lines of fewer than SHORT characters are compared whole only. Blank lines stay.
@@ -16,7 +16,7 @@ with the lines of all its rows; rows with a null id count as one document, which
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import components
@@ -24,6 +24,10 @@ from tesserae.llm.storage import materialise, semi_by_key
 
 K = 2
 SHORT = 20
+#: Characters between common ends up to which the bit-parallel distance is taken.
+MIDDLE = 256
+#: Letters that are counted.
+LETTERS = "etaoinshrdlucmfwypvbg"
 
 
 def segment_start(n: str, i: int, k: int) -> str:
@@ -104,10 +108,9 @@ def within_edits(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.abs(m - n) > k, False).otherwise(distance <= k)
 
 
-def bigram_sketch(chars: Column) -> Column:
-    """64 parities of a line's bigrams; an edit changes four of them at most."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.pmod(F.hash(F.get(chars, i - 1), F.get(chars, i)), F.lit(64)))
-    return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
+def letter_counts(line: Column) -> dict[str, Column]:
+    """How often each of LETTERS stands in a line. An edit changes two of the counts by one at most."""
+    return {f"count_{i}": F.length(line) - F.length(F.replace(line, F.lit(x), F.lit(""))) for i, x in enumerate(LETTERS)}
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,38 +119,69 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(F.trim("line") != "")
 
 
-def near_links(lines: DataFrame, k: int = K) -> DataFrame:
-    """Pairs (a, b) of md5s of distinct lines within k edits."""
+def shared_segments(lines: DataFrame, k: int = K) -> DataFrame:
+    """key, id (a line's 64-bit hash), doc (a document that holds it), own: distinct lines under keys with several of them."""
     distinct = lines.groupBy("line").agg(F.min("doc").alias("doc")).select("doc", "line", F.length("line").alias("n")).where(F.col("n") >= SHORT)
-    keyed = distinct.select("doc", F.md5("line").alias("id"), F.explode(F.expr(f"array({', '.join(index_keys(k) + probe_keys(k))})")).alias("key"))
-    keyed = keyed.select("doc", F.expr("unhex(id)").alias("id"), F.xxhash64("key.n", "key.i", "key.h").alias("key"), "key.own")
-    counted = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.bool_or("own").alias("found")).where("low <> high and found").select("key")
-    shared = materialise(keyed.join(counted, "key", "left_semi"), "shared-segments")
-    return shared
+    keyed = distinct.select("doc", F.xxhash64("line").alias("id"), F.explode(F.expr(f"array({', '.join(index_keys(k) + probe_keys(k))})")).alias("key"))
+    keyed = keyed.select(F.xxhash64("key.n", "key.i", "key.h").alias("key"), "id", "doc", "key.own")
+    bucket = Window.partitionBy("key")
+    counted = keyed.withColumns({"low": F.min("id").over(bucket), "high": F.max("id").over(bucket), "found": F.bool_or("own").over(bucket)})
+    return counted.where("low <> high and found").drop("low", "high", "found")
+
+
+def trimmed(a: Column, b: Column) -> tuple[Column, Column]:
+    """Two arrays without what they have in common at their ends, but for one element that keeps them from being empty."""
+
+    def common(x: Column, y: Column) -> Column:
+        place = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True)
+        return F.when(place == 0, F.least(F.size(x), F.size(y))).otherwise(place.cast("int") - 1)
+
+    head = common(a, b)
+    rest = F.least(F.size(a), F.size(b)) - head
+    tail = F.least(rest, common(F.reverse(a), F.reverse(b)))
+    return tuple(F.slice(x, head + 1, F.size(x) - head - tail) for x in (a, b))
+
+
+def verified(a: Column, b: Column, k: int) -> Column:
+    """Whether two arrays of characters are within k edits: bit-parallel on what is left between their common ends. Where
+    that is long, Spark's own banded distance is taken, which costs less per character."""
+    ends = F.array(F.struct(*(x.alias(n) for x, n in zip(trimmed(a, b), "ab", strict=True))))
+
+    def decide(s: Column) -> Column:
+        x, y = s["a"], s["b"]
+        none = F.least(F.size(x), F.size(y)) <= k
+        pad = F.array_repeat(F.lit(""), k + 1)  # equal ends change nothing and make both longer than k
+        bits = within_edits(F.when(none, F.concat(pad, x)).otherwise(x), F.when(none, F.concat(pad, y)).otherwise(y), k)
+        banded = F.levenshtein(F.array_join(x, ""), F.array_join(y, ""), k) >= 0
+        return F.when(F.greatest(F.size(x), F.size(y)) <= MIDDLE, bits).otherwise(banded)
+
+    return F.transform(ends, decide)[0]
 
 
 def linked(shared: DataFrame, texts: DataFrame, k: int = K) -> DataFrame:
-    """Verified links among the lines that share a key; texts: id, line of these."""
-    chars = F.split("line", "")
-    side = shared.join(texts.select("id", "line").withColumn("chars", chars).withColumn("sketch", bigram_sketch(F.col("chars"))), "id").select("key", "id", "own", "chars", "sketch")
+    """Verified links (a, b), as md5s, among the lines that share a key; texts: id, line, n and letter counts of these."""
+    side = shared.select("key", "id", "own").join(texts.drop("line"), "id")
     a, b = side.alias("a"), side.alias("b")
     some = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & F.col("a.own") & (~F.col("b.own") | (F.col("a.id") < F.col("b.id")))
-    near = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= 4 * k
-    sure = within_edits(F.col("a.chars"), F.col("b.chars"), k)
-    return a.join(b, some & near & sure).select(F.hex("a.id").alias("a"), F.hex("b.id").alias("b")).distinct()
+    apart = sum((F.abs(F.col(f"a.count_{i}") - F.col(f"b.count_{i}")) for i in range(len(LETTERS))), F.lit(0))
+    near = (F.abs(F.col("a.n") - F.col("b.n")) <= k) & (apart <= 2 * k)
+    pairs = a.join(b, some & near).select(F.least("a.id", "b.id").alias("i"), F.greatest("a.id", "b.id").alias("j")).distinct()
+    whole = lambda i, x: texts.select(F.col("id").alias(i), F.col("line").alias(x))
+    close = verified(F.split("x", ""), F.split("y", ""), k)
+    return pairs.join(whole("i", "x"), "i").join(whole("j", "y"), "j").where(close).select(F.md5("x").alias("a"), F.md5("y").alias("b"))
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """doc, place, kept of every line that isn't blank."""
     lines = line_rows(docs, id_col, text_col)
-    shared = near_links(lines, k)
+    shared = materialise(shared_segments(lines, k), "shared-segments")
     owners = materialise(shared.select("doc").distinct(), "line-owners")
     some = line_rows(semi_by_key(docs.withColumn("doc", F.col(id_col)), owners, "doc", owners.count()), id_col, text_col)
-    ids = shared.select("id").distinct()
-    texts = some.select(F.expr("unhex(md5(line))").alias("id"), "line").join(ids, "id", "left_semi").distinct()
+    texts = some.select(F.xxhash64("line").alias("id"), "line").join(shared.select("id").distinct(), "id", "left_semi").distinct()
+    texts = materialise(texts.select("id", "line", F.length("line").alias("n"), *(c.alias(x) for x, c in letter_counts(F.col("line")).items())), "line-texts")
     labels = components(materialise(linked(shared, texts, k), "line-links")).toDF("id", "component")
 
-    places = lines.select("doc", "place", F.upper(F.md5("line")).alias("id")).join(labels, "id", "left")
+    places = lines.select("doc", "place", F.md5("line").alias("id")).join(labels, "id", "left")
     places = materialise(places.select("doc", "place", F.coalesce("component", "id").alias("line")), "line-places")
     first = places.groupBy("line").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return places.join(first, "line", "left").select("doc", "place", (F.col("first").isNull() | F.struct("doc", "place").eqNullSafe(F.col("first"))).alias("kept"))
