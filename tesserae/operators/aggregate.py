@@ -154,8 +154,10 @@ def rollup_parent(df: DataFrame, lookup: DataFrame, on: str, parent: str, value:
 
 
 def rollup_weighted(df: DataFrame, overlay: DataFrame, on: str, target: str, value: str) -> DataFrame:
-    """A23. overlay: (on, target, weight). Sums of value * weight, rounded half to even."""
-    return df.join(overlay, on).groupBy(target).agg(F.bround(F.sum(F.col(value) * F.col("weight"))).cast("long").alias(value))
+    """A23. overlay: (on, target, weight). Sums of value * weight, rounded half to even; what floating-point weights leave
+    behind the sixth place doesn't decide a tie."""
+    total = F.round(F.sum(F.col(value) * F.col("weight")), 6)
+    return df.join(overlay, on).groupBy(target).agg(F.bround(total).cast("long").alias(value))
 
 
 def correlation(a: Column, b: Column) -> Column:
