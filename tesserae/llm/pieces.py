@@ -20,7 +20,7 @@ from functools import lru_cache
 SPACE_MARK = "▁"
 SEGMENT = re.compile(" +[^ \n]*|[^ \n]+|\n")
 #: Longer segments aren't remembered; at most so many are, before the memory is emptied.
-REMEMBER_LENGTH, REMEMBER_COUNT = 64, 400_000
+REMEMBER_LENGTH, REMEMBER_COUNT = 64, 200_000
 
 
 class Vocabulary:
@@ -77,7 +77,7 @@ class Vocabulary:
         key = a * self.size + b
         known = self._apart.get(key)
         if known is None:
-            if len(self._apart) >= 4_000_000:
+            if len(self._apart) >= 500_000:
                 self._apart.clear()
             known = self._apart[key] = self._find_apart(a, b)
         return known

@@ -1,32 +1,16 @@
-"""Cutting lineage through the folder that all executors share."""
+"""Tables in the shared folder, and joins with key sets of a checked size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most this many 64-bit keys (16 MB) are sent to every executor; beyond it a shuffle join is used.
-BROADCAST_KEYS = 1_000_000
-
+from tesserae.sources.shared import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set (local runs and tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+__all__ = ["BROADCAST_KEYS", "materialise", "semi_by_key", "shared_dir"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a parquet table in the shared folder and read it back: later jobs start from the table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tesserae/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: At most this many 64-bit keys (16 MB) are sent to every executor; beyond it a shuffle join is used.
+BROADCAST_KEYS = 1_000_000
 
 
 def semi_by_key(rows: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:

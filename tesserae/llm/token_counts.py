@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tesserae.llm import pieces, words
 
 #: A trie with more nodes starts anew.
-NODES = 1_000_000
+NODES = 400_000
 
 
 class TrieCounts(dict):

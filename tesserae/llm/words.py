@@ -10,8 +10,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-PIECE = 1 << 20
+#: Bytes of text that are worked on at a time; arrays of 64-bit values of this length stay small.
+PIECE = 1 << 18
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -98,15 +100,14 @@ def batch_words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np
 def parcels(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches of about PIECE bytes of text each (one row at least), with their texts; null is empty."""
     for batch in batches:
-        texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            if i > at and size + len(t) > PIECE:
-                yield batch.slice(at, i - at), texts[at:i]
-                at, size = i, 0
-            size += len(t)
-        if texts:
-            yield batch.slice(at), texts[at:]
+        column = batch.column(text).cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(column):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + PIECE, side="right")))
+            yield batch.slice(at, to - at), [t or b"" for t in column.slice(at, to - at).to_pylist()]
+            at = to
 
 
 def signed(x: np.ndarray) -> np.ndarray:
