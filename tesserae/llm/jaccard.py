@@ -6,7 +6,7 @@ Two documents link when their sets of word 5-grams have a Jaccard similarity of
    grams marks the slots of very common grams; in the order of grams these come last.
 2. Prefixes. With overlap o >= 3/4 of either size, two linked sets share at least min(l_a, l_b) of their first
    n - ceil(3n/4) + l grams, l = ceil(n/20). Grams of only one prefix are dropped, then documents that keep
-   fewer grams than any link needs, and this is repeated.
+   fewer grams than any link needs, and this is repeated; later on, grams of one component count as grams of one.
 3. Pivots. In each bucket (documents that share a gram) all are compared with one pivot, in a few rounds with
    different pivots. That settles groups of near copies of any size with a number of pairs linear in it.
 4. Signature trees. Buckets that still hold more than one component are joined exactly: trees whose nodes hold
@@ -40,7 +40,7 @@ K = 5
 SLOTS, SLOT_BLOCK = 1 << 18, 1 << 12
 PIVOT_ROUNDS = 3
 BLOCK, LEAF = 1024, 8
-MAX_BITS = 1 << 16
+MAX_BITS = 1 << 14
 
 
 def shingles(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -149,7 +149,7 @@ def bitmap_bits(n: int) -> int:
 
 
 def set_rows(source: DataFrame) -> DataFrame:
-    """doc, n, grams, bits: whole sets and their bitmaps, 4 to 8 bits per gram."""
+    """doc, n, grams, bits: whole sets and their bitmaps, 4 to 8 bits per gram up to MAX_BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in words.parcels(batches):
@@ -245,27 +245,30 @@ def dual_traversal(left: list[Node], right: list[Node] | None = None) -> Iterato
 def tree_pairs(rows: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of rows (token, i, j, block, doc, component, n, bits), block pair by block pair."""
 
-    def pairs(run: list) -> set[tuple[int, int]]:
+    def pairs(run: list) -> Iterator[tuple[int, int]]:
         sides = [[Node(doc=r.doc, n=r.n, bits=int.from_bytes(r.bits, "little"), width=8 * len(r.bits), component=r.component) for r in run if r.block == b] for b in sorted({run[0].i, run[0].j})]
-        return set(dual_traversal(*(trees(s) for s in sides)))
+        return dual_traversal(*(trees(s) for s in sides))
 
-    def frame(found: set) -> pd.DataFrame:
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
-
-    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, run, found = None, [], set()
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[list]:
+        run = []
         for f in frames:
             for r in f.itertuples(index=False):
-                if (r.token, r.i, r.j) != key:
-                    if run:
-                        found |= pairs(run)
-                    key, run = (r.token, r.i, r.j), []
+                if run and (r.token, r.i, r.j) != (run[0].token, run[0].i, run[0].j):
+                    yield run
+                    run = []
                 run.append(r)
-                if len(found) > 100_000:
-                    yield frame(found)
-                    found = set()
         if run:
-            found |= pairs(run)
+            yield run
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda found: pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+        found = set()  # the same pair comes from several buckets
+        for run in runs(frames):
+            for pair in pairs(run):
+                found.add(pair)
+                if len(found) >= 100_000:
+                    yield frame(found)
+                    found.clear()
         yield frame(found)
 
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
@@ -293,43 +296,60 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(100 * F.col("both") >= 75 * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
 
 
-def links(source: DataFrame, reps: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Edges (a, b) between class representatives that give the components of all links."""
-    first = prefix_rows(source, hot)
-    alone = Window.partitionBy("token")
-    rare = first.where("not common").select("token", "doc", F.count(F.lit(1)).over(alone).alias("c")).where("c > 1")
-    rows = materialise(rare.select("token", "doc").unionByName(first.where("common").select("token", "doc")), "shared-grams")
+def contested(rows: DataFrame, sizes: DataFrame, rounds: int = 2) -> DataFrame:
+    """The rows (token, doc, component) that can still show a link between two components: grams of buckets with
+    several components, of documents that keep as many such grams as any link needs."""
+    least = F.ceil(F.ceil(F.col("n") * 3 / 4) / 20)
+    for _ in range(rounds):
+        mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        rows = rows.join(mixed, "token", "left_semi")
+        enough = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).join(sizes, "doc").where(F.col("c") >= least).select("doc")
+        rows = materialise(rows.join(enough, "doc", "left_semi"), "contested")
+    return rows
 
+
+def rarest_grams(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Leaves out each document's fullest buckets. Of its c grams a link shares at least l = least(n), so in the order of
+    bucket sizes the first shared gram is among the first c - l + 1 of both documents."""
     least = F.ceil(F.ceil(F.col("n") * 3 / 4) / 20)
-    for _ in range(2):
-        enough = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).join(reps, "doc").where(F.col("c") >= least).select("doc")
-        rows = rows.join(enough, "doc", "left_semi")
-        shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-        rows = materialise(rows.join(shared, "token", "left_semi"), "shared-grams")
+    full = rows.groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
+    own = Window.partitionBy("doc")
+    ranked = rows.join(full, "token").join(sizes, "doc").withColumns({"place": F.row_number().over(own.orderBy("docs", "token")), "c": F.count(F.lit(1)).over(own)})
+    return materialise(ranked.where(F.col("place") <= F.col("c") - least + 1).select("token", "doc", "component"), "rarest-grams")
+
+
+def links(source: DataFrame, reps: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Edges (a, b) between class representatives that give the components of all links."""
+    # a common gram is shared anyway; its rows are salted, so that no task gets all of them
+    salt = F.when(F.col("common"), F.pmod(F.xxhash64("doc"), F.lit(1024))).otherwise(0)
+    first = prefix_rows(source, hot).withColumn("salt", salt)
+    shared = first.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).where("common or c > 1")
+    rows = materialise(shared.select("token", "doc"), "shared-grams")
+    rows = contested(rows.withColumn("component", F.col("doc")).join(reps.select("doc"), "doc", "left_semi"), reps, 3)
 
     members = materialise(rows.select("doc").distinct(), "members")
-    n_members = members.count()
-    sets = materialise(set_rows(semi_by_key(source, members, "doc", n_members)), "sets")
+    sets = materialise(set_rows(semi_by_key(source, members, "doc", members.count())), "sets")
 
     edges = None
-    labelled = rows.withColumn("component", F.col("doc"))
     for turn in range(PIVOT_ROUNDS):
-        # the pivot of a bucket changes from round to round, and only buckets with several components go on
+        if edges is not None and rows.isEmpty():
+            break
+        # the pivot of a bucket changes from round to round
         order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
-        buckets = labelled.groupBy("token").agg(F.min_by("doc", order).alias("pivot"), F.min_by("component", order).alias("pivot_component"), F.min("component").alias("low"), F.max("component").alias("high"))
-        buckets = buckets.where("low <> high").drop("low", "high")
-        pairs = labelled.join(buckets, "token").where("component <> pivot_component")
+        buckets = rows.groupBy("token").agg(F.min_by("doc", order).alias("pivot"), F.min_by("component", order).alias("pivot_component"))
+        pairs = rows.join(buckets, "token").where("component <> pivot_component")
         pairs = pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
         found = materialise(verified(pairs, sets), "links")
         edges = found if edges is None else edges.unionByName(found)
-        label = components(edges).toDF("doc", "component")
-        labelled = rows.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        labelled = materialise(labelled, "labelled-grams")
+        label = components(edges).toDF("doc", "label")
+        relabelled = rows.join(label, "doc", "left").select("token", "doc", F.coalesce("label", "doc").alias("component"))
+        rows = contested(relabelled, reps)
 
-    buckets = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
-    buckets = buckets.where("low <> high").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = rarest_grams(rows, reps)
+    blocks = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = blocks.where("low <> high").drop("low", "high")
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    mixed = labelled.join(buckets, "token").withColumn("block", block).join(sets.select("doc", "n", "bits"), "doc")
+    mixed = rows.join(blocks, "token").withColumn("block", block).join(sets.select("doc", "n", "bits"), "doc")
     dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "bits"
     )
