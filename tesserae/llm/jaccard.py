@@ -116,17 +116,17 @@ def hot_slots(found: DataFrame, limit: float) -> np.ndarray:
 
 
 def prefix_rows(source: DataFrame, hot: np.ndarray) -> DataFrame:
-    """token, doc, common: each text's first grams, common ones last. Of equal sets in a row one is enough: a task
-    sends a set that it has just met once only."""
+    """token, doc, common: each text's first grams, common ones last. A task sends the same set of the same id once
+    only; another id with that set is no substitute for it, whichever of them is met first."""
     packed = np.packbits(hot).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_hot = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for rows, texts in words.parcels(batches):
             ids, own = [], []
             for doc, s in zip(rows.column("doc").to_pylist(), _sets(texts), strict=True):
-                key = hash(s.tobytes())
+                key = (doc, hash(s.tobytes()))
                 if doc is None or not len(s) or key in seen:
                     continue
                 if len(seen) > 200_000:
@@ -322,10 +322,11 @@ def links(source: DataFrame, reps: DataFrame, hot: np.ndarray) -> DataFrame:
     """Edges (a, b) between class representatives that give the components of all links."""
     # a common gram is shared anyway; its rows are salted, so that no task gets all of them
     salt = F.when(F.col("common"), F.pmod(F.xxhash64("doc"), F.lit(1024))).otherwise(0)
-    first = prefix_rows(source, hot).withColumn("salt", salt)
+    # of equal sets only the representative's is read, in whatever order the rows come
+    first = prefix_rows(semi_by_key(source, reps.select("doc"), "doc", reps.count()), hot).withColumn("salt", salt)
     shared = first.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).where("common or c > 1")
     rows = materialise(shared.select("token", "doc"), "shared-grams")
-    rows = contested(rows.withColumn("component", F.col("doc")).join(reps.select("doc"), "doc", "left_semi"), reps, 3)
+    rows = contested(rows.withColumn("component", F.col("doc")), reps, 3)
 
     members = materialise(rows.select("doc").distinct(), "members")
     sets = materialise(set_rows(semi_by_key(source, members, "doc", members.count())), "sets")

@@ -88,6 +88,17 @@ def test_jaccard_brute_force(spark, monkeypatch):
     assert Counter(kept) == Counter(i for i, _ in rows if i is None or expected[i] == i)
 
 
+def test_jaccard_takes_rows_in_any_order(spark):
+    rows = [(i, t) for i, t in near_rows() if i is not None]
+    rows += [(i + 1000, t) for i, t in rows if i >= 100]  # copies with larger ids, met before their representatives
+    expected = brute_components(rows)
+    mixed = random.Random(7).sample(rows, len(rows))
+    for own, parts in ((sorted(rows, key=lambda r: -r[0]), 1), (mixed, 1), (mixed, 3)):
+        frame = table(spark, own)
+        out = jaccard_components(frame.coalesce(1) if parts == 1 else frame.repartition(parts)).collect()
+        assert len(out) == len(rows) and all(r["component_id"] == expected[r["doc_id"]] for r in out)
+
+
 def test_trees_find_what_all_pairs_find():
     rng = random.Random(1)
     sets = []
