@@ -175,7 +175,16 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def _skips(step: tuple[str, frozenset[str]]) -> bool:
-    return step[0] in SKIPPED or bool(step[1] & SKIPPED_NAMES)
+    # names of html and body say what a page holds, not what they are themselves
+    return step[0] in SKIPPED or step[0] not in ("html", "body") and bool(step[1] & SKIPPED_NAMES)
+
+
+def _skipped_above(path: tuple) -> bool:
+    """Whether the last element of a path stands in a skipped place. Names don't count above main, which holds the
+    page's article by definition."""
+    if path[-1][0] == "main":
+        return any(e in SKIPPED for e, _ in path[:-1])
+    return any(map(_skips, path[:-1]))
 
 
 def _is_article(step: tuple[str, frozenset[str]]) -> bool:
@@ -207,12 +216,12 @@ def main_text(html: str, template: frozenset[int] | None) -> str:
         if kind == "open":
             del zone[len(path) - 1 :]
             step = path[-1]
-            zone.append(_is_article(step) and (template is None or role(kind, path) in template))
+            zone.append(_is_article(step) and not _skipped_above(path) and (template is None or role(kind, path) in template))
             depth = len(path)
         else:
             del zone[len(path) - 1 :]
             depth = len(path) - 1
-        start = next((i for i in range(depth - 1, -1, -1) if zone[i : i + 1] == [True]), None)
+        start = next((i for i in range(depth) if zone[i : i + 1] == [True]), None)  # the outermost, so that all steps below it are tested
         inside = start is not None
         below = path[(start or 0) + inside : depth]
         kept = not any(map(_skips, below)) and (inside or not any(e == "header" for e, _ in below))

@@ -95,6 +95,21 @@ def test_html(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_html_comments_and_teasers_are_no_article(spark):
+    inner = (
+        '<article><h1>Head</h1><p>Text {}</p></article><section class="comments"><article class="comment"><p>Reply {}</p></article></section>'
+        '<aside class="related"><article><p>Teaser {}</p></article></aside>'
+    )
+    nested = '<article><p>Text {}</p><div class="comments"><article><p>Reply {}</p></article></div><aside><div class="post"><p>Teaser {}</p></div></aside></article>'
+    for page, text in ((inner, "Head\nText {}"), (nested, "Text {}"), (f'<div class="page-sidebar"><main>{inner}</main></div>', "Head\nText {}")):
+        page = f'<html><body class="has-sidebar">{page}</body></html>'
+        assert main_text(page.format(1, 2, 3), None) == text.format(1)
+        # a host whose pages have the same number of comments and teasers, all of them in its template
+        rows = [(i, f"https://h.example/{i}", page.format(f"a{i}", f"b{i}", f"c{i}")) for i in range(5)]
+        out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in out} == {i: text.format(f"a{i}") for i in range(5)}
+
+
 def test_html_on_pages(spark):
     from html import unescape
 
