@@ -35,10 +35,10 @@ def residential(edges: DataFrame) -> DataFrame:
     return edges.where(has_any(F.col("highway"), ["residential"]))
 
 
-def _reach(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> DataFrame:
+def _reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """ward, node, label: the least node from which each node can be reached along edges (ward, u, v)."""
     labels = nodes.select("ward", "node", F.col("node").alias("label"))
-    for _ in range(limit):
+    while True:
         along = edges.join(labels.select("ward", F.col("node").alias("u"), "label"), ["ward", "u"]).groupBy("ward", F.col("v").alias("node")).agg(F.min("label").alias("near"))
         # whatever reaches a node's label reaches the node
         jump = labels.select("ward", F.col("node").alias("label"), F.col("label").alias("far"))
@@ -46,53 +46,57 @@ def _reach(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> DataFrame:
         new = materialise(step.select("ward", "node", F.least("label", "near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("changed")), "reach")
         labels = new.select("ward", "node", "label")
         if new.where("changed").isEmpty():
-            break
-    return labels
+            return labels
 
 
-def largest_scc(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def largest_scc(edges: DataFrame) -> DataFrame:
     """K4. The edges within each ward's largest strongly connected component; ties go to the one with the least node.
 
     In a round, nodes whose least source and least target agree form components; they are set aside and the rest goes on
-    until no ward's rest is larger than its best component.
+    until every ward's rest is smaller than its best component. Nodes of one component have the same least source and
+    target, so edges between nodes that differ in them are cut. Each round sets aside one component of every open ward at least.
     """
     flat = materialise(edges.select("ward", "u", "v").distinct(), "edges")
     nodes = flat.select("ward", F.col("u").alias("node")).union(flat.select("ward", "v")).distinct()
     done = None
-    for _ in range(rounds):
+    while True:
         ahead = _reach(nodes, flat)
         back = _reach(nodes, flat.select("ward", F.col("v").alias("u"), F.col("u").alias("v"))).withColumnRenamed("label", "target")
         both = materialise(ahead.join(back, ["ward", "node"]), "components")
         found = both.where("label = target").select("ward", "node", "label")
         done = found if done is None else done.unionByName(found)
-        rest = both.where("label <> target").select("ward", "node")
+        rest = both.where("label <> target").select("ward", "node", "label", "target")
         best = done.groupBy("ward", "label").count().groupBy("ward").agg(F.max("count").alias("best"))
-        open_ = rest.groupBy("ward").count().join(best, "ward", "left").where(F.col("count") > F.coalesce("best", F.lit(0))).select("ward")
-        nodes = materialise(rest.join(open_, "ward", "left_semi"), "rest")
-        if nodes.isEmpty():
+        open_ = rest.groupBy("ward").count().join(best, "ward", "left").where(F.col("count") >= F.coalesce("best", F.lit(0))).select("ward")
+        rest = materialise(rest.join(open_, "ward", "left_semi"), "rest")
+        if rest.isEmpty():
             break
-        flat = materialise(flat.join(nodes.withColumnRenamed("node", "u"), ["ward", "u"], "left_semi").join(nodes.withColumnRenamed("node", "v"), ["ward", "v"], "left_semi"), "edges")
+        nodes = rest.select("ward", "node")
+        flat = flat.join(rest.withColumnRenamed("node", "u"), ["ward", "u"]).join(rest.withColumnRenamed("node", "v"), ["ward", "v", "label", "target"], "left_semi")
+        flat = materialise(flat.select("ward", "u", "v"), "edges")
     sizes = done.groupBy("ward", "label").agg(F.count(F.lit(1)).alias("size"))
     top = sizes.groupBy("ward").agg(F.min_by("label", F.struct(-F.col("size"), F.col("label"))).alias("label"))
     keep = done.join(top, ["ward", "label"], "left_semi").select("ward", "node")
     return edges.join(keep.withColumnRenamed("node", "u"), ["ward", "u"], "left_semi").join(keep.withColumnRenamed("node", "v"), ["ward", "v"], "left_semi")
 
 
-def multi_source_dist(edges: DataFrame, sources: DataFrame, cost: str = "length", rounds: int = 1000) -> DataFrame:
+def multi_source_dist(edges: DataFrame, sources: DataFrame, cost: str = "length") -> DataFrame:
     """K5. ward, source, node, dist: least cost from each source (ward, node), edges taken both ways. Each round only
-    the distances that have just become smaller go on."""
-    one = edges.select("ward", "u", "v", F.col(cost).cast("double").alias("w"))
+    the distances that have just become smaller go on, until there are none. Edges without a cost lead nowhere; costs
+    below 0 are an error, since distances would have no end."""
+    one = edges.select("ward", "u", "v", F.col(cost).cast("double").alias("w")).where("w is not null")
     both = one.unionByName(one.select("ward", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     both = materialise(both.groupBy("ward", "u", "v").agg(F.min("w").alias("w")), "roads")
+    if not both.where("w < 0").isEmpty():
+        raise ValueError("edges with a cost below 0")
     dist = materialise(sources.select("ward", F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(True).alias("new")).distinct(), "distances")
-    for _ in range(rounds):
+    while True:
         front = dist.where("new").select("ward", "source", F.col("node").alias("u"), "dist")
         if front.isEmpty():
-            break
+            return dist.drop("new")
         step = front.join(both, ["ward", "u"]).groupBy("ward", "source", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("d"))
         joined = dist.drop("new").join(step, ["ward", "source", "node"], "full")
         dist = materialise(joined.select("ward", "source", "node", F.least("dist", "d").alias("dist"), F.coalesce(F.col("d") < F.col("dist"), F.col("dist").isNull()).alias("new")), "distances")
-    return dist.drop("new")
 
 
 def distance_table(dist: DataFrame, waypoints: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import clean as fn
@@ -149,6 +150,22 @@ def test_largest_component_and_distances(spark):
     assert out[1, 5] == 3 and out[5, 1] == 3 and out[9, 7] == 1e9 and out[9, 9] == 0
 
 
+def test_networks_are_followed_to_their_end(spark, monkeypatch):
+    # a bound on rounds, whatever its height, would be a small one here
+    monkeypatch.setattr(net, "range", lambda n: range(min(n, 3)), raising=False)
+    chain = spark.createDataFrame([(1, i, i + 1, 1.0) for i in range(8)], "ward int, u long, v long, length double")
+    out = net.multi_source_dist(chain, spark.createDataFrame([(1, 0)], "ward int, node long"))
+    assert {r["node"]: r["dist"] for r in out.collect()} == {i: float(i) for i in range(9)}
+    with pytest.raises(ValueError):
+        net.multi_source_dist(chain.withColumn("length", F.lit(-1.0)), spark.createDataFrame([(1, 0)], "ward int, node long"))
+    ring = [(1, 8, 9), (1, 9, 10), (1, 10, 8)]  # behind a chain of one way, with ascending ids
+    out = net.largest_scc(spark.createDataFrame([(1, i, i + 1) for i in range(8)] + ring, "ward int, u long, v long"))
+    assert {(r["ward"], r["u"], r["v"]) for r in out.collect()} == set(ring)
+    # of components of one size the one with the least node
+    tied = [(1, 1, 3), (1, 3, 4), (1, 4, 3), (1, 7, 8), (1, 8, 7)]
+    assert {(r["u"], r["v"]) for r in net.largest_scc(spark.createDataFrame(tied, "ward int, u long, v long")).collect()} == {(3, 4), (4, 3)}
+
+
 def test_hilbert_order_visits_every_point_once(spark):
     pts = spark.createDataFrame([("w", 10 * i + j, float(i), float(j)) for i in range(4) for j in range(4)], "ward string, node int, x double, y double")
     rows = sorted((r["place"], r["x"], r["y"]) for r in net.visit_order(pts).collect())
