@@ -1,15 +1,17 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
-1. Every page is cut into tokens. A markup token is told apart by its role: the path of elements that it stands in.
+1. Every page is cut into tokens. A markup token is told apart by its role: the path of elements that it stands in,
+   with those class names and ids that most pages of the host have. A text token is its words and its role.
 2. Tokens of one host whose occurrence vectors (how often they occur in each of the host's pages) are equal form an
    equivalence class. Vectors are compared by their support and a commutative digest, so a host of any size is
    aggregated before the shuffle and never collected.
 3. A class is valid if it is large and frequent enough and its tokens come in one order in all its pages. The largest
    valid class is the outer one; another nests in it if in every page all its tokens stand between the same two tokens
    of the outer one, and is left out otherwise. Together, in page order, they are the host's template.
-4. A page is aligned to its host's template, and the slots between template tokens hold its data. Slots of the article
-   are kept; slots in menus, adverts, forms and the like are not. Pages without an article slot keep all
-   slots outside of such places.
+4. A page is aligned to its host's template: of its tokens, those of the longest run in the template's order. Texts that
+   aren't aligned stand in slots, whose content varies over the pages. Places in menus, adverts, forms and the like,
+   by fixed names, are left out. If an article place, by fixed names and aligned, holds a slot, it is kept whole; else all
+   slots are kept; and where nothing varies, all that isn't left out.
 
 Pages of hosts without a valid class (too few pages) are read with their own markup as the template.
 
@@ -20,6 +22,7 @@ are pages of their own; malformed markup is read leniently, and unclosed element
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -109,26 +112,69 @@ def walk(html: str) -> Iterator[tuple[str, str, str, tuple]]:
             yield kind, "", text, tuple(stack)
 
 
-def role(kind: str, path: tuple) -> int:
-    """A markup token with its role, as a hash."""
-    key = kind + "/".join(f"{e}.{'.'.join(sorted(n))}" for e, n in path)
-    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
+class Roles:
+    """Tokens as hashes, for pages of one host; names: the class names and ids that count there."""
+
+    def __init__(self, names: list[str] | None):
+        self.names, self.known = frozenset(names or ()), {}
+
+    def __call__(self, kind: str, path: tuple, text: str = "") -> int | None:
+        """A token with its role; a blank text is none."""
+        if len(self.known) > 20_000:
+            self.known.clear()
+        key = self.known.get((kind, path))
+        if key is None:
+            key = self.known[kind, path] = xxhash.xxh3_64_intdigest(kind + "/".join(f"{e}.{'.'.join(sorted(n & self.names))}" for e, n in path)) - (1 << 63)
+        if kind == "text":
+            own = " ".join(text.split())
+            return xxhash.xxh3_64_intdigest(own, key & (1 << 64) - 1) - (1 << 63) if own else None
+        return key
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def common_names(pages: DataFrame) -> DataFrame:
+    """host, names: class names and ids on CLASS_SHARE of the host's pages; names that differ by page aren't among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in words.parcels(batches, "html"):
+            hosts, found = [], []
+            for name, html in zip(rows.column("host").to_pylist(), texts, strict=True):
+                own = {w.lower() for g in set(_NAMES.findall(html.decode())) for w in _SPLIT.split(" ".join(g)) if w}
+                hosts += [name] * (len(own) + 1)
+                found += [None, *own]  # the page itself, and its names
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.string())], names=["host", "name"])
+
+    counts = pages.select("host", "html").mapInArrow(run, "host string, name string").groupBy("host", "name").agg(F.count(F.lit(1)).alias("pages"))
+    counts = materialise(counts, "page-names")
+    sizes = counts.where("name is null").select("host", F.col("pages").alias("all"))
+    often = counts.where("name is not null").join(sizes, "host").where((F.col("pages") >= CLASS_SHARE * F.col("all")) & (F.col("all") >= CLASS_PAGES))
+    return materialise(often.groupBy("host").agg(F.collect_list("name").alias("names")), "common-names")  # at most twice a page's names
+
+
+def with_names(pages: DataFrame, names: DataFrame) -> DataFrame:
+    return pages.join(F.broadcast(names) if names.count() <= BROADCAST_HOSTS else names, "host", "left")
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """page, host, token, count, first (its first place), inside (whether it stands in an article place)."""
+    """page, host, token, count, first (its first place) of pages with their host's names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roles: dict[str, Roles] = {}
         for rows, texts in words.parcels(batches, "html"):
             out = []
-            for page, name, html in zip(rows.column("page").to_pylist(), rows.column("host").to_pylist(), texts, strict=True):
+            for page, name, names, html in zip(rows.column("page").to_pylist(), rows.column("host").to_pylist(), rows.column("names"), texts, strict=True):
+                if name not in roles:
+                    if len(roles) >= 16:
+                        roles.clear()
+                    roles[name] = Roles(names.as_py())
+                role = roles[name]
                 seen: dict[int, list[int]] = {}
-                for place, (kind, _, _, path) in enumerate(e for e in walk(html.decode()) if e[0] != "text"):
-                    seen.setdefault(role(kind, path), [0, place])[0] += 1
+                for place, (kind, _, text, path) in enumerate(walk(html.decode())):
+                    if (token := role(kind, path, text)) is not None:
+                        seen.setdefault(token, [0, place])[0] += 1
                 out += [(page, name, token, count, first) for token, (count, first) in seen.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
@@ -139,8 +185,9 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the tokens of the host's valid classes in page order."""
-    tokens = materialise(page_tokens(pages), "page-tokens")
+    """host, names, template: the names that count there, and the tokens of the host's valid classes in page order."""
+    names = common_names(pages)
+    tokens = materialise(page_tokens(with_names(pages, names).select("page", "host", "names", "html")), "page-tokens")
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     vectors = tokens.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("support"), F.expr("bit_xor(xxhash64(page, count))").alias("vector"), F.sum("count").alias("occurrences"), F.avg("first").alias("place")
@@ -164,13 +211,18 @@ def templates(pages: DataFrame) -> DataFrame:
     frame = member.join(outer, "host").where(F.col("class") == F.col("outer")).select("host", "page", F.col("first").alias("at"))
     inner = spans.join(ordered, ["host", "class"]).join(outer, "host").where(F.col("class") != F.col("outer"))
     slots = inner.join(frame, ["host", "page"]).groupBy("host", "class", "page").agg(F.count_if(F.col("at") < F.col("low")).alias("from"), F.count_if(F.col("at") < F.col("high")).alias("to"))
-    nested = slots.groupBy("host", "class").agg((F.min("from") == F.max("to")).alias("nests")).where("nests").select("host", "class")
-    valid = outer.select("host", F.col("outer").alias("class")).unionByName(nested)
+    nested = slots.groupBy("host", "class").agg((F.min("from") == F.max("to")).alias("nests"), F.min("from").alias("slot")).where("nests").select("host", "class", "slot")
+    valid = outer.select("host", F.col("outer").alias("class"), F.lit(None).cast("long").alias("slot")).unionByName(nested)
+    # an inner class comes after the outer tokens before its slot, wherever it stands on pages of other lengths
+    rank = F.row_number().over(Window.partitionBy("host", "class").orderBy("place", "token"))
+    order = F.coalesce(F.col("slot") + 0.5, rank.cast("double"))
     return (
         classes.join(valid, ["host", "class"])
+        .withColumn("order", order)
         .groupBy("host")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("ordered"))  # the size of a template, not of a host
-        .select("host", F.col("ordered.token").alias("template"))
+        .agg(F.array_sort(F.collect_list(F.struct("order", "place", "token"))).alias("ordered"))  # the size of a template, not of a host
+        .join(names, "host", "left")
+        .select("host", "names", F.col("ordered.token").alias("template"))
     )
 
 
@@ -191,23 +243,50 @@ def _is_article(step: tuple[str, frozenset[str]]) -> bool:
     return step[0] in ARTICLE or step[0] in ("div", "section") and bool(step[1] & ARTICLE_NAMES) and not step[1] & SKIPPED_NAMES
 
 
-def main_text(html: str, template: frozenset[int] | None) -> str:
-    """The blocks of the article's slots, one per line. A slot is what stands between two tokens of the template."""
+def aligned(tokens: list[int | None], template: dict[int, int]) -> set[int]:
+    """The tokens of a page that align to its template (token: place): a longest run, by first places, in its order."""
+    ends: list[int] = []  # the least last place of a run of each length
+    last: list[int] = []  # its token
+    before: dict[int, int | None] = {}
+    for token in dict.fromkeys(x for x in tokens if x in template):
+        at = bisect_left(ends, template[token])
+        before[token] = last[at - 1] if at else None
+        ends[at : at + 1], last[at : at + 1] = [template[token]], [token]
+    out, token = set(), last[-1] if last else None
+    while token is not None:
+        out.add(token)
+        token = before[token]
+    return out
+
+
+def main_text(html: str, template: dict[int, int] | None, role: Roles | None = None) -> str:
+    """The blocks of the article's slots, one per line. A slot is what stands between two aligned tokens of the template
+    (token: place), as told apart by role."""
+    page = list(walk(html))
+    tokens = [None if template is None else role(kind, path, text) for kind, _, text, path in page]
+    fixed = aligned(tokens, template) if template is not None else set()
     article: list[str] = []
+    slots: list[str] = []  # blocks outside of articles with a text that varies
     other: list[str] = []
     parts: list[str] = []
-    inside, kept = False, False
+    inside, kept, varies, article_varies = False, False, False, template is None
 
     def close() -> None:
+        nonlocal varies, article_varies
         text = " ".join(unescape("".join(parts)).split())
         if text and kept:
             (article if inside else other).append(text)
+            article_varies |= inside and varies
+            if varies and not inside:
+                slots.append(text)
         parts.clear()
+        varies = False
 
     zone: list[bool] = []  # for each open element: whether it begins an article slot of the template
-    for kind, name, text, path in walk(html):
+    for (kind, name, text, path), token in zip(page, tokens, strict=True):
         if kind == "text":
             parts.append(text)
+            varies |= token is not None and token not in fixed
             continue
         if name in BLOCKS or name in RAW:
             close()
@@ -216,7 +295,7 @@ def main_text(html: str, template: frozenset[int] | None) -> str:
         if kind == "open":
             del zone[len(path) - 1 :]
             step = path[-1]
-            zone.append(_is_article(step) and not _skipped_above(path) and (template is None or role(kind, path) in template))
+            zone.append(_is_article(step) and not _skipped_above(path) and (template is None or token in fixed))
             depth = len(path)
         else:
             del zone[len(path) - 1 :]
@@ -226,7 +305,7 @@ def main_text(html: str, template: frozenset[int] | None) -> str:
         below = path[(start or 0) + inside : depth]
         kept = not any(map(_skips, below)) and (inside or not any(e == "header" for e, _ in below))
     close()
-    return "\n".join(article or other)
+    return "\n".join((article if article_varies or not slots else []) or slots or other)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -238,14 +317,12 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in words.parcels(batches, "html"):
-            known: dict[str, frozenset[int] | None] = {}
+            known: dict[str, tuple[dict[int, int] | None, Roles]] = {}
             out = []
-            for name, own, html in zip(rows.column("host").to_pylist(), rows.column("template"), texts, strict=True):
+            for name, names, own, html in zip(rows.column("host").to_pylist(), rows.column("names"), rows.column("template"), texts, strict=True):
                 if name not in known:
-                    known[name] = frozenset(own.as_py()) if own.is_valid else None
-                raw = html.decode()
-                text = main_text(raw, known[name])
-                out.append(text)
+                    known[name] = ({token: i for i, token in enumerate(own.as_py())} if own.is_valid else None, Roles(names.as_py()))
+                out.append(main_text(html.decode(), *known[name]))
             yield pa.RecordBatch.from_arrays([rows.column("page"), rows.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page", "url", "host", "template", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page", "url", "host", "names", "template", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

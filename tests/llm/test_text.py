@@ -110,6 +110,23 @@ def test_html_comments_and_teasers_are_no_article(spark):
         assert {r["page_id"]: r["text"] for r in out} == {i: text.format(f"a{i}") for i in range(5)}
 
 
+def test_html_slots_and_names_of_one_page(spark):
+    plain = "<html><body><div><p>Welcome to the site</p></div><div><p>Text {0}</p><p>More {0}</p></div><div><p>All rights</p></div><p>See also</p></body></html>"
+    named = '<html><body class="postid-{0} slug-{0}"><div class="box"><p>Hint {0}</p></div><article id="post-{0}"><h1>Head</h1><p>Text {0}</p></article><p>End</p></body></html>'
+    empty = '<html><body><div class="entry"><p>Fixed words</p></div><div><p>Text {0}</p></div><p>End</p></body></html>'
+    for page, text in ((plain, "Text {0}\nMore {0}"), (named, "Head\nText {0}"), (empty, "Text {0}")):
+        rows = [(i, f"https://h.example/{i}", page.format(f"w{i}")) for i in range(5)]
+        out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in out} == {i: text.format(f"w{i}") for i in range(5)}
+
+
+def test_alignment_is_a_longest_run():
+    from tesserae.llm.html_extract import aligned
+
+    assert aligned([14, 10, None, 11, 99, 12, 11, 13], {10: 0, 11: 1, 12: 2, 13: 3, 14: 4}) == {10, 11, 12, 13}
+    assert aligned([], {1: 0}) == set()
+
+
 def test_html_on_pages(spark):
     from html import unescape
 
