@@ -175,8 +175,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc, place, kept of every line that isn't blank."""
     lines = line_rows(docs, id_col, text_col)
     shared = materialise(shared_segments(lines, k), "shared-segments")
-    owners = materialise(shared.select("doc").distinct(), "line-owners")
-    some = line_rows(semi_by_key(docs.withColumn("doc", F.col(id_col)), owners, "doc", owners.count()), id_col, text_col)
+    # owners by a hash of the id, which null has too; documents that share one by chance are read in vain only
+    owners = materialise(shared.select(F.xxhash64("doc").alias("owner")).distinct(), "line-owners")
+    some = line_rows(semi_by_key(docs.withColumn("owner", F.xxhash64(id_col)), owners, "owner", owners.count()), id_col, text_col)
     texts = some.select(F.xxhash64("line").alias("id"), "line").join(shared.select("id").distinct(), "id", "left_semi").distinct()
     texts = materialise(texts.select("id", "line", F.length("line").alias("n"), *(c.alias(x) for x, c in letter_counts(F.col("line")).items())), "line-texts")
     labels = components(materialise(linked(shared, texts, k), "line-links")).toDF("id", "component")

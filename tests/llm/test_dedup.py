@@ -139,6 +139,12 @@ def edits(a, b):
     return row[-1]
 
 
+def test_near_copy_that_only_a_null_id_holds(spark):
+    rows = [(None, "a line of more than twenty characters"), (1, "a line of more than twenty characterz"), (2, "something else altogether, and longer")]
+    out = {r["doc_id"]: list(r["dropped"]) for r in line_dedup(table(spark, rows)).collect()}
+    assert out == {None: [], 1: [0], 2: []}
+
+
 def test_banded_distance(spark):
     rng = random.Random(2)
     pairs = []
