@@ -2,19 +2,20 @@
 
 Two documents link when their sets of word 5-grams have a Jaccard similarity of at least 3/4. The steps:
 
-1. Digests. Equal sets are one class, and its smallest id stands for it. A count sketch of fixed size over all
-   grams marks the slots of very common grams; in the order of grams these come last.
-2. Prefixes. With overlap o >= 3/4 of either size, two linked sets share at least min(l_a, l_b) of their first
-   n - ceil(3n/4) + l grams, l = ceil(n/20). Grams of only one prefix are dropped, then documents that keep
-   fewer grams than any link needs, and this is repeated; later on, grams of one component count as grams of one.
-3. Pivots. In each bucket (documents that share a gram) all are compared with one pivot, in a few rounds with
-   different pivots. That settles groups of near copies of any size with a number of pairs linear in it.
-4. Signature trees. Buckets that still hold more than one component are joined exactly: trees whose nodes hold
-   OR-combined token bitmaps, size ranges and the component where it is one; a dual traversal leaves out pairs of nodes
-   whose largest possible overlap is too small or that are connected already. Buckets over BLOCK documents are
-   dealt to tasks as pairs of blocks. What the traversal keeps is verified on the whole sets.
-
-Pairs within one component add nothing to it, so leaving them out is exact.
+1. Profiles. Equal sets are one class, and its smallest id stands for it. Each set has three keys: its smallest members in
+   three orders.
+2. First trees. Sets with a key in common are joined by signature trees (tesserae.llm.signature_trees). A bucket that holds
+   many is cut into blocks, each with the bucket's smallest id; so groups of near copies of any size come together with a
+   number of rows in line with their size. What this finds are links; what it misses is left to the next steps.
+3. Prefixes. With overlap o >= 3/4 of either size, two linked sets share at least min(l_a, l_b) of their first
+   n - ceil(3n/4) + l grams, l = ceil(n/10). Grams that only one component holds are dropped, then documents that keep
+   fewer grams than any link needs. Grams with equal sets of documents become one with a weight, and each document
+   leaves out its fullest buckets as long as what they weigh is less than any link needs. Grams whose first document is
+   the same share a bucket.
+4. Last trees. What is left in a bucket is joined by signature trees again, blocks of large buckets with each other. So
+   every link between two components that step 2 left apart is found.
+
+The traversal leaves out pairs of nodes with one component, as such pairs add nothing to it.
 
 Defined cases: null texts and texts without words have n_shingles 0, are their own component and link with
 nothing; fewer than five words make one shingle; rows with a null id get a null component and link with nothing;
@@ -26,21 +27,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
 from tesserae.llm.components import components
-from tesserae.llm.storage import materialise, semi_by_key
+from tesserae.llm.signature_trees import Forest
+from tesserae.llm.storage import materialise
 
 K = 5
-SLOTS, SLOT_BLOCK = 1 << 18, 1 << 12
-PIVOT_ROUNDS = 3
-BLOCK, LEAF = 1024, 8
-MAX_BITS = 1 << 14
+#: Documents and grams of a block of a bucket, and bytes of sets that a task joins at a time.
+BLOCK, BLOCK_GRAMS, FOREST_BYTES = 1024, 1 << 20, 6 << 20
+#: At most so many small rows (20 MB) are sent to every executor; beyond it a shuffle join is used.
+BROADCAST_ROWS = 400_000
+#: Salts of a gram that very many documents hold.
+SALTS = 256
 
 
 def shingles(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -61,315 +63,212 @@ def needed(n):
 
 
 def prefix_length(n):
-    return n - needed(n) + -(-n // 20)
+    return n - needed(n) + -(-n // 10)
+
+
+def least() -> Column:
+    """How many prefix grams any link of a document of n grams shares."""
+    return F.ceil(F.ceil(F.col("n") * 3 / 4) / 10)
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
 
-def digests(source: DataFrame) -> DataFrame:
-    """doc, n, h1, h2 per row, and per task the blocks of its gram counts (block, counts)."""
+def _joined(rows: DataFrame, table: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of a table of n rows, one per key: broadcast up to BROADCAST_ROWS, else a shuffle join."""
+    return rows.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, key, how)
+
+
+def profiles(source: DataFrame) -> DataFrame:
+    """doc, n, two digests of the set, and its three keys; a set without members has nulls for keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
-        names = ["doc", "n", "h1", "h2", "block", "counts"]
         for rows, texts in words.parcels(batches):
             sets = _sets(texts)
-            counts += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-            h = [[np.sum(words.mix(s ^ np.uint64(salt))) if len(s) else np.uint64(0) for s in sets] for salt in (1, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc"), pa.array([len(s) for s in sets], pa.int64())]
-                + [pa.array(words.signed(np.array(x, np.uint64))) for x in h]
-                + [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
-                names=names,
-            )
-        parts = counts.reshape(-1, SLOT_BLOCK)
-        some = np.flatnonzero(parts.any(axis=1))
-        none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=names)
-
-    return source.mapInArrow(run, "doc long, n long, h1 long, h2 long, block int, counts binary")
-
-
-def hot_slots(found: DataFrame, limit: float) -> np.ndarray:
-    """Which slots hold more than limit grams; the sketch has a fixed size, whatever the corpus."""
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for f in frames:
-            for block, counts in zip(f["block"], f["counts"], strict=True):
-                total[block] = total.get(block, 0) + np.frombuffer(counts, np.int64 if len(counts) > 4 * SLOT_BLOCK else np.uint32).astype(np.int64)
-        yield pd.DataFrame({"block": list(total), "counts": [c.tobytes() for c in total.values()]})
-
-    def flag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in add(frames):
-            yield f.assign(counts=[np.packbits(np.frombuffer(c, np.int64) > limit).tobytes() for c in f["counts"]])
-
-    # a task's block is added to one of 16 sums, and these to one; every task holds running sums only
-    blocks = found.where("block is not null").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("salt"))
-    sums = blocks.repartition("block", "salt").select("block", "counts").mapInPandas(add, "block int, counts binary")
-    hot = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), bool)
-    for r in sums.repartition("block").mapInPandas(flag, "block int, counts binary").collect():
-        hot[r["block"]] = np.unpackbits(np.frombuffer(r["counts"], np.uint8)).astype(bool)
-    return hot.ravel()
-
-
-def prefix_rows(source: DataFrame, hot: np.ndarray) -> DataFrame:
-    """token, doc, common: each text's first grams, common ones last. A task sends the same set of the same id once
-    only; another id with that set is no substitute for it, whichever of them is met first."""
-    packed = np.packbits(hot).tobytes()
+            n = np.array([len(s) for s in sets], np.int64)
+            some = np.flatnonzero(n)
+            out = np.zeros((5, len(n)), np.uint64)
+            if len(some):
+                flat = np.concatenate(sets)
+                begin = (np.cumsum(n) - n)[some]
+                for place, salt in enumerate((1, 2, 3)):
+                    mixed = words.mix(flat ^ np.uint64(salt))
+                    if place < 2:
+                        out[place, some] = np.add.reduceat(mixed, begin)
+                    if place:
+                        out[place + 2, some] = np.minimum.reduceat(mixed, begin)
+                out[2, some] = flat[begin]  # sets are sorted
+            keys = [pa.array(words.signed(k), mask=n == 0) for k in out[2:]]
+            yield pa.RecordBatch.from_arrays([rows.column("doc"), pa.array(n), *(pa.array(words.signed(h)) for h in out[:2]), *keys], names=["doc", "n", "h1", "h2", "k0", "k1", "k2"])
+
+    return source.mapInArrow(run, "doc long, n long, h1 long, h2 long, k0 long, k1 long, k2 long")
+
+
+def prefix_rows(source: DataFrame) -> DataFrame:
+    """token, doc, component (null: the document itself): the first grams of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_hot = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        seen: set[tuple[int, int]] = set()
         for rows, texts in words.parcels(batches):
-            ids, own = [], []
-            for doc, s in zip(rows.column("doc").to_pylist(), _sets(texts), strict=True):
-                key = (doc, hash(s.tobytes()))
-                if doc is None or not len(s) or key in seen:
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(key)
-                late = is_hot[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-                own.append(np.concatenate((s[~late], s[late]))[: prefix_length(len(s))])
-                ids.append(doc)
-            if own:
-                flat = np.concatenate(own)
-                late = is_hot[(flat & np.uint64(SLOTS - 1)).astype(np.int64)]
-                docs = np.repeat(np.array(ids, np.int64), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(words.signed(flat)), pa.array(docs), pa.array(late)], names=["token", "doc", "common"])
-
-    return source.mapInArrow(run, "token long, doc long, common boolean")
+            own = [s[: prefix_length(len(s))] for s in _sets(texts)]
+            of = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            flat = pa.array(words.signed(np.concatenate(own)))
+            yield pa.RecordBatch.from_arrays([flat, rows.column("doc").take(of), rows.column("component").take(of)], names=["token", "doc", "component"])
 
+    return source.mapInArrow(run, "token long, doc long, component long")
 
-def bitmap_bits(n: int) -> int:
-    return min(MAX_BITS, max(64, 1 << (4 * n - 1).bit_length()))
 
-
-def set_rows(source: DataFrame) -> DataFrame:
-    """doc, n, grams, bits: whole sets and their bitmaps, 4 to 8 bits per gram up to MAX_BITS."""
+def with_sets(source: DataFrame) -> DataFrame:
+    """doc, component, places, and the sorted set as packed 64-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in words.parcels(batches):
-            sets = _sets(texts)
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
-            bits = []
-            for s in sets:
-                flags = np.zeros(bitmap_bits(len(s)), np.uint8)
-                flags[((s >> np.uint64(20)) & np.uint64(len(flags) - 1)).astype(np.int64)] = 1
-                bits.append(np.packbits(flags, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(words.signed(np.concatenate(sets)))), pa.array(bits, pa.binary())],
-                names=["doc", "n", "grams", "bits"],
-            )
-
-    return source.mapInArrow(run, "doc long, n long, grams array<long>, bits binary")
-
-
-class Node:
-    """A node of a signature tree: OR-combined bitmap, its width, size range, the most grams beyond one per bit, and
-    the component if all below are in one."""
-
-    __slots__ = ("bits", "width", "low", "high", "excess", "component", "children", "doc")
-
-    def __init__(self, children=(), doc=None, n=0, bits=0, width=0, component=None):
-        self.children, self.doc, self.width = children, doc, width
-        if children:
-            self.width = children[0].width
-            self.bits = 0
-            for c in children:
-                self.bits |= c.bits
-            self.low, self.high = min(c.low for c in children), max(c.high for c in children)
-            self.excess = max(c.excess for c in children)
-            own = {c.component for c in children}
-            self.component = own.pop() if len(own) == 1 else None
-        else:
-            self.bits, self.low, self.high, self.component = bits, n, n, component
-            self.excess = n - bits.bit_count()
-
-
-def fold(bits: int, width: int, to: int) -> int:
-    while width > to:
-        width //= 2
-        bits = (bits >> width) | (bits & ((1 << width) - 1))
-    return bits
-
-
-def max_overlap(x: Node, y: Node) -> int:
-    """No document of x shares more grams with one of y."""
-    if x.width < y.width:
-        x, y = y, x
-    common = (fold(x.bits, x.width, y.width) & y.bits).bit_count()
-    return min(common + (min(x.excess, y.excess) if x.width == y.width else y.excess), x.high, y.high)
-
-
-def may_link(x: Node, y: Node) -> bool:
-    if 4 * x.high < 3 * y.low or 4 * y.high < 3 * x.low or (x.component is not None and x.component == y.component):
-        return False
-    return 7 * max_overlap(x, y) >= 3 * (x.low + y.low)
-
-
-def trees(leaves: list[Node]) -> list[Node]:
-    """One tree per bitmap width, over leaves in the order of size."""
-    out = []
-    for width in sorted({x.width for x in leaves}):
-        level = sorted((x for x in leaves if x.width == width), key=lambda x: (x.low, x.doc))
-        while len(level) > 1:
-            level = [Node(level[i : i + LEAF]) if len(level[i : i + LEAF]) > 1 else level[i] for i in range(0, len(level), LEAF)]
-        out += level
-    return out
-
-
-def dual_traversal(left: list[Node], right: list[Node] | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs of documents that may link: within left, or between left and right."""
-    if right is None:
-        todo = [(x, y) for i, x in enumerate(left) for y in left[i:]]
+            grams = pa.array([s.tobytes() for s in _sets(texts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("component"), rows.column("places"), grams], names=["doc", "component", "places", "grams"])
+
+    return source.mapInArrow(run, "doc long, component long, places array<struct<key: long, i: int, j: int, block: int>>, grams binary")
+
+
+def dealt(rows: DataFrame, every_pair: bool) -> DataFrame:
+    """doc, component, places of rows (key, doc, n, component): the runs (key, i, j) in which a document is compared, and
+    its block. Buckets of one component are left out; a bucket beyond one block is cut by size (powers of 4/3) and hash.
+    every_pair: blocks of like sizes meet each other; else each is alone, but for the key's smallest document, which is in all."""
+    kind = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")  # sizes of linked sets are one class apart at most
+    rows = rows.withColumn("kind", kind if every_pair else F.lit(0))
+    parts = rows.groupBy("key", "kind").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("doc", "component")).alias("pivot"),
+        F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"),
+    )
+    buckets = parts.groupBy("key").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("pivot").alias("pivot"), F.map_from_entries(F.collect_list(F.struct("kind", "blocks"))).alias("blocks"),
+        ((F.sum("docs") > BLOCK) | (F.sum("grams") > BLOCK_GRAMS)).alias("large"),
+    ).where("low <> high")
+    buckets = materialise(buckets.drop("low", "high"), "buckets")
+    size = buckets.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("large"), 1)).alias("large")).first()
+    large = buckets.where("large").select("key", "blocks", "pivot")
+    if size["all"] <= BROADCAST_ROWS:
+        marked = _joined(rows, buckets.select("key", F.when(F.col("large"), F.col("blocks")).alias("blocks")), "key", size["all"])
+        small, placed = marked.where("blocks is null").select("key", "doc", "component"), marked.where("blocks is not null")
+    else:  # a key with very many rows isn't shuffled
+        marked = _joined(rows, large.drop("pivot"), "key", size["large"], "left")
+        small = marked.where("blocks is null").drop("blocks").join(buckets.where("not large").select("key"), "key", "left_semi").select("key", "doc", "component")
+        placed = marked.where("blocks is not null")
+    at = lambda kind, of: kind * (1 << 24) + of
+    placed = placed.withColumn("block", at(F.col("kind"), F.pmod(F.xxhash64("doc"), F.col("blocks")[F.col("kind")]).cast("int")))
+    all_of = lambda kind: F.coalesce(F.transform(F.sequence(F.lit(0), F.try_element_at("blocks", kind) - 1), lambda x: at(kind, x)), F.array().cast("array<int>"))
+    if every_pair:
+        mates = placed.withColumn("other", F.explode(F.flatten(F.array(*(all_of(F.col("kind") + d) for d in (-1, 0, 1))))))
+        cut = mates.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component")
     else:
-        todo = [(x, y) for x in left for y in right]
-    while todo:
-        x, y = todo.pop()
-        if x is y:
-            if x.component is None:
-                todo += [(c, d) for i, c in enumerate(x.children) for d in x.children[i:]]
-        elif may_link(x, y):
-            if x.children and (not y.children or x.high - x.low >= y.high - y.low):
-                todo += [(c, y) for c in x.children]
-            elif y.children:
-                todo += [(x, c) for c in y.children]
-            elif x.doc != y.doc:
-                yield (x.doc, y.doc) if x.doc < y.doc else (y.doc, x.doc)
-
-
-def tree_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of rows (token, i, j, block, doc, component, n, bits), block pair by block pair."""
-
-    def pairs(run: list) -> Iterator[tuple[int, int]]:
-        sides = [[Node(doc=r.doc, n=r.n, bits=int.from_bytes(r.bits, "little"), width=8 * len(r.bits), component=r.component) for r in run if r.block == b] for b in sorted({run[0].i, run[0].j})]
-        return dual_traversal(*(trees(s) for s in sides))
-
-    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[list]:
-        run = []
-        for f in frames:
-            for r in f.itertuples(index=False):
-                if run and (r.token, r.i, r.j) != (run[0].token, run[0].i, run[0].j):
-                    yield run
-                    run = []
-                run.append(r)
-        if run:
-            yield run
-
-    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda found: pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
-        found = set()  # the same pair comes from several buckets
-        for run in runs(frames):
-            for pair in pairs(run):
-                found.add(pair)
-                if len(found) >= 100_000:
-                    yield frame(found)
-                    found.clear()
-        yield frame(found)
-
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInPandas(go, "a long, b long").distinct()
-
-
-def _bound(na: Column, nb: Column) -> Column:
-    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb))
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: by bitmaps first, then on the whole sets."""
-    small = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-
-    @F.pandas_udf("boolean")
-    def possible(na: pd.Series, nb: pd.Series, ba: pd.Series, bb: pd.Series) -> pd.Series:
-        leaf = lambda n, b: Node(n=n, bits=int.from_bytes(b, "little"), width=8 * len(b))
-        return pd.Series([may_link(leaf(*x), leaf(*y)) for x, y in zip(zip(na, ba), zip(nb, bb))], dtype=bool)
-
-    left = pairs.join(small("a"), "a").join(small("b"), "b").where(_bound(F.col("n_a"), F.col("n_b")))
-    left = materialise(left.where(possible("n_a", "n_b", "bits_a", "bits_b")).select("a", "b").distinct(), "possible-pairs")
-    whole = lambda x: sets.select(F.col("doc").alias(x), F.col("grams").alias(f"grams_{x}"))
-    both = F.size(F.array_intersect("grams_a", "grams_b"))
-    joined = left.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", both.alias("both"), F.size("grams_a").alias("n_a"), F.size("grams_b").alias("n_b"))
-    return joined.where(100 * F.col("both") >= 75 * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
+        pivots = large.select("key", "pivot.doc", "pivot.component", F.explode(all_of(F.lit(0))).alias("block"))
+        cut = placed.select("key", "doc", "component", "block").unionByName(pivots).withColumns({"i": F.col("block"), "j": F.col("block")})
+    none = {c: F.lit(0) for c in ("i", "j", "block")}
+    runs = small.withColumns(none).unionByName(cut)
+    return runs.groupBy("doc").agg(F.first("component").alias("component"), F.collect_set(F.struct("key", "i", "j", "block")).alias("places"))
+
+
+def tree_links(source: DataFrame, places: DataFrame) -> DataFrame:
+    """Links (a, b) that the trees of all runs yield. places: doc, component, places."""
+
+    def forest(part: pa.Table) -> pa.RecordBatch:
+        grams = part.column("grams").combine_chunks()
+        ends = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1] // 8
+        flat = np.frombuffer(grams.buffers()[2], np.uint64)
+        column = lambda c: part.column(c).to_numpy()
+        run = np.unique(np.stack([column("key"), column("i"), column("j")]), axis=1, return_inverse=True)[1].ravel()
+        found = Forest(run, column("block"), column("doc"), column("component"), [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]).search()
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+        held = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = pa.Table.from_batches([batch.slice(at, 256)])
+                kept.append(part)
+                held += part.nbytes
+                if held < FOREST_BYTES:
+                    continue
+                whole = pa.concat_tables(kept).combine_chunks()
+                last = np.ones(len(whole), bool)
+                for c in ("key", "i", "j"):
+                    values = whole.column(c).to_numpy()
+                    last &= values == values[-1]
+                begin = len(whole) - int(np.argmin(last[::-1])) if not last.all() else 0  # where the last run begins
+                if begin:
+                    yield forest(whole.slice(0, begin))
+                kept = [pa.table({c: pa.chunked_array([pa.concat_arrays(whole.slice(begin).column(c).chunks)]) for c in whole.column_names})]
+                held = 0 if begin else held // 2  # a long run is looked at again when it has grown by half
+        if kept:
+            yield forest(pa.concat_tables(kept).combine_chunks())
+
+    size = places.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("rows")).first()
+    sets = with_sets(_joined(source, places, "doc", max(size["docs"], size["rows"])))
+    rows = sets.select("doc", "component", "grams", F.explode("places").alias("p")).select("p.key", "p.i", "p.j", "p.block", "doc", "component", "grams").where("length(grams) > 0")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def contested(rows: DataFrame, sizes: DataFrame, rounds: int = 2) -> DataFrame:
-    """The rows (token, doc, component) that can still show a link between two components: grams of buckets with
-    several components, of documents that keep as many such grams as any link needs."""
-    least = F.ceil(F.ceil(F.col("n") * 3 / 4) / 20)
+    """The rows (token, doc, component) that can still show a link between two components: of documents that keep as
+    many grams as any link needs, grams that several components hold."""
     for _ in range(rounds):
-        mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        rows = rows.join(mixed, "token", "left_semi")
-        enough = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).join(sizes, "doc").where(F.col("c") >= least).select("doc")
-        rows = materialise(rows.join(enough, "doc", "left_semi"), "contested")
+        enough = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).join(sizes, "doc").where(F.col("c") >= least()).select("doc")
+        rows = rows.join(enough, "doc", "left_semi")
+        mixed = materialise(rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token"), "mixed")
+        rows = materialise(_joined(rows, mixed, "token", mixed.count(), "left_semi"), "contested")
     return rows
 
 
-def rarest_grams(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Leaves out each document's fullest buckets. Of its c grams a link shares at least l = least(n), so in the order of
-    bucket sizes the first shared gram is among the first c - l + 1 of both documents."""
-    least = F.ceil(F.ceil(F.col("n") * 3 / 4) / 20)
-    full = rows.groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
-    own = Window.partitionBy("doc")
-    ranked = rows.join(full, "token").join(sizes, "doc").withColumns({"place": F.row_number().over(own.orderBy("docs", "token")), "c": F.count(F.lit(1)).over(own)})
-    return materialise(ranked.where(F.col("place") <= F.col("c") - least + 1).select("token", "doc", "component"), "rarest-grams")
-
-
-def links(source: DataFrame, reps: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Edges (a, b) between class representatives that give the components of all links."""
-    # a common gram is shared anyway; its rows are salted, so that no task gets all of them
-    salt = F.when(F.col("common"), F.pmod(F.xxhash64("doc"), F.lit(1024))).otherwise(0)
-    # of equal sets only the representative's is read, in whatever order the rows come
-    first = prefix_rows(semi_by_key(source, reps.select("doc"), "doc", reps.count()), hot).withColumn("salt", salt)
-    shared = first.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).where("common or c > 1")
-    rows = materialise(shared.select("token", "doc"), "shared-grams")
-    rows = contested(rows.withColumn("component", F.col("doc")), reps, 3)
-
-    members = materialise(rows.select("doc").distinct(), "members")
-    sets = materialise(set_rows(semi_by_key(source, members, "doc", members.count())), "sets")
-
-    edges = None
-    for turn in range(PIVOT_ROUNDS):
-        if edges is not None and rows.isEmpty():
-            break
-        # the pivot of a bucket changes from round to round
-        order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
-        buckets = rows.groupBy("token").agg(F.min_by("doc", order).alias("pivot"), F.min_by("component", order).alias("pivot_component"))
-        pairs = rows.join(buckets, "token").where("component <> pivot_component")
-        pairs = pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        found = materialise(verified(pairs, sets), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        label = components(edges).toDF("doc", "label")
-        relabelled = rows.join(label, "doc", "left").select("token", "doc", F.coalesce("label", "doc").alias("component"))
-        rows = contested(relabelled, reps)
-
-    rows = rarest_grams(rows, reps)
-    blocks = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
-    blocks = blocks.where("low <> high").drop("low", "high")
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    mixed = rows.join(blocks, "token").withColumn("block", block).join(sets.select("doc", "n", "bits"), "doc")
-    dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "bits"
+def rarest(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """key, doc, n, component. Grams that the same documents hold are one, weighing as many; then each document's fullest
+    buckets are left out as long as they weigh less together than what any link shares. In the order of buckets the first one that
+    two linked documents share is kept by both, as it and what follows weighs that much. Grams with the same first
+    document, in the order of hashes, share a bucket, so documents that share many grams meet in few."""
+    rows = rows.dropDuplicates(["token", "doc"])
+    same = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"), F.min_by("doc", F.xxhash64("doc")).alias("key")
+    )
+    groups = materialise(same.groupBy("docs", "x", "y", "key").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).drop("x", "y"), "gram-groups")
+    fullest = Window.partitionBy("doc").orderBy(F.desc("docs"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
+    weighed = _joined(rows, groups, "token", groups.count()).join(sizes, "doc").withColumn("so_far", F.sum("weight").over(fullest))
+    return materialise(weighed.where(F.col("so_far") >= least()).select("key", "doc", "n", "component").dropDuplicates(["key", "doc"]), "rarest")
+
+
+def links(source: DataFrame, heads: DataFrame) -> DataFrame:
+    """Edges (a, b) between the representatives heads (doc, n, k0, k1, k2) that give the components of all links."""
+    heads = heads.withColumn("component", F.col("doc"))
+    keyed = heads.select("doc", "n", "component", F.explode(F.array("k0", "k1", "k2")).alias("key"))
+    first = materialise(tree_links(source, materialise(dealt(keyed, every_pair=False), "first-places")), "first-links")
+
+    labels = components(first).toDF("doc", "label")
+    # a gram that very many documents hold is the smallest of some; its rows are salted until few are left
+    size = heads.count()
+    very_common = materialise(heads.groupBy(F.col("k0").alias("token")).count().where(F.col("count") > max(128, size >> 19)).select("token", F.lit(True).alias("common")), "common-grams")
+    placed = materialise(heads.groupBy("doc").agg(F.min("n").alias("n")).join(labels, "doc", "left").select("doc", "n", F.col("label").alias("component")), "representatives")
+    grams = prefix_rows(_joined(source, placed.select("doc", "component"), "doc", placed.count()))
+    grams = _joined(grams, very_common, "token", very_common.count(), "left").withColumns(
+        {"component": F.coalesce("component", "doc"), "salt": F.when(F.col("common"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0)}
     )
-    return edges.unionByName(verified(tree_pairs(dealt), sets))
+    own = Window.partitionBy("token", "salt")
+    grams = grams.withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own)}).where("common or low <> high")
+    rows = contested(materialise(grams.select("token", "doc", "component"), "shared-grams"), placed.select("doc", "n"))
+    last = tree_links(source, materialise(dealt(rarest(rows, placed.select("doc", "n")), every_pair=True), "last-places"))
+    return first.unionByName(last)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     source = _source(docs, id_col, text_col)
-    found = materialise(digests(source), "digests")
-    rows = found.where("block is null").select("doc", "n", "h1", "h2")
-    size = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()
-    hot = hot_slots(found, 2 * size["grams"] / SLOTS + size["docs"] / 1000 + 8)
-    classes = materialise(rows.where("n > 0 and doc is not null").groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.first("n").alias("n")), "classes")
-    reps = classes.groupBy(F.col("rep").alias("doc")).agg(F.min("n").alias("n"))
-    edges = links(source, reps, hot)
+    rows = materialise(profiles(source), "profiles")
+    some = rows.where("n > 0 and doc is not null")
+    keys = [F.first(c).alias(c) for c in ("n", "k0", "k1", "k2")]
+    classes = materialise(some.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), *keys), "classes")
+    edges = links(source, classes.select(F.col("rep").alias("doc"), "n", "k0", "k1", "k2"))
     # an id whose rows differ belongs to several classes and joins them
-    repeated = rows.where("n > 0 and doc is not null").groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc")
-    joins = rows.join(repeated, "doc", "left_semi").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    repeated = some.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc")
+    joins = some.join(repeated, "doc", "left_semi").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     labels = components(edges.unionByName(joins))
     out = rows.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left").withColumn("rep", F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc"))))
     return out.join(labels.toDF("rep", "component"), "rep", "left").select(

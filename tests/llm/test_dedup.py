@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tesserae.llm.exact_dedup import drop_exact_copies, exact_groups
 from tesserae.llm.jaccard import drop_near_copies, jaccard_components
 from tesserae.llm.line_dedup import line_dedup, verified, within_edits, without_dropped_lines
 from tesserae.llm.queries import oracle_sql, queries
+from tesserae.llm.signature_trees import Forest
 from tests.compare import same
 from tests.conftest import SF
 from tests.llm.fixtures import DOCS, edge_rows, prose, table
@@ -78,12 +80,14 @@ def near_rows():
 def test_jaccard_brute_force(spark, monkeypatch):
     rows = near_rows()
     expected = brute_components(rows)
-    monkeypatch.setattr(jaccard, "BLOCK", 16)  # so that buckets are dealt as pairs of blocks
-    for turns in (3, 1):
-        monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", turns)
+    for block in (1024, 16):  # 16: buckets are cut into blocks, and dealt as pairs of them
+        monkeypatch.setattr(jaccard, "BLOCK", block)
         out = jaccard_components(table(spark, rows)).collect()
         assert len(out) == len(rows)
         assert all(r["component_id"] == (None if r["doc_id"] is None else expected[r["doc_id"]]) for r in out)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)  # every join by shuffle
+    out = jaccard_components(table(spark, rows)).collect()
+    assert all(r["component_id"] == (None if r["doc_id"] is None else expected[r["doc_id"]]) for r in out)
     kept = [r["doc_id"] for r in drop_near_copies(table(spark, rows)).collect()]
     assert Counter(kept) == Counter(i for i, _ in rows if i is None or expected[i] == i)
 
@@ -99,24 +103,49 @@ def test_jaccard_takes_rows_in_any_order(spark):
         assert len(out) == len(rows) and all(r["component_id"] == expected[r["doc_id"]] for r in out)
 
 
-def test_trees_find_what_all_pairs_find():
+def some_sets():
     rng = random.Random(1)
     sets = []
-    for g in range(8):
-        base = rng.sample(range(10**9), rng.randint(20, 200))
-        sets += [set(rng.sample(base, int(len(base) * rng.uniform(0.7, 1)))) for _ in range(12)]
-    leaves = []
-    for i, s in enumerate(sets):
-        width = jaccard.bitmap_bits(len(s))
-        bits = 0
-        for x in s:
-            bits |= 1 << (x % width)
-        leaves.append(jaccard.Node(doc=i, n=len(s), bits=bits, width=width, component=i))
-    found = set(jaccard.dual_traversal(jaccard.trees(leaves)))
-    linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
-    assert linked and linked <= found and len(found) < len(sets) * (len(sets) - 1) / 4
-    half = set(jaccard.dual_traversal(jaccard.trees(leaves[::2]), jaccard.trees(leaves[1::2])))
-    assert {p for p in linked if (p[0] + p[1]) % 2} <= half
+    for _ in range(8):
+        base = [rng.randrange(2**63) for _ in range(rng.randint(1, 200))]
+        sets += [np.array(sorted(rng.sample(base, max(1, int(len(base) * rng.uniform(0.7, 1))))), np.uint64) for _ in range(25)]
+    return rng.sample(sets, len(sets))
+
+
+def joined_by(links, n):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return [find(i) for i in range(n)]
+
+
+def test_trees_find_what_all_pairs_find():
+    sets = some_sets()
+    n = len(sets)
+    linked = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    ids = np.arange(n)
+    found = Forest(np.zeros(n, int), np.zeros(n, int), ids, ids, sets).search()
+    assert set(found) <= linked and len(found) < n and joined_by(found, n) == joined_by(linked, n)
+    across = {p for p in linked if (p[0] + p[1]) % 2}
+    found = Forest(np.zeros(n, int), ids % 2, ids, ids, sets).search()
+    assert set(found) <= across and joined_by(found, n) == joined_by(across, n)
+    run = ids % 3  # three runs at a time, of which one is one component already
+    inside = {p for p in linked if run[p[0]] == run[p[1]] != 0}
+    found = Forest(run, np.zeros(n, int), ids, np.where(run == 0, -1, ids), sets).search()
+    assert set(found) <= inside and joined_by(found, n) == joined_by(inside, n)
+
+
+def test_links_come_through_trees(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "tree_links", lambda source, places: source.select(F.col("doc").alias("a"), F.col("doc").alias("b")).where("false"))
+    rows = [r for r in near_rows() if r[0] is not None and r[0] >= 100]
+    assert jaccard_components(table(spark, rows)).where("component_id <> doc_id").count() == 0
 
 
 def test_empty_tables(spark):
