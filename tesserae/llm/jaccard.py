@@ -37,8 +37,8 @@ from tesserae.llm.signature_trees import Forest
 from tesserae.llm.storage import materialise
 
 K = 5
-#: Documents and grams of a block of a bucket, and bytes of sets that a task joins at a time.
-BLOCK, BLOCK_GRAMS, FOREST_BYTES = 1024, 1 << 20, 6 << 20
+#: Documents of a block of a bucket (blocks that meet no other are smaller), its grams, and bytes of sets that a task joins at a time.
+BLOCK, ALONE, BLOCK_GRAMS, FOREST_BYTES = 1024, 256, 1 << 20, 6 << 20
 #: At most so many small rows (20 MB) are sent to every executor; beyond it a shuffle join is used.
 BROADCAST_ROWS = 400_000
 #: Salts of a gram that very many documents hold.
@@ -133,16 +133,17 @@ def dealt(rows: DataFrame, every_pair: bool) -> DataFrame:
     """doc, component, places of rows (key, doc, n, component): the runs (key, i, j) in which a document is compared, and
     its block. Buckets of one component are left out; a bucket beyond one block is cut by size (powers of 4/3) and hash.
     every_pair: blocks of like sizes meet each other; else each is alone, but for the key's smallest document, which is in all."""
+    most = BLOCK if every_pair else min(ALONE, BLOCK)
     kind = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")  # sizes of linked sets are one class apart at most
     rows = rows.withColumn("kind", kind if every_pair else F.lit(0))
     parts = rows.groupBy("key", "kind").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("doc", "component")).alias("pivot"),
         F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams"),
-        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"),
     )
     buckets = parts.groupBy("key").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.min("pivot").alias("pivot"), F.map_from_entries(F.collect_list(F.struct("kind", "blocks"))).alias("blocks"),
-        ((F.sum("docs") > BLOCK) | (F.sum("grams") > BLOCK_GRAMS)).alias("large"),
+        ((F.sum("docs") > most) | (F.sum("grams") > BLOCK_GRAMS)).alias("large"),
     ).where("low <> high")
     buckets = materialise(buckets.drop("low", "high"), "buckets")
     size = buckets.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("large"), 1)).alias("large")).first()
