@@ -3,9 +3,9 @@
 A path through the lattice is a sequence of pieces that spell the text. Two rules score it:
 
 * "unigram": the sum of the pieces' log probabilities; the best path wins.
-* "bpe": for a model of merges, whose scores are merge orders and not log probabilities. A step from piece a to
-  piece b scores 0 where merging leaves a and b apart when they stand side by side, else minus infinity. Exactly
-  one path to each boundary survives, and it is what merging gives for the text up to there.
+* "bpe": for a model of merges, whose scores are merge orders. A step from piece a to piece b scores minus infinity
+  unless merging leaves a and b apart when they stand side by side; else it adds b's score. Exactly one path to each
+  boundary survives, and it is what merging gives for the text up to there.
 
 Inside, a space stands for the model's space mark. No piece holds a space after another character, so a space
 that follows a non-space is a boundary of every path, as is each character outside the vocabulary, which is
@@ -19,8 +19,8 @@ from functools import lru_cache
 
 SPACE_MARK = "▁"
 SEGMENT = re.compile(" +[^ \n]*|[^ \n]+|\n")
-#: Longer segments aren't remembered; at most so many are, before the memory is emptied.
-REMEMBER_LENGTH, REMEMBER_COUNT = 64, 200_000
+#: What a character outside the vocabulary costs a path.
+UNKNOWN = 1e6
 
 
 class Vocabulary:
@@ -107,64 +107,57 @@ class Vocabulary:
     def spell(self, char: str) -> list[int]:
         return [self.byte_ids[x] for x in char.encode()]
 
-    def step(self, text: str, at: int, low: int, last, best) -> tuple[int, int, float]:
-        """The surviving step into boundary `at`: (where it starts, its piece, the path's score); piece -1 is a byte-spelt character.
-
-        last(j) and best(j) give the piece and the score with which the path reaches boundary j, for low <= j < at.
-        """
-        find = self.id_of.get
-        if self.rule == "bpe":
-            for j in range(at - 1, max(low, at - self.longest) - 1, -1):
-                piece = find(text[j:at])
-                if piece is not None and ((p := last(j)) < 0 or self.apart(p, piece)):
-                    return j, piece, 0.0
-            return at - 1, -1, 0.0
-        out, top = (at - 1, -1, best(at - 1) - 1e6), None
-        for j in range(max(low, at - self.longest), at):
-            piece = find(text[j:at])
-            if piece is not None and (top is None or best(j) + self.score[piece] > top):
-                top = best(j) + self.score[piece]
-                out = (j, piece, top)
-        return out
-
-    def _short(self, text: str) -> list[int]:
-        """The ids of a text of a few characters under the rule "bpe": `step` at each boundary, written out."""
-        find, known, size, longest = self.id_of.get, self._apart.get, self.size, self.longest
-        last, back = [-1], [0]
-        for at in range(1, len(text) + 1):
-            j = at
-            low = at - longest if at > longest else 0
-            while j > low:
-                j -= 1
-                piece = find(text[j:at])
-                if piece is not None:
-                    before = last[j]
-                    if before < 0:
-                        break
-                    ok = known(before * size + piece)
-                    if ok or ok is None and self.apart(before, piece):
-                        break
+    def advance(self, text: str, at: int, to: int, base: int, last: list[int], back: list[int], best: list[float]) -> None:
+        """The surviving steps into the boundaries after `at`, up to `to`, appended to the lists. For each boundary k from base on,
+        these hold at k - base the piece that reaches it (-1: a byte-spelt character), where that piece starts, and the
+        path's score."""
+        find, longest, score = self.id_of.get, self.longest, self.score
+        known, size, apart = self._apart.get, self.size, self.apart
+        bpe = self.rule == "bpe"
+        for at in range(at + 1, to + 1):
+            low = at - longest
+            if low < base:
+                low = base
+            if bpe:
+                j = at
+                while j > low:
+                    j -= 1
+                    piece = find(text[j:at])
+                    if piece is not None:
+                        before = last[j - base]
+                        if before < 0:
+                            break
+                        ok = known(before * size + piece)
+                        if ok or (ok is None and apart(before, piece)):
+                            break
+                else:
+                    piece = -1
             else:
-                j, piece = at - 1, -1
+                piece, top = -1, 0.0
+                for k in range(low, at):
+                    own = find(text[k:at])
+                    if own is not None and (piece < 0 or best[k - base] + score[own] > top):
+                        j, piece, top = k, own, best[k - base] + score[own]
+            if piece < 0:
+                j = at - 1
             last.append(piece)
             back.append(j)
-        return self._ids(text, 0, len(text), last, back)
+            best.append(best[j - base] + (score[piece] if piece >= 0 else -UNKNOWN))
 
     def stream(self, text: str):
-        """Yields lists of ids. Keeps steps of the last few piece lengths; older ones are committed as soon as every
-        surviving path, which ends in one of the last `longest` boundaries, runs through one boundary."""
-        if self.rule == "bpe" and len(text) <= REMEMBER_LENGTH:
-            yield self._short(text)
-            return
+        """Yields lists of ids. The window begins at the last boundary that is committed. When it is longer than the longest
+        piece, the surviving paths, which end in its last `longest` boundaries, are followed back; if they meet in one
+        boundary, the ids up to there are committed. While they don't, they are followed again each time the window has
+        doubled, so that a text without such a boundary takes time in line with its length."""
         base, last, back, best = 0, [-1], [0], [0.0]
-        room = 4 * self.longest
-        for at in range(1, len(text) + 1):
-            j, piece, score = self.step(text, at, base, lambda k: last[k - base], lambda k: best[k - base])
-            last.append(piece)
-            back.append(j)
-            best.append(score)
-            if at - base >= room:
-                ends = set(range(at - self.longest + 1, at + 1))
+        longest, n = self.longest, len(text)
+        at, room = 0, longest
+        while at < n:
+            to = min(n, base + room + 1)
+            self.advance(text, at, to, base, last, back, best)
+            at = to
+            if at - base > room:
+                ends = set(range(at - longest + 1, at + 1))
                 while len(ends) > 1:
                     far = max(ends)
                     ends.discard(far)
@@ -173,11 +166,10 @@ class Vocabulary:
                 if meet > base:
                     yield self._ids(text, base, meet, last, back)
                     del last[: meet - base], back[: meet - base], best[: meet - base]
-                    base = meet
-                    room = 4 * self.longest
+                    base, room = meet, longest
                 else:
                     room *= 2
-        yield self._ids(text, base, len(text), last, back)
+        yield self._ids(text, base, n, last, back)
 
     def _ids(self, text: str, base: int, end: int, last: list[int], back: list[int]) -> list[int]:
         out: list[int] = []

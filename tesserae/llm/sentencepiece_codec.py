@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
 A text is cut at boundaries that every lattice path has, and each segment is run through the streaming search of
-tesserae.llm.pieces. Segments met before are looked up in a memory of fixed size.
+tesserae.llm.pieces. Results for segments met before are kept in a memory of bounded size.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; a space mark (U+2581) in a text is
 a space to the model, so it decodes to a space and `round_trip` is false; every other text decodes to itself; rows
@@ -10,7 +10,9 @@ with a null id and repeated rows are encoded like others, one row per input row.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,31 +22,24 @@ from pyspark.sql import functions as F
 from tesserae.llm import pieces, words
 
 
-class _Segments(dict):
-    """Packed ids of segments."""
-
-    def __init__(self, vocab: pieces.Vocabulary):
-        self.vocab = vocab
-
-    def __missing__(self, segment: str) -> bytes:
-        packed = b"".join(np.array(part, "<i4").tobytes() for part in self.vocab.stream(segment))
-        if len(segment) <= pieces.REMEMBER_LENGTH:
-            if len(self) >= pieces.REMEMBER_COUNT:
-                self.clear()
-            self[segment] = packed
-        return packed
-
-
-def _segments(path: str, rule: str) -> _Segments:
-    vocab = pieces.vocabulary(path, rule)
+def _memory(vocab: pieces.Vocabulary) -> words.Memory:
     if not hasattr(vocab, "segments"):
-        vocab.segments = _Segments(vocab)
+        vocab.segments = words.Memory()
     return vocab.segments
 
 
 def encode(text: str, path: str, rule: str = "bpe") -> np.ndarray:
-    known = _segments(path, rule)
-    return np.frombuffer(b"".join([known[s] for s in pieces.SEGMENT.findall(pieces.prepared(text))]), "<i4")
+    """The ids of a whole text; a segment that was met before isn't searched again."""
+    vocab = pieces.vocabulary(path, rule)
+    known = _memory(vocab)
+    own = pieces.SEGMENT.findall(pieces.prepared(text))
+    for segment in known.missing(set(own)):
+        known.put(segment, b"".join([array("i", part).tobytes() for part in vocab.stream(segment)]))
+    try:
+        packed = [known.young[s] for s in own]
+    except KeyError:  # the generations changed meanwhile
+        packed = [known.young[s] if s in known.young else known.old[s] if s in known.old else array("i", chain.from_iterable(vocab.stream(s))).tobytes() for s in own]
+    return np.frombuffer(b"".join(packed), "<i4")
 
 
 def decode(ids: np.ndarray, path: str, rule: str = "bpe") -> str:

@@ -1,16 +1,17 @@
 """Token counts by trie-shared dynamic programming.
 
-Distinct pre-tokens are put into a trie. Each node holds the forward state of its prefix (the surviving piece and
-its path's score and number of tokens), found once from the states above it, whatever pre-tokens share it; the
-terminal node has the pre-token's count. A document's count is the sum over its pre-tokens.
+The distinct pre-tokens of a parcel of texts form a trie, which is walked depth first, as the sorted pre-tokens give it: the
+branch at hand holds the forward state of each prefix (the surviving piece, its path's score and number of tokens), found
+once whatever pre-tokens share the prefix. A terminal's count and score are stored. A document's count is the
+sum over its pre-tokens, and so is its score.
 
-Defined cases: null and empty texts have no tokens; rows with a null id and repeated rows are counted like
-others, one row per input row; pre-tokens beyond pieces.REMEMBER_LENGTH are counted by the streaming search.
+Defined cases: null and empty texts have no tokens and score 0; rows with a null id and repeated rows are counted
+like others, one row per input row; pre-tokens may be of any length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,52 +19,56 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import pieces, words
 
-#: A trie with more nodes starts anew.
-NODES = 400_000
+#: Bytes of text whose pre-tokens share a trie.
+PARCEL = 1 << 21
 
 
-class TrieCounts(dict):
-    """Pre-token -> number of tokens."""
+def trie_counts(vocab: pieces.Vocabulary, pre_tokens: Iterable[str]) -> Iterator[tuple[str, int, float]]:
+    """Each distinct pre-token with its number of tokens and its forward score."""
+    last, back, score, count = [-1], [0], [0.0], [0]
+    before = ""
+    for word in sorted(set(pre_tokens)):
+        shared, n = 0, len(word)
+        for x, y in zip(before, word):
+            if x != y:
+                break
+            shared += 1
+        del last[shared + 1 :], back[shared + 1 :], score[shared + 1 :], count[shared + 1 :]
+        vocab.advance(word, shared, n, 0, last, back, score)
+        for at in range(shared + 1, n + 1):
+            count.append(count[back[at]] + (1 if last[at] >= 0 else len(word[at - 1].encode())))
+        yield word, count[n], score[n]
+        before = word
 
-    def __init__(self, vocab: pieces.Vocabulary):
-        self.vocab = vocab
-        self.restart()
 
-    def restart(self) -> None:
-        self.clear()
-        self.child: dict[tuple[int, str], int] = {}
-        self.last, self.score, self.count = [-1], [0.0], [0]
-
-    def __missing__(self, word: str) -> int:
-        if len(word) > pieces.REMEMBER_LENGTH:
-            return sum(map(len, self.vocab.stream(word)))
-        if len(self.last) > NODES:
-            self.restart()
-        path = [0]
-        last, score = self.last, self.score
-        for at, char in enumerate(word, 1):
-            node = self.child.get((path[-1], char))
-            if node is None:
-                j, piece, best = self.vocab.step(word, at, 0, lambda k: last[path[k]], lambda k: score[path[k]])
-                node = self.child[path[-1], char] = len(last)
-                last.append(piece)
-                score.append(best)
-                self.count.append(self.count[path[j]] + (1 if piece >= 0 else len(char.encode())))
-            path.append(node)
-        self[word] = self.count[path[-1]]
-        return self[word]
+def _memory(vocab: pieces.Vocabulary) -> words.Memory:
+    if not hasattr(vocab, "terminals"):
+        vocab.terminals = words.Memory()
+    return vocab.terminals
 
 
 def token_counts(docs: DataFrame, path: str | None = None, rule: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_pretokens, n_distinct, n_tokens. No shuffle; a trie lives as long as its task."""
+    """One row per document: doc_id, n_pretokens, n_distinct, n_tokens, score. No shuffle; terminals are kept in a memory
+    of bounded size."""
     path = path or pieces.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TrieCounts(pieces.vocabulary(path, rule))
-        for rows, raw in words.parcels(batches):
+        vocab = pieces.vocabulary(path, rule)
+        known = _memory(vocab)
+        for rows, raw in words.parcels(batches, size=PARCEL):
             own = [pieces.SEGMENT.findall(pieces.prepared(t.decode())) for t in raw]
-            columns = [[len(s) for s in own], [len(set(s)) for s in own], [sum([known[x] for x in s]) for s in own]]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_pretokens", "n_distinct", "n_tokens"])
+            distinct = [set(s) for s in own]
+            every = set().union(*distinct)
+            found = {w: (n, score) for w, n, score in trie_counts(vocab, known.missing(every))}
+            here = {w: found.get(w) or known.young[w] for w in every}
+            for w, terminal in found.items():
+                known.put(w, terminal)
+            counts, scores = ({w: t[i] for w, t in here.items()} for i in (0, 1))
+            columns = [[len(s) for s in own], [len(s) for s in distinct], [sum(map(counts.__getitem__, s)) for s in own]]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), pa.array([sum(map(scores.__getitem__, s)) for s in own], pa.float64())],
+                names=["doc_id", "n_pretokens", "n_distinct", "n_tokens", "score"],
+            )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_pretokens long, n_distinct long, n_tokens long")
+    return source.mapInArrow(run, "doc_id long, n_pretokens long, n_distinct long, n_tokens long, score double")

@@ -97,18 +97,44 @@ def batch_words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np
     return hashes, np.searchsorted(firsts, edges)
 
 
-def parcels(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches of about PIECE bytes of text each (one row at least), with their texts; null is empty."""
+def parcels(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches of about size bytes of text each (one row at least), with their texts; null is empty."""
     for batch in batches:
         column = batch.column(text).cast(pa.binary())
         ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(column):
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + PIECE, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(at, to - at), [t or b"" for t in column.slice(at, to - at).to_pylist()]
             at = to
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class Memory:
+    """What was found for strings met before, in two generations: when the younger one is full it becomes the older, so
+    what keeps coming up stays. The size bounds memory only; what isn't here is found again."""
+
+    def __init__(self, entries: int = 150_000, characters: int = 4_000_000):
+        self.entries, self.characters = entries, characters
+        self.young, self.old, self.held = {}, {}, 0
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.entries or self.held > self.characters:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[key] = value
+        self.held += len(key)
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Those that aren't known; known ones move to the younger generation."""
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out

@@ -15,7 +15,7 @@ from tesserae.llm.quality import fit, feature_rows, keep_quality, quality_scores
 from tesserae.llm.queries import queries
 from tesserae.llm.sentencepiece_codec import decode_documents, encode, encode_documents
 from tesserae.llm.sharding import extendible_shards
-from tesserae.llm.token_counts import TrieCounts, token_counts
+from tesserae.llm.token_counts import token_counts, trie_counts
 from tests.conftest import SF
 from tests.llm.fixtures import edge_rows, prose, table
 
@@ -232,11 +232,27 @@ def test_pieces_equal_the_library():
 
     path = pieces.default_path()
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    counts = TrieCounts(pieces.vocabulary(path))
+    vocab = pieces.vocabulary(path)
+    split = lambda t: pieces.SEGMENT.findall(pieces.prepared(t))
+    counts = {w: (n, score) for w, n, score in trie_counts(vocab, [s for t in strings() for s in split(t)])}
     for t in strings():
         ids = encode(t, path).tolist()
         assert ids == library.encode(t)
-        assert sum(counts[s] for s in pieces.SEGMENT.findall(pieces.prepared(t))) == len(ids)
+        assert sum(counts[s][0] for s in split(t)) == len(ids)
+        if all(c in vocab.id_of for c in pieces.prepared(t)):
+            assert sum(counts[s][1] for s in split(t)) == pytest.approx(sum(vocab.score[i] for i in ids))
+
+
+def test_memory_keeps_what_comes_up_again():
+    known = words.Memory(entries=3)
+    for k in ("a", "b", "c", "d", "e"):
+        known.put(k, k)
+        assert known.missing(["a", k]) == []
+    assert known.missing("abcdef") == ["f"] and len(known.young) <= 6
+    long = words.Memory(characters=10)
+    for k in ("x" * 20, "y" * 20, "z" * 20):
+        long.put(k, 1)
+    assert long.missing(["x" * 20]) == ["x" * 20]
 
 
 def test_stream_commits_what_the_whole_text_gives():
@@ -244,6 +260,20 @@ def test_stream_commits_what_the_whole_text_gives():
     text = " " + prose(3, 400).replace(" ", "")
     parts = list(vocab.stream(text))
     assert len(parts) > 20 and sum(parts, []) == vocab.merge(text)
+    assert max(map(len, parts)) < 4 * vocab.longest
+
+
+def test_stream_commits_on_documents(spark):
+    """Pre-tokens of the table itself are longer than the window, and equal the library's pieces."""
+    import sentencepiece
+
+    vocab = pieces.vocabulary(pieces.default_path())
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").where("text is not null").collect()]
+    commits = sum(len(list(vocab.stream(s))) - 1 for s in {s for t in texts for s in pieces.SEGMENT.findall(pieces.prepared(t))})
+    assert commits > 0
+    for t in texts:
+        assert encode(t, pieces.default_path()).tolist() == library.encode(t)
 
 
 def test_unigram_rule():
@@ -263,9 +293,8 @@ def test_unigram_rule():
         text = " " + "".join(rng.choice("ab") for _ in range(rng.randint(1, 120)))
         ids = [i for part in vocab.stream(text) for i in part]
         assert sum(vocab.score[i] for i in ids) == pytest.approx(best(text))
-        counts = TrieCounts(vocab)
-        if len(text) <= pieces.REMEMBER_LENGTH:
-            assert counts[text] >= 1 and counts.score[-1] == pytest.approx(best(text))
+        ((_, n, score),) = trie_counts(vocab, [text])
+        assert n == len(ids) and score == pytest.approx(best(text))
 
 
 def test_encode_documents(spark):
