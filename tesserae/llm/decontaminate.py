@@ -7,7 +7,8 @@ items' blocks are indexed with all their variants of up to two changed bits: a w
 8 * 3 - 1 bits apart agree with a variant in some block, so the index finds all of them. The weighted Jaccard
 similarity (shingles weigh as often as they occur) of each candidate is then computed exactly.
 
-The benchmark is a query set: it is taken in blocks of ITEMS items, each against all texts.
+All texts are read once, whatever the size of the benchmark. Tasks hold bitmaps of its grams, of bounded size, for the
+first tests; the index and the items' grams are broadcast up to a checked size and joined by shuffle beyond it.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII; A-Z become a-z. A shingle has five words; items
 with fewer are one shingle and match equal words only.
@@ -32,10 +33,11 @@ from tesserae.llm.storage import materialise
 
 K = 5
 SIMILARITY = 0.75
-ITEMS = 2000
 RADIUS = 23
-#: Slots of the first test of a gram.
-SLOTS = 1 << 22
+#: A bitmap has at most 2 ** MOST_SLOTS bits (8 MB).
+MOST_SLOTS = 26
+#: Items whose index (296 entries each) and grams that are broadcast at most (25 MB and 32 MB).
+BROADCAST_ITEMS, BROADCAST_GRAMS = 2000, 4_000_000
 _FLIPS = [0, *(1 << i for i in range(8)), *((1 << i) | (1 << j) for i, j in combinations(range(8), 2))]
 
 
@@ -84,23 +86,46 @@ def item_rows(items: DataFrame, id_col: str = "item_id", text_col: str = "text")
     return source.mapInArrow(run, "item long, w int, grams array<long>, print long")
 
 
-def windows(source: DataFrame, sizes: dict[int, np.ndarray]) -> DataFrame:
-    """doc, first, w, print, grams of the windows that may match an item; sizes: item grams by number of words."""
-    by_k: dict[int, tuple[np.ndarray, np.ndarray, list[int]]] = {}  # shingle size -> slots in use, all grams, item sizes
-    for k in {size_of_shingle(w) for w in sizes}:
-        own = [w for w in sizes if size_of_shingle(w) == k]
-        every = np.unique(np.concatenate([sizes[w] for w in own]))
-        slots = np.zeros(SLOTS, bool)
-        slots[(every & np.uint64(SLOTS - 1)).astype(np.int64)] = True
-        by_k[k] = slots, every, own
+def slot_bits(n_grams: int) -> int:
+    """log2 of the slots of a bitmap: 64 per gram up to MOST_SLOTS; beyond it more windows pass the first tests, and none is lost."""
+    return min(MOST_SLOTS, max(16, (64 * n_grams - 1).bit_length()))
+
+
+def _of_size(grams: np.ndarray, w: int) -> np.ndarray:
+    return words.mix(grams ^ np.uint64(w * 0x9E3779B97F4A7C15 % 2**64))
+
+
+def slot_maps(items: DataFrame, bits: int) -> dict[int, np.ndarray]:
+    """Bitmaps of the slots that items' grams use: one per shingle size, and under 0 one of grams with their item's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w, grams in zip(b.column("w").to_pylist(), b.column("grams"), strict=True):
+                g = grams.values.to_numpy().view(np.uint64)
+                for kind, x in ((size_of_shingle(w), g), (0, _of_size(g, w))):
+                    slots = (x & np.uint64((1 << bits) - 1)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), kind, np.int32)), pa.array(slots)], names=["kind", "slot"])
+
+    used = items.select("w", "grams").mapInArrow(run, "kind int, slot long").groupBy("kind", F.expr("shiftright(slot, 6)").alias("word"))
+    maps = {k: np.zeros(1 << (bits - 6), np.uint64) for k in (0, *range(1, K + 1))}
+    for r in used.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toLocalIterator():  # at most 2 ** (bits - 6) rows a map
+        maps[r["kind"]][r["word"]] = r["bits"] & (2**64 - 1)
+    return {k: m for k, m in maps.items() if m.any()}
+
+
+def windows(source: DataFrame, maps: dict[int, np.ndarray], sizes: list[int], bits: int) -> DataFrame:
+    """doc, first, w, print, grams of the windows that may match an item of one of the sizes."""
+    by_k = {k: [w for w in sizes if size_of_shingle(w) == k] for k in sorted(maps) if k}
+    low = np.uint64((1 << bits) - 1)
+
+    def among(used: np.ndarray, x: np.ndarray) -> np.ndarray:
+        slot = x & low
+        return (used[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
     def of_text(own: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        for k, (slots, every, of_k) in by_k.items():
+        for k, of_k in by_k.items():
             grams = words.grams(own, k)
-            at = np.flatnonzero(slots[(grams & np.uint64(SLOTS - 1)).astype(np.int64)])
-            if len(at):
-                place = np.minimum(np.searchsorted(every, grams[at]), len(every) - 1)
-                at = at[every[place] == grams[at]]
+            at = np.flatnonzero(among(maps[k], grams))
             if len(at) >= SIMILARITY * (min(of_k) - k + 1):
                 for w in of_k:
                     yield from of_size(grams, at, w, k)
@@ -108,7 +133,7 @@ def windows(source: DataFrame, sizes: dict[int, np.ndarray]) -> DataFrame:
     def of_size(grams: np.ndarray, at: np.ndarray, w: int, k: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
         least = SIMILARITY * (w - k + 1)
         if len(at) >= least:
-            at = at[np.isin(grams[at], sizes[w])]
+            at = at[among(maps[0], _of_size(grams[at], w))]
         if len(at) >= least:
             span = min(w - k + 1, len(grams))
             hits = np.zeros(len(grams) + 1, np.int64)
@@ -141,37 +166,32 @@ def _block(column: str, b: str):
     return F.expr(f"cast(shiftright({column}, 8 * {b}) & 255 AS int)")
 
 
-def candidates(found: DataFrame, items: DataFrame) -> DataFrame:
-    """Windows and items of the same size within RADIUS bits, each pair once; items are one block of the benchmark."""
+def candidates(found: DataFrame, items: DataFrame, n_items: int) -> DataFrame:
+    """Windows and items of the same size within RADIUS bits, each pair once."""
     index = items.select("item", "w", F.col("print").alias("item_print"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"))
     index = index.withColumn("flip", F.explode(F.array(*map(F.lit, _FLIPS)))).withColumn("key", _block("item_print", "b").bitwiseXOR(F.col("flip"))).drop("flip")
     probes = found.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("key", _block("print", "b"))
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
     # a pair that agrees in several blocks is taken at the first
     first = F.expr("b = array_position(transform(sequence(0, 7), i -> bit_count(shiftright(print ^ item_print, 8 * i) & 255) <= 2), true) - 1")
-    return probes.join(F.broadcast(index), ["w", "b", "key"]).where((F.bit_count(apart) <= RADIUS) & first).drop("b", "key", "print", "item_print")
+    return probes.join(F.broadcast(index) if n_items <= BROADCAST_ITEMS else index, ["w", "b", "key"]).where((F.bit_count(apart) <= RADIUS) & first).drop("b", "key", "print", "item_print")
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", items_per_block: int = ITEMS) -> DataFrame:
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, similarity, first_word, n_words, windows."""
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     items = materialise(item_rows(benchmark, item_col, item_text), "benchmark-items")
-    blocks = max(1, -(-items.count() // items_per_block))
+    size = items.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("grams"), F.sort_array(F.collect_set("w")).alias("sizes")).first()
+    bits = slot_bits(size["grams"])
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([weighted_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    out = None
-    for n in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "grams"), F.lit(blocks)) == n) if blocks > 1 else items
-        sizes: dict[int, list[int]] = {}
-        for r in own.select("w", "grams").collect():  # one block: items_per_block items, more or less
-            sizes.setdefault(r["w"], []).extend(r["grams"])
-        found = windows(source, {w: np.unique(np.array(g, np.int64).view(np.uint64)) for w, g in sorted(sizes.items())})
-        near = candidates(found, own).join(F.broadcast(own.select("item", F.col("grams").alias("item_grams"))), "item")
-        sure = near.withColumn("similarity", similarity("grams", "item_grams")).where(F.col("similarity") >= SIMILARITY)
-        out = sure if out is None else out.unionByName(sure)
+    found = windows(source, slot_maps(items, bits), size["sizes"], bits)
+    wanted = items.select("item", F.col("grams").alias("item_grams"))
+    near = candidates(found, items, size["items"]).join(F.broadcast(wanted) if size["grams"] <= BROADCAST_GRAMS else wanted, "item")
+    out = near.withColumn("similarity", similarity("grams", "item_grams")).where(F.col("similarity") >= SIMILARITY)
     best = F.struct(-F.col("similarity"), F.col("first"))
     return out.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
         F.max("similarity").alias("similarity"), F.min_by("first", best).alias("first_word"), F.first("w").cast("long").alias("n_words"), F.count(F.lit(1)).alias("windows")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.storage import materialise
 
-SALTS = 16
+#: Up to so many partitions share the copies of one text.
+SALTS = 1024
 #: Characters of a text in a splitter.
 LEAD = 32
 

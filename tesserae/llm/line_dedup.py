@@ -1,14 +1,14 @@
 """Line deduplication by a segment-partition edit join, in DataFrame operations only.
 
-Lines within K edits of each other, K + 1 segments each: at least one segment of the shorter line stands unchanged
-in the longer one, near its own place. Each line puts its segments into an index keyed by (its length, segment
-number, content), and probes the index for its own and up to K smaller lengths with the few substrings that a
-segment can have moved to. Keys with one line are dropped before any text is looked at again. Lines that share a key
-are compared by their counts of common letters (K edits change them by 2K at most), which is a condition of the join,
+Two lines link when they are within k edits of each other, k = 2 where the shorter one has 20 characters and more, 1 from 10
+characters on, and 0 below. Of its k + 1 segments at least one stands unchanged in the longer line, near its own place. Each line
+puts its segments into an index keyed by (its length, segment number, content), and probes the index for its own and up to
+k smaller lengths with the few substrings that a segment can have moved to. Keys with one line are dropped before any text is looked at again. Lines that share a key
+are compared by their counts of common letters (k edits change them by 2k at most), which is a condition of the join,
 so that hardly more than the true links come out of it, and then verified by a banded bit-parallel edit distance.
 
 A line that repeats, or links through others to an earlier line, is dropped; the first occurrence (smallest id, then
-place) stays. Lines of fewer than SHORT characters are compared whole only. Blank lines stay.
+place) stays. Blank lines stay.
 
 Defined cases: a null text has no lines, an empty text has one blank line; rows that repeat an id are one document
 with the lines of all its rows; rows with a null id count as one document, which comes first.
@@ -23,9 +23,10 @@ from tesserae.llm.components import components
 from tesserae.llm.storage import materialise, semi_by_key
 
 K = 2
-SHORT = 20
-#: Characters between common ends up to which the bit-parallel distance is taken.
-MIDDLE = 256
+#: A pair may have one edit for each so many characters of its shorter line, K at most.
+PER_EDIT = 10
+#: Lines that stand in more places than this, or a 200,000th of all places, are broadcast with their first place (16 MB at most).
+HEAVY, HEAVY_LINES = 1000, 200_000
 #: Letters that are counted.
 LETTERS = "etaoinshrdlucmfwypvbg"
 
@@ -35,26 +36,35 @@ def segment_start(n: str, i: int, k: int) -> str:
     return f"(({n}) * {i} div {k + 1})"
 
 
+def edits(n: str, k: int) -> str:
+    """SQL: edits allowed between a line of n characters and one that isn't shorter."""
+    return f"least({k}, ({n}) div {PER_EDIT})"
+
+
 def index_keys(k: int) -> list[str]:
-    """SQL structs of the keys under which a line of `n` characters is found."""
-    return [
-        f"struct(n, {i} AS i, xxhash64(substring(line, {segment_start('n', i, k)} + 1, {segment_start('n', i + 1, k)} - {segment_start('n', i, k)})) AS h, true AS own)" for i in range(k + 1)
-    ]
+    """SQL structs, or nulls, of the keys under which a line of `n` characters is found: own segments for each number of edits."""
+    out = []
+    for e in range(1, k + 1):
+        for i in range(e + 1):
+            start, end = segment_start("n", i, e), segment_start("n", i + 1, e)
+            out.append(f"if({edits('n', k)} = {e}, struct(n, {i} AS i, xxhash64(substring(line, {start} + 1, {end} - {start})) AS h, true AS own), null)")
+    return out
 
 
 def probe_keys(k: int) -> list[str]:
-    """SQL structs of the keys under which lines of n - d characters, 0 <= d <= k, may hold a segment of this one.
+    """SQL structs, or nulls, of the keys under which lines of n - d characters, 0 <= d <= e, may hold a segment of this one.
 
-    With e edits before segment i and at most k in all, it has moved by `s` with |s| <= i and |s - d| <= k - i.
+    With c edits before segment i and at most e in all, it has moved by `s` with |s| <= i and |s - d| <= e - i.
     """
     out = []
-    for d in range(k + 1):
-        for i in range(k + 1):
-            m = f"(n - {d})"
-            start, end = segment_start(m, i, k), segment_start(m, i + 1, k)
-            for s in range(-i, i + 1):
-                if abs(s - d) <= k - i and (d or s):  # unmoved at the same length is the index key itself
-                    out.append(f"struct({m} AS n, {i} AS i, xxhash64(substring(line, {start} + {s} + 1, {end} - {start})) AS h, false AS own)")
+    for e in range(1, k + 1):
+        for d in range(e + 1):
+            for i in range(e + 1):
+                m = f"(n - {d})"
+                start, end = segment_start(m, i, e), segment_start(m, i + 1, e)
+                for s in range(-i, i + 1):
+                    if abs(s - d) <= e - i and (d or s):  # unmoved at the same length is the index key itself
+                        out.append(f"if({edits(m, k)} = {e}, struct({m} AS n, {i} AS i, xxhash64(substring(line, {start} + {s} + 1, {end} - {start})) AS h, false AS own), null)")
     return out
 
 
@@ -121,8 +131,9 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def shared_segments(lines: DataFrame, k: int = K) -> DataFrame:
     """key, id (a line's 64-bit hash), doc (a document that holds it), own: distinct lines under keys with several of them."""
-    distinct = lines.groupBy("line").agg(F.min("doc").alias("doc")).select("doc", "line", F.length("line").alias("n")).where(F.col("n") >= SHORT)
-    keyed = distinct.select("doc", F.xxhash64("line").alias("id"), F.explode(F.expr(f"array({', '.join(index_keys(k) + probe_keys(k))})")).alias("key"))
+    distinct = lines.groupBy("line").agg(F.min("doc").alias("doc")).select("doc", "line", F.length("line").alias("n")).where(F.col("n") >= PER_EDIT)
+    keys = F.array_compact(F.expr(f"array({', '.join(index_keys(k) + probe_keys(k))})"))
+    keyed = distinct.select("doc", F.xxhash64("line").alias("id"), F.explode(keys).alias("key"))
     keyed = keyed.select(F.xxhash64("key.n", "key.i", "key.h").alias("key"), "id", "doc", "key.own")
     bucket = Window.partitionBy("key")
     counted = keyed.withColumns({"low": F.min("id").over(bucket), "high": F.max("id").over(bucket), "found": F.bool_or("own").over(bucket)})
@@ -143,17 +154,14 @@ def trimmed(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def verified(a: Column, b: Column, k: int) -> Column:
-    """Whether two arrays of characters are within k edits: bit-parallel on what is left between their common ends. Where
-    that is long, Spark's own banded distance is taken, which costs less per character."""
+    """Whether two arrays of characters are within k edits: bit-parallel on what is left between their common ends."""
     ends = F.array(F.struct(*(x.alias(n) for x, n in zip(trimmed(a, b), "ab", strict=True))))
 
     def decide(s: Column) -> Column:
         x, y = s["a"], s["b"]
         none = F.least(F.size(x), F.size(y)) <= k
         pad = F.array_repeat(F.lit(""), k + 1)  # equal ends change nothing and make both longer than k
-        bits = within_edits(F.when(none, F.concat(pad, x)).otherwise(x), F.when(none, F.concat(pad, y)).otherwise(y), k)
-        banded = F.levenshtein(F.array_join(x, ""), F.array_join(y, ""), k) >= 0
-        return F.when(F.greatest(F.size(x), F.size(y)) <= MIDDLE, bits).otherwise(banded)
+        return within_edits(F.when(none, F.concat(pad, x)).otherwise(x), F.when(none, F.concat(pad, y)).otherwise(y), k)
 
     return F.transform(ends, decide)[0]
 
@@ -164,10 +172,14 @@ def linked(shared: DataFrame, texts: DataFrame, k: int = K) -> DataFrame:
     a, b = side.alias("a"), side.alias("b")
     some = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & F.col("a.own") & (~F.col("b.own") | (F.col("a.id") < F.col("b.id")))
     apart = sum((F.abs(F.col(f"a.count_{i}") - F.col(f"b.count_{i}")) for i in range(len(LETTERS))), F.lit(0))
-    near = (F.abs(F.col("a.n") - F.col("b.n")) <= k) & (apart <= 2 * k)
+    most = F.least(F.lit(k), F.floor(F.least("a.n", "b.n") / PER_EDIT))
+    near = (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (apart <= 2 * most)
     pairs = a.join(b, some & near).select(F.least("a.id", "b.id").alias("i"), F.greatest("a.id", "b.id").alias("j")).distinct()
     whole = lambda i, x: texts.select(F.col("id").alias(i), F.col("line").alias(x))
-    close = verified(F.split("x", ""), F.split("y", ""), k)
+    allowed = F.floor(F.least(F.length("x"), F.length("y")) / PER_EDIT)
+    close = F.lit(False)
+    for e in range(1, k + 1):
+        close = F.when(allowed >= e, verified(F.split("x", ""), F.split("y", ""), e)).otherwise(close)
     return pairs.join(whole("i", "x"), "i").join(whole("j", "y"), "j").where(close).select(F.md5("x").alias("a"), F.md5("y").alias("b"))
 
 
@@ -184,8 +196,13 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     places = lines.select("doc", "place", F.md5("line").alias("id")).join(labels, "id", "left")
     places = materialise(places.select("doc", "place", F.coalesce("component", "id").alias("line")), "line-places")
-    first = places.groupBy("line").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return places.join(first, "line", "left").select("doc", "place", (F.col("first").isNull() | F.struct("doc", "place").eqNullSafe(F.col("first"))).alias("kept"))
+    first = places.groupBy("line").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialise(first, "first-places")
+    heavy = F.col("n") > max(HEAVY, places.count() // HEAVY_LINES)
+    marked = places.join(F.broadcast(first.where(heavy).drop("n")), "line", "left")
+    others = marked.where("first is null").drop("first").join(first.where(~heavy).drop("n"), "line", "left")
+    kept = F.col("first").isNull() | F.struct("doc", "place").eqNullSafe(F.col("first"))
+    return marked.where("first is not null").unionByName(others).select("doc", "place", kept.alias("kept"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:

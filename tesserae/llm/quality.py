@@ -39,7 +39,8 @@ def statistics(text: bytes) -> np.ndarray:
     """Transformed statistics of one text; see FEATURES for their order."""
     raw = np.frombuffer(text, np.uint8)
     n = max(1, len(raw))
-    kinds = np.bincount(_KIND[raw], minlength=8)
+    # counted in pieces: bincount widens its input to 64 bits
+    kinds = sum((np.bincount(_KIND[raw[i : i + words.PIECE]], minlength=8) for i in range(0, len(raw), words.PIECE)), np.zeros(8, np.int64))
     letters = max(1, kinds[1] + kinds[2])
     own, first = words.word_hashes(text, words.SPACED)
     m = max(1, len(own))
@@ -93,10 +94,10 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Discriminant:
-    """Means, Cholesky factors and log determinants of class 0 and 1, and the log odds; or one constant score."""
+    """Means, inverses of the Cholesky factors and log determinants of class 0 and 1, and the log odds; or one constant score."""
 
     means: np.ndarray | None = None
-    factors: np.ndarray | None = None
+    inverses: np.ndarray | None = None
     log_dets: np.ndarray | None = None
     odds: float = 0.0
     constant: float = 0.5
@@ -104,7 +105,7 @@ class Discriminant:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.means is None:
             return np.full(len(x), self.constant)
-        part = [np.linalg.solve(self.factors[c], (x - self.means[c]).T) for c in (0, 1)]
+        part = [self.inverses[c] @ (x - self.means[c]).T for c in (0, 1)]
         density = [-0.5 * ((z * z).sum(axis=0) + self.log_dets[c]) for c, z in enumerate(part)]
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.odds, -500, 500)))
 
@@ -135,7 +136,8 @@ def fit(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
     shrunk = [(1 - SHRINK) * s + (SHRINK + RIDGE) * pooled for s in own]
     factors = np.stack([np.linalg.cholesky(s) for s in shrunk])
     log_dets = np.array([2 * np.log(np.diag(f)).sum() for f in factors])
-    return Discriminant(means, factors, log_dets, float(np.log(n[1] / n[0])))
+    inverses = np.stack([np.linalg.solve(f, np.eye(d)) for f in factors])
+    return Discriminant(means, inverses, log_dets, float(np.log(n[1] / n[0])))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

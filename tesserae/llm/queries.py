@@ -120,12 +120,12 @@ def oracle_sql() -> dict[str, str]:
             x AS (
                 SELECT doc_id, unnest(range(0, len(lines)))::INT AS place, unnest(lines) AS line FROM t),
             l AS (SELECT * FROM x WHERE trim(line) <> ''),
-            d AS (SELECT DISTINCT line, length(line) AS n FROM l WHERE length(line) >= 20),
+            d AS (SELECT DISTINCT line, length(line) AS n, least(2, length(line) // 10) AS t FROM l WHERE length(line) >= 10),
             e AS (
                 SELECT a.line AS a, b.line AS b FROM d a JOIN d b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line
-                WHERE (substr(a.line, 1, 6) = substr(b.line, 1, 6) OR substr(a.line, -6) = substr(b.line, -6)
+                WHERE (a.n < 20 OR b.n < 20 OR substr(a.line, 1, 6) = substr(b.line, 1, 6) OR substr(a.line, -6) = substr(b.line, -6)
                        OR levenshtein(substr(a.line, 1, 9), substr(b.line, 1, 9)) <= 2)
-                  AND levenshtein(a.line, b.line) <= 2),
+                  AND levenshtein(a.line, b.line) <= least(a.t, b.t)),
             r(node, other) AS (SELECT line, line FROM l UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other),
             c AS (SELECT node AS line, min(other) AS head FROM r GROUP BY node),
             k AS (

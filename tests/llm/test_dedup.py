@@ -187,6 +187,11 @@ def test_banded_distance(spark):
             b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
         if len(b) > 2:
             pairs.append((a, "".join(b)))
+    for places in ((5,), (5, 290), (0, 150, 299), ()):  # long lines whose edits stand far apart
+        b = list("ab" * 150)
+        for at in places:
+            b[at] = "z"
+        pairs += [("ab" * 150, "".join(b)), ("ab" * 150, "".join(b[1:]) + "q"), ("".join(b), "x" + "ab" * 150)]
     rows = spark.createDataFrame(pairs, "a string, b string")
     x, y = F.split("a", ""), F.split("b", "")
     for k in (1, 2):
@@ -196,14 +201,15 @@ def test_banded_distance(spark):
 
 def test_lines_brute_force(spark):
     rng = random.Random(4)
-    base = [prose(i, 8) for i in range(6)]
+    base = [prose(i, 8) for i in range(6)] + ["nineteen characters", "twelve of it", "tenletters", "nine char", prose(20, 120)]
     docs = []
     for i in range(40):
         lines = []
         for _ in range(rng.randint(0, 5)):
             x = list(rng.choice(base))
-            for _ in range(rng.choice((0, 0, 1, 3))):
-                x[rng.randrange(len(x))] = rng.choice("XYZ🤗")
+            for _ in range(rng.choice((0, 0, 1, 1, 3))):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 1)] = rng.choice(["", "X", "Y", "🤗"])
             lines.append("".join(x))
         docs.append((i, "\n".join([*lines, "short", ""])))
     docs += [(50, None), (51, "")]
@@ -211,7 +217,8 @@ def test_lines_brute_force(spark):
     head = {x: x for _, _, x in lines}
     texts = sorted(head)
     changed = True
-    near = [(a, b) for a in texts for b in texts if a < b and len(a) >= 20 and len(b) >= 20 and edits(a, b) <= 2]
+    near = [(a, b) for a in texts for b in texts if a < b and abs(len(a) - len(b)) <= 2 and edits(a, b) <= min(2, min(len(a), len(b)) // 10)]
+    assert any(len(a) < 20 for a, _ in near) and any(len(a) > 500 for a, _ in near)
     while changed:
         changed = False
         for a, b in near:

@@ -1,17 +1,18 @@
 import random
 import re
 import string
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import pieces, words
+from tesserae.llm import decontaminate, pieces, words
 from tesserae.llm.decontaminate import benchmark_matches, drop_contaminated
 from tesserae.llm.html_extract import extract_main_text, main_text, templates
 from tesserae.llm.license_scan import NOTICES, PHRASES, license_scan
-from tesserae.llm.quality import fit, feature_rows, keep_quality, quality_scores
+from tesserae.llm.quality import RIDGE, SHRINK, feature_rows, fit, keep_quality, quality_scores, statistics
 from tesserae.llm.queries import queries
 from tesserae.llm.sentencepiece_codec import decode_documents, encode, encode_documents
 from tesserae.llm.sharding import extendible_shards
@@ -171,7 +172,7 @@ def brute_matches(docs, items):
     return out
 
 
-def test_contamination(spark):
+def test_contamination(spark, monkeypatch):
     items = [(1, prose(50, 30)), (2, prose(51, 18)), (3, None), (4, "!!"), (5, "Three Words only"), (6, prose(50, 30)), (None, prose(52, 20))]
     x = prose(50, 30).split()
     docs = edge_rows() + [
@@ -179,8 +180,11 @@ def test_contamination(spark):
         (33, " ".join(x[2:])), (34, "so three words, only!"), (35, prose(51, 18) + ". " + prose(50, 30)), (None, prose(50, 30)),
     ]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (2000, 2):
-        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in benchmark_matches(table(spark, docs), bench, items_per_block=block).collect()}
+    for limit in (2000, 0):  # 0: index and items are joined by shuffle
+        monkeypatch.setattr(decontaminate, "BROADCAST_ITEMS", limit)
+        monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", limit)
+        monkeypatch.setattr(decontaminate, "MOST_SLOTS", 26 if limit else 8)  # 8: bitmaps too small to tell grams apart
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in benchmark_matches(table(spark, docs), bench).collect()}
         assert got == pytest.approx(brute_matches(docs, items))
     gone = {d for d, _ in got}
     assert gone == {30, 31, 33, 34, 35}
@@ -195,13 +199,30 @@ def test_quality(spark):
     rows = out.join(labels, "doc_id").where("held_out").collect()
     assert len(rows) > 50 and sum(r["predicted"] == r["quality"] for r in rows) / len(rows) >= 0.95
     assert all(0 <= r["score"] <= 1 for r in rows)
-    import zlib
-
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     kept = keep_quality(docs, labels)
     assert kept.columns == docs.columns and kept.count() == out.where("predicted = 1").count()
 
 
+def test_quality_equals_a_plain_discriminant(spark):
+    """Densities of two normal distributions from rows in memory, with inverse matrices and determinants."""
+    docs, labels = (spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    x = {r["doc_id"]: statistics((r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    own = [np.stack([x[i] for i in y if y[i] == c and i in x]) for c in (0, 1)]
+    n = [len(o) for o in own]
+    pooled = np.diag(sum(len(o) * o.var(axis=0) for o in own) / sum(n)) + 1e-6 * np.eye(own[0].shape[1])
+    covariance = [(1 - SHRINK) * np.cov(o.T, bias=True) + (SHRINK + RIDGE) * pooled for o in own]
+
+    def density(v, c):
+        d = v - own[c].mean(axis=0)
+        return -0.5 * (d @ np.linalg.inv(covariance[c]) @ d + np.log(np.linalg.det(covariance[c]))) + np.log(n[c])
+
+    for r in quality_scores(docs, labels).collect():
+        v = x[r["doc_id"]]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(np.clip(density(v, 0) - density(v, 1), -500, 500))), abs=1e-6)
+
+
 def test_quality_learns_from_its_rows_only(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     from tesserae.llm.quality import held_out
