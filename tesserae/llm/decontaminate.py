@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.storage import materialise
+from tesserae.llm.storage import materialise, short_batches
 
 K = 5
 SIMILARITY = 0.75
@@ -179,7 +179,7 @@ def candidates(found: DataFrame, items: DataFrame, n_items: int) -> DataFrame:
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, similarity, first_word, n_words, windows."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    source = short_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     items = materialise(item_rows(benchmark, item_col, item_text), "benchmark-items")
     size = items.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("grams"), F.sort_array(F.collect_set("w")).alias("sizes")).first()
     bits = slot_bits(size["grams"])

@@ -33,7 +33,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.storage import materialise
+from tesserae.llm.storage import materialise, short_batches
 
 #: A class is valid with so many tokens in so large a share of the host's pages, and in this many pages at least.
 CLASS_TOKENS, CLASS_SHARE, CLASS_PAGES = 3, 0.5, 3
@@ -310,7 +310,7 @@ def main_text(html: str, template: dict[int, int] | None, role: Roles | None = N
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    source = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    source = short_batches(pages).select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     found = materialise(templates(source.select("page", "host", "html")), "templates")
     few = found.count() <= BROADCAST_HOSTS
     joined = source.join(F.broadcast(found) if few else found, "host", "left")

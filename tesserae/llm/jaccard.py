@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tesserae.llm import words
 from tesserae.llm.components import components
 from tesserae.llm.signature_trees import Forest
-from tesserae.llm.storage import materialise
+from tesserae.llm.storage import materialise, short_batches
 
 K = 5
 #: Documents of a block of a bucket (blocks that meet no other are smaller), its grams, and bytes of sets that a task joins at a time.
@@ -72,7 +72,7 @@ def least() -> Column:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return short_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
 
 def _joined(rows: DataFrame, table: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
+from tesserae.llm.storage import short_batches
 
 K = 3
 #: Diagonals at most this far apart are one match with words put in or left out.
@@ -81,7 +82,7 @@ def document_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=["doc_id", "text_key", "n_words", "grams"],
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, text_key long, n_words long, grams array<long>")
 
 

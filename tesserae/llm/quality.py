@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.storage import materialise
+from tesserae.llm.storage import materialise, semi_by_key, short_batches
 
 #: Weight of the pooled diagonal in a class covariance, and of the pooled variance added for stability.
 SHRINK, RIDGE = 0.1, 0.02
@@ -85,7 +85,7 @@ def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -156,8 +156,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The documents that are accepted, with all their columns; texts are read twice and never shuffled."""
-    model = fit(feature_rows(docs, id_col, text_col), labels)
+    """The documents that are accepted, with all their columns. Statistics of labelled documents are a table, so that no task
+    runs two Python workers; texts are read once more to be scored."""
+    known = labels.select(F.col("doc_id").cast("long").alias(id_col)).distinct()
+    some = semi_by_key(docs.withColumn(id_col, F.col(id_col).cast("long")), known, id_col, known.count())
+    model = fit(materialise(feature_rows(some, id_col, text_col), "labelled-features"), labels)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
 A text is cut at boundaries that every lattice path has, and each segment is run through the streaming search of
-tesserae.llm.pieces. Results for segments met before are kept in a memory of bounded size.
+tesserae.llm.pieces. Results for segments met before are kept in a memory of bounded size, as long as a task.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; a space mark (U+2581) in a text is
 a space to the model, so it decodes to a space and `round_trip` is false; every other text decodes to itself; rows
@@ -20,18 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import pieces, words
+from tesserae.llm.storage import short_batches
 
 
-def _memory(vocab: pieces.Vocabulary) -> words.Memory:
-    if not hasattr(vocab, "segments"):
-        vocab.segments = words.Memory()
-    return vocab.segments
-
-
-def encode(text: str, path: str, rule: str = "bpe") -> np.ndarray:
-    """The ids of a whole text; a segment that was met before isn't searched again."""
+def encode(text: str, path: str, rule: str = "bpe", known: words.Memory | None = None) -> np.ndarray:
+    """The ids of a whole text; a segment that is known isn't searched again."""
     vocab = pieces.vocabulary(path, rule)
-    known = _memory(vocab)
+    known = words.Memory() if known is None else known
     own = pieces.SEGMENT.findall(pieces.prepared(text))
     for segment in known.missing(set(own)):
         known.put(segment, b"".join([array("i", part).tobytes() for part in vocab.stream(segment)]))
@@ -52,9 +47,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, rule: str = "bpe"
     path = path or pieces.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.Memory()
         for rows, raw in words.parcels(batches):
             texts = [t.decode() for t in raw]
-            ids = [encode(t, path, rule) for t in texts]
+            ids = [encode(t, path, rule, known) for t in texts]
             back = [decode(i, path, rule) for i in ids]
             ends = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in ids]))), pa.int32())
             columns = [
@@ -65,7 +61,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, rule: str = "bpe"
             ]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(back)] * with_text, names=["doc_id", "ids", "n_tokens", "round_trip"] + ["decoded"] * with_text)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean" + ", decoded string" * with_text)
 
 

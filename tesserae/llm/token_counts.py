@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import pieces, words
+from tesserae.llm.storage import short_batches
 
 #: Bytes of text whose pre-tokens share a trie.
 PARCEL = 1 << 21
@@ -41,20 +42,14 @@ def trie_counts(vocab: pieces.Vocabulary, pre_tokens: Iterable[str]) -> Iterator
         before = word
 
 
-def _memory(vocab: pieces.Vocabulary) -> words.Memory:
-    if not hasattr(vocab, "terminals"):
-        vocab.terminals = words.Memory()
-    return vocab.terminals
-
-
 def token_counts(docs: DataFrame, path: str | None = None, rule: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_pretokens, n_distinct, n_tokens, score. No shuffle; terminals are kept in a memory
+    """One row per document: doc_id, n_pretokens, n_distinct, n_tokens, score. No shuffle; a task keeps terminals in a memory
     of bounded size."""
     path = path or pieces.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = pieces.vocabulary(path, rule)
-        known = _memory(vocab)
+        known = words.Memory()
         for rows, raw in words.parcels(batches, size=PARCEL):
             own = [pieces.SEGMENT.findall(pieces.prepared(t.decode())) for t in raw]
             distinct = [set(s) for s in own]
@@ -70,5 +65,5 @@ def token_counts(docs: DataFrame, path: str | None = None, rule: str = "bpe", id
                 names=["doc_id", "n_pretokens", "n_distinct", "n_tokens", "score"],
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_pretokens long, n_distinct long, n_tokens long, score double")
