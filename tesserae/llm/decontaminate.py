@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,14 +183,17 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     size = items.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("grams"), F.sort_array(F.collect_set("w")).alias("sizes")).first()
     bits = slot_bits(size["grams"])
 
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([weighted_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, other = (b.column(c) for c in ("grams", "item_grams"))
+            found = [weighted_jaccard(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(own, other, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc", "item", "first", "w")), pa.array(found, pa.float64())], names=["doc", "item", "first", "w", "similarity"])
 
     found = windows(source, slot_maps(items, bits), size["sizes"], bits)
     wanted = items.select("item", F.col("grams").alias("item_grams"))
     near = candidates(found, items, size["items"]).join(F.broadcast(wanted) if size["grams"] <= BROADCAST_GRAMS else wanted, "item")
-    out = near.withColumn("similarity", similarity("grams", "item_grams")).where(F.col("similarity") >= SIMILARITY)
+    near = materialise(near.select("doc", "item", "first", "w", "grams", "item_grams"), "candidates")  # no task runs two Python workers
+    out = near.mapInArrow(similar, "doc long, item long, first long, w int, similarity double").where(F.col("similarity") >= SIMILARITY)
     best = F.struct(-F.col("similarity"), F.col("first"))
     return out.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
         F.max("similarity").alias("similarity"), F.min_by("first", best).alias("first_word"), F.first("w").cast("long").alias("n_words"), F.count(F.lit(1)).alias("windows")

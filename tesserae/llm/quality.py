@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,15 +115,16 @@ def fit(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("y")).where("y is not null")
     rows = features.join(marks, "doc_id").where(~held_out(F.col("doc_id"))).select("y", "x")
 
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for y, g in f.groupby("y"):
-                x = np.stack(g["x"].to_list())
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every, of = b.column("x").flatten().to_numpy().reshape(b.num_rows, d), b.column("y").to_numpy()
+            for y in (0, 1):
+                x = every[of == y]
                 flat = np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel()))
-                yield pd.DataFrame({"y": y, "i": np.arange(len(flat)), "v": flat})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), y, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["y", "i", "v"])
 
     total = np.zeros((2, 1 + d + d * d))
-    for r in rows.mapInPandas(sums, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect():
+    for r in rows.mapInArrow(sums, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect():
         total[r["y"], r["i"]] = r["v"]
     n = total[:, 0]
     if min(n) < 2:
@@ -158,13 +158,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """The documents that are accepted, with all their columns. Statistics of labelled documents are a table, so that no task
     runs two Python workers; texts are read once more to be scored."""
-    known = labels.select(F.col("doc_id").cast("long").alias(id_col)).distinct()
-    some = semi_by_key(docs.withColumn(id_col, F.col(id_col).cast("long")), known, id_col, known.count())
-    model = fit(materialise(feature_rows(some, id_col, text_col), "labelled-features"), labels)
+    known = labels.select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    some = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
+    model = fit(materialise(feature_rows(semi_by_key(some, known, "_id", known.count()), "_id", "text"), "labelled-features"), labels)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = [statistics((t or "").encode()) for t in texts]
-        return pd.Series(model.scores(np.stack(x)) if x else [], dtype=float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in words.parcels(batches, text_col):
+            yield rows.filter(pa.array(model.scores(np.stack([statistics(t) for t in texts])) >= cut))
 
-    return docs.where(score(F.col(text_col)) >= cut)
+    return docs.mapInArrow(run, docs.schema)
