@@ -93,13 +93,15 @@ def in_period(month: Column, start: str, end: str | None = None) -> Column:
 
 #: Points of interest by tag; the first rule that fits wins.
 POI_RULES = [
-    ("transport", "public_transport", None),
-    ("food", "amenity", ["restaurant", "cafe", "fast_food", "pub", "bar"]),
-    ("education", "amenity", ["school", "college", "university", "kindergarten"]),
-    ("health", "amenity", ["hospital", "clinic", "pharmacy"]),
     ("shop", "shop", None),
-    ("leisure", "leisure", None),
-    ("tourism", "tourism", None),
+    ("emergency", "amenity", ["police", "hospital", "fire_station"]),
+    ("education", "amenity", ["school", "university", "library"]),
+    ("transport", "public_transport", ["station"]),
+    ("transport", "railway", ["station"]),
+    ("entertainment", "amenity", ["theatre", "cinema", "museum"]),
+    ("leisure", "leisure", ["park"]),
+    ("food", "amenity", ["restaurant", "cafe", "bar", "pub", "nightclub", "fast_food"]),
+    ("parking", "amenity", ["parking"]),
 ]
 
 

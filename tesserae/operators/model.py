@@ -9,6 +9,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import UnsupportedOperationException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -22,6 +24,9 @@ from tesserae.operators.aggregate import target_corr
 from tesserae.operators.clean import interact
 from tesserae.operators.features import apply_scaler, fit_scaler, rolling_splits
 
+#: The strength of pooling where counts vary no more than by chance.
+STRONG = 1e6
+
 
 @dataclass
 class RateModel:
@@ -51,26 +56,40 @@ def fit_rate(df: DataFrame, cols: list[str], reg: float = 0.0, y: str = "n", sca
     model = glm.fit(VectorAssembler(inputCols=cols, outputCol="_x").transform(rows))
     try:
         errors = [float(e) for e in model.summary.coefficientStandardErrors]
-    except Exception:  # no standard errors where the normal equations are singular
+    except (UnsupportedOperationException, Py4JJavaError) as e:  # there are none where the normal equations are singular or another solver was used
+        if "tandard error" not in str(e) and "ingular" not in str(e):
+            raise
         errors = None
     return RateModel(list(cols), [float(b) for b in model.coefficients], float(model.intercept), errors, stats)
 
 
-def pooled_effects(df: DataFrame, strength: float = 10.0, y: str = "n", mu: str = "mu") -> DataFrame:
-    """M9. area, ward, ward_effect, effect: multipliers of the rate, shrunk from areas to wards and from wards to 1."""
-    areas = df.groupBy("area", "ward").agg(F.sum(y).alias("_y"), F.sum(mu).alias("_mu"))
-    wards = areas.groupBy("ward").agg(((F.sum("_y") + strength) / (F.sum("_mu") + strength)).alias("ward_effect"))
-    effect = (F.col("_y") + strength * F.col("ward_effect")) / (F.col("_mu") + strength)
-    return areas.join(wards, "ward").select("area", "ward", "ward_effect", effect.alias("effect"))
+def _strength(seen: Column, expected: Column) -> Column:
+    """By moments: counts about their expectation vary by it and its square over the strength. An aggregate."""
+    beyond = F.sum(F.pow(seen - expected, 2) - expected)
+    return F.when(beyond > 0, F.least(F.lit(STRONG), F.sum(expected * expected) / beyond)).otherwise(STRONG)
+
+
+def pooled_effects(df: DataFrame, strength: float | None = None, y: str = "n", mu: str = "mu") -> DataFrame:
+    """M9. area, ward, ward_effect, effect, spread: multipliers of the rate, shrunk from areas to wards and from wards to 1, and the
+    deviation of the effect's logarithm. Without a strength, both are estimated: one for wards, one per ward for its areas."""
+    areas = df.groupBy("area", "ward").agg(F.sum(y).cast("double").alias("_y"), F.sum(mu).cast("double").alias("_mu"))
+    wards = areas.groupBy("ward").agg(F.sum("_y").alias("_wy"), F.sum("_mu").alias("_wmu"))
+    given = F.lit(float(strength)) if strength is not None else None
+    overall = wards.agg((_strength(F.col("_wy"), F.col("_wmu")) if given is None else F.first(given)).alias("_k"))
+    wards = wards.crossJoin(overall)  # one row
+    wards = wards.select("ward", "_wy", "_wmu", ((F.col("_wy") + F.col("_k")) / (F.col("_wmu") + F.col("_k"))).alias("ward_effect"))
+    inside = areas.join(wards, "ward")
+    own = inside.groupBy("ward").agg((_strength(F.col("_y"), F.col("_mu") * F.col("_wy") / F.col("_wmu")) if given is None else F.first(given)).alias("_k"))
+    shape, rate = F.col("_y") + F.col("_k") * F.col("ward_effect"), F.col("_mu") + F.col("_k")
+    return inside.join(own, "ward").select("area", "ward", "ward_effect", (shape / rate).alias("effect"), (1 / F.sqrt(shape)).alias("spread"))
 
 
 def predict_rate(df: DataFrame, model: RateModel, effects: DataFrame | None = None) -> DataFrame:
-    """M10. Adds rate: exp of the clamped log rate, times the area's effect where there is one."""
-    rates = df.join(apply_scaler(df, model.scaler).select("area", "month", rate_of(model.log_rate()).alias("rate")), ["area", "month"])
-    if effects is None:
-        return rates
-    out = rates.join(effects.select("area", "effect"), "area", "left")
-    return out.withColumn("rate", F.col("rate") * F.coalesce("effect", F.lit(1.0))).drop("effect")
+    """M10. Adds rate: exp of the clamped log rate, to which the area's effect adds its logarithm where there is one."""
+    rows = apply_scaler(df, model.scaler).select("area", "month", model.log_rate().alias("_log"))
+    if effects is not None:
+        rows = rows.join(effects.select("area", F.log("effect").alias("_effect")), "area", "left").withColumn("_log", F.col("_log") + F.coalesce("_effect", F.lit(0.0)))
+    return df.join(rows.select("area", "month", rate_of(F.col("_log")).alias("rate")), ["area", "month"])
 
 
 def draw_counts(rates: DataFrame, draws: int, seed: int = 0) -> DataFrame:
@@ -80,6 +99,27 @@ def draw_counts(rates: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     return rows.select("area", "month", "draw", poisson_quantile(u, F.col("rate")).alias("value"))
 
 
+def _normal(*keys) -> Column:
+    return normal_quantile(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), uniform(*keys))))
+
+
+def predictive_draws(df: DataFrame, model: RateModel, draws: int, effects: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """M11. area, month, draw, rate, value: each draw has its own coefficients (normal about the fitted ones, by their standard
+    errors) and area effects (log-normal with the effect's spread), the clamped rate of these, and a count of that rate."""
+    rows = apply_scaler(df, model.scaler).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    log = model.log_rate()
+    for c, e in zip(model.cols, model.errors or [0.0] * len(model.cols), strict=False):
+        log = log + F.col(c) * F.col(f"_z_{c}") * F.lit(float(e))
+    one = df.sparkSession.range(1, draws + 1).select(F.col("id").cast("int").alias("draw"), *(_normal(F.lit(c), F.col("id"), seed).alias(f"_z_{c}") for c in model.cols))
+    rows = rows.join(F.broadcast(one), "draw")  # one row per draw
+    if effects is not None:
+        rows = rows.join(effects.select("area", "effect", "spread"), "area", "left")
+        log = log + F.coalesce(F.log("effect") + F.col("spread") * _normal(F.lit("effect"), F.col("area"), F.col("draw"), seed), F.lit(0.0))
+    u = uniform(F.col("area"), F.date_format("month", "yyyy-MM-dd"), F.col("draw"), *([seed] if seed else []))
+    rated = rows.select("area", "month", "draw", rate_of(log).alias("rate"), u.alias("_u"))
+    return rated.select("area", "month", "draw", "rate", poisson_quantile(F.col("_u"), F.col("rate")).alias("value"))
+
+
 def coef_summary(spark, model: RateModel, groups: dict[str, list[str]], alpha: float = 0.05, draws: int = 200) -> DataFrame:
     """M12. grp, column, mean, low, high, p (two-sided tail share of draws), significant; sorted."""
     if model.errors is None:
@@ -127,7 +167,7 @@ def train_eval(train: DataFrame, test: DataFrame, cols: list[str], reg: float =
     effects = None
     if wards is not None:
         effects = pooled_effects(predict_rate(train, model).withColumnRenamed("rate", "mu").join(wards, "area"))
-    drawn = draw_counts(predict_rate(test, model, effects), draws)
+    drawn = predictive_draws(test, model, draws, effects).select("area", "month", "draw", "value")
     observed = test.select("area", "month", "n")
     return evaluate.rmse(drawn, observed).crossJoin(evaluate.mae(drawn, observed)).crossJoin(evaluate.crps(drawn, observed))  # one row each
 

@@ -169,8 +169,8 @@ add("p27_since", lambda s, d: clean.since(fr.incidents(s, d), "2000-01-01").sele
 add("p28_period_flags", lambda s, d: fr.panel(s, d).select("area", "month", fn.in_period(c("month"), "1998-03-01", "1999-07-01").alias("during"), fn.in_period(c("month"), "1999-08-01").alias("after")), f"WITH {PANEL} SELECT area, {DAY}, (month BETWEEN DATE '1998-03-01' AND DATE '1999-07-01')::INT AS during, (month >= DATE '1999-08-01')::INT AS after FROM panel")
 add(
     "p29_poi_group",
-    lambda s, d: part(s, d).select("p_partkey", fn.poi_group(F.when(c("p_size") % 4 == 0, F.create_map(F.lit("shop"), c("p_name"))).when(c("p_size") % 4 == 1, F.create_map(F.lit("amenity"), F.lit("cafe"), F.lit("shop"), F.lit("x"))).when(c("p_size") % 4 == 2, F.create_map(F.lit("other"), c("p_name")))).alias("grp")),
-    "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'shop' WHEN 1 THEN 'food' END AS grp FROM part",
+    lambda s, d: part(s, d).select("p_partkey", fn.poi_group(F.when(c("p_size") % 4 == 0, F.create_map(F.lit("shop"), c("p_name"))).when(c("p_size") % 4 == 1, F.create_map(F.lit("amenity"), F.lit("cafe"), F.lit("leisure"), F.lit("x"))).when(c("p_size") % 4 == 2, F.create_map(F.lit("other"), c("p_name"))).when(c("p_size") % 4 == 3, F.create_map(F.lit("amenity"), F.lit("parking"), F.lit("shop"), F.lit("x")))).alias("grp")),
+    "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'shop' WHEN 1 THEN 'food' WHEN 3 THEN 'shop' END AS grp FROM part",
 )
 add("p30_rep_point", lambda s, d: fr.squares(s, d).select("area", clean.rep_point(c("ring")).alias("p")).select("area", "p.x", "p.y"), "SELECT n_nationkey AS area, n_nationkey % 5 + 0.5::DOUBLE AS x, n_nationkey // 5 + 0.5::DOUBLE AS y FROM nation")
 add("p31_shrink_numeric", lambda s, d: clean.shrink_numeric(orders(s, d).select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))).selectExpr("cast(o_orderkey as bigint) o_orderkey", "cast(o_custkey as bigint) o_custkey", "cast(year as int) year"), "SELECT o_orderkey, o_custkey, year(o_orderdate)::INT AS year FROM orders")

@@ -189,7 +189,13 @@ def m10(s: SparkSession, d: str) -> DataFrame:
 
 
 def m11(s: SparkSession, d: str) -> DataFrame:
-    return model.draw_counts(fr.panel(s, d).withColumn("rate", F.least(F.lit(54.0), F.greatest(c("n").cast("double"), F.lit(0.1)))), 20)
+    return model.draw_counts(fr.panel(s, d).withColumn("rate", F.greatest(c("n").cast("double"), F.lit(0.1))), 20)
+
+
+def m11_predictive(s: SparkSession, d: str) -> DataFrame:
+    train, test, _, fit = _fitted(s, d)
+    effects = model.pooled_effects(model.predict_rate(train, fit).withColumnRenamed("rate", "mu").withColumn("ward", c("area") % 5))
+    return model.predictive_draws(test, fit, 20, effects)
 
 
 def m12(s: SparkSession, d: str) -> DataFrame:
@@ -203,12 +209,13 @@ def m14(s: SparkSession, d: str) -> DataFrame:
 
 
 def m15(s: SparkSession, d: str) -> DataFrame:
-    return model.cross_validate(_features(s, d)[0].persist(), SMALL, 3)
+    rows = _features(s, d)[0].persist()
+    return model.cross_validate(rows, SMALL, 3, wards=rows.select("area", (c("area") % 5).alias("ward")).distinct())
 
 
 def m16(s: SparkSession, d: str) -> DataFrame:
     train, test, _, _ = _fitted(s, d)
-    return model.train_eval(train, test, SMALL)
+    return model.train_eval(train, test, SMALL, wards=train.select("area", (c("area") % 5).alias("ward")).distinct())
 
 
 def m17(s: SparkSession, d: str) -> DataFrame:
@@ -240,9 +247,28 @@ add("m5_split_last", lambda s, d: ft.split_last(fr.panel(s, d))[1], f"WITH {_MS}
 add("m6_split_last_n", lambda s, d: ft.split_last_n(fr.panel(s, d), 4)[1], f"WITH {_MS} SELECT area, {DAY}, n FROM panel, cut WHERE panel.month > last - INTERVAL 4 MONTH")
 add("m7_rolling_splits", m7, f"WITH {PANEL}, k(m) AS (VALUES (DATE '2001-09-01'), (DATE '2001-10-01'), (DATE '2001-11-01')) SELECT count(*) FILTER (panel.month < m) AS train, strftime(max(panel.month) FILTER (panel.month < m), '%Y-%m-%d') AS last, count(*) FILTER (panel.month = m) AS test, strftime(m, '%Y-%m-%d') AS month FROM panel, k GROUP BY m")
 add("m8_fit_rate", m8)
-add("m9_pooled_effects", m9, f"WITH {PANEL}, a AS (SELECT area, ward, sum(n) AS y, count(*) * (SELECT avg(n) FROM panel) AS mu FROM panel GROUP BY ALL), w AS (SELECT ward, (sum(y) + 10) / (sum(mu) + 10) AS e FROM a GROUP BY ward) SELECT area, a.ward, round(e, 6) AS ward_effect, round((y + 10 * e) / (mu + 10), 6) AS effect FROM a JOIN w ON w.ward = a.ward")
+_K = "CASE WHEN sum((Y - M) ** 2 - M) > 0 THEN least(1e6, sum(M * M) / sum((Y - M) ** 2 - M)) ELSE 1e6 END"
+add(
+    "m9_pooled_effects",
+    m9,
+    f"""WITH {PANEL}, a AS (SELECT area, ward, sum(n)::DOUBLE AS y, count(*) * (SELECT avg(n) FROM panel) AS mu FROM panel GROUP BY ALL),
+        w AS (SELECT ward, sum(y) AS wy, sum(mu) AS wmu FROM a GROUP BY ward), k AS (SELECT {_K.replace('Y', 'wy').replace('M', 'wmu')} AS k FROM w),
+        e AS (SELECT ward, wy, wmu, (wy + k) / (wmu + k) AS e FROM w, k), i AS (SELECT a.*, e, mu * wy / wmu AS m FROM a JOIN e ON e.ward = a.ward),
+        o AS (SELECT ward, {_K.replace('Y', 'y').replace('M', 'm')} AS k FROM i GROUP BY ward)
+        SELECT area, i.ward, round(e, 6) AS ward_effect, round((y + k * e) / (mu + k), 6) AS effect, round(1 / sqrt(y + k * e), 6) AS spread FROM i JOIN o ON o.ward = i.ward""",
+)
 add("m10_predict_rate", m10)
-add("m11_draw_counts", m11)
+add(
+    "m11_draw_counts",
+    m11,
+    f"""WITH {PANEL}, r AS (SELECT area, month, greatest(n, 0.1::DOUBLE)::DOUBLE AS rate FROM panel),
+        f AS (SELECT rate, list(c ORDER BY k) AS c FROM (SELECT rate, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY rate ORDER BY k) AS c
+              FROM (SELECT DISTINCT rate FROM r), range(0, (SELECT (max(rate) * 2 + 80)::BIGINT FROM r)) t(k)) GROUP BY rate)
+        SELECT area, {DAY}, draw::INT AS draw,
+               len(list_filter(c, lambda x: x <= ('0x' || substr(md5(concat_ws('|', area, strftime(month, '%Y-%m-%d'), draw)), 1, 8))::BIGINT / 4294967296.0))::BIGINT AS value
+        FROM r JOIN f ON f.rate = r.rate, range(1, 21) t(draw)""",
+)
+add("m11_predictive_draws", m11_predictive)
 add("m12_coef_summary", m12)
 add("m13_significant", lambda s, d: model.significant(m12(s, d)))
 add("m14_grid_search", m14)

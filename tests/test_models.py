@@ -34,7 +34,7 @@ def test_draws_have_the_rate(spark):
 
 def test_shrinkage_lies_between(spark):
     rows = spark.createDataFrame([("a", "w", 30.0, 10.0), ("b", "w", 10.0, 10.0), ("c", "v", 10.0, 10.0)], "area string, ward string, n double, mu double")
-    out = {r["area"]: r for r in model.pooled_effects(rows).collect()}
+    out = {r["area"]: r for r in model.pooled_effects(rows, 10.0).collect()}
     assert out["a"]["ward_effect"] < out["a"]["effect"] < 3 and 1 < out["b"]["effect"] < out["b"]["ward_effect"] and out["c"]["effect"] == 1
 
 
@@ -43,6 +43,45 @@ def test_normal(spark):
     assert abs(row[0] - 0.5 * (1 + math.erf(1 / math.sqrt(2)))) < 1e-6 and abs(row[1] - 1.959964) < 1e-4
 
 
+def test_normal_quantile_in_the_tails(spark):
+    from statistics import NormalDist
+
+    us = [1e-6, 1e-4, 0.0005, 0.02, 0.02425, 0.3, 0.5, 0.7, 0.98, 0.998, 0.999, 1 - 1e-6]
+    for r in spark.createDataFrame([(u,) for u in us], "u double").select("u", normal_quantile(F.col("u")).alias("z")).collect():
+        assert abs(r["z"] - NormalDist().inv_cdf(r["u"])) < 1e-7
+
+
+def test_summary_means_are_the_coefficients(spark):
+    fit = model.RateModel(["a", "b"], [-0.8, 0.02], 0.0, [0.05, 0.05])
+    out = {r["column"]: r for r in model.coef_summary(spark, fit, {"g": ["a", "b"]}).collect()}
+    assert abs(out["a"]["mean"] + 0.8) < 0.02 and abs(out["a"]["low"] + 0.898) < 0.03 and out["a"]["significant"]
+    assert abs(out["b"]["mean"] - 0.02) < 0.02 and not out["b"]["significant"]
+
+
+def test_counts_of_any_rate(spark):
+    rows = spark.createDataFrame([(float(r),) for r in (0.0, 0.1, 46, 150, 900, 5000)], "rate double").withColumn("area", F.col("rate")).withColumn("month", F.lit("2000-01-01").cast("date"))
+    for r in model.draw_counts(rows, 3000).groupBy("area").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v")).collect():
+        assert abs(r["m"] - r["area"]) <= 5 * math.sqrt(r["area"] / 3000) and abs(r["v"] - r["area"]) <= 0.15 * r["area"] + 0.01
+
+
+def test_predictive_draws_are_wider_than_draws_of_one_rate(spark):
+    rows = spark.range(400).select(F.col("id").alias("area"), F.lit("2000-01-01").cast("date").alias("month"), F.lit(1.0).alias("a"))
+    fit = model.RateModel(["a"], [2.0], 0.0, [0.3])
+    effects = rows.select("area", F.lit(1.5).alias("effect"), F.lit(0.2).alias("spread"))
+    out = model.predictive_draws(rows, fit, 100, effects)
+    row = out.agg(F.avg(F.log("rate")).alias("m"), F.stddev("rate").alias("s"), F.max("rate").alias("top")).first()
+    assert abs(row["m"] - 2 - math.log(1.5)) < 0.1 and row["s"] > 2.5 and row["top"] <= math.exp(4) + 1e-9
+    rate = model.predict_rate(rows, model.RateModel(["a"], [5.0], 0.0), effects).first()["rate"]
+    assert abs(rate - math.exp(4)) < 1e-9  # the effect is inside the clamp
+
+
+def test_strength_by_moments(spark):
+    even = spark.createDataFrame([(i, i % 4, 10.0, 10.0) for i in range(40)], "area long, ward long, n double, mu double")
+    assert all(abs(r["effect"] - 1) < 1e-3 for r in model.pooled_effects(even).collect())
+    apart = spark.createDataFrame([(i, i % 4, 100.0 * (1 + i % 3), 100.0) for i in range(40)], "area long, ward long, n double, mu double")
+    assert all(abs(r["effect"] - (1 + r["area"] % 3)) < 0.2 for r in model.pooled_effects(apart).collect())
+
+
 def test_selection(spark):
     rows = simulated(spark, 1000)
     train, val = rows.where("month < '2001-06-01'"), rows.where("month >= '2001-06-01'")
