@@ -118,7 +118,7 @@ class Memory:
     """What was found for strings met before, in two generations: when the younger one is full it becomes the older, so
     what keeps coming up stays. The size bounds memory only; what isn't here is found again."""
 
-    def __init__(self, entries: int = 100_000, characters: int = 4_000_000):
+    def __init__(self, entries: int = 200_000, characters: int = 8_000_000):
         self.entries, self.characters = entries, characters
         self.young, self.old, self.held = {}, {}, 0
 
