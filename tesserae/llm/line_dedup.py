@@ -190,10 +190,12 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # owners by a hash of the id, which null has too; documents that share one by chance are read in vain only
     owners = materialise(shared.select(F.xxhash64("doc").alias("owner")).distinct(), "line-owners")
     some = line_rows(semi_by_key(docs.withColumn("owner", F.xxhash64(id_col)), owners, "owner", owners.count()), id_col, text_col)
-    texts = some.select(F.xxhash64("line").alias("id"), "line").join(shared.select("id").distinct(), "id", "left_semi").distinct()
+    ids = materialise(shared.select("id").distinct(), "line-ids")
+    texts = semi_by_key(some.select(F.xxhash64("line").alias("id"), "line"), ids, "id", ids.count()).distinct()
     texts = materialise(texts.select("id", "line", F.length("line").alias("n"), *(c.alias(x) for x, c in letter_counts(F.col("line")).items())), "line-texts")
     labels = components(materialise(linked(shared, texts, k), "line-links")).toDF("id", "component")
 
+    labels = F.broadcast(labels) if labels.count() <= HEAVY_LINES else labels
     places = lines.select("doc", "place", F.md5("line").alias("id")).join(labels, "id", "left")
     places = materialise(places.select("doc", "place", F.coalesce("component", "id").alias("line")), "line-places")
     first = places.groupBy("line").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
