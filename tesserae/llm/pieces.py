@@ -147,7 +147,7 @@ class Vocabulary:
     def stream(self, text: str):
         """Yields lists of ids. The window begins at the last boundary that is committed. When it is longer than the longest
         piece, the surviving paths, which end in its last `longest` boundaries, are followed back; if they meet in one
-        boundary, the ids up to there are committed. While they don't, they are followed again each time the window has
+        boundary, the ids up to there are committed. What is left is followed again when it has
         doubled, so that a text without such a boundary takes time in line with its length."""
         base, last, back, best = 0, [-1], [0], [0.0]
         longest, n = self.longest, len(text)
@@ -166,7 +166,7 @@ class Vocabulary:
                 if meet > base:
                     yield self._ids(text, base, meet, last, back)
                     del last[: meet - base], back[: meet - base], best[: meet - base]
-                    base, room = meet, longest
+                    base, room = meet, max(longest, 2 * (at - meet))
                 else:
                     room *= 2
         yield self._ids(text, base, n, last, back)
