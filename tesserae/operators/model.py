@@ -174,11 +174,12 @@ def train_eval(train: DataFrame, test: DataFrame, cols: list[str], reg: float =
 
 def cross_validate(df: DataFrame, cols: list[str], n: int, reg: float = 0.01, draws: int = 50, wards: DataFrame | None = None) -> DataFrame:
     """M15. fold, rmse, mae, crps of the last n months, each with all months before it; fold 0 holds the means."""
-    out = None
+    rows = []
     for i, (train, test) in enumerate(rolling_splits(df, n), 1):
-        own = train_eval(train, test, cols, reg, draws, wards).select(F.lit(i).alias("fold"), "rmse", "mae", "crps")
-        out = own if out is None else out.unionByName(own)
-    return out.unionByName(out.agg(F.lit(0).alias("fold"), *(F.avg(c).alias(c) for c in ("rmse", "mae", "crps")))).orderBy("fold")
+        own = train_eval(train, test, cols, reg, draws, wards).first()  # one row a fold
+        rows.append((i, own["rmse"], own["mae"], own["crps"]))
+    means = (sum(r[k] for r in rows) / len(rows) for k in (1, 2, 3))
+    return df.sparkSession.createDataFrame([(0, *means), *rows], "fold int, rmse double, mae double, crps double").orderBy("fold")
 
 
 def _greedy(cols: list[str], cap: int, score) -> list[tuple[int, str, float]]:
