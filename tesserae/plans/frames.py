@@ -60,31 +60,40 @@ def lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def squares(spark: SparkSession, sf: str) -> DataFrame:
-    """area (nation), ring: unit squares on a grid five wide."""
-    n = read_table(spark, sf, "nation").select(F.col("n_nationkey").alias("area"))
+    """area (nation), ring: the wards' squares."""
+    return _on_grid(read_table(spark, sf, "nation").select(F.col("n_nationkey").alias("area")))
+
+
+def plots(spark: SparkSession, sf: str) -> DataFrame:
+    """area (supplier), ring: the areas' squares."""
+    return _on_grid(read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("area")))
+
+
+def _on_grid(keys: DataFrame) -> DataFrame:
+    """Unit squares on a grid five wide, as high as there are keys for."""
     x, y = (F.col("area") % 5).cast("double"), F.floor(F.col("area") / 5).cast("double")
     corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
-    return n.withColumn("ring", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))
+    return keys.withColumn("ring", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    """point (supplier), x, y: never on an edge of a square."""
+    """point (supplier), x, y: as dense as the plots, never on an edge of one."""
     s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("point"))
-    return s.withColumns({"x": (F.col("point") * 37 % 50) / 10 + 0.05, "y": (F.floor(F.col("point") / 5) * 13 % 50) / 10 + 0.05})
+    return s.withColumns({"x": (F.col("point") * 37 % 50) / 10 + 0.05, "y": F.floor(F.col("point") / 5) + (F.col("point") * 13 % 10) / 10 + 0.05})
 
 
-#: X bounds of the strips that cover the squares.
-STRIPS = [0.0, 0.7, 1.7, 2.7, 3.7, 4.7, 5.0]
+#: X bounds of the blocks that cover the plots.
+STRIPS = [0.0, 0.9, 1.9, 2.9, 3.9, 4.9, 5.0]
 
 
-def strips(spark: SparkSession, sf: str) -> DataFrame:
-    """target, ring: vertical strips over all squares of the nation table."""
-    high = read_table(spark, sf, "nation").agg((F.floor(F.max("n_nationkey") / 5) + 1).cast("double").alias("h"))
-    bounds = F.explode(F.array(*(F.struct(F.lit(i).alias("target"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for i, (a, b) in enumerate(zip(STRIPS, STRIPS[1:], strict=False)))))
-    rows = high.select("h", bounds.alias("s"))
-    p = lambda x, y: F.struct(F.col(x).alias("x"), y.alias("y"))
-    zero, top = F.lit(0.0), F.col("h")
-    return rows.select("s.target", F.array(p("s.lo", zero), p("s.hi", zero), p("s.hi", top), p("s.lo", top), p("s.lo", zero)).alias("ring"))
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """target, ring: six blocks for each two rows of plots, half a row lower, so that they cover all plots."""
+    k = F.floor(F.col("s_suppkey") / 10)
+    rows = read_table(spark, sf, "supplier").select(F.explode(F.array(k, k + 1)).alias("row")).distinct()
+    bounds = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for i, (a, b) in enumerate(zip(STRIPS, STRIPS[1:], strict=False)))))
+    p = lambda x, up: F.struct(F.col(x).alias("x"), (F.col("row") * 2 + up).alias("y"))
+    ring = F.array(p("s.lo", -0.5), p("s.hi", -0.5), p("s.hi", 1.5), p("s.lo", 1.5), p("s.lo", -0.5))
+    return rows.select("row", bounds.alias("s")).select((F.col("row") * 10 + F.col("s.i")).alias("target"), ring.alias("ring"))
 
 
 def draws(spark: SparkSession, sf: str, n: int = 50) -> DataFrame:
@@ -116,10 +125,13 @@ LOOKUP = """lookup AS (
     FROM supplier)"""
 SQUARES = "squares AS (SELECT n_nationkey AS area, (n_nationkey % 5)::DOUBLE AS x0, (n_nationkey // 5)::DOUBLE AS y0 FROM nation)"
 TOUCH = "touch AS (SELECT a.area, b.area AS neighbour FROM squares a JOIN squares b ON a.area <> b.area AND abs(a.x0 - b.x0) <= 1 AND abs(a.y0 - b.y0) <= 1)"
-POINTS = "points AS (SELECT s_suppkey AS point, (s_suppkey * 37 % 50) / 10 + 0.05 AS x, ((s_suppkey // 5) * 13 % 50) / 10 + 0.05 AS y FROM supplier)"
-OVERLAY = f"""strips(target, lo, hi) AS (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(zip(STRIPS, STRIPS[1:], strict=False)))}),
+POINTS = "points AS (SELECT s_suppkey AS point, (s_suppkey * 37 % 50) / 10 + 0.05 AS x, (s_suppkey // 5) + (s_suppkey * 13 % 10) / 10 + 0.05 AS y FROM supplier)"
+PLOTS = "squares AS (SELECT s_suppkey AS area, (s_suppkey % 5)::DOUBLE AS x0, (s_suppkey // 5)::DOUBLE AS y0 FROM supplier)"
+OVERLAY = f"""blocks AS (SELECT row * 10 + i AS target, lo, hi, row * 2 - 0.5 AS low, row * 2 + 1.5 AS high
+    FROM (SELECT DISTINCT unnest([s_suppkey // 10, s_suppkey // 10 + 1]) AS row FROM supplier), (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(zip(STRIPS, STRIPS[1:], strict=False)))}) v(i, lo, hi)),
 over AS (
-    SELECT area, target, least(x0 + 1, hi) - greatest(x0, lo) AS overlap FROM squares, strips WHERE least(x0 + 1, hi) - greatest(x0, lo) > 1e-9)"""
+    SELECT area, target, ((least(x0 + 1, hi) - greatest(x0, lo)) * (least(y0 + 1, high) - greatest(y0, low)))::DOUBLE AS overlap
+    FROM squares JOIN blocks ON least(x0 + 1, hi) - greatest(x0, lo) > 1e-9 AND least(y0 + 1, high) - greatest(y0, low) > 1e-9)"""
 DRAWS = f"""{PANEL}, draws AS (
     SELECT area, month, draw::INT AS draw,
            floor(('0x' || substr(md5(concat_ws('|', area, strftime(month, '%Y-%m-%d'), draw)), 1, 8))::BIGINT / 4294967296.0 * 2 * greatest(n, 0.1::DOUBLE) + 0.5)::BIGINT AS value

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import network as net
 from tesserae.plans import frames as fr
-from tesserae.plans.frames import OVERLAY, SQUARES, Query
+from tesserae.plans.frames import Query
 from tesserae.sources.shared import materialise
 from tesserae.sources.tables import read_table
 

@@ -71,10 +71,10 @@ def s6(s: SparkSession, d: str) -> DataFrame:
         F.lit("Feature").alias("type"), F.create_map(F.lit("area"), F.col("area").cast("string")).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
     )
-    fr.squares(s, d).groupBy((F.col("area") % 5).alias("k")).agg(F.collect_list(feature).alias("features")).select(F.lit("FeatureCollection").alias("type"), "features").write.json(path)
+    fr.plots(s, d).groupBy(F.floor(F.col("area") / 100).alias("k")).agg(F.collect_list(feature).alias("features")).select(F.lit("FeatureCollection").alias("type"), "features").write.json(path)
     back = s.read.schema(tables.GEOJSON).json(path).select(F.explode("features").alias("f"))
     assert back.schema  # one document per line here; read_geojson takes a document per file
-    rows = back.select(F.col("f.properties")["area"].cast("int").alias("area"), F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+    rows = back.select(F.col("f.properties")["area"].cast("bigint").alias("area"), F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
     return rows.select("area", geo.area(F.col("ring")).alias("size"), F.size("ring").alias("corners"))
 
 
@@ -90,19 +90,19 @@ def s8(s: SparkSession, d: str) -> DataFrame:
     return tables.read_predictions(s, path)
 
 
+orders, events, part, customer = t("orders"), t("events"), t("part"), t("customer")
 _EX = f"WITH {INC} SELECT id, area, round(qty, 6) AS qty, status FROM inc"
 add("s1_read_extracts", s1, f"WITH {INC} SELECT status, count(*) AS n, round(sum(qty), 6) AS qty FROM inc GROUP BY status")
 add("s2_csv_to_parquet", s2, _EX + " WHERE status = 'F'")
-add("s3_read_table", lambda s, d: t("nation")(s, d), "SELECT * FROM nation")
+add("s3_read_table", lambda s, d: customer(s, d), "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
 add("s4_write_sorted", s4, _EX)
 add("s5_write_csv", s5, f"WITH {INC} SELECT area, count(*) AS n FROM inc GROUP BY area")
-add("s6_read_geojson", s6, "SELECT n_nationkey AS area, 1.0::DOUBLE AS size, 5::INT AS corners FROM nation")
+add("s6_read_geojson", s6, "SELECT s_suppkey AS area, 1.0::DOUBLE AS size, 5::INT AS corners FROM supplier")
 add("s7_read_lookup", s7, f"WITH {LOOKUP} SELECT DISTINCT new FROM lookup")
 add("s8_predictions", s8, f"WITH {PANEL} SELECT area, quantile_cont(n, 0.5)::DOUBLE AS median FROM panel GROUP BY area")
 
 # --- cleaning -------------------------------------------------------------------------------------------------------
 
-orders, events, part = t("orders"), t("events"), t("part")
 c = F.col
 
 add("p1_filter_eq", lambda s, d: clean.filter_eq(t("lineitem")(s, d), "l_returnflag", "R").select("l_orderkey", "l_linenumber", "l_suppkey"), "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
@@ -127,7 +127,7 @@ add(
     "SELECT coalesce(try_cast(p_type AS DOUBLE), 0) AS type, coalesce(p_size::DOUBLE, 0) AS size, p_name AS \"Area name\", coalesce(p_size::DOUBLE, 0) AS key FROM part",
 )
 _point = lambda s, d: fr.points(s, d).select("point", fn.make_point(F.when(c("point") % 7 != 0, c("x")), c("y")).alias("p"))
-_POINT = "SELECT s_suppkey AS point, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey * 37 % 50) / 10 + 0.05 END AS x0, ((s_suppkey // 5) * 13 % 50) / 10 + 0.05 AS y0 FROM supplier"
+_POINT = "SELECT s_suppkey AS point, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey * 37 % 50) / 10 + 0.05 END AS x0, (s_suppkey // 5) + (s_suppkey * 13 % 10) / 10 + 0.05 AS y0 FROM supplier"
 add("p6_make_point", lambda s, d: _point(s, d).select("point", c("p.x").alias("x"), c("p.y").alias("y")), f"SELECT point, round(x0, 6) AS x, CASE WHEN x0 IS NOT NULL THEN round(y0, 6) END AS y FROM ({_POINT})")
 _gaps = lambda s, d: orders(s, d).select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"), F.when(c("o_orderkey") % 3 != 0, c("o_totalprice")).alias("price"))
 _GAPS = "gaps AS (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS priority, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price FROM orders)"
@@ -142,11 +142,11 @@ add(
     lambda s, d: events(s, d).select("event_id", *(fn.to_flag(F.when(c("event_type") == "click", "true").when(c("event_type") == "view", "false"), n).alias(str(n).lower() + "_as_null") for n in (True, False))),
     "SELECT event_id, coalesce(f, true) AS true_as_null, coalesce(f, false) AS false_as_null FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN true WHEN event_type = 'view' THEN false END AS f FROM events)",
 )
-add("p14_drop_if_exists", lambda s, d: clean.drop_if_exists(t("nation")(s, d), ["n_name", "absent"]), "SELECT n_nationkey, n_regionkey FROM nation")
-add("p15_drop_like", lambda s, d: clean.drop_like(t("nation")(s, d), "key"), "SELECT n_name FROM nation")
-add("p16_rename", lambda s, d: clean.rename(t("region")(s, d), {"r_name": "borough", "absent": "x"}), "SELECT r_regionkey, r_name AS borough FROM region")
-add("p17_resolve_col", lambda s, d: clean.resolve_col(clean.resolve_col(t("nation")(s, d), "code", ["LSOA", "N_NATIONKEY"]), "label", ["absent"], "n_name"), "SELECT n_nationkey AS code, n_name, n_regionkey, n_name AS label FROM nation")
-add("p18_tag", lambda s, d: clean.tag(t("region")(s, d), "year", 2019), "SELECT *, 2019::INT AS year FROM region")
+add("p14_drop_if_exists", lambda s, d: clean.drop_if_exists(customer(s, d), ["c_acctbal", "c_name", "absent"]), "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
+add("p15_drop_like", lambda s, d: clean.drop_like(customer(s, d), "key"), "SELECT c_name, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
+add("p16_rename", lambda s, d: clean.rename(customer(s, d).select("c_custkey", "c_mktsegment"), {"c_mktsegment": "borough", "absent": "x"}), "SELECT c_custkey, c_mktsegment AS borough FROM customer")
+add("p17_resolve_col", lambda s, d: clean.resolve_col(clean.resolve_col(customer(s, d).select("c_custkey", "c_name"), "code", ["LSOA", "C_CUSTKEY"]), "label", ["absent"], "c_name"), "SELECT c_custkey AS code, c_name, c_name AS label FROM customer")
+add("p18_tag", lambda s, d: clean.tag(customer(s, d).select("c_custkey", "c_nationkey"), "year", 2019), "SELECT c_custkey, c_nationkey, 2019::INT AS year FROM customer")
 add(
     "p19_rank_to_int",
     lambda s, d: orders(s, d).select("o_orderkey", fn.rank_to_int(F.concat(F.floor("o_totalprice").cast("string"), F.lit(",00"))).alias("a"), fn.rank_to_int(F.concat(F.lit("1."), F.lpad((c("o_orderkey") % 1000).cast("string"), 3, "0")), "dot").alias("b")),
@@ -164,7 +164,7 @@ add("p22_split_label", lambda s, d: orders(s, d).select("o_orderkey", *(x.alias(
 add("p23_split_label_any", lambda s, d: orders(s, d).select("o_orderkey", *(x.alias(n) for x, n in zip(fn.split_label_any(F.concat(F.lit("All ("), F.year("o_orderdate"), F.lit(") "), "o_orderstatus")), ("name", "year"), strict=True))), "SELECT o_orderkey, 'All ' || o_orderstatus AS name, year(o_orderdate)::INT AS year FROM orders")
 add("p24_norm_name", lambda s, d: part(s, d).select("p_partkey", fn.norm_name(F.concat(F.lit("  É"), "p_name", F.lit("--"), "p_type")).alias("name")), "SELECT p_partkey, 'e' || lower(p_name) || ' ' || lower(p_type) AS name FROM part")
 add("p25_slug", lambda s, d: part(s, d).select("p_partkey", fn.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug")), "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")
-add("p26_match_name", lambda s, d: clean.match_name(t("region")(s, d), "r_name", "Asia"), "SELECT * FROM region WHERE lower(r_name) = 'asia'")
+add("p26_match_name", lambda s, d: clean.match_name(customer(s, d).select("c_custkey", "c_mktsegment"), "c_mktsegment", "Building"), "SELECT c_custkey, c_mktsegment FROM customer WHERE lower(c_mktsegment) = 'building'")
 add("p27_since", lambda s, d: clean.since(fr.incidents(s, d), "2000-01-01").select("id", "area", "month"), f"WITH {INC} SELECT id, area, {DAY} FROM inc WHERE month >= DATE '2000-01-01'")
 add("p28_period_flags", lambda s, d: fr.panel(s, d).select("area", "month", fn.in_period(c("month"), "1998-03-01", "1999-07-01").alias("during"), fn.in_period(c("month"), "1999-08-01").alias("after")), f"WITH {PANEL} SELECT area, {DAY}, (month BETWEEN DATE '1998-03-01' AND DATE '1999-07-01')::INT AS during, (month >= DATE '1999-08-01')::INT AS after FROM panel")
 add(
@@ -172,7 +172,7 @@ add(
     lambda s, d: part(s, d).select("p_partkey", fn.poi_group(F.when(c("p_size") % 4 == 0, F.create_map(F.lit("shop"), c("p_name"))).when(c("p_size") % 4 == 1, F.create_map(F.lit("amenity"), F.lit("cafe"), F.lit("leisure"), F.lit("x"))).when(c("p_size") % 4 == 2, F.create_map(F.lit("other"), c("p_name"))).when(c("p_size") % 4 == 3, F.create_map(F.lit("amenity"), F.lit("parking"), F.lit("shop"), F.lit("x")))).alias("grp")),
     "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'shop' WHEN 1 THEN 'food' WHEN 3 THEN 'shop' END AS grp FROM part",
 )
-add("p30_rep_point", lambda s, d: fr.squares(s, d).select("area", clean.rep_point(c("ring")).alias("p")).select("area", "p.x", "p.y"), "SELECT n_nationkey AS area, n_nationkey % 5 + 0.5::DOUBLE AS x, n_nationkey // 5 + 0.5::DOUBLE AS y FROM nation")
+add("p30_rep_point", lambda s, d: fr.plots(s, d).select("area", clean.rep_point(c("ring")).alias("p")).select("area", "p.x", "p.y"), "SELECT s_suppkey AS area, s_suppkey % 5 + 0.5::DOUBLE AS x, s_suppkey // 5 + 0.5::DOUBLE AS y FROM supplier")
 add("p31_shrink_numeric", lambda s, d: clean.shrink_numeric(orders(s, d).select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))).selectExpr("cast(o_orderkey as bigint) o_orderkey", "cast(o_custkey as bigint) o_custkey", "cast(year as int) year"), "SELECT o_orderkey, o_custkey, year(o_orderdate)::INT AS year FROM orders")
 add("p32_scale_bounds", lambda s, d: clean.scale_bounds(fr.panel(s, d), "n"), f"WITH {PANEL} SELECT min(n)::DOUBLE AS low, CASE WHEN quantile_cont(n, 0.99) = min(n) THEN min(n) + 1 ELSE quantile_cont(n, 0.99) END::DOUBLE AS high FROM panel")
 add("p33_query", lambda s, d: clean.query(fr.panel(s, d), "n > 3 and month > '2000-06-01'"), f"WITH {PANEL} SELECT area, {DAY}, n FROM panel WHERE n > 3 AND month > DATE '2000-06-01'")
@@ -192,8 +192,8 @@ add("j4_attach_counts", fr.panel, f"WITH {PANEL} SELECT area, {DAY}, n FROM pane
 add("j5_attach_attrs", lambda s, d: joins.attach_attrs(fr.panel(s, d), fr.attrs_monthly(s, d)), f"WITH {PANEL}, {ATTRS} SELECT p.area, {DAY}, n, round(qty, 6) AS qty, parts FROM panel p LEFT JOIN attrs a ON a.area = p.area AND make_date(a.year, 1, 1) = p.month")
 add("j6_keep_known", lambda s, d: joins.keep_known(orders(s, d).select(c("o_orderkey").alias("id"), "o_orderstatus"), fr.incidents(s, d), "id"), f"WITH {INC} SELECT o_orderkey AS id, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT id FROM inc)")
 add("j7_missing_keys", lambda s, d: joins.missing_keys(orders(s, d).select(c("o_orderkey").alias("id")), fr.incidents(s, d), "id"), f"WITH {INC}, m AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT id FROM inc)) SELECT count(*) AS n_missing, list_sort(list(id ORDER BY id)[:5]) AS sample FROM m")
-add("j8_keep_in", lambda s, d: joins.keep_in(t("nation")(s, d), "n_regionkey", [1, 3]), "SELECT * FROM nation WHERE n_regionkey IN (1, 3)")
-add("j9_lookup_code", lambda s, d: joins.lookup_code(t("nation")(s, d), "n_regionkey", t("region")(s, d).where("r_regionkey <> 2").withColumnRenamed("r_name", "code"), "r_regionkey", "code"), "SELECT n.*, r_name AS code FROM nation n LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey <> 2")
+add("j8_keep_in", lambda s, d: joins.keep_in(customer(s, d).select("c_custkey", "c_nationkey"), "c_nationkey", [1, 3]), "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (1, 3)")
+add("j9_lookup_code", lambda s, d: joins.lookup_code(customer(s, d).select("c_custkey", "c_nationkey"), "c_nationkey", t("nation")(s, d).where("n_nationkey % 5 <> 2").withColumnRenamed("n_name", "code"), "n_nationkey", "code"), "SELECT c_custkey, c_nationkey, n_name AS code FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 5 <> 2")
 add("j10_map_index", lambda s, d: joins.map_index(fr.areas(s, d).select("area"), panel.index_keys(fr.areas(s, d), "area"), "area"), f"WITH {_areas} SELECT area, dense_rank() OVER (ORDER BY area) - 1 AS idx FROM areas")
 add("j12_panel_grid", lambda s, d: joins.panel_grid(fr.areas(s, d), fr.START, fr.END), f"WITH {_areas}, {MONTHS} SELECT area, {DAY} FROM areas CROSS JOIN months")
 
@@ -284,6 +284,6 @@ _ERF = "(1 - (((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.2844
 add("f6_normal", lambda s, d: fr.areas(s, d).select("area", stats.normal_pdf(_z()).alias("pdf"), stats.normal_cdf(_z()).alias("cdf")), f"WITH z AS (SELECT s_suppkey AS area, s_acctbal / 3000 - 1 AS z FROM supplier), e AS (SELECT area, z, z / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z / sqrt(2))) AS t FROM z) SELECT area, round(exp(-z * z / 2) / sqrt(2 * pi()), 6) AS pdf, round((1 + sign(x) * {_ERF}) / 2, 6) AS cdf FROM e")
 add("f7_text", lambda s, d: part(s, d).select("p_partkey", F.regexp_replace("p_name", "[aeiou]", "").alias("a"), F.trim(F.lower(F.concat(F.lit(" "), "p_type"))).alias("b"), c("p_name").contains("ring").alias("c"), F.regexp_extract("p_brand", r"(\d+)", 1).alias("d")), "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '', 'g') AS a, lower(p_type) AS b, contains(p_name, 'ring') AS c, regexp_extract(p_brand, '(\\d+)', 1) AS d FROM part")
 add("f8_dates", lambda s, d: orders(s, d).select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.add_months(F.trunc("o_orderdate", "MM"), 3).alias("later"), F.date_format("o_orderdate", "yyyy-MM").alias("label")), "SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, strftime(date_trunc('month', o_orderdate) + INTERVAL 3 MONTH, '%Y-%m-%d') AS later, strftime(o_orderdate, '%Y-%m') AS label FROM orders")
-add("f9_haversine", lambda s, d: fr.points(s, d).select("point", geo.haversine(c("x"), c("y") + 50, F.lit(0.0), F.lit(51.5)).alias("d")), f"WITH {fr.POINTS}, h AS (SELECT point, pow(sin((radians(51.5) - radians(y + 50)) / 2), 2) + cos(radians(y + 50)) * cos(radians(51.5)) * pow(sin(radians(0.0 - x) / 2), 2) AS h FROM points) SELECT point, round(2 * 6371000.0 * asin(sqrt(h)), 6) AS d FROM h")
-add("f10_ring_measures", lambda s, d: fr.squares(s, d).select("area", geo.area(c("ring")).alias("size"), geo.perimeter(c("ring")).alias("length"), geo.centroid(c("ring"))["x"].alias("cx")), "SELECT n_nationkey AS area, 1.0::DOUBLE AS size, 4.0::DOUBLE AS length, n_nationkey % 5 + 0.5::DOUBLE AS cx FROM nation")
+add("f9_haversine", lambda s, d: fr.points(s, d).select("point", geo.haversine(c("x"), c("y") % 30 + 50, F.lit(0.0), F.lit(51.5)).alias("d")), f"WITH {fr.POINTS}, h AS (SELECT point, pow(sin((radians(51.5) - radians(y % 30 + 50)) / 2), 2) + cos(radians(y % 30 + 50)) * cos(radians(51.5)) * pow(sin(radians(0.0 - x) / 2), 2) AS h FROM points) SELECT point, round(2 * 6371000.0 * asin(sqrt(h)), 6) AS d FROM h")
+add("f10_ring_measures", lambda s, d: fr.plots(s, d).select("area", geo.area(c("ring")).alias("size"), geo.perimeter(c("ring")).alias("length"), geo.centroid(c("ring"))["x"].alias("cx")), "SELECT s_suppkey AS area, 1.0::DOUBLE AS size, 4.0::DOUBLE AS length, s_suppkey % 5 + 0.5::DOUBLE AS cx FROM supplier")
 add("f11_has_any", lambda s, d: orders(s, d).select("o_orderkey", fn.has_any(F.array("o_orderstatus", "o_orderpriority"), ["F", "1-URGENT"]).alias("has")), "SELECT o_orderkey, o_orderstatus = 'F' OR o_orderpriority = '1-URGENT' AS has FROM orders")

@@ -10,7 +10,7 @@ from tesserae.operators import evaluate as ev
 from tesserae.operators import features as ft
 from tesserae.operators import joins, model, panel, spatial
 from tesserae.plans import frames as fr
-from tesserae.plans.frames import ATTRS, DAY, DRAWS, INC, MONTHS, OVERLAY, PANEL, POINTS, SQUARES, TOUCH, Query
+from tesserae.plans.frames import ATTRS, DAY, DRAWS, INC, MONTHS, OVERLAY, PANEL, PLOTS, POINTS, SQUARES, TOUCH, Query
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -67,24 +67,25 @@ add("n9_stack", lambda s, d: panel.stack([_counts(s, d).where("month < '1996-01-
 _edges = lambda s, d: spatial.adjacency(fr.squares(s, d))
 _wards = lambda s, d: fr.panel(s, d).join(fr.areas(s, d).select("area", "ward"), "area").groupBy(c("ward").alias("area"), "month").agg(F.sum("n").alias("n"))
 _WARDS = f"{PANEL}, {SQUARES}, {TOUCH}, wards AS (SELECT ward AS area, month, sum(n)::BIGINT AS n FROM panel GROUP BY ward, month)"
-_over = lambda s, d: spatial.overlay(fr.squares(s, d), fr.strips(s, d))
+_plot_edges = lambda s, d: spatial.adjacency(fr.plots(s, d))
+_over = lambda s, d: spatial.overlay(fr.plots(s, d), fr.blocks(s, d))
 add("j11_neighbour_join", lambda s, d: joins.neighbour_join(_wards(s, d), _edges(s, d), "n"), f"WITH {_WARDS} SELECT t.area, neighbour, {DAY}, n AS neighbour_n FROM touch t JOIN wards w ON w.area = neighbour")
-add("j15_pip_join", lambda s, d: spatial.pip_join(fr.points(s, d), fr.squares(s, d)), f"WITH {POINTS} SELECT point, round(x, 6) AS x, round(y, 6) AS y, n_nationkey AS area FROM points JOIN nation ON n_nationkey = floor(x) + 5 * floor(y) AND x < 5")
-add("j16_intersects_join", lambda s, d: spatial.intersects_join(fr.squares(s, d), fr.strips(s, d)), f"WITH {SQUARES}, {OVERLAY} SELECT area, target FROM over")
-add("j17_overlay", _over, f"WITH {SQUARES}, {OVERLAY} SELECT area, target, round(overlap, 6) AS overlap, round(overlap, 6) AS weight FROM over")
-add("j18_adjacency", _edges, f"WITH {SQUARES}, {TOUCH} SELECT area, neighbour FROM touch")
+add("j15_pip_join", lambda s, d: spatial.pip_join(fr.points(s, d), fr.plots(s, d)), f"WITH {POINTS} SELECT point, round(x, 6) AS x, round(y, 6) AS y, s_suppkey AS area FROM points JOIN supplier ON s_suppkey = floor(x) + 5 * floor(y) AND x < 5")
+add("j16_intersects_join", lambda s, d: spatial.intersects_join(fr.plots(s, d), fr.blocks(s, d)), f"WITH {PLOTS}, {OVERLAY} SELECT area, target FROM over")
+add("j17_overlay", _over, f"WITH {PLOTS}, {OVERLAY} SELECT area, target, round(overlap, 6) AS overlap, round(overlap, 6) AS weight FROM over")
+add("j18_adjacency", _plot_edges, f"WITH {PLOTS}, {TOUCH} SELECT area, neighbour FROM touch")
 _nodes = lambda s, d: fr.points(s, d).where("point % 3 = 0").select(c("point").alias("node"), "x", "y")
 _NEAR = f"WITH {POINTS}, p AS (SELECT * FROM points WHERE point % 3 <> 0), x AS (SELECT p.point, n.point AS node, sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2) AS distance FROM p, points n WHERE n.point % 3 = 0) SELECT point, arg_min(node, (round(distance, 9), node)) AS node, round(min(distance), 6) AS distance FROM x GROUP BY point"
 _near = lambda s, d: spatial.nearest(fr.points(s, d).where("point % 3 <> 0"), _nodes(s, d).withColumns({"x": F.round("x", 9), "y": F.round("y", 9)}), 0.5)
 add("j19_nearest", lambda s, d: _near(s, d).select("point", "distance"), f"SELECT point, distance FROM ({_NEAR})")
 add("a19_neighbour_stats", lambda s, d: agg.neighbour_stats(joins.neighbour_join(_wards(s, d), _edges(s, d), "n"), "neighbour_n"), f"WITH {_WARDS} SELECT t.area, strftime(w.month, '%Y-%m-%d') AS month, sum(n)::BIGINT AS neighbour_sum, round(avg(n), 6) AS neighbour_mean, quantile_cont(n, 0.5)::DOUBLE AS neighbour_median FROM touch t JOIN wards w ON w.area = neighbour GROUP BY t.area, w.month")
-add("a23_rollup_weighted", lambda s, d: agg.rollup_weighted(_wards(s, d).groupBy("area").agg(F.sum("n").alias("n")), _over(s, d), "area", "target", "n"), f"WITH {_WARDS}, {OVERLAY} SELECT target, round_even(round(sum(n * round(overlap, 9)), 6), 0)::BIGINT AS n FROM over JOIN (SELECT area, sum(n) AS n FROM wards GROUP BY area) USING (area) GROUP BY target")
-add("g1_with_area", lambda s, d: spatial.with_area(fr.squares(s, d)).select("area", "size"), "SELECT n_nationkey AS area, 1.0::DOUBLE AS size FROM nation")
-add("g2_neighbour_count", lambda s, d: spatial.neighbour_count(fr.squares(s, d), _edges(s, d)), f"WITH {SQUARES}, {TOUCH} SELECT area, count(*) AS neighbours FROM touch GROUP BY area")
-add("g3_shared_length", lambda s, d: spatial.shared_length(fr.squares(s, d)), f"WITH {SQUARES} SELECT a.area, count(*)::DOUBLE AS shared_length FROM squares a JOIN squares b ON abs(a.x0 - b.x0) + abs(a.y0 - b.y0) = 1 GROUP BY a.area")
-add("g4_neighbour_edges", _edges, f"WITH {SQUARES}, {TOUCH} SELECT area, neighbour FROM touch")
-add("g5_majority_borough", lambda s, d: spatial.majority_filter(_over(s, d), 0.5).select("area", "target"), f"WITH {SQUARES}, {OVERLAY} SELECT area, target FROM over WHERE overlap > 0.5")
-add("g5_majority_ward", lambda s, d: spatial.majority_filter(_over(s, d), 0.8, "ward").select("area", "target"), f"WITH {SQUARES}, {OVERLAY}, w AS (SELECT *, count(*) OVER (PARTITION BY target) AS k, count_if(overlap >= 0.8) OVER (PARTITION BY target) AS p FROM over) SELECT area, target FROM w WHERE overlap >= 0.8 OR k = 1 OR p = 0")
+add("a23_rollup_weighted", lambda s, d: agg.rollup_weighted(fr.panel(s, d).groupBy("area").agg(F.sum("n").alias("n")), _over(s, d), "area", "target", "n"), f"WITH {PANEL}, {PLOTS}, {OVERLAY} SELECT target, round_even(round(sum(n * round(overlap, 9)), 6), 0)::BIGINT AS n FROM over JOIN (SELECT area, sum(n) AS n FROM panel GROUP BY area) USING (area) GROUP BY target")
+add("g1_with_area", lambda s, d: spatial.with_area(fr.plots(s, d)).select("area", "size"), "SELECT s_suppkey AS area, 1.0::DOUBLE AS size FROM supplier")
+add("g2_neighbour_count", lambda s, d: spatial.neighbour_count(fr.plots(s, d), _plot_edges(s, d)), f"WITH {PLOTS}, {TOUCH} SELECT area, count(*) AS neighbours FROM touch GROUP BY area")
+add("g3_shared_length", lambda s, d: spatial.shared_length(fr.plots(s, d)), f"WITH {PLOTS} SELECT a.area, count(*)::DOUBLE AS shared_length FROM squares a JOIN squares b ON abs(a.x0 - b.x0) + abs(a.y0 - b.y0) = 1 GROUP BY a.area")
+add("g4_neighbour_edges", _plot_edges, f"WITH {PLOTS}, {TOUCH} SELECT area, neighbour FROM touch")
+add("g5_majority_borough", lambda s, d: spatial.majority_filter(_over(s, d), 0.5).select("area", "target"), f"WITH {PLOTS}, {OVERLAY} SELECT area, target FROM over WHERE overlap > 0.5")
+add("g5_majority_ward", lambda s, d: spatial.majority_filter(_over(s, d), 0.8, "ward").select("area", "target"), f"WITH {PLOTS}, {OVERLAY}, w AS (SELECT *, count(*) OVER (PARTITION BY target) AS k, count_if(overlap >= 0.8) OVER (PARTITION BY target) AS p FROM over) SELECT area, target FROM w WHERE overlap >= 0.8 OR k = 1 OR p = 0")
 _sized = lambda s, d: fr.squares(s, d).join(_wards(s, d).groupBy("area").agg((F.sum("n") % 4 + 1).alias("k")), "area")
 add(
     "g6_sample_points",

@@ -114,9 +114,9 @@ def test_adjacency_is_symmetric_and_weights_sum(spark):
     from tesserae.plans import frames
     from tests.conftest import SF
 
-    pairs = {tuple(r) for r in spatial.adjacency(frames.squares(spark, SF)).collect()}
+    pairs = {tuple(r) for r in spatial.adjacency(frames.plots(spark, SF)).collect()}
     assert pairs == {(b, a) for a, b in pairs} and pairs
-    sums = spatial.overlay(frames.squares(spark, SF), frames.strips(spark, SF)).groupBy("area").agg(F.sum("weight").alias("w")).collect()
+    sums = spatial.overlay(frames.plots(spark, SF), frames.blocks(spark, SF)).groupBy("area").agg(F.sum("weight").alias("w")).collect()
     assert all(abs(r["w"] - 1) < 1e-9 for r in sums)
 
 
