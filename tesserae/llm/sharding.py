@@ -59,34 +59,56 @@ def shard_directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
         low = top
 
 
-def extendible_shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, shard (the bucket's bits), depth, part, bytes, shard_bytes (of the bucket)."""
-    rows = materialise(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            hash_bits(F.col(id_col), F.col(text_col)).alias("hash"),
-            F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("bytes"),
-        ),
-        "shard-rows",
-    )
-    directory = shard_directory(rows.select("hash", "bytes"), limit)
+def _columns(id_col: str, text_col: str) -> list[Column]:
+    size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+    return [F.col(id_col).cast("long").alias("doc_id"), hash_bits(F.col(id_col), F.col(text_col)).alias("hash"), size.alias("bytes")]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, hash, bytes of every document."""
+    return docs.select(*_columns(id_col, text_col))
+
+
+def _placed(rows: DataFrame, directory: DataFrame) -> DataFrame:
+    """rows with depth, shard and shard_bytes of the bucket that holds them."""
     depths = [r["depth"] for r in directory.select("depth").distinct().collect()]  # at most 61 numbers
     # a document looks itself up once per depth in use; exactly one bucket holds it
     keys = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.expr(f"shiftright(hash, {BITS - d})").alias("prefix")) for d in sorted(depths)))) if depths else F.explode(F.array().cast("array<struct<depth:int,prefix:bigint>>"))
-    placed = (
-        rows.select("doc_id", "hash", "bytes", keys.alias("key"))
-        .select("doc_id", "hash", "bytes", "key.*")
+    return (
+        rows.select("*", keys.alias("key"))
+        .select(*rows.columns, "key.*")
         .join(directory.select("depth", "prefix", F.col("bytes").alias("shard_bytes")), ["depth", "prefix"])
         .withColumn("shard", F.expr("right(lpad(bin(prefix), 60, '0'), depth)"))
+        .drop("prefix")
     )
-    fits = placed.where((F.col("shard_bytes") <= limit) | (F.col("depth") < BITS)).withColumn("part", F.lit(0).cast("long"))
+
+
+def _with_parts(placed: DataFrame, limit: int) -> DataFrame:
+    """Numbered parts for rows of one hash that are too many for a bucket of the full depth, 0 for all others."""
+    full = (F.col("shard_bytes") > limit) & (F.col("depth") == BITS)
     same = Window.partitionBy("hash").orderBy("doc_id")
     room = F.greatest(F.lit(1), F.expr(f"{int(limit)} div greatest(1, bytes)"))
-    over = placed.where((F.col("shard_bytes") > limit) & (F.col("depth") == BITS)).withColumn("part", F.floor((F.row_number().over(same) - 1) / room).cast("long"))
-    return fits.unionByName(over).select("doc_id", "shard", "depth", "part", "bytes", "shard_bytes")
+    over = placed.where(full).withColumn("part", F.floor((F.row_number().over(same) - 1) / room).cast("long"))
+    return placed.where(~full).withColumn("part", F.lit(0).cast("long")).unionByName(over)
+
+
+def extendible_shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, shard (the bucket's bits), depth, part, bytes, shard_bytes (of the bucket)."""
+    rows = materialise(_rows(docs, id_col, text_col), "shard-rows")
+    placed = _placed(rows, shard_directory(rows.select("hash", "bytes"), limit))
+    return _with_parts(placed, limit).select("doc_id", "shard", "depth", "part", "bytes", "shard_bytes")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes docs with one folder per shard and part; ids identify documents here."""
-    places = extendible_shards(docs, limit, id_col, text_col).select(F.col("doc_id").alias(id_col), F.concat(F.lit("b"), "shard").alias("shard"), "part")
-    docs.join(places.dropDuplicates([id_col]), id_col).repartition("shard", "part").write.partitionBy("shard", "part").parquet(path)
+    """Writes every row of docs, with one folder per shard and part.
+
+    Rows find their bucket by hash, so null ids and repeated rows are written too. Columns of docs called shard or
+    part get an underscore at the end.
+    """
+    rows = materialise(_rows(docs, id_col, text_col), "shard-rows")
+    places = _placed(rows.select("hash").distinct(), shard_directory(rows.select("hash", "bytes"), limit))
+    row = F.struct(*(F.col(f"`{c}`").alias(f"{c}_" if c in ("shard", "part") else c) for c in docs.columns)).alias("row")
+    texts = docs.select(row, *_columns(id_col, text_col))
+    dealt = _with_parts(texts.join(places, "hash"), limit)
+    out = dealt.select("row.*", F.concat(F.lit("b"), "shard").alias("shard"), "part")
+    out.repartition("shard", "part").write.partitionBy("shard", "part").parquet(path)

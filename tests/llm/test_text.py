@@ -15,7 +15,7 @@ from tesserae.llm.license_scan import NOTICES, PHRASES, license_scan
 from tesserae.llm.quality import RIDGE, SHRINK, feature_rows, fit, keep_quality, quality_scores, statistics
 from tesserae.llm.queries import queries
 from tesserae.llm.sentencepiece_codec import decode_documents, encode, encode_documents
-from tesserae.llm.sharding import extendible_shards
+from tesserae.llm.sharding import extendible_shards, write_shards
 from tesserae.llm.token_counts import token_counts, trie_counts
 from tests.conftest import SF
 from tests.llm.fixtures import edge_rows, prose, table
@@ -137,6 +137,18 @@ def test_html_on_pages(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_written_shards(spark, tmp_path):
+    rows = edge_rows() + [(None, "no id"), (None, "no id"), (3, "again " * 30), (3, "again " * 30)]
+    docs = table(spark, rows).withColumn("shard", F.lit("own"))
+    write_shards(docs, f"{tmp_path}/out", 200)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")
+    assert sorted(map(key, back.collect())) == sorted(map(key, docs.collect()))
+    assert [r[0] for r in back.select("shard_").distinct().collect()] == ["own"]
+    sizes = back.groupBy("shard", "part").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(r["b"] <= 200 or r["n"] == 1 for r in sizes)
+
+
 def test_shards(spark):
     rows = edge_rows() + [(100 + i, prose(i, 100)) for i in range(200)] + [(7, "z" * 900)] * 20
     for limit in (2000, 10**9):
