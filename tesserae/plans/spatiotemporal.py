@@ -138,10 +138,40 @@ add("e11_median_counts", lambda s, d: ev.median_counts(fr.draws(s, d)), f"WITH {
 
 
 def _features(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[str]]]:
-    rows = _wards(s, d).withColumn("region", (c("area") % 5).cast("double")).withColumn("orders", F.pmod(F.hash("area", "month"), F.lit(100)).cast("double"))
+    rows = _wards(s, d).withColumn("region", (c("area") % 5).cast("double")).withColumn("orders", ((c("area") * 31 + F.month("month") * 7 + F.year("month")) % 100).cast("double"))
     return ft.build_features(rows, fr.squares(s, d), _edges(s, d), ["region"], ["orders"])
 
 
+_CROSSED = ["orders", *(f"lag_{k}" for k in (1, 2, 3, 12)), *(f"roll_{k}" for k in (3, 6, 12)), "neighbour_sum", "neighbour_median"]
+_ALONE = ["region", "size", "neighbours", "season", "t_s", "t_log", "t_sq"]
+_BY_AREA = "OVER (PARTITION BY area ORDER BY month"
+_FEATURES = f"""{_WARDS},
+    t0 AS (SELECT w.*, datediff('month', min(month) OVER (), month)::DOUBLE AS t FROM wards w),
+    t1 AS (SELECT t0.*, coalesce((t - avg(t) OVER ()) / nullif(stddev_samp(t) OVER (), 0), 0) AS t_s FROM t0),
+    before AS (SELECT e.area, w.month + INTERVAL 1 MONTH AS month, sum(n)::DOUBLE AS s, quantile_cont(n, 0.5)::DOUBLE AS m FROM touch e JOIN wards w ON w.area = e.neighbour GROUP BY e.area, w.month),
+    own AS (
+        SELECT area, month, n, (area % 5)::DOUBLE AS region, ((area * 31 + month(month) * 7 + year(month)) % 100)::DOUBLE AS orders, 1.0::DOUBLE AS size,
+               sin(2 * pi() * month(month) / 12) AS season, t_s, ln(1 + t) AS t_log, t_s * t_s AS t_sq,
+               (month BETWEEN DATE '1998-03-01' AND DATE '1999-07-01')::INT AS during, (month >= DATE '1999-08-01')::INT AS after,
+               {', '.join(f'lag(n, {k}) {_BY_AREA}) AS lag_{k}' for k in (1, 2, 3, 12))},
+               {', '.join(f'CASE WHEN count(n) {_BY_AREA} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) = {k} THEN avg(n) {_BY_AREA} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) END AS roll_{k}' for k in (3, 6, 12))}
+        FROM t1),
+    degree AS (SELECT area, count(*) AS neighbours FROM touch GROUP BY area),
+    joined AS (
+        SELECT o.*, neighbours, coalesce(s, 0) AS neighbour_sum, coalesce(m, 0) AS neighbour_median
+        FROM own o JOIN degree d ON d.area = o.area LEFT JOIN before b ON b.area = o.area AND b.month = o.month),
+    features AS (
+        SELECT area, month, n, {', '.join(_ALONE + _CROSSED)}, {', '.join(f'{x} * {p} AS {x}_x_{p}' for p in ('during', 'after') for x in _CROSSED)}
+        FROM joined WHERE lag_12 IS NOT NULL AND roll_12 IS NOT NULL)"""
+_WIDE_COLS = [*_ALONE, *_CROSSED, *(f"{x}_x_{p}" for p in ("during", "after") for x in _CROSSED)]
+_GROUP_OF = {**dict.fromkeys(("region", "size", "neighbours"), "static"), "season": "seasonal", **dict.fromkeys(("t_s", "t_log", "t_sq"), "time_trend")}
+
+
+def _group_of(col: str) -> str:
+    base = col.split("_x_")[0]
+    return _GROUP_OF.get(base) or ("dynamic" if base == "orders" else "spatial" if base.startswith("neighbour") else "temporal")
+
+
 SMALL = ["season", "t_s", "lag_1", "roll_3", "neighbour_sum"]
 
 
@@ -234,13 +264,18 @@ def m19(s: SparkSession, d: str) -> DataFrame:
 
 def m20(s: SparkSession, d: str) -> DataFrame:
     df, groups = _features(s, d)
-    out, kept = model.filter_and_interact(df, {"temporal": groups["temporal"][:3]}, 0.05, "season")
-    return out.select("area", "month", *kept["temporal"])
+    out, kept = model.filter_and_interact(df, {g: groups[g] for g in ("temporal", "spatial")}, 0.05, "season")
+    cols = [x for own in kept.values() for x in own]
+    return out.select("area", "month", *(c(x).cast("double").alias(x) for x in cols)).unpivot(["area", "month"], cols, "column", "value")
 
 
 _MS = f"{PANEL}, cut AS (SELECT max(month) AS last FROM panel)"
-add("m1_build_features", lambda s, d: _features(s, d)[0].drop("orders", "orders_x_during", "orders_x_after"))
-add("m2_select_groups", m2)
+add(
+    "m1_build_features",
+    lambda s, d: _features(s, d)[0],
+    f"WITH {_FEATURES} SELECT area, {DAY}, n, {', '.join(f'round({x}, 6) AS {x}' for x in _WIDE_COLS)} FROM features",
+)
+add("m2_select_groups", m2, f"WITH {_FEATURES} SELECT area, {DAY}, n, {len(_WIDE_COLS)}::INT AS width FROM features")
 add("m3_scaler", m3, f"WITH {_MS}, t AS (SELECT avg(n) AS m, stddev_pop(n) AS s FROM panel, cut WHERE panel.month < last) SELECT area, {DAY}, round((n - m) / s, 6) AS n FROM panel, cut, t WHERE panel.month = last")
 add("m4_ward_map", m4, "SELECT s_suppkey AS area, s_nationkey AS ward FROM supplier")
 add("m5_split_last", lambda s, d: ft.split_last(fr.panel(s, d))[1], f"WITH {_MS} SELECT area, {DAY}, n FROM panel, cut WHERE panel.month = last")
@@ -275,6 +310,9 @@ add("m14_grid_search", m14)
 add("m15_cross_validate", m15)
 add("m16_train_eval", m16)
 add("m17_select_forward", m17)
-add("m18_select_by_corr", m18)
+_RS = " UNION ALL ".join(f"SELECT '{_group_of(x)}' AS grp, '{x}' AS \"column\", CASE WHEN stddev_pop({x}) > 0 THEN abs(corr({x}, n)) END AS r FROM features" for x in _WIDE_COLS)
+add("m18_select_by_corr", m18, f"WITH {_FEATURES}, rs AS ({_RS}) SELECT grp, \"column\", round(r, 6) AS r FROM rs WHERE r IS NOT NULL ORDER BY rs.r DESC, \"column\" LIMIT 6")
 add("m19_select_projection", m19)
-add("m20_filter_and_interact", m20)
+_STRONG = " UNION ALL ".join(f"SELECT '{x}' AS \"column\", corr({x}, n) AS r FROM features" for x in _WIDE_COLS if _group_of(x) in ("temporal", "spatial"))
+_LONG = " UNION ALL ".join(f"SELECT area, month, '{x}' AS base, '{x}{e}' AS \"column\", ({x}{f})::DOUBLE AS value FROM features" for x in _WIDE_COLS if _group_of(x) in ("temporal", "spatial") for e, f in (("", ""), ("_x_season", " * season")))
+add("m20_filter_and_interact", m20, f"WITH {_FEATURES}, strong AS ({_STRONG}), long AS ({_LONG}) SELECT area, {DAY}, long.\"column\", round(value, 6) AS value FROM long JOIN strong ON strong.\"column\" = base WHERE abs(r) >= 0.05")
