@@ -99,7 +99,12 @@ _has = lambda roads: f"list_has_any(highway, {roads!r})"
 add("k1_edge_cost_main", _cost("main"), f"WITH {_EDGES} SELECT ward, u, v, length * CASE WHEN {_has(net.MAIN_ROADS)} THEN 3 ELSE 1 END AS cost FROM edges")
 add("k2_edge_cost_quiet", _cost("quiet"), f"WITH {_EDGES} SELECT ward, u, v, length * CASE WHEN {_has(net.QUIET_ROADS)} THEN 1 ELSE 30 END AS cost FROM edges")
 add("k3_residential", lambda s, d: net.residential(edges(s, d)).select("ward", "u", "v"), f"WITH {_EDGES} SELECT ward, u, v FROM edges WHERE {_has(['residential'])}")
-add("k4_largest_scc", lambda s, d: net.largest_scc(edges(s, d)).select("ward", "u", "v"), f"WITH {_EDGES}, last AS (SELECT node FROM nodes WHERE i = k - 1 AND k > 1) SELECT ward, u, v FROM edges WHERE v NOT IN (FROM last) AND u NOT IN (FROM last)")
+_REACH = f"""RECURSIVE {_EDGES},
+    reach(ward, a, b) AS (SELECT ward, node, node FROM nodes UNION SELECT r.ward, r.a, e.v FROM reach r JOIN edges e ON e.ward = r.ward AND e.u = r.b),
+    component AS (SELECT x.ward, x.a AS node, min(x.b) AS head FROM reach x JOIN reach y ON y.ward = x.ward AND y.a = x.b AND y.b = x.a GROUP BY x.ward, x.a),
+    largest AS (SELECT ward, arg_min(head, (-n, head)) AS head FROM (SELECT ward, head, count(*) AS n FROM component GROUP BY ALL) GROUP BY ward),
+    kept AS (SELECT node FROM component c JOIN largest l ON l.ward = c.ward AND l.head = c.head)"""
+add("k4_largest_scc", lambda s, d: net.largest_scc(edges(s, d)).select("ward", "u", "v"), f"WITH {_REACH} SELECT ward, u, v FROM edges WHERE u IN (FROM kept) AND v IN (FROM kept)")
 _DIST = f"""RECURSIVE {_EDGES}, {_WAY}, both_ways AS (SELECT ward, a AS u, b AS v, min(length) AS w FROM (SELECT ward, u AS a, v AS b, length FROM edges UNION ALL SELECT ward, v, u, length FROM edges) GROUP BY ALL),
     dist(ward, source, node, dist) USING KEY (ward, source, node) AS (
         SELECT ward, node, node, 0.0::DOUBLE FROM way
@@ -114,7 +119,23 @@ add("k7_points_by_rate", lambda s, d: _areas(s, d).select("area", net.points_by_
 add("k8_points_by_size", lambda s, d: _areas(s, d).select("area", net.points_by_size(c("size")).alias("points")), f"WITH {_PANEL}, {_AREAS} SELECT area, least(5, greatest(1, floor(size / 50000)))::INT AS points FROM areas")
 add("k9_flag_high", lambda s, d: _areas(s, d).select("area", net.flag_high(c("rate")).alias("high")), f"WITH {_PANEL}, {_AREAS} SELECT area, coalesce(rate >= 0.40, false) AS high FROM areas")
 add("k10_select_waypoints", k10)
-add("k11_visit_order", lambda s, d: net.visit_order(_waypoints(s, d)).select("ward", "node", "place"))
-add("k12_route_length", k12)
+_ORDER = """spot AS (SELECT nodes.ward, nodes.node, nodes.ward % 5 + (i * 7 % 97 + 0.5::DOUBLE) / 97 AS x, nodes.ward // 5 + (i * 31 % 89 + 0.5::DOUBLE) / 89 AS y FROM nodes JOIN way ON way.ward = nodes.ward AND way.node = nodes.node),
+    frame AS (SELECT ward, min(x) AS x0, min(y) AS y0, coalesce(nullif(greatest(max(x) - min(x), max(y) - min(y)), 0), 1) AS side FROM spot GROUP BY ward),
+    curve(ward, node, x, y, d, level) AS (
+        SELECT ward, node, least(1023, greatest(0, floor((x - x0) / side * 1024)))::BIGINT, least(1023, greatest(0, floor((y - y0) / side * 1024)))::BIGINT, 0::BIGINT, 9 FROM spot JOIN frame USING (ward)
+        UNION ALL
+        SELECT ward, node,
+               CASE WHEN NOT up THEN (CASE WHEN ahead THEN size - 1 - y ELSE y END) & (size - 1) ELSE x & (size - 1) END,
+               CASE WHEN NOT up THEN (CASE WHEN ahead THEN size - 1 - x ELSE x END) & (size - 1) ELSE y & (size - 1) END,
+               d + size * size * xor(3 * ahead::BIGINT, up::BIGINT), level - 1
+        FROM (SELECT *, (1::BIGINT << level) AS size, x & (1::BIGINT << level) > 0 AS ahead, y & (1::BIGINT << level) > 0 AS up FROM curve WHERE level >= 0)),
+    visits AS (SELECT ward, node, row_number() OVER (PARTITION BY ward ORDER BY d, node) AS place FROM curve WHERE level = -1)"""
+add("k11_visit_order", lambda s, d: net.visit_order(_waypoints(s, d)).select("ward", "node", "place"), f"WITH RECURSIVE {_EDGES}, {_WAY}, {_ORDER} SELECT ward, node, place FROM visits")
+add(
+    "k12_route_length",
+    k12,
+    f"""WITH {_DIST}, {_ORDER}, legs AS (SELECT ward, node AS source, coalesce(lead(node) OVER w, first(node) OVER w) AS target FROM visits WINDOW w AS (PARTITION BY ward ORDER BY place))
+        SELECT l.ward, count(*) AS legs, round(sum(dist), 6) AS length FROM legs l JOIN dist d ON d.ward = l.ward AND d.source = l.source AND d.node = l.target GROUP BY l.ward""",
+)
 add("k13_route_coverage", k13, f"WITH {_PANEL}, {_AREAS} SELECT n_regionkey AS borough, count(*) AS wards, count_if(NOT coalesce(rate >= 0.4, false))::BIGINT AS missing, round(avg(coalesce(rate >= 0.4, false)::INT) * 100, 6) AS covered_pct FROM nation JOIN areas ON ward = n_nationkey GROUP BY n_regionkey")
 add("k14_mean_closeness", k14)
