@@ -10,8 +10,6 @@ from tests.conftest import SF
 PLANS = (relational, spatiotemporal, patrol)
 SQL = {k: v for p in PLANS for k, v in p.SQL.items()} | {"flagship": entry.FLAGSHIP_SQL}
 QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()} | {"flagship": entry.flagship}
-#: Slow fits; their parts are covered by test_models.
-SLOW = {"m12_coef_summary", "m13_significant", "m14_grid_search", "m15_cross_validate", "m17_select_forward", "m19_select_projection"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -19,7 +17,7 @@ def test_matches_sql(spark, duck, name):
     same(QUERIES[name](spark, SF), duck.sql(SQL[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
