@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.decontaminate import benchmark_matches
 from tesserae.llm.exact_dedup import exact_groups
+from tesserae.llm.filter_audit import filter_audit
 from tesserae.llm.html_extract import extract_main_text
 from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.license_scan import license_scan
@@ -62,6 +63,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan,
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_line_dedup,
         op10_exact_dedup,
+        op11_filter_audit,
     )}
 
 
@@ -142,4 +148,30 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = min(doc_id) OVER g AS kept, text_sha256
             FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+        "op11_filter_audit": r"""
+            WITH RECURSIVE words AS (
+                SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+                FROM documents),
+            marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+            fails AS (
+                SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                       CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                       || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END
+                       || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                       || CASE WHEN words.doc_id > min(words.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS failed
+                FROM words LEFT JOIN marks ON marks.doc_id = words.doc_id),
+            counts AS (SELECT part, failed, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM fails GROUP BY ALL),
+            orders(filter_order) AS (
+                SELECT '' UNION ALL SELECT filter_order || c FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(c) WHERE NOT contains(filter_order, c)),
+            steps AS (SELECT filter_order, step::INT AS step, filter_order[step] AS filter, filter_order[1:step - 1] AS before FROM orders, range(1, 6) t(step) WHERE length(filter_order) = 5),
+            out AS (
+                SELECT part, filter_order, step, filter, sum(n) FILTER (NOT gone AND NOT contains(failed, filter)) AS kept,
+                       sum(n) FILTER (NOT gone AND contains(failed, filter)) AS removed, sum(n) FILTER (gone AND contains(failed, filter)) AS redundant,
+                       sum(n) FILTER (failed = filter) AS unique_fails, sum(good) FILTER (NOT gone AND contains(failed, filter)) AS good_lost,
+                       sum(toxic) FILTER (NOT gone AND contains(failed, filter)) AS toxic_lost
+                FROM (SELECT *, regexp_matches(failed, '[' || before || '!]') AS gone FROM counts, steps) GROUP BY ALL)
+            SELECT part, filter_order, step, filter, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+                   coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+                   coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
+            FROM out""",
     }
