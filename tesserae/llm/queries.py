@@ -13,6 +13,7 @@ from tesserae.llm.html_extract import extract_main_text
 from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.license_scan import license_scan
 from tesserae.llm.line_dedup import line_dedup
+from tesserae.llm.phrases import collocations
 from tesserae.llm.quality import quality_scores
 from tesserae.llm.sentencepiece_codec import encode_documents
 from tesserae.llm.sharding import extendible_shards
@@ -67,6 +68,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan,
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_line_dedup,
         op10_exact_dedup,
         op11_filter_audit,
+        op13_collocations,
     )}
 
 
@@ -174,4 +180,32 @@ def oracle_sql() -> dict[str, str]:
                    coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
                    coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
             FROM out""",
+        "op13_collocations": r"""
+            WITH pieces AS (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents),
+            w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+            totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+            f AS (
+                SELECT lang, gram, count(*) AS a
+                FROM (SELECT lang, unnest(list_transform(range(1, len(words) - k + 2), lambda i: words[i:i + k - 1])) AS gram FROM w, range(1, 5) t(k))
+                GROUP BY ALL HAVING count(*) >= 30),
+            c AS (SELECT * FROM f WHERE len(gram) >= 2),
+            inner_ AS (
+                SELECT lang, sub AS gram, max(a) AS most
+                FROM (SELECT lang, a, unnest(list_transform(range(1, len(gram) - k + 2), lambda i: gram[i:i + k - 1])) AS sub FROM c, range(2, 4) t(k) WHERE k < len(gram))
+                GROUP BY ALL),
+            kept AS (
+                SELECT c.lang, c.gram, c.a FROM c LEFT JOIN inner_ i ON i.lang = c.lang AND i.gram = c.gram
+                WHERE i.most IS NULL OR 100 * i.most::HUGEINT < 80 * c.a::HUGEINT),
+            cuts AS (
+                SELECT kept.lang, kept.gram, kept.a, k, x.a AS l, y.a AS r, (2000000 * kept.a::HUGEINT) // (x.a + y.a) AS score
+                FROM kept JOIN range(1, 4) t(k) ON k < len(kept.gram) JOIN f x ON x.lang = kept.lang AND x.gram = kept.gram[1:k]
+                JOIN f y ON y.lang = kept.lang AND y.gram = kept.gram[k + 1:]),
+            best AS (SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) AS place FROM cuts),
+            ranked AS (
+                SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(gram, ' '))) AS rank,
+                       array_to_string(gram, ' ') AS phrase, a, l, r, score::BIGINT AS score
+                FROM best WHERE place = 1)
+            SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
     }
