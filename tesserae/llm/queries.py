@@ -13,6 +13,7 @@ from tesserae.llm.html_extract import extract_main_text
 from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.license_scan import license_scan
 from tesserae.llm.line_dedup import line_dedup
+from tesserae.llm.lsh_forest import near_components
 from tesserae.llm.phrases import collocations
 from tesserae.llm.quality import quality_scores
 from tesserae.llm.sentencepiece_codec import encode_documents
@@ -68,6 +69,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_line_dedup,
         op10_exact_dedup,
         op11_filter_audit,
+        op12_near_dedup,
         op13_collocations,
     )}
 
@@ -180,6 +186,26 @@ def oracle_sql() -> dict[str, str]:
                    coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
                    coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
             FROM out""",
+        "op12_near_dedup": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x20\x09-\x0D]+') AS words
+                FROM documents),
+            s AS (
+                SELECT DISTINCT doc_id, hash(unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+                    ELSE list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' ')) END)) AS shingle
+                FROM w),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            p AS (
+                SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+                FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+            l AS (
+                SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                WHERE 100 * common >= 80 * (x.n + y.n - common)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other)
+            SELECT r.node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id, r.node = min(r.other) AS kept
+            FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node""",
         "op13_collocations": r"""
             WITH pieces AS (
                 SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
