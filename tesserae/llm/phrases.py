@@ -41,10 +41,11 @@ DOMINATED = 80
 #: At most so many frequent words (16 MB of hashes) are sent to the tasks.
 DICTIONARY = 1 << 21
 #: Bytes of text whose edges are summed up before they leave a task, and words that a task holds.
-PARCEL, HELD = 1 << 21, 1 << 20
+PARCEL, HELD = 1 << 21, 1 << 18
 #: Parts of a language that are ranked on their own before the parts' first rows are.
 SALTS = 64
-END = -1
+#: In the place of a word: the piece has ended; the sum over all words that can stand here. No word has these numbers.
+END, ANY = -(1 << 63), -(1 << 63) + 1
 
 _BREAKS = [*b".,;:!?", *range(0x0A, 0x0E)]
 BREAK = np.zeros(256, bool)
@@ -71,7 +72,7 @@ class Parcel:
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         self.lang = coded.indices.to_numpy()[np.searchsorted(ends, self.first, side="right")] if len(self.first) else np.empty(0, np.int64)
         salts = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs], np.uint64)
-        self.key = words.mix(hashes ^ salts[self.lang]).view(np.int64)
+        self.key = np.maximum(words.mix(hashes ^ salts[self.lang]).view(np.int64), ANY + 1)
 
     def word(self, place: int) -> str:
         return _WORD.match(self.text, place)[0].decode()
@@ -81,23 +82,25 @@ def vocabulary(source: DataFrame) -> DataFrame:
     """id (hash), lang, word, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, named = np.empty(0, np.int64), np.empty(0, np.int64), {}
+        seen, named = [], {}
 
         def rows() -> pa.RecordBatch:
-            own = [named[k] for k in keys.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x[0] for x in own], pa.string()), pa.array([x[1] for x in own], pa.string()), pa.array(counts)], names=["id", "lang", "word", "n"])
+            own, n = (np.concatenate([x[k] for x in seen]) if seen else np.empty(0, np.int64) for k in (0, 1))
+            keys, back = np.unique(own, return_inverse=True)
+            told = [named[k] for k in keys.tolist()]
+            counts = np.bincount(back, n, len(keys)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.string()), pa.array(counts)], names=["id", "lang", "word", "n"])
 
         for batch, texts in words.parcels(batches, size=PARCEL):
             p = Parcel(batch, texts)
             own, at, n = np.unique(p.key, return_index=True, return_counts=True)
-            new = ~np.isin(own, keys, assume_unique=True)
-            for k, i in zip(own[new].tolist(), at[new].tolist(), strict=True):
-                named[k] = (p.langs[p.lang[i]], p.word(p.first[i]))
-            keys, back = np.unique(np.concatenate((keys, own)), return_inverse=True)
-            counts = np.bincount(back, np.concatenate((counts, n)), len(keys)).astype(np.int64)
-            if len(keys) > HELD:
+            seen.append((own, n))
+            for k, i in zip(own.tolist(), at.tolist(), strict=True):
+                if k not in named:
+                    named[k] = (p.langs[p.lang[i]], p.word(p.first[i]))
+            if len(named) > HELD or len(seen) > 64:
                 yield rows()
-                keys, counts, named = keys[:0], counts[:0], {}
+                seen, named = [], {}
         yield rows()
 
     rows = source.mapInArrow(run, "id long, lang string, word string, n long")
@@ -126,32 +129,37 @@ def edges(source: DataFrame, frequent: np.ndarray | None) -> DataFrame:
             third = on[at + 1]
             fourth = third & on[at + 2]
             cols = [ids[at], ids[at + 1], np.where(third, ids[at + 2], END), np.where(fourth, ids[np.minimum(at + 3, n + 2)], END)]
-            mixed = words.grams(np.stack((*cols, third, fourth), axis=1).astype(np.int64).view(np.uint64).ravel(), 6)[::6]
+            mixed = np.zeros(len(at), np.uint64)
+            for c in cols:
+                mixed = words.mix(mixed + c.view(np.uint64))
             _, one, w = np.unique(mixed, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[one]) for c in cols), pa.array(w), pa.array(third[one].astype(np.int8) + fourth[one])], names=["a", "b", "c", "d", "w", "more"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[one]) for c in cols), pa.array(w)], names=["a", "b", "c", "d", "w"])
 
-    return source.mapInArrow(run, "a long, b long, c long, d long, w long, more byte")
+    return source.mapInArrow(run, "a long, b long, c long, d long, w long")
 
 
 def flow(rows: DataFrame, least: int = MIN_COUNT) -> DataFrame:
-    """a, b, c, f, out: counts of runs of three and (c null) of two words, at least `least`; out: the edges (d, w) of a node
-    that weigh that much. One shuffle by node gives edges and nodes; sums by the first two words are combined before theirs."""
-    node = ["a", "b", "c", "three"]
-    rows = rows.select("a", "b", "c", "d", "w", (F.col("more") > 0).alias("three"), (F.col("more") > 1).alias("four")).repartition(*node)
-    heavy = F.col("four") & (F.col("w") >= least)
-    nodes = rows.groupBy(*node, "d", "four").agg(F.sum("w").alias("w")).groupBy(*node).agg(F.sum("w").alias("f"), F.collect_list(F.when(heavy, F.struct("d", "w"))).alias("out"))
-    none = F.lit(None)
-    of_two = F.struct(none.cast("long").alias("c"), F.col("f"), none.cast("array<struct<d: long, w: long>>").alias("out"))
-    of_three = F.when(F.col("three") & (F.col("f") >= least), F.struct("c", "f", "out"))
-    parts = nodes.select("a", "b", F.explode(F.array_compact(F.array(of_two, of_three))).alias("x")).select("a", "b", "x.*")
-    return parts.groupBy("a", "b", "c").agg(F.sum("f").alias("f"), F.first("out", ignorenulls=True).alias("out")).where(F.col("f") >= least)
+    """a, b, c, d, w of at least `least`: edges, and the counts of runs of three (d: ANY) and two words (c and d: ANY).
+    One shuffle by node gives edges and nodes; sums by the first two words are combined before theirs."""
+    any_, end = F.lit(ANY), F.lit(END)
+    row = lambda c, d: F.struct(c.alias("c"), d.alias("d"), "w")
+    c, d, heavy = F.col("c"), F.col("d"), F.col("w") >= least
+
+    def summed(rows: DataFrame, *parts: Column) -> DataFrame:
+        """Each row as some others, and their sums."""
+        x = F.explode(F.array_compact(F.array(*parts)))
+        return rows.select("a", "b", x.alias("x")).select("a", "b", "x.*").groupBy("a", "b", "c", "d").agg(F.sum("w").alias("w"))
+
+    edge_rows = rows.repartition("a", "b", "c").groupBy("a", "b", "c", "d").agg(F.sum("w").alias("w"))
+    nodes = summed(edge_rows, row(c, any_), F.when(heavy & (d != end), row(c, d)))
+    edge = d != any_
+    return summed(nodes, F.when(edge, row(c, d)), F.when(~edge, row(any_, any_)), F.when(~edge & heavy & (c != end), row(c, any_))).where(heavy)
 
 
 def paths(heavy: DataFrame) -> DataFrame:
-    """words, w: the maximal chains of edges that carry all of the flow between them. heavy: a, b, c, f, out, as of flow()."""
-    nodes = heavy.where("c is not null").select("a", "b", "c", "f")
-    own = heavy.where("c is not null").select("a", "b", "c", F.explode("out").alias("e")).select("a", "b", "c", "e.d", "e.w")
-    own = materialise(own.withColumn("id", F.xxhash64("a", "b", "c", "d")), "heavy-edges")
+    """words, w: the maximal chains of edges that carry all of the flow between them. heavy: a, b, c, d, w, as of flow()."""
+    nodes = heavy.where((F.col("c") != ANY) & (F.col("d") == ANY)).select("a", "b", "c", F.col("w").alias("f"))
+    own = materialise(heavy.where(F.col("d") != ANY).withColumn("id", F.xxhash64("a", "b", "c", "d")), "heavy-edges")
     # edges that bring all of the flow into their second node, and those that take all of it away
     into = own.join(nodes.toDF("b", "c", "d", "f"), ["b", "c", "d"]).where("w = f").select("b", "c", "d", F.col("id").alias("before"))
     away = own.join(nodes, ["a", "b", "c"]).where("w = f").select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("c").alias("d"), "id")
@@ -177,7 +185,7 @@ def windows(run: Column, k: int) -> Column:
 
 def candidates(heavy: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gram, a) of all runs of two to four words that are frequent enough, and those of them that no longer run dominates."""
-    shorter = heavy.select(F.when(F.col("c").isNull(), F.array("a", "b")).otherwise(F.array("a", "b", "c")).alias("gram"), F.col("f").alias("a"))
+    shorter = heavy.where(F.col("d") == ANY).select(F.when(F.col("c") == ANY, F.array("a", "b")).otherwise(F.array("a", "b", "c")).alias("gram"), F.col("w").alias("a"))
     fours = chains.select(F.explode(windows(F.col("words"), 4)).alias("gram"), F.col("w").alias("a"))
     grams = materialise(shorter.unionByName(fours), "phrases")
     inside = chains.select(F.explode(F.array_distinct(F.concat(windows(F.col("words"), 3), windows(F.col("words"), 2)))).alias("gram"), F.col("w").alias("f"))
