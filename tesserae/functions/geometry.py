@@ -1,4 +1,8 @@
-"""Expressions over rings: arrays of points struct<x, y>, closed, in projected metres."""
+"""Expressions over rings and polygons, in projected metres.
+
+A ring is a closed array of points struct<x, y>. A polygon of any shape is an array of struct<part, hole, ring>: each part
+has one outer ring and any number of holes, in either direction of turn.
+"""
 
 from __future__ import annotations
 
@@ -43,11 +47,7 @@ def centroid(ring: Column) -> Column:
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Ray casting: an odd number of edges crosses the ray to the right."""
-    crossing = F.filter(
-        edges(ring),
-        lambda e: ((e["p"]["y"] > y) != (e["q"]["y"] > y)) & (x < (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]),
-    )
-    return F.size(crossing) % 2 == 1
+    return F.size(F.filter(edges(ring), lambda e: _crossings(e, x, y))) % 2 == 1
 
 
 def box(ring: Column) -> Column:
@@ -66,6 +66,72 @@ def cells(b: Column, size: float) -> Column:
     return F.flatten(F.transform(span("x0", "x1"), lambda cx: F.transform(span("y0", "y1"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
+RINGS = "array<struct<part: int, hole: boolean, ring: array<struct<x: double, y: double>>>>"
+
+
+def as_rings(ring: Column) -> Column:
+    """A ring as a polygon of one part without holes."""
+    return F.array(F.struct(F.lit(0).alias("part"), F.lit(False).alias("hole"), ring.alias("ring")))
+
+
+def rings_edges(rings: Column) -> Column:
+    """All edges of all rings, as struct<p, q>."""
+    return F.flatten(F.transform(rings, lambda r: edges(r["ring"])))
+
+
+def rings_area(rings: Column) -> Column:
+    """F10, G1. Outer rings less holes."""
+    return _sum(F.transform(rings, lambda r: F.when(r["hole"], -area(r["ring"])).otherwise(area(r["ring"]))))
+
+
+def rings_perimeter(rings: Column) -> Column:
+    return _sum(F.transform(rings, lambda r: perimeter(r["ring"])))
+
+
+def rings_centroid(rings: Column) -> Column:
+    """P30, F10. Centroids of the rings by their areas, holes taken off."""
+    parts = F.transform(rings, lambda r: F.struct(centroid(r["ring"]).alias("c"), F.when(r["hole"], -area(r["ring"])).otherwise(area(r["ring"])).alias("a")))
+    mean = lambda k: _sum(F.transform(parts, lambda m: m["c"][k] * m["a"])) / _sum(F.transform(parts, lambda m: m["a"]))
+    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+
+def _crossings(e: Column, x: Column, y: Column) -> Column:
+    return ((e["p"]["y"] > y) != (e["q"]["y"] > y)) & (x < (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"])
+
+
+def rings_contain(rings: Column, x: Column, y: Column) -> Column:
+    """Ray casting over all rings: inside a part and in none of its holes."""
+    return F.size(F.filter(rings_edges(rings), lambda e: _crossings(e, x, y))) % 2 == 1
+
+
+def rings_box(rings: Column) -> Column:
+    """struct<x0, y0, x1, y1> of all parts."""
+    boxes = F.transform(rings, lambda r: box(r["ring"]))
+    low = lambda k: F.array_min(F.transform(boxes, lambda b: b[k]))
+    high = lambda k: F.array_max(F.transform(boxes, lambda b: b[k]))
+    return F.struct(low("x0").alias("x0"), low("y0").alias("y0"), high("x1").alias("x1"), high("y1").alias("y1"))
+
+
+def edge_distance(e: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to an edge struct<p, q>."""
+    dx, dy = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+    along = ((x - e["p"]["x"]) * dx + (y - e["p"]["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+    return F.hypot(x - e["p"]["x"] - t * dx, y - e["p"]["y"] - t * dy)
+
+
+def rings_distance(rings: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to a polygon: 0 inside, else to the nearest edge."""
+    return F.when(rings_contain(rings, x, y), 0.0).otherwise(F.array_min(F.transform(rings_edges(rings), lambda e: edge_distance(e, x, y))))
+
+
+def directed(rings: Column) -> Column:
+    """The edges as a flat array x, y, x, y, ...; outer rings turn left, holes right, so the inside is always on the left."""
+    turned = F.transform(rings, lambda r: F.when((signed_area(r["ring"]) > 0) != r["hole"], r["ring"]).otherwise(F.reverse(r["ring"])))
+    flat = lambda e: F.array(e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"])
+    return F.flatten(F.flatten(F.transform(turned, lambda r: F.transform(edges(r), flat))))
+
+
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6371000.0) -> Column:
     """F9. Great-circle distance in metres."""
     a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)

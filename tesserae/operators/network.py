@@ -124,13 +124,14 @@ def flag_high(rate: Column, threshold: float = 0.40) -> Column:
     return F.coalesce(rate >= threshold, F.lit(False))
 
 
-def select_waypoints(areas: DataFrame, nodes: DataFrame, rule: str, cell: float, cap: int = 20, seed: int = 0) -> DataFrame:
-    """K10. areas: (ward, area, ring, size, rate). ward, area, point_no, node, distance: random points per area, snapped to
-    the nearest node; by the ward rule the first point of an area is sure, and others fill up to cap by rate."""
+def select_waypoints(areas: DataFrame, nodes: DataFrame, rule: str, cap: int = 20, seed: int = 0) -> DataFrame:
+    """K10. areas: (ward, area, ring, size, rate), nodes: (ward, node, x, y). ward, area, point_no, node, distance: random points per
+    area, snapped to the nearest node of the ward's own graph (null where it has none); by the ward rule the first point of an
+    area is sure, and others fill up to cap by rate."""
     n = points_by_rate(F.col("size"), F.col("rate")) if rule == "borough" else points_by_size(F.col("size"))
     points = sample_points(areas, n, seed).join(areas.select("area", "ward", "rate"), "area")
     points = points.withColumn("point", F.concat_ws("|", "area", "point_no"))
-    snapped = points.join(nearest(points, nodes, cell), "point").withColumn("first", F.col("point_no") == 1)
+    snapped = points.join(nearest(points, nodes, ("ward",)), "point").withColumn("first", F.col("point_no") == 1)
     if rule != "borough":
         snapped = budget_pick(snapped.withColumn("rate", F.coalesce("rate", F.lit(0.0))), cap, "ward", "first", "rate", "point")
     return snapped.select("ward", "area", "point_no", "node", "distance")

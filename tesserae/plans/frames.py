@@ -96,6 +96,44 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row", bounds.alias("s")).select((F.col("row") * 10 + F.col("s.i")).alias("target"), ring.alias("ring"))
 
 
+#: Targets that cover the same ground as the blocks, as disjoint boxes x0, y0, x1, y1 over two rows of plots: an L, a U,
+#: two parts that fill them up, a frame and what stands in its hole. Kind, box, and 1 or -1 for a hole.
+SHAPES = [
+    (0, 0.0, 0.0, 0.6, 2.0, 1), (0, 0.6, 0.0, 1.8, 0.7, 1), (1, 1.8, 0.0, 2.2, 2.0, 1), (1, 2.2, 0.0, 3.2, 0.5, 1), (1, 3.2, 0.0, 3.6, 2.0, 1),
+    (2, 0.6, 0.7, 1.8, 2.0, 1), (2, 2.2, 0.5, 3.2, 2.0, 1), (3, 3.6, 0.0, 5.0, 2.0, 1), (3, 4.0, 0.4, 4.6, 1.5, -1), (4, 4.0, 0.4, 4.6, 1.5, 1),
+]
+#: Their rings: kind, part, hole, corners.
+SHAPE_RINGS = [
+    (0, 0, False, [(0, 0), (1.8, 0), (1.8, 0.7), (0.6, 0.7), (0.6, 2), (0, 2)]),
+    (1, 0, False, [(1.8, 0), (3.6, 0), (3.6, 2), (3.2, 2), (3.2, 0.5), (2.2, 0.5), (2.2, 2), (1.8, 2)]),
+    (2, 0, False, [(0.6, 0.7), (0.6, 2), (1.8, 2), (1.8, 0.7)]),
+    (2, 1, False, [(2.2, 0.5), (3.2, 0.5), (3.2, 2), (2.2, 2)]),
+    (3, 0, False, [(3.6, 0), (5, 0), (5, 2), (3.6, 2)]),
+    (3, 0, True, [(4, 0.4), (4.6, 0.4), (4.6, 1.5), (4, 1.5)]),
+    (4, 0, False, [(4, 0.4), (4.6, 0.4), (4.6, 1.5), (4, 1.5)]),
+]
+
+
+def shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """target, rings: five targets for each two rows of plots, half a row lower: concave, in two parts, with a hole."""
+    k = F.floor(F.col("s_suppkey") / 10)
+    rows = read_table(spark, sf, "supplier").select(F.explode(F.array(k, k + 1)).alias("row")).distinct()
+    point = lambda x, y: F.struct(F.lit(float(x)).alias("x"), (F.col("row") * 2 - 0.5 + F.lit(float(y))).alias("y"))
+    ring = lambda part, hole, corners: F.struct(F.lit(part).alias("part"), F.lit(hole).alias("hole"), F.array(*(point(*q) for q in [*corners, corners[0]])).alias("ring"))
+    kinds = sorted({r[0] for r in SHAPE_RINGS})
+    all_ = F.array(*(F.struct(F.lit(i).alias("kind"), F.array(*(ring(*r[1:]) for r in SHAPE_RINGS if r[0] == i)).alias("rings")) for i in kinds))
+    return rows.withColumn("s", F.explode(all_)).select((F.col("row") * 10 + F.col("s.kind")).alias("target"), "s.rings")
+
+
+def bricks(spark: SparkSession, sf: str) -> DataFrame:
+    """area (supplier), ring: five bricks a row, every second row half a brick to the right, so corners lie on others' sides."""
+    x = (F.col("area") % 5) + F.floor(F.col("area") / 5) % 2 * F.lit(0.5)
+    y = F.floor(F.col("area") / 5).cast("double")
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    keys = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("area"))
+    return keys.withColumn("ring", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))
+
+
 def draws(spark: SparkSession, sf: str, n: int = 50) -> DataFrame:
     """area, month, draw, value: uniform draws of [0, 2 * rate], reproducible in any engine."""
     from tesserae.functions.stats import uniform
@@ -132,6 +170,16 @@ OVERLAY = f"""blocks AS (SELECT row * 10 + i AS target, lo, hi, row * 2 - 0.5 AS
 over AS (
     SELECT area, target, ((least(x0 + 1, hi) - greatest(x0, lo)) * (least(y0 + 1, high) - greatest(y0, low)))::DOUBLE AS overlap
     FROM squares JOIN blocks ON least(x0 + 1, hi) - greatest(x0, lo) > 1e-9 AND least(y0 + 1, high) - greatest(y0, low) > 1e-9)"""
+SHAPES_SQL = f"""boxes AS (
+    SELECT row * 10 + kind AS target, a AS x1, row * 2 - 0.5::DOUBLE + b AS y1, c AS x2, row * 2 - 0.5::DOUBLE + d AS y2, sign
+    FROM (SELECT DISTINCT unnest([s_suppkey // 10, s_suppkey // 10 + 1]) AS row FROM supplier), (VALUES {', '.join(map(str, SHAPES))}) v(kind, a, b, c, d, sign)),
+over AS (
+    SELECT area, target, sum(sign * (least(x0 + 1, x2) - greatest(x0, x1)) * (least(y0 + 1, y2) - greatest(y0, y1)))::DOUBLE AS overlap
+    FROM squares JOIN boxes ON x0 < x2 AND x1 < x0 + 1 AND y0 < y2 AND y1 < y0 + 1 GROUP BY area, target HAVING overlap > 1e-9)"""
+BRICKS = """bricks AS (SELECT s_suppkey AS area, s_suppkey // 5 AS r, s_suppkey % 5 + (s_suppkey // 5) % 2 * 0.5::DOUBLE AS x0 FROM supplier),
+beside AS (
+    SELECT a.area, b.area AS neighbour, CASE WHEN a.r = b.r THEN 1.0::DOUBLE ELSE 1 - abs(a.x0 - b.x0) END AS length
+    FROM bricks a JOIN bricks b ON (a.r = b.r AND abs(a.x0 - b.x0) = 1) OR (abs(a.r - b.r) = 1 AND abs(a.x0 - b.x0) <= 1))"""
 DRAWS = f"""{PANEL}, draws AS (
     SELECT area, month, draw::INT AS draw,
            floor(('0x' || substr(md5(concat_ws('|', area, strftime(month, '%Y-%m-%d'), draw)), 1, 8))::BIGINT / 4294967296.0 * 2 * greatest(n, 0.1::DOUBLE) + 0.5)::BIGINT AS value

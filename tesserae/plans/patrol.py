@@ -77,7 +77,7 @@ def _table(s: SparkSession, d: str) -> DataFrame:
 
 
 def k10(s: SparkSession, d: str) -> DataFrame:
-    return net.select_waypoints(_areas(s, d), nodes(s, d).select("node", "x", "y"), "ward", 0.1)
+    return net.select_waypoints(_areas(s, d), nodes(s, d).select("ward", "node", "x", "y"), "ward")
 
 
 def k12(s: SparkSession, d: str) -> DataFrame:
@@ -118,7 +118,18 @@ _PANEL = fr.PANEL
 add("k7_points_by_rate", lambda s, d: _areas(s, d).select("area", net.points_by_rate(c("size"), c("rate")).alias("points")), f"WITH {_PANEL}, {_AREAS} SELECT area, CASE WHEN rate > 0 THEN least(25, greatest(0, floor((1 + sqrt(size / 150000)) * (1 + 0.5 * rate))))::INT END AS points FROM areas")
 add("k8_points_by_size", lambda s, d: _areas(s, d).select("area", net.points_by_size(c("size")).alias("points")), f"WITH {_PANEL}, {_AREAS} SELECT area, least(5, greatest(1, floor(size / 50000)))::INT AS points FROM areas")
 add("k9_flag_high", lambda s, d: _areas(s, d).select("area", net.flag_high(c("rate")).alias("high")), f"WITH {_PANEL}, {_AREAS} SELECT area, coalesce(rate >= 0.40, false) AS high FROM areas")
-add("k10_select_waypoints", k10)
+_U = lambda i, axis: f"('0x' || substr(md5(concat_ws('|', area, 0, {i}, '{axis}')), 1, 8))::BIGINT / 4294967296.0"
+add(
+    "k10_select_waypoints",
+    k10,
+    f"""WITH {_PANEL}, {_AREAS}, {_EDGES},
+        spots AS (SELECT ward, area, rate, i::INT AS point_no, ward % 5 + {_U('i', 'x')} AS x, ward // 5 + {_U('i', 'y')} AS y FROM areas, range(1, 6) t(i) WHERE i <= least(5, greatest(1, floor(size / 50000)))),
+        places AS (SELECT ward, node, ward % 5 + (i * 7 % 97 + 0.5::DOUBLE) / 97 AS nx, ward // 5 + (i * 31 % 89 + 0.5::DOUBLE) / 89 AS ny FROM nodes),
+        gaps AS (SELECT s.*, node, sqrt((x - nx) ** 2 + (y - ny) ** 2) AS distance FROM spots s LEFT JOIN places p ON p.ward = s.ward),
+        snapped AS (SELECT ward, area, point_no, any_value(rate) AS rate, arg_min(node, (distance, node)) AS node, min(distance) AS distance FROM gaps GROUP BY ALL),
+        picked AS (SELECT *, row_number() OVER (PARTITION BY ward ORDER BY (point_no = 1) DESC, coalesce(rate, 0) DESC, area || '|' || point_no) AS place FROM snapped)
+        SELECT ward, area, point_no, node, round(distance, 6) AS distance FROM picked WHERE point_no = 1 OR place <= 20""",
+)
 _ORDER = """spot AS (SELECT nodes.ward, nodes.node, nodes.ward % 5 + (i * 7 % 97 + 0.5::DOUBLE) / 97 AS x, nodes.ward // 5 + (i * 31 % 89 + 0.5::DOUBLE) / 89 AS y FROM nodes JOIN way ON way.ward = nodes.ward AND way.node = nodes.node),
     frame AS (SELECT ward, min(x) AS x0, min(y) AS y0, coalesce(nullif(greatest(max(x) - min(x), max(y) - min(y)), 0), 1) AS side FROM spot GROUP BY ward),
     curve(ward, node, x, y, d, level) AS (
@@ -138,4 +149,10 @@ add(
         SELECT l.ward, count(*) AS legs, round(sum(dist), 6) AS length FROM legs l JOIN dist d ON d.ward = l.ward AND d.source = l.source AND d.node = l.target GROUP BY l.ward""",
 )
 add("k13_route_coverage", k13, f"WITH {_PANEL}, {_AREAS} SELECT n_regionkey AS borough, count(*) AS wards, count_if(NOT coalesce(rate >= 0.4, false))::BIGINT AS missing, round(avg(coalesce(rate >= 0.4, false)::INT) * 100, 6) AS covered_pct FROM nation JOIN areas ON ward = n_nationkey GROUP BY n_regionkey")
-add("k14_mean_closeness", k14)
+_MARKS = "way AS (SELECT ward, node FROM (SELECT ward, node, row_number() OVER (PARTITION BY ward ORDER BY ('0x' || substr(md5(concat_ws('|', ward, node, 0)), 1, 8))::BIGINT, node) AS place FROM (SELECT DISTINCT ward, u AS node FROM edges UNION SELECT ward, v FROM edges)) WHERE place <= 2)"
+add(
+    "k14_mean_closeness",
+    k14,
+    f"""WITH {_DIST.replace(_WAY, _MARKS)}, close AS (SELECT ward, node, count(*) / sum(dist) AS closeness FROM dist WHERE dist > 0 GROUP BY ALL)
+        SELECT ward AS area, round(avg(closeness), 6) AS closeness FROM close GROUP BY ward""",
+)

@@ -64,18 +64,38 @@ def s5(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema("area bigint, n bigint").option("header", True).csv(path)
 
 
-def s6(s: SparkSession, d: str) -> DataFrame:
-    path = new_path(s, "geojson")
-    ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
-    feature = F.struct(
-        F.lit("Feature").alias("type"), F.create_map(F.lit("area"), F.col("area").cast("string")).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
+def _geojson(s: SparkSession, d: str, path: str, lines: bool) -> None:
+    """Plots as polygons of one ring, shapes with holes and several parts, and points, which a boundary scan leaves out."""
+    ring = lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))
+    part = lambda k: F.transform(F.filter("rings", lambda r: r["part"] == k), lambda r: ring(r["ring"]))
+    several = F.exists("rings", lambda r: r["part"] > 0)
+    plots = fr.plots(s, d).select(F.concat(F.lit("p"), "area").alias("name"), F.lit("Polygon").alias("type"), F.to_json(F.array(ring("ring"))).alias("text"))
+    shapes = fr.shapes(s, d).select(
+        F.concat(F.lit("s"), "target").alias("name"), F.when(several, "MultiPolygon").otherwise("Polygon").alias("type"),
+        F.when(several, F.to_json(F.array(part(0), part(1)))).otherwise(F.to_json(part(0))).alias("text"),
     )
-    fr.plots(s, d).groupBy(F.floor(F.col("area") / 100).alias("k")).agg(F.collect_list(feature).alias("features")).select(F.lit("FeatureCollection").alias("type"), "features").write.json(path)
-    back = s.read.schema(tables.GEOJSON).json(path).select(F.explode("features").alias("f"))
-    assert back.schema  # one document per line here; read_geojson takes a document per file
-    rows = back.select(F.col("f.properties")["area"].cast("bigint").alias("area"), F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
-    return rows.select("area", geo.area(F.col("ring")).alias("size"), F.size("ring").alias("corners"))
+    points = fr.points(s, d).select(F.concat(F.lit("x"), "point").alias("name"), F.lit("Point").alias("type"), F.to_json(F.array("x", "y")).alias("text"))
+    rows = plots.unionByName(shapes).unionByName(points)
+    feature = F.format_string('{"type": "Feature", "properties": {"name": "%s"}, "geometry": {"type": "%s", "coordinates": %s}}', "name", "type", "text")
+    if lines:
+        rows.select(feature.alias("value")).write.text(path)
+    else:  # a document for each hundred or so features
+        file = rows.groupBy(F.pmod(F.xxhash64("name"), F.floor(F.lit(rows.count() / 100)) + 1).alias("k")).agg(F.concat_ws(", ", F.collect_list(feature)).alias("all"))
+        file.select(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), "all", F.lit("]}")).alias("value")).repartitionByRange(8, "value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def _read_geojson(lines: bool):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        path = new_path(s, "geojson")
+        _geojson(s, d, path, lines)
+        r, middle = F.col("rings"), geo.rings_centroid(F.col("rings"))
+        return tables.read_geojson(s, path, lines).select(
+            F.col("properties")["name"].alias("name"), geo.rings_area(r).alias("size"), geo.rings_perimeter(r).alias("outline"), middle["x"].alias("x"), middle["y"].alias("y"),
+            F.size(r).alias("rings"), (F.array_max(F.transform(r, lambda q: q["part"])) + 1).alias("parts"), F.size(F.filter(r, lambda q: q["hole"])).alias("holes"),
+            F.size(geo.rings_edges(r)).alias("edges"),
+        )
+
+    return query
 
 
 def s7(s: SparkSession, d: str) -> DataFrame:
@@ -97,7 +117,15 @@ add("s2_csv_to_parquet", s2, _EX + " WHERE status = 'F'")
 add("s3_read_table", lambda s, d: customer(s, d), "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
 add("s4_write_sorted", s4, _EX)
 add("s5_write_csv", s5, f"WITH {INC} SELECT area, count(*) AS n FROM inc GROUP BY area")
-add("s6_read_geojson", s6, "SELECT s_suppkey AS area, 1.0::DOUBLE AS size, 5::INT AS corners FROM supplier")
+_outline = {k: sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for r in fr.SHAPE_RINGS if r[0] == k for a, b in zip(r[3], [*r[3][1:], r[3][0]], strict=True)) for k in range(5)}
+_RINGS = ", ".join(f"({k}, {_outline[k]}, {len(own)}, {max(r[1] for r in own) + 1}, {sum(r[2] for r in own)}, {sum(len(r[3]) for r in own)})" for k in range(5) for own in [[r for r in fr.SHAPE_RINGS if r[0] == k]])
+_GEO = f"""WITH {fr.PLOTS}, {fr.SHAPES_SQL}, w AS (SELECT *, sign * (x2 - x1) * (y2 - y1) AS a FROM boxes),
+    size AS (SELECT target, sum(a) AS size, sum(a * (x1 + x2) / 2) / sum(a) AS x, sum(a * (y1 + y2) / 2) / sum(a) AS y FROM w GROUP BY target)
+    SELECT 'p' || area AS name, 1.0::DOUBLE AS size, 4.0::DOUBLE AS outline, x0 + 0.5 AS x, y0 + 0.5 AS y, 1::INT AS rings, 1::INT AS parts, 0::INT AS holes, 4::INT AS edges FROM squares
+    UNION ALL SELECT 's' || target, round(size, 6)::DOUBLE, round(outline, 6)::DOUBLE, round(x, 6)::DOUBLE, round(y, 6)::DOUBLE, rings::INT, parts::INT, holes::INT, edges::INT
+    FROM size JOIN (VALUES {_RINGS}) v(kind, outline, rings, parts, holes, edges) ON kind = target % 10"""
+add("s6_read_geojson", _read_geojson(False), _GEO)
+add("s6_read_geojson_lines", _read_geojson(True), _GEO)
 add("s7_read_lookup", s7, f"WITH {LOOKUP} SELECT DISTINCT new FROM lookup")
 add("s8_predictions", s8, f"WITH {PANEL} SELECT area, quantile_cont(n, 0.5)::DOUBLE AS median FROM panel GROUP BY area")
 

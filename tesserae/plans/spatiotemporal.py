@@ -10,7 +10,7 @@ from tesserae.operators import evaluate as ev
 from tesserae.operators import features as ft
 from tesserae.operators import joins, model, panel, spatial
 from tesserae.plans import frames as fr
-from tesserae.plans.frames import ATTRS, DAY, DRAWS, INC, MONTHS, OVERLAY, PANEL, PLOTS, POINTS, SQUARES, TOUCH, Query
+from tesserae.plans.frames import ATTRS, BRICKS, DAY, DRAWS, INC, MONTHS, OVERLAY, PANEL, PLOTS, POINTS, SHAPES_SQL, SQUARES, TOUCH, Query
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -73,13 +73,29 @@ add("j11_neighbour_join", lambda s, d: joins.neighbour_join(_wards(s, d), _edges
 add("j15_pip_join", lambda s, d: spatial.pip_join(fr.points(s, d), fr.plots(s, d)), f"WITH {POINTS} SELECT point, round(x, 6) AS x, round(y, 6) AS y, s_suppkey AS area FROM points JOIN supplier ON s_suppkey = floor(x) + 5 * floor(y) AND x < 5")
 add("j16_intersects_join", lambda s, d: spatial.intersects_join(fr.plots(s, d), fr.blocks(s, d)), f"WITH {PLOTS}, {OVERLAY} SELECT area, target FROM over")
 add("j17_overlay", _over, f"WITH {PLOTS}, {OVERLAY} SELECT area, target, round(overlap, 6) AS overlap, round(overlap, 6) AS weight FROM over")
+_shaped = lambda s, d: spatial.overlay(fr.plots(s, d), fr.shapes(s, d))
+_totals = lambda s, d: fr.panel(s, d).groupBy("area").agg(F.sum("n").alias("n"))
+_ROLLED = "SELECT target, round_even(round(sum(n * round(overlap, 9)), 6), 0)::BIGINT AS n FROM over JOIN (SELECT area, sum(n) AS n FROM panel GROUP BY area) USING (area) GROUP BY target"
+add("j15_pip_join_parts", lambda s, d: spatial.pip_join(fr.points(s, d), fr.shapes(s, d).withColumnRenamed("target", "area")).select("point", "area"), f"WITH {POINTS}, {PLOTS}, {SHAPES_SQL} SELECT point, target AS area FROM points JOIN boxes ON x > x1 AND x < x2 AND y > y1 AND y < y2 GROUP BY ALL HAVING sum(sign) = 1")
+add("j15_pip_join_near", lambda s, d: spatial.pip_join(fr.points(s, d), fr.plots(s, d), tolerance=0.1).select("point", "area"), f"WITH {POINTS}, {PLOTS} SELECT point, area FROM points JOIN squares ON x BETWEEN x0 - 0.1 AND x0 + 1.1 AND y BETWEEN y0 - 0.1 AND y0 + 1.1 WHERE greatest(x0 - x, x - x0 - 1, 0) ** 2 + greatest(y0 - y, y - y0 - 1, 0) ** 2 <= 0.01")
+add("j16_intersects_shapes", lambda s, d: spatial.intersects_join(fr.plots(s, d), fr.shapes(s, d)), f"WITH {PLOTS}, {SHAPES_SQL} SELECT area, target FROM over")
+add("j17_overlay_shapes", _shaped, f"WITH {PLOTS}, {SHAPES_SQL} SELECT area, target, round(overlap, 6) AS overlap, round(overlap, 6) AS weight FROM over")
+add("j17_overlay_of_shapes", lambda s, d: spatial.overlay(fr.shapes(s, d).withColumnRenamed("target", "area"), fr.plots(s, d).withColumnRenamed("area", "target")), f"WITH {PLOTS}, {SHAPES_SQL}, size AS (SELECT target, sum(sign * (x2 - x1) * (y2 - y1)) AS size FROM boxes GROUP BY target) SELECT target AS area, area AS target, round(overlap, 6) AS overlap, round(overlap / size, 6) AS weight FROM over JOIN size USING (target)")
+add("a23_rollup_shapes", lambda s, d: agg.rollup_weighted(_totals(s, d), _shaped(s, d), "area", "target", "n"), f"WITH {PANEL}, {PLOTS}, {SHAPES_SQL} {_ROLLED}")
+add("g1_area_shapes", lambda s, d: spatial.with_area(fr.shapes(s, d)).select("target", "size"), f"WITH {PLOTS}, {SHAPES_SQL} SELECT target, round(sum(sign * (x2 - x1) * (y2 - y1)), 6)::DOUBLE AS size FROM boxes GROUP BY target")
+add("g5_majority_shapes", lambda s, d: spatial.majority_filter(_shaped(s, d), 0.3).select("area", "target"), f"WITH {PLOTS}, {SHAPES_SQL} SELECT area, target FROM over WHERE round(overlap, 9) > 0.3")
+add("g5_majority_shapes_ward", lambda s, d: spatial.majority_filter(_shaped(s, d), 0.1, "ward").select("area", "target"), f"WITH {PLOTS}, {SHAPES_SQL}, w AS (SELECT *, count(*) OVER (PARTITION BY target) AS k, count_if(round(overlap, 9) >= 0.1) OVER (PARTITION BY target) AS p FROM over) SELECT area, target FROM w WHERE round(overlap, 9) >= 0.1 OR k = 1 OR p = 0")
+_bricks = lambda s, d: spatial.adjacency(fr.bricks(s, d), size=1.0)
+add("j18_adjacency_sides", _bricks, f"WITH {BRICKS} SELECT area, neighbour FROM beside")
+add("g2_neighbour_count_sides", lambda s, d: spatial.neighbour_count(fr.bricks(s, d), _bricks(s, d)), f"WITH {BRICKS} SELECT bricks.area, count(neighbour) AS neighbours FROM bricks LEFT JOIN beside ON beside.area = bricks.area GROUP BY bricks.area")
+add("g3_shared_length_sides", lambda s, d: spatial.shared_length(fr.bricks(s, d), size=1.0), f"WITH {BRICKS} SELECT bricks.area, coalesce(sum(length), 0)::DOUBLE AS shared_length FROM bricks LEFT JOIN beside ON beside.area = bricks.area GROUP BY bricks.area")
 add("j18_adjacency", _plot_edges, f"WITH {PLOTS}, {TOUCH} SELECT area, neighbour FROM touch")
 _nodes = lambda s, d: fr.points(s, d).where("point % 3 = 0").select(c("point").alias("node"), "x", "y")
 _NEAR = f"WITH {POINTS}, p AS (SELECT * FROM points WHERE point % 3 <> 0), x AS (SELECT p.point, n.point AS node, sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2) AS distance FROM p, points n WHERE n.point % 3 = 0) SELECT point, arg_min(node, (round(distance, 9), node)) AS node, round(min(distance), 6) AS distance FROM x GROUP BY point"
-_near = lambda s, d: spatial.nearest(fr.points(s, d).where("point % 3 <> 0"), _nodes(s, d).withColumns({"x": F.round("x", 9), "y": F.round("y", 9)}), 0.5)
+_near = lambda s, d: spatial.nearest(fr.points(s, d).where("point % 3 <> 0"), _nodes(s, d).withColumns({"x": F.round("x", 9), "y": F.round("y", 9)}))
 add("j19_nearest", lambda s, d: _near(s, d).select("point", "distance"), f"SELECT point, distance FROM ({_NEAR})")
 add("a19_neighbour_stats", lambda s, d: agg.neighbour_stats(joins.neighbour_join(_wards(s, d), _edges(s, d), "n"), "neighbour_n"), f"WITH {_WARDS} SELECT t.area, strftime(w.month, '%Y-%m-%d') AS month, sum(n)::BIGINT AS neighbour_sum, round(avg(n), 6) AS neighbour_mean, quantile_cont(n, 0.5)::DOUBLE AS neighbour_median FROM touch t JOIN wards w ON w.area = neighbour GROUP BY t.area, w.month")
-add("a23_rollup_weighted", lambda s, d: agg.rollup_weighted(fr.panel(s, d).groupBy("area").agg(F.sum("n").alias("n")), _over(s, d), "area", "target", "n"), f"WITH {PANEL}, {PLOTS}, {OVERLAY} SELECT target, round_even(round(sum(n * round(overlap, 9)), 6), 0)::BIGINT AS n FROM over JOIN (SELECT area, sum(n) AS n FROM panel GROUP BY area) USING (area) GROUP BY target")
+add("a23_rollup_weighted", lambda s, d: agg.rollup_weighted(_totals(s, d), _over(s, d), "area", "target", "n"), f"WITH {PANEL}, {PLOTS}, {OVERLAY} {_ROLLED}")
 add("g1_with_area", lambda s, d: spatial.with_area(fr.plots(s, d)).select("area", "size"), "SELECT s_suppkey AS area, 1.0::DOUBLE AS size FROM supplier")
 add("g2_neighbour_count", lambda s, d: spatial.neighbour_count(fr.plots(s, d), _plot_edges(s, d)), f"WITH {PLOTS}, {TOUCH} SELECT area, count(*) AS neighbours FROM touch GROUP BY area")
 add("g3_shared_length", lambda s, d: spatial.shared_length(fr.plots(s, d)), f"WITH {PLOTS} SELECT a.area, count(*)::DOUBLE AS shared_length FROM squares a JOIN squares b ON abs(a.x0 - b.x0) + abs(a.y0 - b.y0) = 1 GROUP BY a.area")

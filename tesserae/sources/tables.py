@@ -36,17 +36,25 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-GEOJSON = (
-    "type string, features array<struct<type: string, properties: map<string, string>, "
-    "geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
-)
-
-
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """S6. One row per polygon feature: its properties and its outer ring as an array of points."""
-    feature = spark.read.schema(GEOJSON).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return feature.where("f.geometry.type = 'Polygon'").select(F.col("f.properties").alias("properties"), ring.alias("ring"))
+_FEATURE = {"type": "string", "properties": "map<string, string>", "geometry": "struct<type: string, coordinates: string>"}
+#: A polygon's coordinates are rings of points; those of several polygons have one level more.
+_POLYGON = "array<array<array<double>>>"
+
+
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """S6. One row per Polygon or MultiPolygon feature: its properties and its rings, array<struct<part, hole, ring>>, the
+    first ring of each part the outer one. Other geometries are left out; a polygon without rings has an empty array.
+
+    A file holds one FeatureCollection; with lines, one feature in each line, so that large files are split."""
+    if lines:
+        feature = spark.read.schema(", ".join(map(" ".join, _FEATURE.items()))).json(path).select(F.struct("*").alias("f"))
+    else:
+        feature = spark.read.schema(f"features array<struct<{', '.join(map(': '.join, _FEATURE.items()))}>>").option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    parts = F.when(kind == "Polygon", F.array(F.from_json(text, _POLYGON))).when(kind == "MultiPolygon", F.from_json(text, f"array<{_POLYGON}>"))
+    ring = lambda points: F.transform(points, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    rings = F.flatten(F.transform(F.col("parts"), lambda part, i: F.transform(part, lambda points, k: F.struct(i.alias("part"), (k > 0).alias("hole"), ring(points).alias("ring")))))
+    return feature.select(F.col("f.properties").alias("properties"), parts.alias("parts")).where("parts is not null").select("properties", rings.alias("rings"))
 
 
 def read_lookup(spark: SparkSession, path: str, schema: str, cols: list[str]) -> DataFrame:
