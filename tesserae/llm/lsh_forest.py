@@ -8,9 +8,10 @@
 3. Candidates. Neighbours in a region, the nearest first, that agree in so many values (one byte of each) that a link is
    possible: CUTOFF of 128, where a pair at the threshold has 102 with a deviation of 4.5. They make tentative groups.
 4. Full sets. Each group, in blocks that share its smallest member where it is large, is searched breadth-first on whole sets.
-5. The rest. Where a group was cut into blocks or a region by longer prefixes, and classes of several components are left
-   in a region of DEPTH values, all members that aren't of the region's largest component are compared with all of the region, and
-   those that agree in CUTOFF values on whole sets. So neither depth nor blocks cost a link.
+5. The rest. Groups in several blocks, and those that meet in a region that longer prefixes cut, are looked at once more where
+   they hold several components: a pair can only link if the rarest members of the two sets, counted within the group,
+   meet; so of a group's documents those that aren't of its largest component are compared with few others, on whole sets. Neither
+   depth nor blocks cost a link.
 
 Defined cases: null texts and texts without words have n_shingles 0, are their own component and link with nothing; one
 word is one shingle; rows with a null id get a null component, link with nothing and are kept; rows that repeat an id
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
@@ -273,7 +274,7 @@ def verified(source: DataFrame, places: DataFrame, name: str) -> DataFrame:
 
 
 def first_links(source: DataFrame, heads: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of the tentative groups, and the groups (doc, grp, docs) that have them."""
+    """Links of the tentative groups, and the groups (doc, grp, cut: whether in several blocks)."""
     shallow = own.where(F.col("docs") <= REGION).select("doc", "order_no", "key")
     rows = shallow.unionByName(deepened(own, heads)).groupBy("doc").agg(F.collect_list(F.struct("key", F.xxhash64("doc", "order_no").alias("place"))).alias("own"))
     pairs = materialise(neighbours(_with_bytes(rows, heads)).distinct(), "candidates")
@@ -282,46 +283,60 @@ def first_links(source: DataFrame, heads: DataFrame, own: DataFrame) -> tuple[Da
     groups = materialise(groups.join(size, "grp"), "groups")
     places = groups.select("doc", F.col("grp").alias("key"), F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), F.col("doc").alias("label"))
     pivots = groups.where("doc = grp and blocks > 1").select("doc", F.col("grp").alias("key"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc").alias("label"))
-    return verified(source, places.unionByName(pivots), "first-links"), groups.where("blocks > 1").select("doc")
+    return verified(source, places.unionByName(pivots), "first-links"), groups.select("doc", "grp", (F.col("blocks") > 1).alias("cut"))
 
 
-def rest_links(source: DataFrame, heads: DataFrame, own: DataFrame, first: DataFrame, cut: DataFrame) -> DataFrame:
-    """Links between components that share a region which blocks or depth have cut. cut: documents of groups in several blocks."""
+def rest_members(heads: DataFrame, own: DataFrame, first: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc, grp, label, other, least: of groups in several blocks, and of all that meet in a full region, which are one group
+    here, where they hold several components; other: not of the group's largest one; least: the group's smallest set."""
     labels = components(first).toDF("doc", "label")
-    rows = own.join(labels, "doc", "left").join(cut.withColumn("cut", F.lit(True)), "doc", "left")
-    rows = rows.select("doc", "key", "docs", F.coalesce("label", "doc").alias("label"), ((F.col("docs") > REGION) | F.coalesce("cut", F.lit(False))).alias("cut"))
-    per = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.max("cut").alias("cut"))
-    mixed = per.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("cut").alias("cut"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = materialise(mixed.where("cut and low <> high").select("key", "main"), "mixed-regions")
-    blocks = F.ceil(F.col("docs") / REGION)
-    home = F.pmod(F.xxhash64("doc"), blocks)
-    placed = rows.drop("cut").join(mixed, "key").withColumns({"home": home, "other": F.col("label") != F.col("main")})
-    placed = placed.withColumn("block", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))))
-    placed = placed.groupBy("doc").agg(F.collect_list(F.struct("key", "block", "label", "other", (F.col("block") == F.col("home")).alias("home"))).alias("own"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _chunks(batches, ["key", "block"]):
-            key, block, doc, label = (part.column(c).to_numpy() for c in ("key", "block", "doc", "label"))
-            other, home = (part.column(c).to_numpy(zero_copy_only=False) for c in ("other", "home"))
-            sig = _stacked(part.column("bytes"), HASHES, np.uint8)
-            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
-            found = [np.empty((0, 2), np.int64)]
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                for i in (np.flatnonzero(other[a:b]) + a).tolist():
-                    mates = np.arange(a, b)[(label[a:b] != label[i]) & (home[a:b] | home[i])]
-                    mates = mates[np.count_nonzero(sig[mates] == sig[i], axis=1) >= CUTOFF]
-                    found.append(np.stack((np.full(len(mates), doc[i]), doc[mates]), axis=1))
-            x, y = np.concatenate(found).T
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-
-    pairs = _with_bytes(placed, heads).repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long")
-    pairs = materialise(pairs.distinct(), "rest-candidates")
-    # each straggler with its candidates, in blocks
+    full = own.where(F.col("docs") > REGION).select("doc", "key").distinct()
+    rows = heads.select("doc", "n").join(groups, "doc", "left").join(labels, "doc", "left").join(full.select("doc").distinct().withColumn("full", F.lit(True)), "doc", "left")
+    rows = rows.where("cut or full").select("doc", "n", F.coalesce("grp", "doc").alias("grp"), F.coalesce("label", "doc").alias("label"))
+    rows = materialise(rows, "rest-rows")
+    meet = full.join(rows.select("doc", "grp"), "doc")
+    glued = components(meet.join(meet.groupBy("key").agg(F.min("grp").alias("to")), "key").select(F.col("grp").alias("a"), F.col("to").alias("b")))
+    rows = rows.join(glued.toDF("grp", "to"), "grp", "left").select("doc", "n", "label", F.coalesce("to", "grp").alias("grp"))
+    per = rows.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"))
+    mixed = per.groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("least").alias("least")).where("low <> high")
+    return materialise(rows.join(mixed, "grp").select("doc", "grp", "label", (F.col("label") != F.col("main")).alias("other"), "least"), "rest-members")
+
+
+def rest_links(source: DataFrame, members: DataFrame) -> DataFrame:
+    """Links between components of one group. In an order of a group's grams by how many of its sets hold them, two linked sets
+    share one of the first n - o + 1, where o is the least overlap with a set of the group that a link of n members has."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in words.parcels(batches):
+            sets = _sets(texts)
+            of = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            n = np.array([len(s) for s in sets], np.int64)
+            mark = pa.array(np.array([int(s[0] ^ s[-1]) & (2**63 - 1) if len(s) else 0 for s in sets], np.int64))  # tells the texts of a repeated id apart
+            cols = [rows.column(c).take(of) for c in ("doc", "grp", "label", "other", "least")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n).take(of), mark.take(of), pa.array(words.signed(np.concatenate(sets)))], names=["doc", "grp", "label", "other", "least", "n", "mark", "gram"])
+
+    members = members.dropDuplicates(["doc"])
+    size = members.count()
+    rows = source.join(F.broadcast(members) if size <= BROADCAST_ROWS // 4 else members, "doc").mapInArrow(grams, "doc long, grp long, label long, other boolean, least long, n long, mark long, gram long")
+    rows = materialise(rows, "rest-grams")
+    held = rows.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("held"), F.count_if("other").alias("others")).where("held > 1 and others > 0")
+    # grams that one set holds, or none of those to be compared, come first; nobody shares them, so they count by their number
+    own = Window.partitionBy("doc", "n", "mark")
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * PER_CENT / 100))
+    overlap = F.ceil((F.col("n") + smallest) * PER_CENT / (100 + PER_CENT))
+    place = F.row_number().over(own.orderBy("held", "gram"))
+    shared = rows.join(held, ["grp", "gram"])
+    first = materialise(shared.withColumns({"place": place + alone, "most": F.col("n") - overlap + 1}).where("place <= most").select("doc", "n", "grp", "label", "other", "gram"), "rest-prefixes")
+    mates = first.select(F.col("doc").alias("b"), F.col("n").alias("m"), "grp", F.col("label").alias("with"), "gram")
+    near = 100 * F.least("n", "m") >= PER_CENT * F.greatest("n", "m")
+    pairs = first.where("other").join(mates, ["grp", "gram"]).where((F.col("label") != F.col("with")) & near).select(F.col("doc").alias("a"), "b").distinct()
+    pairs = materialise(pairs, "rest-candidates")
+    # each of them with its candidates, in blocks
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    mates = pairs.join(many, "a").select(F.col("b").alias("doc"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    stars = pairs.join(many, "a").select(F.col("b").alias("doc"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     selves = many.select(F.col("a").alias("doc"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    places = mates.unionByName(selves).join(labels, "doc", "left").select("doc", "key", "block", F.coalesce("label", "doc").alias("label"))
-    return verified(source, places, "rest-links")
+    return verified(source, stars.unionByName(selves).join(members.select("doc", "label"), "doc"), "rest-links")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,8 +346,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = rows.where("n > 0 and doc is not null")
     heads = materialise(some.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     own = regions(heads)
-    first, cut = first_links(source, heads, own)
-    rest = rest_links(source, heads, own, first, cut)
+    first, groups = first_links(source, heads, own)
+    rest = rest_links(source, rest_members(heads, own, first, groups))
     # an id whose rows differ belongs to several classes and joins them
     repeated = some.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc")
     reps = heads.select("h1", "h2", F.col("doc").alias("rep"))
