@@ -304,7 +304,8 @@ def rest_members(heads: DataFrame, own: DataFrame, first: DataFrame, groups: Dat
 
 def rest_links(source: DataFrame, members: DataFrame) -> DataFrame:
     """Links between components of one group. In an order of a group's grams by how many of its sets hold them, two linked sets
-    share one of the first n - o + 1, where o is the least overlap with a set of the group that a link of n members has."""
+    share one of the first n - o + 1, where o is the least overlap that a link of n members has with a set of the group, and at the
+    first one that they share as many are left in both as a link of their sizes needs."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in words.parcels(batches):
@@ -327,9 +328,10 @@ def rest_links(source: DataFrame, members: DataFrame) -> DataFrame:
     overlap = F.ceil((F.col("n") + smallest) * PER_CENT / (100 + PER_CENT))
     place = F.row_number().over(own.orderBy("held", "gram"))
     shared = rows.join(held, ["grp", "gram"])
-    first = materialise(shared.withColumns({"place": place + alone, "most": F.col("n") - overlap + 1}).where("place <= most").select("doc", "n", "grp", "label", "other", "gram"), "rest-prefixes")
-    mates = first.select(F.col("doc").alias("b"), F.col("n").alias("m"), "grp", F.col("label").alias("with"), "gram")
-    near = 100 * F.least("n", "m") >= PER_CENT * F.greatest("n", "m")
+    first = materialise(shared.withColumns({"place": place + alone, "most": F.col("n") - overlap + 1}).where("place <= most").select("doc", "n", "grp", "label", "other", "gram", "place"), "rest-prefixes")
+    mates = first.select(F.col("doc").alias("b"), F.col("n").alias("m"), "grp", F.col("label").alias("with"), "gram", F.col("place").alias("at"))
+    # nothing is shared before the first gram that is, so what follows it has to be enough
+    near = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= F.ceil((F.col("n") + F.col("m")) * PER_CENT / (100 + PER_CENT))
     pairs = first.where("other").join(mates, ["grp", "gram"]).where((F.col("label") != F.col("with")) & near).select(F.col("doc").alias("a"), "b").distinct()
     pairs = materialise(pairs, "rest-candidates")
     # each of them with its candidates, in blocks
