@@ -142,18 +142,16 @@ def flow(rows: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     """a, b, c, d, w of at least `least`: edges, and the counts of runs of three (d: ANY) and two words (c and d: ANY).
     One shuffle by node gives edges and nodes; sums by the first two words are combined before theirs."""
     any_, end = F.lit(ANY), F.lit(END)
-    row = lambda c, d: F.struct(c.alias("c"), d.alias("d"), "w")
     c, d, heavy = F.col("c"), F.col("d"), F.col("w") >= least
-
-    def summed(rows: DataFrame, *parts: Column) -> DataFrame:
-        """Each row as some others, and their sums."""
-        x = F.explode(F.array_compact(F.array(*parts)))
-        return rows.select("a", "b", x.alias("x")).select("a", "b", "x.*").groupBy("a", "b", "c", "d").agg(F.sum("w").alias("w"))
-
+    told = lambda *parts: F.explode(F.array(*parts)).alias("x")
     edge_rows = rows.repartition("a", "b", "c").groupBy("a", "b", "c", "d").agg(F.sum("w").alias("w"))
-    nodes = summed(edge_rows, row(c, any_), F.when(heavy & (d != end), row(c, d)))
+    # a node's columns pass as they are, so its sum needs no other shuffle
+    of_node = told(F.struct(any_.alias("d"), "w"), F.when(heavy & (d != end), F.struct("d", "w")))
+    nodes = edge_rows.select("a", "b", "c", of_node).where("x is not null").select("a", "b", "c", "x.d", "x.w").groupBy("a", "b", "c", "d").agg(F.sum("w").alias("w"))
+    row = lambda c, d: F.struct(c.alias("c"), d.alias("d"), "w")
     edge = d != any_
-    return summed(nodes, F.when(edge, row(c, d)), F.when(~edge, row(any_, any_)), F.when(~edge & heavy & (c != end), row(c, any_))).where(heavy)
+    of_two = told(F.when(edge, row(c, d)), F.when(~edge, row(any_, any_)), F.when(~edge & heavy & (c != end), row(c, any_)))
+    return nodes.select("a", "b", of_two).where("x is not null").select("a", "b", "x.*").groupBy("a", "b", "c", "d").agg(F.sum("w").alias("w")).where(heavy)
 
 
 def paths(heavy: DataFrame) -> DataFrame:
