@@ -1,4 +1,4 @@
-"""Aggregations (A1-A31). Null keys are left out, as the reference semantics have it, unless said otherwise."""
+"""Aggregations (A1-A31). Null keys are left out unless said otherwise."""
 
 from __future__ import annotations
 

@@ -47,7 +47,7 @@ def mae(draws: DataFrame, observed: DataFrame) -> DataFrame:
 
 def crps(draws: DataFrame, observed: DataFrame, against: str = "observed") -> DataFrame:
     """E7. Mean CRPS of a normal with the draws' mean and sample standard deviation (1e-6 at least), against the
-    observed count or, as the reference has it, against the draws' own median."""
+    observed count or, for parity, against the draws' own median."""
     moments = draws.groupBy(*CELL).agg(
         F.avg("value").alias("m"), F.greatest(F.stddev_samp("value"), F.lit(1e-6)).alias("s"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("median")
     )

@@ -11,6 +11,7 @@ from tesserae.operators import features as ft
 from tesserae.operators import joins, model, panel, spatial
 from tesserae.plans import frames as fr
 from tesserae.plans.frames import ATTRS, BRICKS, DAY, DRAWS, INC, MONTHS, OVERLAY, PANEL, PLOTS, POINTS, SHAPES_SQL, SQUARES, TOUCH, Query
+from tesserae.sources.shared import materialise
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -213,10 +214,21 @@ def m7(s: SparkSession, d: str) -> DataFrame:
     return panel.stack(out)
 
 
-def _fitted(s: SparkSession, d: str, cols: list[str] = SMALL):
+def _split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
+    """Rows to learn from, the last three months, and the groups. The frame is written once, so no fit runs its feature plan again."""
     df, groups = _features(s, d)
-    train, test = ft.split_last_n(df, 3)
-    return train.persist(), test, groups, model.fit_rate(train, cols, 0.01)
+    train, test = ft.split_last_n(materialise(df, "features"), 3)
+    return train, test, groups
+
+
+def _fitted(s: SparkSession, d: str, cols: list[str] = SMALL):
+    train, test, groups = _split(s, d)
+    return train, test, groups, model.fit_rate(train, cols, 0.01)
+
+
+def _areas_of(df: DataFrame) -> DataFrame:
+    """area, ward: five wards of the panel's areas."""
+    return df.select("area", (c("area") % 5).alias("ward")).distinct()
 
 
 def m8(s: SparkSession, d: str) -> DataFrame:
@@ -250,23 +262,31 @@ def m12(s: SparkSession, d: str) -> DataFrame:
     return model.coef_summary(s, fit, groups)
 
 
+def m9_joint(s: SparkSession, d: str) -> DataFrame:
+    train, _, _ = _split(s, d)
+    fit, effects = model.fit_joint(train, SMALL, _areas_of(train), 0.01)
+    out = s.createDataFrame([("intercept", fit.intercept), *zip(fit.cols, fit.coefficients, strict=True)], "name string, b double")
+    return out.unionByName(effects.select(F.concat(F.lit("area "), "area").alias("name"), F.log("effect").alias("b")))
+
+
 def m14(s: SparkSession, d: str) -> DataFrame:
-    train, test, _, _ = _fitted(s, d)
-    return model.grid_search(train, test, SMALL, [0.0, 0.01, 0.1])
+    train, test, groups = _split(s, d)
+    return model.grid_search(train, test, ft.select_groups(train, groups), [0.0, 0.001, 0.01, 0.1, 1.0], ["log", "sqrt"])
 
 
 def m15(s: SparkSession, d: str) -> DataFrame:
-    return model.cross_validate(_features(s, d)[0].persist(), SMALL, 3)
+    df = materialise(_features(s, d)[0], "features")
+    return model.cross_validate(df, SMALL, 12, wards=_areas_of(df))
 
 
 def m16(s: SparkSession, d: str) -> DataFrame:
-    train, test, _, _ = _fitted(s, d)
-    return model.train_eval(train, test, SMALL, wards=train.select("area", (c("area") % 5).alias("ward")).distinct())
+    train, test, _ = _split(s, d)
+    return model.train_eval(train, test, SMALL, wards=_areas_of(train))
 
 
 def m17(s: SparkSession, d: str) -> DataFrame:
-    train, test, _, _ = _fitted(s, d)
-    return model.select_forward(train, test, SMALL[:4], 2)
+    train, test, groups = _split(s, d)
+    return model.select_forward(train, test, ft.select_groups(train, groups), 5)
 
 
 def m18(s: SparkSession, d: str) -> DataFrame:
@@ -275,7 +295,8 @@ def m18(s: SparkSession, d: str) -> DataFrame:
 
 
 def m19(s: SparkSession, d: str) -> DataFrame:
-    return model.select_projection(_fitted(s, d)[0], SMALL[:4], 2)
+    train, _, groups = _split(s, d)
+    return model.select_projection(train, ft.select_groups(train, groups), 5)
 
 
 def m20(s: SparkSession, d: str) -> DataFrame:
@@ -308,6 +329,7 @@ add(
         o AS (SELECT ward, {_K.replace('Y', 'y').replace('M', 'm')} AS k FROM i GROUP BY ward)
         SELECT area, i.ward, round(e, 6) AS ward_effect, round((y + k * e) / (mu + k), 6) AS effect, round(1 / sqrt(y + k * e), 6) AS spread FROM i JOIN o ON o.ward = i.ward""",
 )
+add("m9_joint_fit", m9_joint)
 add("m10_predict_rate", m10)
 add(
     "m11_draw_counts",
