@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import jaccard
+from tesserae.llm import exact_dedup, jaccard
 from tesserae.llm.components import components
-from tesserae.llm.exact_dedup import drop_exact_copies, exact_groups
+from tesserae.llm.exact_dedup import _rows, content_runs, drop_exact_copies, exact_groups
 from tesserae.llm.jaccard import drop_near_copies, jaccard_components
 from tesserae.llm.line_dedup import line_dedup, verified, within_edits, without_dropped_lines
 from tesserae.llm.queries import oracle_sql, queries
@@ -40,6 +40,32 @@ def test_exact_edges(spark):
     assert exact_groups(table(spark, [])).count() == 0 and drop_exact_copies(table(spark, [])).count() == 0
 
 
+def test_neighbours_find_every_copy(spark):
+    """All copies of the given table come out of comparisons of neighbours in the content sort."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    copies = docs.count() - docs.select(exact_dedup.normalised(F.col("text"))).distinct().count()
+    assert copies > 0
+    assert content_runs(_rows(docs, "doc_id", "text"), "lead", "hash").where("run_place > 1").count() == copies
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 1000])
+def test_crowded_texts_are_split_and_meet_again(spark, monkeypatch, crowd):
+    monkeypatch.setattr(exact_dedup, "CROWD", crowd)
+    rows = [(i, "many  copies") for i in range(500, 540)] + [(None, "many copies")] * 25 + [(None, "only nulls")] * 30 + [(7, "same id")] * 9 + [(i, f"t{i % 4}") for i in range(600, 616)] + edge_rows()
+    docs = table(spark, rows).repartition(5)
+    out = exact_groups(docs).collect()
+    by = defaultdict(list)
+    for i, t in rows:
+        by[hashlib.sha256(re.sub(r"[\x20\x09-\x0d]+", " ", t or "").encode()).hexdigest()].append(i)
+    assert len(out) == len(rows) and sum(r["kept"] for r in out) == len(by)
+    for r in out:
+        own = by[r["text_sha256"]]
+        assert r["group_size"] == len(own) and r["keep_id"] == min((i for i in own if i is not None), default=None)
+        assert not r["kept"] or r["doc_id"] == r["keep_id"]
+    kept = drop_exact_copies(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(min((i for i in own if i is not None), default=None)) for own in by.values())
+
+
 def brute_components(rows):
     sets, parent = {}, {}
     for i, t in rows:
