@@ -6,6 +6,8 @@ shared folder each round, so that lineage stays short and a lost executor costs
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from tesserae.sources.shared import materialise
 #: Road classes of the two cost rules.
 MAIN_ROADS = ["motorway", "trunk", "primary", "secondary"]
 QUIET_ROADS = ["residential", "living_street", "tertiary", "unclassified"]
+#: Chains are contracted from this share of nodes on; rows that a search for shortcuts has for each road; tables of new distances that
+#: are read together before they become one.
+CHAINS, SHORTCUTS, COMPACT = 0.1, 64, 8
 
 
 def edge_cost(edges: DataFrame, rule: str) -> DataFrame:
@@ -80,23 +85,77 @@ def largest_scc(edges: DataFrame) -> DataFrame:
     return edges.join(keep.withColumnRenamed("node", "u"), ["ward", "u"], "left_semi").join(keep.withColumnRenamed("node", "v"), ["ward", "v"], "left_semi")
 
 
+def _shortest(edges: DataFrame) -> DataFrame:
+    return edges.where("u <> v").groupBy("ward", "u", "v").agg(F.min("w").alias("w"))
+
+
+def contracted(roads: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """roads between the nodes that aren't a source and have other than two neighbours, chains of nodes with two as one edge each; and
+    (ward, node, end, w) for the nodes of chains: both ends, and how far they are. None where few nodes are in chains.
+
+    Each edge into a chain points to the last edge of what is known of its way; pointers double each round, so rounds grow
+    with the logarithm of the longest chain. Rings that no other road meets are left out, since no source reaches them."""
+    degree = roads.groupBy("ward", "u").agg(F.count(F.lit(1)).alias("c")).join(sources.select("ward", F.col("node").alias("u"), F.lit(True).alias("s")).distinct(), ["ward", "u"], "left")
+    inner = materialise(degree.select("ward", "u", ((F.col("c") == 2) & F.col("s").isNull()).alias("inner")), "chain-nodes")
+    n = inner.agg(F.count_if("inner").alias("inner"), F.count(F.lit(1)).alias("all")).first()
+    if n["inner"] < n["all"] * CHAINS:
+        return roads, None
+    chain = inner.where("inner").select("ward", F.col("u").alias("node"))
+    ends = lambda df, c, name: df.join(chain.select("ward", F.col("node").alias(c), F.lit(True).alias(name)), ["ward", c], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    ways = ends(roads.withColumns({"a": F.col("u"), "b": F.col("v")}), "b", "open")
+    ways = materialise(ways.select("ward", "u", "v", "a", "b", "w", "open"), "ways")
+    for _ in range(max(1, int(n["inner"]).bit_length()) + 1):
+        if ways.where("open").isEmpty():
+            break
+        on = ways.select("ward", F.col("u").alias("b"), F.col("v").alias("_v"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("w").alias("_w"), F.col("open").alias("_open"))
+        moved = ways.where("open").join(on, ["ward", "b"]).where("_v <> a").select("ward", "u", "v", F.col("_a").alias("a"), F.col("_b").alias("b"), (F.col("w") + F.col("_w")).alias("w"), F.col("_open").alias("open"))
+        ways = materialise(ways.where("not open").unionByName(moved), "ways")
+    ways = ends(ways.where("not open"), "u", "from_chain")
+    kept = _shortest(ways.where("not from_chain").select("ward", "u", F.col("b").alias("v"), "w"))
+    inside = ways.where("from_chain").groupBy("ward", F.col("u").alias("node"), F.col("b").alias("end")).agg(F.min("w").alias("w"))
+    return materialise(kept, "contracted"), materialise(inside, "inside-chains")
+
+
+def with_shortcuts(roads: DataFrame) -> DataFrame:
+    """roads, and edges for ways of two, then of four of them, as long as the join that finds them has SHORTCUTS times as many rows as
+    there are roads at most. A round over these goes as far as several over roads."""
+    first = roads.count()
+    for _ in range(2):
+        pairs = roads.groupBy("ward", "u").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+        if pairs > SHORTCUTS * first:
+            break
+        two = roads.select("ward", F.col("u").alias("m"), "v", F.col("w").alias("_w")).join(roads.select("ward", "u", F.col("v").alias("m"), "w"), ["ward", "m"])
+        roads = materialise(_shortest(roads.unionByName(two.select("ward", "u", "v", (F.col("w") + F.col("_w")).alias("w")))), "shortcuts")
+    return roads
+
+
 def multi_source_dist(edges: DataFrame, sources: DataFrame, cost: str = "length") -> DataFrame:
-    """K5. ward, source, node, dist: least cost from each source (ward, node), edges taken both ways. Each round only
-    the distances that have just become smaller go on, until there are none. Edges without a cost lead nowhere; costs
-    below 0 are an error, since distances would have no end."""
+    """K5. ward, source, node, dist: least cost from each source (ward, node), edges taken both ways. Long roads become one edge, and
+    ways of a few edges shortcuts; then each round only distances that have just become smaller go on, and only these are
+    written, until there are none. Edges without a cost lead nowhere; costs below 0 are an error, since distances would have no end."""
     one = edges.select("ward", "u", "v", F.col(cost).cast("double").alias("w")).where("w is not null")
-    both = one.unionByName(one.select("ward", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    both = materialise(both.groupBy("ward", "u", "v").agg(F.min("w").alias("w")), "roads")
+    both = materialise(_shortest(one.unionByName(one.select("ward", F.col("v").alias("u"), F.col("u").alias("v"), "w"))), "roads")
     if not both.where("w < 0").isEmpty():
         raise ValueError("edges with a cost below 0")
-    dist = materialise(sources.select("ward", F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(True).alias("new")).distinct(), "distances")
-    while True:
-        front = dist.where("new").select("ward", "source", F.col("node").alias("u"), "dist")
-        if front.isEmpty():
-            return dist.drop("new")
-        step = front.join(both, ["ward", "u"]).groupBy("ward", "source", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("d"))
-        joined = dist.drop("new").join(step, ["ward", "source", "node"], "full")
-        dist = materialise(joined.select("ward", "source", "node", F.least("dist", "d").alias("dist"), F.coalesce(F.col("d") < F.col("dist"), F.col("dist").isNull()).alias("new")), "distances")
+    roads, inside = contracted(both, sources)
+    roads = with_shortcuts(roads)
+    key = ["ward", "source", "node"]
+    front = materialise(sources.select("ward", F.col("node").alias("source"), "node", F.lit(0.0).alias("dist")).distinct(), "distances")
+    written = [front]
+    known = front
+    while not front.isEmpty():
+        ahead = front.select("ward", "source", F.col("node").alias("u"), "dist").join(roads, ["ward", "u"])
+        step = ahead.groupBy("ward", "source", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        better = step.join(known.withColumnRenamed("dist", "_d"), key, "left").where("_d is null or dist < _d").drop("_d")
+        front = materialise(better, "distances")
+        written.append(front)
+        if len(written) > COMPACT:
+            written = [materialise(reduce(DataFrame.unionByName, written).groupBy(*key).agg(F.min("dist").alias("dist")), "distances")]
+        known = reduce(DataFrame.unionByName, written).groupBy(*key).agg(F.min("dist").alias("dist"))
+    if inside is not None:
+        along = inside.join(known.withColumnRenamed("node", "end"), ["ward", "end"]).groupBy(*key).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        known = known.unionByName(along)
+    return materialise(known, "distances")
 
 
 def distance_table(dist: DataFrame, waypoints: DataFrame) -> DataFrame:

@@ -277,7 +277,8 @@ _num = lambda s, d: t("lineitem")(s, d).select("l_quantity", "l_extendedprice",
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 add("a24_target_corr", lambda s, d: agg.target_corr(_num(s, d), _NUM[1:], "l_quantity"), " UNION ALL ".join(f"SELECT '{x}' AS \"column\", round(corr({x}, l_quantity), 6) AS r FROM lineitem" for x in _NUM[1:]))
 add("a25_corr_matrix", lambda s, d: agg.corr_matrix(_num(s, d), _NUM), " UNION ALL ".join(f"SELECT {i}::INT AS i, {j}::INT AS j, '{a}' AS a, '{b}' AS b, round(abs(corr({a}, {b})), 6) AS r FROM lineitem" for i, a in enumerate(_NUM) for j, b in enumerate(_NUM)))
-add("a26_high_corr_pairs", lambda s, d: agg.high_corr_pairs(_num(s, d), _NUM, 0.3), " UNION ALL ".join(f"SELECT * FROM (SELECT '{a}' AS a, '{b}' AS b, round(abs(corr({a}, {b})), 6) AS r FROM lineitem) WHERE r > 0.3" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]))
+_WIDE = {"quantity_sq": "l_quantity * l_quantity", "charge": "l_extendedprice * (1 - l_discount)", "gross": "l_extendedprice * (1 + l_tax)"}
+add("a26_high_corr_pairs", lambda s, d: agg.high_corr_pairs(_num(s, d).withColumns({k: F.expr(v) for k, v in _WIDE.items()}), [*_NUM, *_WIDE], 0.9), "WITH w AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _WIDE.items()) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{a}' AS a, '{b}' AS b, round(abs(corr({a}, {b})), 6) AS r FROM w) WHERE r > 0.9" for i, a in enumerate([*_NUM, *_WIDE]) for b in [*_NUM, *_WIDE][i + 1 :]))
 add("a27_describe", lambda s, d: agg.describe(_num(s, d), _NUM[:2]), " UNION ALL ".join(f"SELECT '{x}' AS \"column\", count({x}) AS count, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, min({x}) AS min, round(quantile_cont({x}, 0.25), 6) AS q1, round(quantile_cont({x}, 0.5), 6) AS median, round(quantile_cont({x}, 0.75), 6) AS q3, max({x}) AS max FROM lineitem" for x in _NUM[:2]))
 add("a28_extent", lambda s, d: agg.extent(fr.points(s, d)), f"WITH {fr.POINTS} SELECT round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(max(x), 6) AS x1, round(max(y), 6) AS y1 FROM points")
 add("a29_empty_share", lambda s, d: agg.empty_share(_point(s, d).select(c("p").alias("point"))), f"SELECT round(avg((x0 IS NULL)::INT) * 100, 6) AS empty_pct FROM ({_POINT})")
