@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.aggregate import first_valid
 from tesserae.operators.joins import panel_grid
+from tesserae.sources.shared import materialise
 
 
 def _by_area(area: str = "area", month: str = "month"):
@@ -55,15 +56,19 @@ def group_mean(df: DataFrame, value: str, key: str = "month") -> DataFrame:
     return df.join(df.groupBy(key).agg(F.avg(value).alias(f"mean_{value}")), key)
 
 
-def index_keys(df: DataFrame, key: str, start: int = 0) -> DataFrame:
-    """W7. key, idx: dense numbers of the distinct keys in order, without a global window: offsets come from the sizes
-    of range partitions."""
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    part = keys.withColumn("_p", F.spark_partition_id())
-    counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min(key).alias("_low"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = part.join(before.select("_p", "_before"), "_p")
-    return placed.select(key, (F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1 + F.col("_before") + start).cast("long").alias("idx"))
+def index_keys(df: DataFrame, key: str, start: int = 0, order: Column | None = None) -> DataFrame:
+    """W7. key, idx: dense numbers of the distinct keys, in the order in which they first appear by order, or in their own; ties go to
+    the smaller key. The table serves both directions.
+
+    There is no global window: keys are range-partitioned and written with their partition, whose sizes, one row each, give
+    the offsets; so both uses of a partition's number see the same rows."""
+    first = F.min(F.col(key) if order is None else order).alias("_first")
+    keys = df.where(F.col(key).isNotNull()).groupBy(key).agg(first).repartitionByRange("_first", key)
+    part = materialise(keys.withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_first", key)) - 1
+    return part.join(before.select("_p", "_before"), "_p").select(key, (place + F.col("_before") + start).cast("long").alias("idx"))
 
 
 def budget_pick(df: DataFrame, cap: int, group: str, guaranteed: str, score: str, tie: str) -> DataFrame:

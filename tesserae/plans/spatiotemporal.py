@@ -12,6 +12,7 @@ from tesserae.operators import joins, model, panel, spatial
 from tesserae.plans import frames as fr
 from tesserae.plans.frames import ATTRS, BRICKS, DAY, DRAWS, INC, MONTHS, OVERLAY, PANEL, PLOTS, POINTS, SHAPES_SQL, SQUARES, TOUCH, Query
 from tesserae.sources.shared import materialise
+from tesserae.sources.tables import read_table
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +42,7 @@ add("w5_earliest_per", lambda s, d: panel.earliest_per(_counts(s, d)), f"WITH {_
 add("w6_group_mean", lambda s, d: panel.group_mean(fr.panel(s, d), "n"), f"WITH {PANEL} SELECT area, {DAY}, n, round(avg(n) OVER (PARTITION BY panel.month), 6) AS mean_n FROM panel")
 add("w7_index_keys", lambda s, d: panel.index_keys(fr.incidents(s, d), "part"), f"WITH {INC} SELECT part, row_number() OVER (ORDER BY part) - 1 AS idx FROM (SELECT DISTINCT part FROM inc)")
 _budget = lambda s, d: fr.areas(s, d).withColumn("sure", c("area") % 5 == 0)
+add("w7_index_appearance", lambda s, d: panel.index_keys(read_table(s, d, "lineitem"), "l_partkey", order=F.expr("-l_orderkey * 10 + l_linenumber")), "SELECT l_partkey, row_number() OVER (ORDER BY min(-l_orderkey * 10 + l_linenumber), l_partkey) - 1 AS idx FROM lineitem GROUP BY l_partkey")
 add("w8_budget_pick", lambda s, d: panel.budget_pick(_budget(s, d), 3, "ward", "sure", "balance", "area"), "SELECT s_suppkey AS area, s_nationkey AS ward, round(s_acctbal, 6) AS balance, s_suppkey % 5 = 0 AS sure FROM supplier QUALIFY s_suppkey % 5 = 0 OR row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_suppkey % 5 = 0) DESC, s_acctbal DESC, s_suppkey) <= 3")
 add("n1_replicate", lambda s, d: panel.replicate(fr.areas(s, d).select("area"), "2015-01-01", "2019-01-01"), "SELECT s_suppkey AS area, strftime(m, '%Y-%m-%d') AS month FROM supplier, (SELECT unnest(generate_series(DATE '2015-01-01', DATE '2018-12-01', INTERVAL 1 MONTH)) AS m)")
 _am = lambda s, d: fr.attrs_monthly(s, d)

@@ -187,3 +187,17 @@ def test_shrink_and_resolve(spark):
     out = clean.shrink_numeric(spark.createDataFrame([(1, 70000, 0.5)], "a bigint, b bigint, c double"))
     assert [t for _, t in out.dtypes] == ["tinyint", "int", "float"]
     assert clean.resolve_col(out, "key", ["zz", "A"]).columns[0] == "key"
+
+
+def test_keys_are_numbered_by_appearance(spark):
+    """Over several ranges, with adaptive execution, ties and nulls; and in their own order without one."""
+    n = 3000
+    rows = spark.range(n).selectExpr("(id * 7919) % 997 AS k", "id % 500 AS o").repartition(7).unionByName(spark.createDataFrame([(None, 1)], "k long, o long"))
+    seen = {}
+    for i in range(n):
+        k, o = (i * 7919) % 997, i % 500
+        seen[k] = min(o, seen.get(k, o))
+    want = {k: i for i, (_, k) in enumerate(sorted((o, k) for k, o in seen.items()))}
+    assert {r["k"]: r["idx"] for r in panel.index_keys(rows, "k", order=F.col("o")).collect()} == want
+    assert {r["k"]: r["idx"] for r in panel.index_keys(rows, "k", 5).collect()} == {k: i + 5 for i, k in enumerate(sorted(seen))}
+    assert panel.index_keys(rows.where("false"), "k").count() == 0
