@@ -87,11 +87,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns, dealt out by hash: in content order, near copies and long texts of one make would
+    stand in the same tasks of whatever comes next."""
     plain, crowd = _apart(docs, id_col, text_col, F.struct("*").alias("row"))
-    out = content_runs(plain, "lead", "hash").where("run_place = 1").select("row.*")
-    if crowd is None:
-        return out
-    heads = content_runs(crowd, "lead", "hash", "salt").where("run_place = 1").drop("id")
-    place = Window.partitionBy("lead", "hash", "norm").orderBy(F.asc_nulls_last("run_keep"), "salt")
-    return out.unionByName(heads.repartitionByRange("lead", "hash").withColumn("place", F.row_number().over(place)).where("place = 1").select("row.*"))
+    out = content_runs(plain, "lead", "hash").where("run_place = 1").select("hash", "row")
+    if crowd is not None:
+        heads = content_runs(crowd, "lead", "hash", "salt").where("run_place = 1").drop("id")
+        place = Window.partitionBy("lead", "hash", "norm").orderBy(F.asc_nulls_last("run_keep"), "salt")
+        met = heads.repartitionByRange("lead", "hash").withColumn("place", F.row_number().over(place)).where("place = 1")
+        out = out.unionByName(met.select("hash", "row"))
+    return out.repartition("hash").select("row.*")
