@@ -42,8 +42,9 @@ _POLYGON = "array<array<array<double>>>"
 
 
 def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """S6. One row per Polygon or MultiPolygon feature: its properties and its rings, array<struct<part, hole, ring>>, the
-    first ring of each part the outer one. Other geometries are left out; a polygon without rings has an empty array.
+    """S6. One row per Polygon or MultiPolygon feature: its properties, its rings, array<struct<part, hole, ring>>, the first
+    ring of each part the outer one, and as ring the outer one of the first part. Other geometries are left out; a polygon
+    without rings has an empty array.
 
     A file holds one FeatureCollection; with lines, one feature in each line, so that large files are split."""
     if lines:
@@ -54,7 +55,7 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     parts = F.when(kind == "Polygon", F.array(F.from_json(text, _POLYGON))).when(kind == "MultiPolygon", F.from_json(text, f"array<{_POLYGON}>"))
     ring = lambda points: F.transform(points, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     rings = F.flatten(F.transform(F.col("parts"), lambda part, i: F.transform(part, lambda points, k: F.struct(i.alias("part"), (k > 0).alias("hole"), ring(points).alias("ring")))))
-    return feature.select(F.col("f.properties").alias("properties"), parts.alias("parts")).where("parts is not null").select("properties", rings.alias("rings"))
+    return feature.select(F.col("f.properties").alias("properties"), parts.alias("parts")).where("parts is not null").select("properties", rings.alias("rings")).withColumn("ring", F.get("rings", F.lit(0))["ring"])
 
 
 def read_lookup(spark: SparkSession, path: str, schema: str, cols: list[str]) -> DataFrame:

@@ -132,7 +132,7 @@ def test_clip_of_slanted_shapes(spark):
 def test_nearest_far_away(spark):
     points = spark.createDataFrame([("p", 0.0, 0.0), ("q", 900.0, 0.0)], "point string, x double, y double")
     nodes = spark.createDataFrame([(1, 500.0, 0.0), (2, 905.0, 0.0)], "node int, x double, y double")
-    assert {tuple(r) for r in spatial.nearest(points, nodes, 1.0).collect()} == {("p", 1, 500.0), ("q", 2, 5.0)}
+    assert {tuple(r) for r in spatial.nearest(points, nodes).collect()} == {("p", 1, 500.0), ("q", 2, 5.0)}
 
 
 def test_geometry(spark):
