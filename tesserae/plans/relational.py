@@ -58,6 +58,12 @@ def s4(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path)
 
 
+def s4_place(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "by-place")
+    tables.write_by_place(fr.points(s, d), path)
+    return tables.read_box(s, path, 1.0, 2.0, 3.5, 9.0)
+
+
 def s5(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "summary")
     tables.write_csv(agg.count_sparse(fr.incidents(s, d), ["area"]), path)
@@ -116,6 +122,7 @@ add("s1_read_extracts", s1, f"WITH {INC} SELECT status, count(*) AS n, round(sum
 add("s2_csv_to_parquet", s2, _EX + " WHERE status = 'F'")
 add("s3_read_table", lambda s, d: customer(s, d), "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
 add("s4_write_sorted", s4, _EX)
+add("s4_write_by_place", s4_place, f"WITH {fr.POINTS} SELECT point, round(x, 6) AS x, round(y, 6) AS y FROM points WHERE x BETWEEN 1 AND 3.5 AND y BETWEEN 2 AND 9")
 add("s5_write_csv", s5, f"WITH {INC} SELECT area, count(*) AS n FROM inc GROUP BY area")
 _outline = {k: sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for r in fr.SHAPE_RINGS if r[0] == k for a, b in zip(r[3], [*r[3][1:], r[3][0]], strict=True)) for k in range(5)}
 _RINGS = ", ".join(f"({k}, {_outline[k]}, {len(own)}, {max(r[1] for r in own) + 1}, {sum(r[2] for r in own)}, {sum(len(r[3]) for r in own)})" for k in range(5) for own in [[r for r in fr.SHAPE_RINGS if r[0] == k]])

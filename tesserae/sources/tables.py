@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions.geometry import hilbert_key
+
 
 def read_extracts(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
     """S1. All CSV files below root whose name contains pattern; columns by name; empty when there is none."""
@@ -31,6 +33,22 @@ def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
     df.orderBy(*keys).write.option("compression", "gzip").parquet(path)
 
 
+def write_by_place(df: DataFrame, path: str, x: str = "x", y: str = "y", files: int | None = None) -> None:
+    """S4, by geometry. Range-partitioned and sorted along a Hilbert curve over the points' square, so each file and row group
+    covers a small box and the scan's own statistics on x and y leave out all others; rows without a point come first."""
+    low = df.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
+    x0, y0, side = (0.0, 0.0, 1.0) if None in low else (low[0], low[1], max(low[2] - low[0], low[3] - low[1]) or 1.0)
+    key = hilbert_key(F.col(x), F.col(y), F.lit(float(x0)), F.lit(float(y0)), F.lit(float(side)), 16)
+    keyed = df.withColumn("_place", F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), key))
+    dealt = keyed.repartitionByRange(files, "_place") if files else keyed.repartitionByRange("_place")
+    dealt.sortWithinPartitions("_place").drop("_place").write.option("compression", "gzip").parquet(path)
+
+
+def read_box(spark: SparkSession, path: str, x0: float, y0: float, x1: float, y1: float, x: str = "x", y: str = "y") -> DataFrame:
+    """The rows of a table whose points lie within a box, borders included; both conditions reach the scan."""
+    return spark.read.parquet(path).where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """S5. CSV with a header."""
     df.write.option("header", True).csv(path)
