@@ -53,10 +53,11 @@ def license_rows():
 
 
 def test_license_brute_force(spark):
-    rows = license_rows()
+    rows = license_rows() + [(None, "cc by nc"), (None, "cc by nc"), (None, None), (None, "")]
     out = license_scan(table(spark, rows)).collect()
+    assert len(out) == len(rows)
     expected = Counter()
-    for i, t in {(i, t) for i, t in rows}:
+    for i, t in rows:  # repeated rows and rows with a null id have a result each
         w = alnum(t)
         hits = [(p, label) for phrase, label in PHRASES.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
         at = [p for p, _ in hits]
@@ -68,6 +69,18 @@ def test_license_brute_force(spark):
     assert license_scan(table(spark, [])).count() == 0
 
 
+def test_license_templates_of_any_length(spark):
+    whole = prose(21, 400).split()  # seven masks
+    changed = whole[:100] + ["new", "words"] + whole[100:300] + whole[301:]
+    rows = [(1, " ".join(whole)), (2, " ".join(["so"] * 9 + changed)), (3, " ".join(whole[:300])), (4, " ".join(whole[80:] + whole[:80])), (5, "short words here too"), (5, "short words here too")]
+    own = spark.createDataFrame([(" ".join(whole), "long", False), ("short words here", "short", True), ("short words here", "other", True)], "text string, label string, exact boolean")
+    out = sorted((r["doc_id"], r["labels"], r["n_base"], round(r["score"] * 400)) for r in license_scan(table(spark, rows), templates=own).collect())
+    # a cut leaves the words beside it covered by grams of one side each
+    assert out == [(1, "long", 0, 400), (2, "long", 0, 399), (3, "", 0, 0), (4, "long", 0, 320), (5, "other,short", 2, 400), (5, "other,short", 2, 400)]
+    with pytest.raises(Exception, match="a template needs 3 words"):
+        license_scan(table(spark, rows), templates=spark.createDataFrame([("mit license", "mit", True)], "text string, label string, exact boolean")).collect()
+
+
 def test_license_on_documents(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     for r in queries()["op1_license_scan"](spark, SF).collect():
