@@ -9,9 +9,12 @@
    valid class is the outer one; another nests in it if in every page all its tokens stand between the same two tokens
    of the outer one, and is left out otherwise. Together, in page order, they are the host's template.
 4. A page is aligned to its host's template: of its tokens, those of the longest run in the template's order. Texts that
-   aren't aligned stand in slots, whose content varies over the pages. Places in menus, adverts, forms and the like,
-   by fixed names, are left out. If an article place, by fixed names and aligned, holds a slot, it is kept whole; else all
-   slots are kept; and where nothing varies, all that isn't left out.
+   aren't aligned stand in slots, whose content varies over the pages. Elements that are menus, forms and the like are
+   left out; so are containers whose class names or ids say so: names made of such words alone anywhere, names that only
+   hold such a word outside of the article, and inside of it where the template has the container as well.
+5. If an article place, by fixed names and aligned, holds a slot, it is the text, but for aligned blocks that nearly all
+   pages of a large host repeat, if they are the smaller part of it; else all slots that aren't mostly links are; and
+   where nothing varies, all that isn't left out.
 
 Pages of hosts without a valid class (too few pages) are read with their own markup as the template.
 
@@ -37,8 +40,11 @@ from tesserae.llm.storage import materialise, short_batches
 
 #: A class is valid with so many tokens in so large a share of the host's pages, and in this many pages at least.
 CLASS_TOKENS, CLASS_SHARE, CLASS_PAGES = 3, 0.5, 3
-#: Templates of at most so many hosts are sent to all executors; with more, pages are joined to them by host.
-BROADCAST_HOSTS = 20_000
+#: A text is repeated by a whole host if so large a share of its pages has it, and the host has so many pages. A smaller
+#: share may be copies of one article.
+STEADY_SHARE, STEADY_PAGES = 0.9, 8
+#: Names or templates of at most so many bytes are sent to all executors; with more, pages are joined to them by host.
+BROADCAST_BYTES = 16 << 20
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,7 +55,7 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 ARTICLE = frozenset("article main".split())
-SKIPPED = frozenset("nav aside footer form script style noscript template iframe svg button select option menu dialog textarea input head title".split())
+SKIPPED = frozenset("nav aside footer form script style noscript template iframe svg button select option menu dialog textarea input label fieldset legend datalist head title".split())
 # Words of class names and ids of places that aren't the article.
 SKIPPED_NAMES = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus "
@@ -57,51 +63,78 @@ SKIPPED_NAMES = frozenset(
     "reply replies share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
 ARTICLE_NAMES = frozenset("article articlebody content entry post story main maincontent".split())
+# Words that say nothing of their own in such names ("post-comments", "share-box-2").
+FILLING_NAMES = frozenset("area article bar block body bottom box buttons container content footer form global header inner item items left link links list main outer page post right section site slot top unit wrap wrapper".split())
+#: Elements whose names count, and those whose names count if all of them are skipped ones.
+CONTAINERS = frozenset("div section ul ol dl table tbody tr td center details figure article".split())
+SMALL = frozenset("p span a li dd dt".split())
+#: Words that begin names of what a page has or lacks elsewhere ("has-sidebar").
+AROUND_NAMES = frozenset("has with no without".split())
 ENDED_BY_BLOCK = frozenset(["p"])
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z0-9]+")
+#: What the names of an element say: nothing, a skipped word within a name, a skipped name among others, skipped names only.
+PLAIN, HOLDS, HAS, ONLY = range(4)
+
+
+def _named(attributes: str) -> tuple[frozenset[str], int]:
+    """The words of an element's class names, ids and roles, and what the names say."""
+    names = [n.lower() for g in _NAMES.findall(attributes) for n in " ".join(g).split()]
+    own, held, skipped = set(), False, 0
+    for name in names:
+        said = [w for w in _SPLIT.split(name) if w]
+        own.update(said)
+        if said and said[0] in AROUND_NAMES:
+            continue
+        held |= any(w in SKIPPED_NAMES for w in said)
+        skipped += any(w in SKIPPED_NAMES for w in said) and all(w in SKIPPED_NAMES or w in FILLING_NAMES or w[0].isdigit() for w in said)
+    says = ONLY if names and skipped == len(names) else HAS if skipped else HOLDS if held else PLAIN
+    return frozenset(own), says
+
+
+NAMELESS = frozenset(), PLAIN
 
 
-def events(html: str) -> Iterator[tuple[str, str, str, frozenset[str]]]:
+def events(html: str) -> Iterator[tuple[str, str, str, tuple[frozenset[str], int]]]:
     """(kind, element, text, names): kind is open, close or text; raw elements keep their content out."""
     at = 0
     while m := _MARKUP.search(html, at):
         if m.start() > at:
-            yield "text", "", html[at : m.start()], frozenset()
+            yield "text", "", html[at : m.start()], NAMELESS
         at = m.end()
         if m[2]:
             name = m[2].lower()
             if m[1]:
-                yield "close", name, "", frozenset()
+                yield "close", name, "", NAMELESS
                 continue
-            own = frozenset(w.lower() for g in _NAMES.findall(m[3]) for w in _SPLIT.split(" ".join(g)) if w) if m[3] else frozenset()
+            own = _named(m[3]) if m[3] else NAMELESS
             yield "open", name, "", own
             if name in VOID or m[3].endswith("/") and name not in BLOCKS:
-                yield "close", name, "", frozenset()
+                yield "close", name, "", NAMELESS
             elif name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
-                yield "close", name, "", frozenset()
+                yield "close", name, "", NAMELESS
     if at < len(html):
-        yield "text", "", html[at:], frozenset()
+        yield "text", "", html[at:], NAMELESS
 
 
 def walk(html: str) -> Iterator[tuple[str, str, str, tuple]]:
-    """(kind, element, text, path): path is the stack of (element, names) that the event stands in."""
-    stack: list[tuple[str, frozenset[str]]] = []
+    """(kind, element, text, path): path is the stack of (element, names, what they say) that the event stands in."""
+    stack: list[tuple[str, frozenset[str], int]] = []
     for kind, name, text, names in events(html):
         if kind == "open":
             if name in BLOCKS and stack and stack[-1][0] in ENDED_BY_BLOCK | ({name} if name in ("li", "dt", "dd", "tr", "td", "th", "option") else set()):
                 yield "close", stack[-1][0], "", tuple(stack)
                 stack.pop()
-            elif name in BLOCKS and any(e in ENDED_BY_BLOCK for e, _ in stack[-4:]):  # a block ends an open paragraph and what it holds
+            elif name in BLOCKS and any(e[0] in ENDED_BY_BLOCK for e in stack[-4:]):  # a block ends an open paragraph and what it holds
                 while stack[-1][0] not in ENDED_BY_BLOCK:
                     stack.pop()
                 yield "close", stack[-1][0], "", tuple(stack)
                 stack.pop()
-            stack.append((name, names))
+            stack.append((name, *names))
             yield kind, name, "", tuple(stack)
         elif kind == "close":
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
@@ -124,7 +157,7 @@ class Roles:
             self.known.clear()
         key = self.known.get((kind, path))
         if key is None:
-            key = self.known[kind, path] = xxhash.xxh3_64_intdigest(kind + "/".join(f"{e}.{'.'.join(sorted(n & self.names))}" for e, n in path)) - (1 << 63)
+            key = self.known[kind, path] = xxhash.xxh3_64_intdigest(kind + "/".join(f"{e}.{'.'.join(sorted(n & self.names))}" for e, n, _ in path)) - (1 << 63)
         if kind == "text":
             own = " ".join(text.split())
             return xxhash.xxh3_64_intdigest(own, key & (1 << 64) - 1) - (1 << 63) if own else None
@@ -155,7 +188,8 @@ def common_names(pages: DataFrame) -> DataFrame:
 
 
 def with_names(pages: DataFrame, names: DataFrame) -> DataFrame:
-    return pages.join(F.broadcast(names) if names.count() <= BROADCAST_HOSTS else names, "host", "left")
+    held = names.agg(F.sum(F.size("names") * 16 + F.length(F.array_join("names", "")) + F.length("host") + 64)).first()[0] or 0
+    return pages.join(F.broadcast(names) if held <= BROADCAST_BYTES else names, "host", "left")
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
@@ -185,7 +219,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, names, template: the names that count there, and the tokens of the host's valid classes in page order."""
+    """host, names, template, steady: the names that count there, the tokens of the host's valid classes in page order, and
+    those of them that nearly all of its pages have."""
     names = common_names(pages)
     tokens = materialise(page_tokens(with_names(pages, names).select("page", "host", "names", "html")), "page-tokens")
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -199,10 +234,10 @@ def templates(pages: DataFrame) -> DataFrame:
         .withColumn("tokens", F.count(F.lit(1)).over(in_class))
         .where(F.col("tokens") >= CLASS_TOKENS)
     )
-    classes = materialise(classes.withColumn("class", F.xxhash64("support", "vector", "occurrences")).select("host", "token", "place", "class", "support", "tokens"), "classes")
+    classes = materialise(classes.withColumn("class", F.xxhash64("support", "vector", "occurrences")).select("host", "token", "place", "class", "support", "pages", "tokens"), "classes")
     # one order in all pages: the order of a class's tokens in a page is digested, and the digests have to agree
     member = tokens.join(classes.select("host", "token", "class"), ["host", "token"]).select("host", "page", "class", "token", "first")
-    order = F.hash(F.transform(F.array_sort(F.collect_list(F.struct("first", "token"))), lambda x: x["token"]))  # as long as a class
+    order = F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("first", "token"))), lambda x: x["token"]))  # as long as a class
     spans = materialise(member.groupBy("host", "class", "page").agg(order.alias("order"), F.min("first").alias("low"), F.max("first").alias("high")), "class-spans")
     ordered = spans.groupBy("host", "class").agg((F.min("order") == F.max("order")).alias("ordered")).where("ordered").select("host", "class")
     # the largest ordered class of a host is the outer one; another nests in it if it lies in one and the same slot everywhere
@@ -220,27 +255,27 @@ def templates(pages: DataFrame) -> DataFrame:
         classes.join(valid, ["host", "class"])
         .withColumn("order", order)
         .groupBy("host")
-        .agg(F.array_sort(F.collect_list(F.struct("order", "place", "token"))).alias("ordered"))  # the size of a template, not of a host
+        .agg(
+            F.array_sort(F.collect_list(F.struct("order", "place", "token"))).alias("ordered"),
+            F.collect_list(F.when((F.col("support") >= STEADY_SHARE * F.col("pages")) & (F.col("pages") >= STEADY_PAGES), F.col("token"))).alias("steady"),
+        )  # the size of a template, not of a host
         .join(names, "host", "left")
-        .select("host", "names", F.col("ordered.token").alias("template"))
+        .select("host", "names", F.col("ordered.token").alias("template"), "steady")
     )
 
 
-def _skips(step: tuple[str, frozenset[str]]) -> bool:
-    # names of html and body say what a page holds, not what they are themselves
-    return step[0] in SKIPPED or step[0] not in ("html", "body") and bool(step[1] & SKIPPED_NAMES)
+def _skips(step: tuple[str, frozenset[str], int], outside: bool, fixed: bool) -> bool:
+    """Whether an element, outside of articles or not, fixed by the template or not, is left out with all that it holds."""
+    name, _, says = step
+    if name in SKIPPED:
+        return True
+    if name in CONTAINERS:
+        return says >= HAS or says == HOLDS and (outside or fixed)
+    return name in SMALL and says == ONLY
 
 
-def _skipped_above(path: tuple) -> bool:
-    """Whether the last element of a path stands in a skipped place. Names don't count above main, which holds the
-    page's article by definition."""
-    if path[-1][0] == "main":
-        return any(e in SKIPPED for e, _ in path[:-1])
-    return any(map(_skips, path[:-1]))
-
-
-def _is_article(step: tuple[str, frozenset[str]]) -> bool:
-    return step[0] in ARTICLE or step[0] in ("div", "section") and bool(step[1] & ARTICLE_NAMES) and not step[1] & SKIPPED_NAMES
+def _is_article(step: tuple[str, frozenset[str], int]) -> bool:
+    return step[0] in ARTICLE or step[0] in ("div", "section") and bool(step[1] & ARTICLE_NAMES) and step[2] == PLAIN
 
 
 def aligned(tokens: list[int | None], template: dict[int, int]) -> set[int]:
@@ -259,70 +294,85 @@ def aligned(tokens: list[int | None], template: dict[int, int]) -> set[int]:
     return out
 
 
-def main_text(html: str, template: dict[int, int] | None, role: Roles | None = None) -> str:
+def main_text(html: str, template: dict[int, int] | None, role: Roles | None = None, steady: frozenset[int] = frozenset()) -> str:
     """The blocks of the article's slots, one per line. A slot is what stands between two aligned tokens of the template
-    (token: place), as told apart by role."""
+    (token: place), as told apart by role; steady: tokens that nearly all pages have."""
     page = list(walk(html))
     tokens = [None if template is None else role(kind, path, text) for kind, _, text, path in page]
     fixed = aligned(tokens, template) if template is not None else set()
-    article: list[str] = []
-    slots: list[str] = []  # blocks outside of articles with a text that varies
+    article: list[tuple[str, bool]] = []  # blocks of articles, and whether nearly all pages repeat them
+    slots: list[tuple[str, bool]] = []  # blocks outside of articles with a text that varies, and whether they are mostly links
     other: list[str] = []
     parts: list[str] = []
-    inside, kept, varies, article_varies = False, False, False, template is None
+    inside, kept, article_varies = False, True, template is None
+    varies, repeats, linked = False, True, 0
 
     def close() -> None:
-        nonlocal varies, article_varies
+        nonlocal varies, repeats, linked, article_varies
         text = " ".join(unescape("".join(parts)).split())
-        if text and kept:
-            (article if inside else other).append(text)
-            article_varies |= inside and varies
-            if varies and not inside:
-                slots.append(text)
+        if text:
+            if inside:
+                article.append((text, repeats))
+                article_varies |= varies
+            else:
+                other.append(text)
+                if varies:
+                    slots.append((text, 2 * linked > len(text)))
         parts.clear()
-        varies = False
+        varies, repeats, linked = False, True, 0
 
     zone: list[bool] = []  # for each open element: whether it begins an article slot of the template
+    out: list[bool] = []  # and whether it is left out
     for (kind, name, text, path), token in zip(page, tokens, strict=True):
         if kind == "text":
-            parts.append(text)
-            varies |= token is not None and token not in fixed
+            if kept:
+                parts.append(text)
+                if token is not None:
+                    varies |= token not in fixed
+                    repeats &= token in fixed and token in steady
+                if any(step[0] == "a" for step in path):
+                    linked += len(text)
             continue
         if name in BLOCKS or name in RAW:
             close()
-        elif name == "br":
+        elif name == "br" and kept:
             parts.append(" ")
+        depth = len(path) - 1
+        del zone[depth:], out[depth:]
         if kind == "open":
-            del zone[len(path) - 1 :]
             step = path[-1]
-            zone.append(_is_article(step) and not _skipped_above(path) and (template is None or token in fixed))
-            depth = len(path)
-        else:
-            del zone[len(path) - 1 :]
-            depth = len(path) - 1
-        start = next((i for i in range(depth) if zone[i : i + 1] == [True]), None)  # the outermost, so that all steps below it are tested
-        inside = start is not None
-        below = path[(start or 0) + inside : depth]
-        kept = not any(map(_skips, below)) and (inside or not any(e == "header" for e, _ in below))
+            # names don't count above main, which holds the page's article by definition, nor on html and body, where they
+            # say what the page holds
+            above = any(p[0] in SKIPPED for p in path[:-1]) if step[0] == "main" else any(out)
+            within = any(zone)
+            zone.append(_is_article(step) and not above and (template is None or token in fixed))
+            out.append(not (zone[-1] and not within) and _skips(step, not within, token in fixed))
+        inside = any(zone)
+        start = zone.index(True) if inside else 0
+        kept = not any(out[start:]) and (inside or not any(p[0] == "header" for p in path[: len(out)]))
     close()
-    return "\n".join((article if article_varies or not slots else []) or slots or other)
+    repeated = sum(len(text) for text, again in article if again)
+    whole = template is None or 2 * repeated >= sum(len(text) for text, _ in article)
+    found = [text for text, again in article if whole or not again] if article_varies or not slots else []
+    return "\n".join(found or [text for text, links in slots if not links] or [text for text, _ in slots] or other)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     source = short_batches(pages).select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     found = materialise(templates(source.select("page", "host", "html")), "templates")
-    few = found.count() <= BROADCAST_HOSTS
+    held = found.agg(F.sum((F.size("template") + F.size("steady")) * 8 + F.coalesce(F.length(F.array_join("names", "")) + F.size("names") * 16, F.lit(0)) + F.length("host") + 64)).first()[0]
+    few = (held or 0) <= BROADCAST_BYTES
     joined = source.join(F.broadcast(found) if few else found, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in words.parcels(batches, "html"):
-            known: dict[str, tuple[dict[int, int] | None, Roles]] = {}
+            known: dict[str, tuple[dict[int, int] | None, Roles, frozenset[int]]] = {}
             out = []
-            for name, names, own, html in zip(rows.column("host").to_pylist(), rows.column("names"), rows.column("template"), texts, strict=True):
+            for name, names, own, steady, html in zip(rows.column("host").to_pylist(), rows.column("names"), rows.column("template"), rows.column("steady"), texts, strict=True):
                 if name not in known:
-                    known[name] = ({token: i for i, token in enumerate(own.as_py())} if own.is_valid else None, Roles(names.as_py()))
+                    known[name] = ({token: i for i, token in enumerate(own.as_py())} if own.is_valid else None, Roles(names.as_py()), frozenset(steady.as_py() or ()))
                 out.append(main_text(html.decode(), *known[name]))
             yield pa.RecordBatch.from_arrays([rows.column("page"), rows.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page", "url", "host", "names", "template", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page", "url", "host", "names", "template", "steady", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

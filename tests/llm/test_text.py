@@ -134,6 +134,70 @@ def test_html_slots_and_names_of_one_page(spark):
         assert {r["page_id"]: r["text"] for r in out} == {i: text.format(f"w{i}") for i in range(5)}
 
 
+def test_html_names_count_on_containers_only():
+    for inner, text in (
+        ('<p class="market share">Prices rose', "Prices rose"), ('<section id="notice-board"><p>News</section>', "News"), ('<h1 class="banner">Title</h1>', "Title"),
+        ('<p class="tags-explained">On tags', "On tags"), ('<p>Text <span class="ad">Buy now</span>goes on', "Text goes on"), ("<p>Text <button>Subscribe</button>goes on", "Text goes on"),
+        ("<label>Mail<input></label><p>Text", "Text"), ('<p>whole paragraph <b class="promo">x<p>next', "whole paragraph x\nnext"), ('<div class="share-box-2">Share</div><p>Text', "Text"),
+        ('<p class="advert">Buy</p><p>Text', "Text"), ('<div class="post-comments"><p>Reply</div><p>Text', "Text"),
+    ):
+        assert main_text(f'<body><div class="layout has-sidebar"><article>{inner}</article></div><div class="td-cookie-law">Cookies</div></body>', None) == text
+
+
+def test_html_repeated_blocks_of_a_large_host(spark):
+    page = '<html><body><div class="x1">Menu</div><article><h2>Story {0}</h2><div class="x9">Share this story with friends</div><p>Text {0} and more of it</p><p>{1}</p></article><p>End</p></body></html>'
+    linked = '<html><body><div class="m"><p>Home</p></div><div class="r"><a href="/{0}">Read next: story {0}</a></div><div class="t"><p>Text {0}</p></div><p>All rights</p></body></html>'
+    rows = [(i, "http://a.example/x", page.format(f"w{i}", "A passage that half of the pages share" if i % 2 else f"v{i}")) for i in range(30)]
+    rows += [(100 + i, "http://b.example/x", "<html><body><div>Menu</div><article><p>One and the same article</p></article><p>End</p></body></html>") for i in range(12)]
+    rows += [(200 + i, "http://c.example/x", linked.format(f"w{i}")) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("names", F.lit("x")).withColumn("steady", F.lit("y"))
+    out = {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()}
+    for i in range(30):  # the template takes the repeated block out; a passage of half of the pages stays
+        last = "A passage that half of the pages share" if i % 2 else f"v{i}"
+        assert out[i] == f"Story w{i}\nText w{i} and more of it\n{last}"
+        assert main_text(rows[i][2], None) == f"Story w{i}\nShare this story with friends\nText w{i} and more of it\n{last}"
+    assert {out[100 + i] for i in range(12)} == {"One and the same article"}
+    assert [out[200 + i] for i in range(9)] == [f"Text w{i}" for i in range(9)]
+
+
+def plain_template(pages):
+    """The template's tokens of one host's pages, by whole occurrence vectors."""
+    from tesserae.llm.html_extract import CLASS_PAGES, CLASS_SHARE, CLASS_TOKENS, Roles, walk
+
+    role = Roles(None)
+    rows = [[t for kind, _, text, path in walk(p) if (t := role(kind, path, text)) is not None] for p in pages]
+    vectors = {t: tuple(r.count(t) for r in rows) for r in rows for t in r}
+    classes = {}
+    for t, v in vectors.items():
+        if sum(map(bool, v)) >= max(CLASS_PAGES, CLASS_SHARE * len(pages)):
+            classes.setdefault(v, []).append(t)
+    ordered = {
+        v: own for v, own in classes.items()
+        if len(own) >= CLASS_TOKENS and len({tuple(dict.fromkeys(t for t in r if t in own)) for r in rows if own[0] in r}) == 1
+    }
+    if not ordered:
+        return set()
+    frame = max(ordered, key=lambda v: (sum(map(bool, v)), len(ordered[v])))
+    out = set(ordered[frame])
+    for v, own in ordered.items():
+        slots = {sum(t in ordered[frame] for t in dict.fromkeys(r[: r.index(x)])) for r in rows for x in own if x in r and ordered[frame][0] in r}
+        if v != frame and len(slots) == 1:
+            out |= set(own)
+    return out
+
+
+def test_html_classes_brute_force(spark):
+    rng = random.Random(5)
+    hosts = {}
+    for h in range(6):
+        part = lambda i, h=h: "".join(f"<p>{w} {i}</p>" for w in rng.sample("abcdef", rng.randint(1, 4)))
+        box = lambda: rng.choice(["", "<ul><li>one</li><li>two</li></ul>"])
+        hosts[f"h{h}"] = [f"<html><body><div><h2>Top</h2></div>{box()}<section>{part(i)}<h3>Mid</h3>{part(i)}</section>{'<ol><li>x' if i % 3 else ''}<h4>End</h4></body></html>" for i in range(rng.randint(3, 9))]
+    rows = [(j * 100 + i, h, p) for j, (h, pages) in enumerate(hosts.items()) for i, p in enumerate(pages)]
+    out = {r["host"]: set(r["template"]) for r in templates(spark.createDataFrame(rows, "page long, host string, html string")).collect()}
+    assert any(out.values()) and {h: out.get(h, set()) for h in hosts} == {h: plain_template(pages) for h, pages in hosts.items()}
+
+
 def test_alignment_is_a_longest_run():
     from tesserae.llm.html_extract import aligned
 
