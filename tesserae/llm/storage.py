@@ -20,8 +20,8 @@ def semi_by_key(rows: DataFrame, keys: DataFrame, key: str, n_keys: int) -> Data
 
 def short_batches(docs: DataFrame) -> DataFrame:
     """docs, in a session that hands rows to Python workers by the thousand: texts are long, and Spark's 10,000 rows of them at
-    once take memory in the JVM and in the worker. A number that the user has set stays."""
-    conf = docs.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    once take memory in the JVM and in the worker. A number that the user has set, be it Spark's own, stays; else the option stays set in the session."""
+    conf, option = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if option not in conf.getAll:
+        conf.set(option, "1000")
     return docs
