@@ -135,3 +135,18 @@ def test_components(spark):
     edges = [(w, rng.randrange(60), rng.randrange(60)) for w in range(3) for _ in range(75)]
     edges += [(7, i, i + 1) for i in range(30)] + [(8, 5, 6), (8, 6, 5), (8, 1, 2), (8, 2, 1), (8, 2, 5), (9, 4, 4), (9, 4, 5)]
     assert scc(spark, edges) == largest(edges)
+
+
+def test_closeness_from_landmarks(spark):
+    rng = random.Random(11)
+    at = lambda x, y: 8 * x + y
+    edges = [(0, at(x, y), at(x + a, y + b), rng.randint(2, 9) / 2) for x in range(8) for y in range(8) for a, b in ((0, 1), (1, 0)) if x + a < 8 and y + b < 8]
+    exact = {n: 63 / sum(dijkstra(edges, 0, n).values()) for n in range(64)}
+    roads = spark.createDataFrame(edges, EDGES)
+    nodes = spark.createDataFrame([(0, n, n) for n in range(64)], "ward int, node int, area int")
+    for landmarks, bound in ((64, 1e-9), (16, 0.25)):
+        got = {r["area"]: r["closeness"] for r in net.mean_closeness(roads, nodes, landmarks).collect()}
+        assert got.keys() == exact.keys()
+        off = [abs(got[n] - c) / c for n, c in exact.items()]
+        print(landmarks, max(off), sum(off) / len(off))
+        assert max(off) <= 1e-9 if landmarks == 64 else sum(off) / len(off) <= bound
