@@ -201,9 +201,6 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns. Rows that share an id go together; rows without an id are told
-    apart by their texts."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), F.col(text_col)))
-    keyed = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
-    gone = benchmark_matches(keyed, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, key == F.col("_gone"), "left_anti")
+    """The documents that hold no item, with all their columns. Rows that share an id go together; rows without an id stay."""
+    gone = benchmark_matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
