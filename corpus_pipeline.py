@@ -5,7 +5,7 @@ again before the next one. All but the last return the columns of documents, fur
 
 Defined cases: a null text is empty, and scored, compared and encoded as such. Equal texts become one row, null ids last.
 Documents without words link with none and hold no item, so they go only by quality or as copies. Rows that share an id
-stand or go together, but for exact copies; rows without an id are never near copies, and hold items like others. An empty
+stand or go together, but for exact copies; rows without an id go only by quality or as exact copies. An empty
 table gives an empty result with the same columns. Names of further columns are free but for _id and _gone.
 """
 
