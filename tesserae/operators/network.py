@@ -6,8 +6,13 @@ shared folder each round, so that lineage stays short and a lost executor costs
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +29,8 @@ QUIET_ROADS = ["residential", "living_street", "tertiary", "unclassified"]
 #: Chains are contracted from this share of nodes on; rows that a search for shortcuts has for each road; tables of new distances that
 #: are read together before they become one.
 CHAINS, SHORTCUTS, COMPACT = 0.1, 64, 8
+#: Nodes of a block, roads a node that it may have, and the share of roads inside blocks from which distances go by blocks; bits of a place in one.
+BLOCK, DENSE, INSIDE, PLACE = 8192, 16, 0.5, 33
 
 
 def edge_cost(edges: DataFrame, rule: str) -> DataFrame:
@@ -129,30 +136,120 @@ def with_shortcuts(roads: DataFrame) -> DataFrame:
     return roads
 
 
-def multi_source_dist(edges: DataFrame, sources: DataFrame, cost: str = "length") -> DataFrame:
-    """K5. ward, source, node, dist: least cost from each source (ward, node), edges taken both ways. Long roads become one edge, and
-    ways of a few edges shortcuts; then each round only distances that have just become smaller go on, and only these are
-    written, until there are none. Edges without a cost lead nowhere; costs below 0 are an error, since distances would have no end."""
-    one = edges.select("ward", "u", "v", F.col(cost).cast("double").alias("w")).where("w is not null")
-    both = materialise(_shortest(one.unionByName(one.select("ward", F.col("v").alias("u"), F.col("u").alias("v"), "w"))), "roads")
-    if not both.where("w < 0").isEmpty():
-        raise ValueError("edges with a cost below 0")
-    roads, inside = contracted(both, sources)
-    roads = with_shortcuts(roads)
-    key = ["ward", "source", "node"]
-    front = materialise(sources.select("ward", F.col("node").alias("source"), "node", F.lit(0.0).alias("dist")).distinct(), "distances")
+def _in_blocks(roads: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(ward, node, n) and roads as (u, v, w) by n; and how many blocks there are. Blocks are ranges of (ward, node) of BLOCK nodes or so, fewer
+    where roads are dense; n is the block in its high bits and the place within it. Written, so that all uses see the same numbers."""
+    nodes = materialise(roads.select("ward", F.col("u").alias("node")).distinct(), "nodes")
+    blocks = max(1, -(-nodes.count() // BLOCK), -(-roads.count() // (BLOCK * DENSE)))
+    # the id is the partition and the row's place in it
+    nodes = materialise(nodes.repartitionByRange(blocks, "ward", "node").select("ward", "node", F.monotonically_increasing_id().alias("n")), "numbered")
+    ends = roads.join(nodes.select("ward", F.col("node").alias("u"), F.col("n").alias("_u")), ["ward", "u"]).join(nodes.select("ward", F.col("node").alias("v"), F.col("n").alias("_v")), ["ward", "v"])
+    return nodes, materialise(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v"), "w"), "numbered-roads"), blocks
+
+
+def _block(n: str) -> Column:
+    return F.shiftright(n, PLACE)
+
+
+def _packed(roads: DataFrame, blocks: int) -> DataFrame:
+    """block, u, v, w: a row a block, its roads by the places of their ends, as bytes; leaves says which places have roads to other blocks."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        u, v, w = (t.column(k).to_numpy() for k in ("u", "v", "w"))
+        inner = u >> PLACE == v >> PLACE
+        places = lambda a: (a & (1 << PLACE) - 1).astype(np.int32).tobytes()
+        return pa.table({"block": [int(u[0] >> PLACE)], "u": [places(u[inner])], "v": [places(v[inner])], "w": [w[inner].tobytes()], "leaves": [places(np.unique(u[~inner]))]})
+
+    # few rows, each of much work: as many tasks as blocks, which adaptive execution would join by their bytes
+    dealt = roads.withColumn("block", _block("u")).repartition(blocks, "block")
+    return materialise(dealt.groupBy("block").applyInArrow(pack, "block long, u binary, v binary, w binary, leaves binary"), "blocks")
+
+
+def _least(start: list[tuple[float, int]], near: dict[int, list[tuple[int, float]]]) -> dict[int, float]:
+    """Least distances from places that have some already, along near."""
+    best: dict[int, float] = {}
+    heapq.heapify(start)
+    while start:
+        d, u = heapq.heappop(start)
+        if u not in best:
+            best[u] = d
+            for v, w in near.get(u, ()):
+                if v not in best:
+                    heapq.heappush(start, (d + w, v))
+    return best
+
+
+def _within(blocks: DataFrame, front: DataFrame, all_: bool) -> DataFrame:
+    """s, n, dist: the front's distances (s, n, dist) carried on inside each block, to nodes with roads that leave it or to all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for r in range(rows.num_rows):
+                block, *packed = (rows.column(k)[r].as_py() for k in ("block", "u", "v", "w", "leaves"))
+                u, v, leaves = (np.frombuffer(packed[k], np.int32).tolist() for k in (0, 1, 3))
+                near, starts = defaultdict(list), defaultdict(list)
+                for a, b, w in zip(u, v, np.frombuffer(packed[2]).tolist(), strict=True):
+                    near[a].append((b, w))
+                own = rows.column("front")[r].values
+                for s, n, d in zip(*(own.field(k).to_pylist() for k in ("s", "n", "dist")), strict=True):
+                    starts[s].append((d, n - (block << PLACE)))
+                for s, start in starts.items():
+                    best = _least(start, near)
+                    to = list(best) if all_ else [p for p in leaves if p in best]
+                    n = pa.array(np.array(to, np.int64) + (block << PLACE))
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(to), pa.int64()), n, pa.array([best[p] for p in to], pa.float64())], names=["s", "n", "dist"])
+
+    by = front.groupBy(_block("n").alias("block")).agg(F.collect_list(F.struct("s", "n", "dist")).alias("front"))
+    return blocks.join(by, "block").mapInArrow(run, "s long, n long, dist double")
+
+
+def _by_blocks(nodes: DataFrame, roads: DataFrame, blocks: int, sources: DataFrame) -> DataFrame:
+    """ward, source, node, dist from sources that have roads. A round carries distances through whole blocks and over one road to the next, so rounds
+    grow with the blocks that a path crosses, not with its roads; in between only the nodes where a block is entered have a state."""
+    packed = _packed(roads, blocks)
+    over = materialise(roads.where(_block("u") != _block("v")), "between-blocks")
+    begin = sources.select("ward", F.col("node")).distinct().join(nodes, ["ward", "node"]).select(F.col("n").alias("s"), "n", F.lit(0.0).alias("dist"))
+    known = _relax(materialise(begin, "distances"), ["s", "n"], lambda front: _within(packed, front, False).join(over.withColumnRenamed("u", "n"), "n").groupBy("s", F.col("v").alias("n")).agg(F.min(F.col("dist") + F.col("w")).alias("dist")))
+    found = _within(packed, known, True).join(nodes, "n")
+    return found.join(nodes.select(F.col("n").alias("s"), F.col("node").alias("source")), "s").select("ward", "source", "node", "dist")
+
+
+def _relax(front: DataFrame, key: list[str], step) -> DataFrame:
+    """The least dist by key of front and all that step(front) leads to, again and again, with what has just become smaller as the front."""
     written = [front]
     known = front
     while not front.isEmpty():
-        ahead = front.select("ward", "source", F.col("node").alias("u"), "dist").join(roads, ["ward", "u"])
-        step = ahead.groupBy("ward", "source", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
-        better = step.join(known.withColumnRenamed("dist", "_d"), key, "left").where("_d is null or dist < _d").drop("_d")
+        better = step(front).join(known.withColumnRenamed("dist", "_d"), key, "left").where("_d is null or dist < _d").drop("_d")
         front = materialise(better, "distances")
         written.append(front)
         if len(written) > COMPACT:
             written = [materialise(reduce(DataFrame.unionByName, written).groupBy(*key).agg(F.min("dist").alias("dist")), "distances")]
         known = reduce(DataFrame.unionByName, written).groupBy(*key).agg(F.min("dist").alias("dist"))
+    return known
+
+
+def multi_source_dist(edges: DataFrame, sources: DataFrame, cost: str = "length") -> DataFrame:
+    """K5. ward, source, node, dist: least cost from each source (ward, node), edges taken both ways. Long roads become one edge. Where most
+    roads stay within ranges of nodes, distances go by these blocks; elsewhere ways of a few edges become shortcuts, and each round
+    only distances that have just become smaller go on. Edges without a cost lead nowhere; costs below 0 are an error, since distances
+    would have no end."""
+    one = edges.select("ward", "u", "v", F.col(cost).cast("double").alias("w")).where("w is not null")
+    both = materialise(_shortest(one.unionByName(one.select("ward", F.col("v").alias("u"), F.col("u").alias("v"), "w"))), "roads")
+    if not both.where("w < 0").isEmpty():
+        raise ValueError("edges with a cost below 0")
+    roads, inside = contracted(both, sources)
+    key = ["ward", "source", "node"]
+    start = materialise(sources.select("ward", F.col("node").alias("source"), "node", F.lit(0.0).alias("dist")).distinct(), "distances")
+    nodes, numbered, blocks = _in_blocks(roads)
+    share = numbered.agg(F.avg((_block("u") == _block("v")).cast("int"))).first()[0]
+    if share is not None and share >= INSIDE:
+        found = _by_blocks(nodes, numbered, blocks, sources)
+        known = found.unionByName(start).groupBy(*key).agg(F.min("dist").alias("dist"))  # sources without roads
+    else:
+        ways = with_shortcuts(roads)
+        known = _relax(start, key, lambda front: front.withColumnRenamed("node", "u").join(ways, ["ward", "u"]).groupBy("ward", "source", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist")))
     if inside is not None:
+        known = materialise(known, "reached")
         along = inside.join(known.withColumnRenamed("node", "end"), ["ward", "end"]).groupBy(*key).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
         known = known.unionByName(along)
     return materialise(known, "distances")

@@ -150,3 +150,33 @@ def test_closeness_from_landmarks(spark):
         off = [abs(got[n] - c) / c for n, c in exact.items()]
         print(landmarks, max(off), sum(off) / len(off))
         assert max(off) <= 1e-9 if landmarks == 64 else sum(off) / len(off) <= bound
+
+
+@pytest.mark.parametrize("inside", [0.0, 2.0])
+def test_distances_by_small_blocks(spark, monkeypatch, inside):
+    """Blocks of a few nodes, with and without going by them."""
+    monkeypatch.setattr(net, "BLOCK", 8)
+    monkeypatch.setattr(net, "INSIDE", inside)
+    edges = towns(random.Random(4))
+    sources = [(0, 0), (1, 4), (1, 1003), (1, 5002), (0, 6010), (0, 99999)]
+    got = found(spark, edges, sources)
+    want = expected(edges, sources)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def strip(n):
+    """A ward as the queries have it: node i to i + 1, i + 7 and i + 49."""
+    return [(0, i, i + step, 100.0 + (i * 13 + (i + step) * 7) % 400) for i in range(n) for step in (1, 7, 49) if i + step < n]
+
+
+def test_wide_strip_takes_few_rounds(spark, monkeypatch):
+    """Hundreds of roads from end to end, none in a chain: rounds go with the blocks."""
+    written = []
+    real = net.materialise
+    monkeypatch.setattr(net, "materialise", lambda df, name: written.append(name) or real(df, name))
+    monkeypatch.setattr(net, "BLOCK", 2000)
+    edges = strip(8000)
+    got = found(spark, edges, [(0, 0), (0, 4000)])
+    want = expected(edges, [(0, 0), (0, 4000)])
+    assert got == want
+    assert written.count("distances") <= 24
