@@ -23,6 +23,8 @@ from tesserae.sources.shared import materialise
 SLIVER = 1e-9
 #: Pairs of edges that a task looks at together.
 EDGE_PAIRS = 1 << 18
+#: Tasks for each core over which pairs of polygons are dealt.
+DEALT = 3
 #: Nodes of a cell that isn't cut any further, bits of a coordinate that a level adds, and levels at most.
 LEAF, LEVEL_BITS, LEVELS = 16, 2, 13
 
@@ -103,7 +105,9 @@ def overlay(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
     shape = lambda df, key, edges, area, box: with_rings(df).select(key, geo.directed(F.col("rings")).alias(edges), geo.rings_area(F.col("rings")).alias(area), geo.rings_box(F.col("rings")).alias(box))
     pairs = _meeting(shape(a, "area", "edges", "size", "_a"), shape(b, "target", "target_edges", "target_size", "_b"), size)
     pairs = pairs.where("size > 0 and target_size > 0").select("area", "target", "size", "target_size", "edges", "target_edges")
-    found = pairs.mapInArrow(clip, f"area {kinds[0]}, target {kinds[1]}, size double, target_size double, overlap double")
+    # few bytes and much work: without a number of tasks, small tables would stay in the one task that read them
+    dealt = pairs.repartition(DEALT * pairs.sparkSession.sparkContext.defaultParallelism)
+    found = dealt.mapInArrow(clip, f"area {kinds[0]}, target {kinds[1]}, size double, target_size double, overlap double")
     return found.where(F.col("overlap") > SLIVER * F.least("size", "target_size")).select("area", "target", "overlap", (F.col("overlap") / F.col("size")).alias("weight"))
 
 

@@ -198,3 +198,13 @@ def test_a_box_reads_few_row_groups(spark, tmp_path):
     got = {r["id"] for r in tables.read_box(spark, path, *box).collect()}
     assert got == {i for i, x, y in rows if x is not None and y is not None and box[0] <= x <= box[2] and box[1] <= y <= box[3]}
     assert spark.read.parquet(path).count() == len(rows)
+
+
+def test_overlay_of_tables_in_one_file_takes_all_cores(spark):
+    """The cut of polygons is dealt out, however few bytes they have."""
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    a = spark.createDataFrame([(i, square(i % 5 + 0.0, i // 5 + 0.0, 1.0)) for i in range(50)], "area int, ring array<struct<x: double, y: double>>").coalesce(1)
+    b = spark.createDataFrame([(i, square(i * 2 - 0.5, -0.5, 2.0)) for i in range(3)], "target int, ring array<struct<x: double, y: double>>").coalesce(1)
+    out = spatial.overlay(a, b)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted((r["area"], r["target"], round(r["overlap"], 9)) for r in out.collect())[:3] == [(0, 0, 1.0), (1, 0, 0.5), (1, 1, 0.5)]
