@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.shared import materialise
+
 
 def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.na.drop(subset=keys)
@@ -184,13 +186,33 @@ def high_corr_pairs(df: DataFrame, cols: list[str], threshold: float) -> DataFra
     return corr_matrix(df, cols).where((F.col("i") < F.col("j")) & (F.col("r") > threshold)).select("a", "b", "r").orderBy(F.desc("r"), "a", "b")
 
 
+def exact_percentiles(df: DataFrame, cols: list[str], shares: list[float]) -> DataFrame:
+    """column, q (array<double>, as long as shares): what percentile() gives, with no task that holds a column's values: these are counted,
+    ranged, and written with their range, and only ranges that hold a wanted place are numbered. Columns without values have no row."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols)))
+    counts = df.select(cells.alias("s")).select("s.*").where("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranged = materialise(counts.repartitionByRange("column", "v").withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("column", "_p").agg(F.sum("c").alias("_c"))  # a row a range and column
+    w = Window.partitionBy("column")
+    before = sums.withColumns({"_before": F.sum("_c").over(w.orderBy("_p")) - F.col("_c"), "_n": F.sum("_c").over(w)})
+    places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1) * F.lit(float(p))).alias("at")) for i, p in enumerate(shares))))
+    ends = before.select("column", "_p", "_c", "_before", places.alias("p")).select("column", "_p", "_c", "_before", "p.*", F.explode(F.array(F.floor("p.at"), F.ceil("p.at"))).alias("place")).distinct()
+    wanted = ends.where("place >= _before and place < _before + _c")
+    held = ranged.join(F.broadcast(wanted.select("column", "_p", "_before").distinct()), ["column", "_p"])  # two rows a share and column at most
+    last = F.sum("c").over(Window.partitionBy("column", "_p").orderBy("v")) + F.col("_before")
+    numbered = held.withColumns({"_last": last}).withColumn("_first", F.col("_last") - F.col("c"))
+    hits = numbered.join(F.broadcast(wanted.select("column", "_p", "i", "at", "place")), ["column", "_p"]).where("place >= _first and place < _last")
+    low, high, at = F.min_by("v", "place"), F.max_by("v", "place"), F.first("at")
+    one = hits.groupBy("column", "i").agg(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias("q"))
+    return one.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q"))
+
+
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A27. column, count, mean, std, min, q1, median, q3, max; exact quartiles in one job."""
-    one = lambda c: F.struct(
-        F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-        F.percentile(c, F.lit(0.25)).alias("q1"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.75)).alias("q3"), F.max(c).cast("double").alias("max"),
-    )
-    return df.agg(*(one(c).alias(c) for c in cols)).select(F.explode(F.array(*cols)).alias("s")).select("s.*")
+    """A27. column, count, mean, std, min, q1, median, q3, max; exact quartiles."""
+    one = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+    rest = df.agg(*(one(c).alias(c) for c in cols)).select(F.explode(F.array(*cols)).alias("s")).select("s.*")
+    quartiles = [F.col("q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))]
+    return rest.join(F.broadcast(exact_percentiles(df, cols, [0.25, 0.5, 0.75])), "column", "left").select("column", "count", "mean", "std", "min", *quartiles, "max")
 
 
 def extent(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.aggregate import exact_percentiles
+
 
 def filter_eq(df: DataFrame, col: str, value) -> DataFrame:
     """P1. Null never matches."""
@@ -100,7 +102,8 @@ def shrink_numeric(df: DataFrame) -> DataFrame:
 
 def scale_bounds(df: DataFrame, col: str) -> DataFrame:
     """P32. low (the least value) and high (the 0.99 quantile); high is low + 1 when they are equal."""
-    row = df.agg(F.min(col).cast("double").alias("low"), F.percentile(col, F.lit(0.99)).alias("high"))
+    high = exact_percentiles(df, [col], [0.99]).select(F.col("q")[0].alias("high"))
+    row = df.agg(F.min(col).cast("double").alias("low")).join(F.broadcast(high), F.lit(True), "left")  # one row each
     return row.withColumn("high", F.when(F.col("high") == F.col("low"), F.col("low") + 1).otherwise(F.col("high")))
 
 

@@ -201,3 +201,17 @@ def test_keys_are_numbered_by_appearance(spark):
     assert {r["k"]: r["idx"] for r in panel.index_keys(rows, "k", order=F.col("o")).collect()} == want
     assert {r["k"]: r["idx"] for r in panel.index_keys(rows, "k", 5).collect()} == {k: i + 5 for i, k in enumerate(sorted(seen))}
     assert panel.index_keys(rows.where("false"), "k").count() == 0
+
+
+def test_quartiles_without_a_task_that_holds_a_column(spark):
+    """The values of percentile(), from counted ranges; no aggregate holds all values."""
+    rows = [(i * 37 % 101 / 4 - 9, None if i % 3 else i % 7, None) for i in range(250)] + [(float("inf"), 3, None), (float("nan"), 3, None)]
+    df = spark.createDataFrame(rows, "a double, b int, c double").repartition(5)
+    out = agg.describe(df, ["a", "b", "c"])
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    want = df.agg(*(F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(c) for c in "abc")).first()
+    got = {r["column"]: [r["q1"], r["median"], r["q3"]] for r in out.collect()}
+    assert got == {"a": want["a"], "b": want["b"], "c": [None] * 3}
+    ends = clean.scale_bounds(df.where("a < 100"), "a").first()
+    assert (ends["low"], ends["high"]) == df.where("a < 100").agg(F.min("a"), F.percentile("a", F.lit(0.99))).first()
+    assert clean.scale_bounds(df, "c").collect() == [(None, None)]
