@@ -180,3 +180,26 @@ def test_wide_strip_takes_few_rounds(spark, monkeypatch):
     want = expected(edges, [(0, 0), (0, 4000)])
     assert got == want
     assert written.count("distances") <= 24
+
+
+@pytest.fixture
+def blocks(monkeypatch):
+    """Names of written tables, with blocks of 700 nodes."""
+    written = []
+    real = net.materialise
+    monkeypatch.setattr(net, "materialise", lambda df, name: written.append(name) or real(df, name))
+    monkeypatch.setattr(net, "BLOCK", 700)
+    return written
+
+
+def test_route_and_table_over_a_wide_strip(spark, blocks):
+    """K6 and K12: all pairs of waypoints, and a loop over them, in few rounds."""
+    edges, stops = strip(2800), [0, 700, 1400, 2100]
+    points = spark.createDataFrame([(0, n) for n in stops], "ward int, node int")
+    table = net.distance_table(net.multi_source_dist(spark.createDataFrame(edges, EDGES), points), points)
+    want = {(s, t): dijkstra(edges, 0, s)[t] for s in stops for t in stops}
+    assert {(r["source"], r["target"]): r["dist"] for r in table.collect()} == want
+    order = spark.createDataFrame([(0, n, k + 1) for k, n in enumerate(stops)], "ward int, node int, place int")
+    row = net.route_length(order, table).first()
+    assert (row["legs"], row["length"]) == (4, sum(want[a, b] for a, b in zip(stops, [*stops[1:], 0], strict=True)))
+    assert blocks.count("distances") <= 20
