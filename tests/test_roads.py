@@ -203,3 +203,10 @@ def test_route_and_table_over_a_wide_strip(spark, blocks):
     row = net.route_length(order, table).first()
     assert (row["legs"], row["length"]) == (4, sum(want[a, b] for a, b in zip(stops, [*stops[1:], 0], strict=True)))
     assert blocks.count("distances") <= 20
+
+
+def test_closeness_over_a_wide_strip(spark, blocks):
+    """K14 in few rounds."""
+    nodes = spark.range(2800).selectExpr("0 AS ward", "int(id) AS node", "0 AS area")
+    assert net.mean_closeness(spark.createDataFrame(strip(2800), EDGES), nodes, 2).first()["closeness"] > 0
+    assert blocks.count("distances") <= 20
