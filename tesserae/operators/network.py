@@ -152,17 +152,17 @@ def _block(n: str) -> Column:
 
 
 def _packed(roads: DataFrame, blocks: int) -> DataFrame:
-    """block, u, v, w: a row a block, its roads by the places of their ends, as bytes; leaves says which places have roads to other blocks."""
+    """block, u, v, w: a row a block, its roads by the places of their ends, as bytes; to: the places that have roads to other blocks."""
 
     def pack(t: pa.Table) -> pa.Table:
         u, v, w = (t.column(k).to_numpy() for k in ("u", "v", "w"))
         inner = u >> PLACE == v >> PLACE
         places = lambda a: (a & (1 << PLACE) - 1).astype(np.int32).tobytes()
-        return pa.table({"block": [int(u[0] >> PLACE)], "u": [places(u[inner])], "v": [places(v[inner])], "w": [w[inner].tobytes()], "leaves": [places(np.unique(u[~inner]))]})
+        return pa.table({"block": [int(u[0] >> PLACE)], "u": [places(u[inner])], "v": [places(v[inner])], "w": [w[inner].tobytes()], "to": pa.array([(np.unique(u[~inner]) & (1 << PLACE) - 1).tolist()], pa.list_(pa.int32()))})
 
     # few rows, each of much work: as many tasks as blocks, which adaptive execution would join by their bytes
     dealt = roads.withColumn("block", _block("u")).repartition(blocks, "block")
-    return materialise(dealt.groupBy("block").applyInArrow(pack, "block long, u binary, v binary, w binary, leaves binary"), "blocks")
+    return materialise(dealt.groupBy("block").applyInArrow(pack, "block long, u binary, v binary, w binary, to array<int>"), "blocks")
 
 
 def _least(start: list[tuple[float, int]], near: dict[int, list[tuple[int, float]]]) -> dict[int, float]:
@@ -179,14 +179,14 @@ def _least(start: list[tuple[float, int]], near: dict[int, list[tuple[int, float
     return best
 
 
-def _within(blocks: DataFrame, front: DataFrame, all_: bool) -> DataFrame:
-    """s, n, dist: the front's distances (s, n, dist) carried on inside each block, to nodes with roads that leave it or to all."""
+def _within(blocks: DataFrame, front: DataFrame) -> DataFrame:
+    """s, n, dist: the front's distances (s, n, dist) carried on inside each block, to the places in its column to; to all where that is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for r in range(rows.num_rows):
-                block, *packed = (rows.column(k)[r].as_py() for k in ("block", "u", "v", "w", "leaves"))
-                u, v, leaves = (np.frombuffer(packed[k], np.int32).tolist() for k in (0, 1, 3))
+                block, *packed, to = (rows.column(k)[r].as_py() for k in ("block", "u", "v", "w", "to"))
+                u, v = (np.frombuffer(packed[k], np.int32).tolist() for k in (0, 1))
                 near, starts = defaultdict(list), defaultdict(list)
                 for a, b, w in zip(u, v, np.frombuffer(packed[2]).tolist(), strict=True):
                     near[a].append((b, w))
@@ -195,22 +195,27 @@ def _within(blocks: DataFrame, front: DataFrame, all_: bool) -> DataFrame:
                     starts[s].append((d, n - (block << PLACE)))
                 for s, start in starts.items():
                     best = _least(start, near)
-                    to = list(best) if all_ else [p for p in leaves if p in best]
-                    n = pa.array(np.array(to, np.int64) + (block << PLACE))
-                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(to), pa.int64()), n, pa.array([best[p] for p in to], pa.float64())], names=["s", "n", "dist"])
+                    at = list(best) if to is None else [p for p in to if p in best]
+                    n = pa.array(np.array(at, np.int64) + (block << PLACE))
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.int64()), n, pa.array([best[p] for p in at], pa.float64())], names=["s", "n", "dist"])
 
     by = front.groupBy(_block("n").alias("block")).agg(F.collect_list(F.struct("s", "n", "dist")).alias("front"))
     return blocks.join(by, "block").mapInArrow(run, "s long, n long, dist double")
 
 
-def _by_blocks(nodes: DataFrame, roads: DataFrame, blocks: int, sources: DataFrame) -> DataFrame:
-    """ward, source, node, dist from sources that have roads. A round carries distances through whole blocks and over one road to the next, so rounds
+def _by_blocks(nodes: DataFrame, roads: DataFrame, blocks: int, sources: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """ward, source, node, dist from sources that have roads, to targets or all. A round carries distances through whole blocks and over one road to the next, so rounds
     grow with the blocks that a path crosses, not with its roads; in between only the nodes where a block is entered have a state."""
     packed = _packed(roads, blocks)
     over = materialise(roads.where(_block("u") != _block("v")), "between-blocks")
     begin = sources.select("ward", F.col("node")).distinct().join(nodes, ["ward", "node"]).select(F.col("n").alias("s"), "n", F.lit(0.0).alias("dist"))
-    known = _relax(materialise(begin, "distances"), ["s", "n"], lambda front: _within(packed, front, False).join(over.withColumnRenamed("u", "n"), "n").groupBy("s", F.col("v").alias("n")).agg(F.min(F.col("dist") + F.col("w")).alias("dist")))
-    found = _within(packed, known, True).join(nodes, "n")
+    known = _relax(materialise(begin, "distances"), ["s", "n"], lambda front: _within(packed, front).join(over.withColumnRenamed("u", "n"), "n").groupBy("s", F.col("v").alias("n")).agg(F.min(F.col("dist") + F.col("w")).alias("dist")))
+    if targets is None:
+        last = packed.withColumn("to", F.lit(None).cast("array<int>"))
+    else:  # only blocks that hold a target are searched again
+        own = targets.join(nodes, ["ward", "node"]).groupBy(_block("n").alias("block")).agg(F.collect_list(F.col("n").bitwiseAND((1 << PLACE) - 1).cast("int")).alias("to"))
+        last = packed.drop("to").join(own, "block")
+    found = _within(last, known).join(nodes, "n")
     return found.join(nodes.select(F.col("n").alias("s"), F.col("node").alias("source")), "s").select("ward", "source", "node", "dist")
 
 
@@ -228,30 +233,38 @@ def _relax(front: DataFrame, key: list[str], step) -> DataFrame:
     return known
 
 
-def multi_source_dist(edges: DataFrame, sources: DataFrame, cost: str = "length") -> DataFrame:
-    """K5. ward, source, node, dist: least cost from each source (ward, node), edges taken both ways. Long roads become one edge. Where most
+def multi_source_dist(edges: DataFrame, sources: DataFrame, cost: str = "length", targets: DataFrame | None = None) -> DataFrame:
+    """K5. ward, source, node, dist: least cost from each source (ward, node), edges taken both ways; to targets (ward, node) alone where
+    they are given. Long roads become one edge. Where most
     roads stay within ranges of nodes, distances go by these blocks; elsewhere ways of a few edges become shortcuts, and each round
     only distances that have just become smaller go on. Edges without a cost lead nowhere; costs below 0 are an error, since distances
     would have no end."""
     one = edges.select("ward", "u", "v", F.col(cost).cast("double").alias("w")).where("w is not null")
-    both = materialise(_shortest(one.unionByName(one.select("ward", F.col("v").alias("u"), F.col("u").alias("v"), "w"))), "roads")
+    both = materialise(_shortest(one.select("ward", F.inline(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))))), "roads")
     if not both.where("w < 0").isEmpty():
         raise ValueError("edges with a cost below 0")
     roads, inside = contracted(both, sources)
     key = ["ward", "source", "node"]
     start = materialise(sources.select("ward", F.col("node").alias("source"), "node", F.lit(0.0).alias("dist")).distinct(), "distances")
+    wanted = via = None
+    if targets is not None:
+        wanted = via = materialise(targets.select("ward", "node").distinct(), "targets")
+        if inside is not None:  # inside a chain, from its ends
+            via = wanted.union(inside.join(wanted, ["ward", "node"], "left_semi").select("ward", "end")).distinct()
     nodes, numbered, blocks = _in_blocks(roads)
     share = numbered.agg(F.avg((_block("u") == _block("v")).cast("int"))).first()[0]
     if share is not None and share >= INSIDE:
-        found = _by_blocks(nodes, numbered, blocks, sources)
+        found = _by_blocks(nodes, numbered, blocks, sources, via)
         known = found.unionByName(start).groupBy(*key).agg(F.min("dist").alias("dist"))  # sources without roads
     else:
         ways = with_shortcuts(roads)
         known = _relax(start, key, lambda front: front.withColumnRenamed("node", "u").join(ways, ["ward", "u"]).groupBy("ward", "source", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist")))
     if inside is not None:
         known = materialise(known, "reached")
-        along = inside.join(known.withColumnRenamed("node", "end"), ["ward", "end"]).groupBy(*key).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        along = (inside if wanted is None else inside.join(wanted, ["ward", "node"], "left_semi")).join(known.withColumnRenamed("node", "end"), ["ward", "end"]).groupBy(*key).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
         known = known.unionByName(along)
+    if wanted is not None:
+        known = known.join(wanted, ["ward", "node"], "left_semi").select(*key, "dist")
     return materialise(known, "distances")
 
 

@@ -210,3 +210,17 @@ def test_closeness_over_a_wide_strip(spark, blocks):
     nodes = spark.range(2800).selectExpr("0 AS ward", "int(id) AS node", "0 AS area")
     assert net.mean_closeness(spark.createDataFrame(strip(2800), EDGES), nodes, 2).first()["closeness"] > 0
     assert blocks.count("distances") <= 20
+
+
+@pytest.mark.parametrize("block", [8, 8192])
+@pytest.mark.parametrize("inside", [0.0, 2.0])
+def test_distances_to_targets_alone(spark, monkeypatch, inside, block):
+    """The rows of the whole search that end at a target: crossings, nodes of chains and rings, sources, and nodes that no graph has."""
+    monkeypatch.setattr(net, "BLOCK", block)
+    monkeypatch.setattr(net, "INSIDE", inside)
+    edges, sources = towns(random.Random(6)), [(0, 0), (1, 4), (1, 1003), (1, 5002), (0, 6010), (0, 99999)]
+    targets = [(0, 0), (0, 7), (0, 1001), (0, 1005), (1, 1002), (1, 4), (1, 5004), (0, 6015), (0, 99999), (1, 88888)]
+    out = net.multi_source_dist(spark.createDataFrame(edges, EDGES), spark.createDataFrame(sources, "ward int, node int"), targets=spark.createDataFrame(targets, "ward int, node int")).collect()
+    want = {k: d for k, d in expected(edges, sources).items() if (k[0], k[2]) in targets}
+    got = {(r["ward"], r["source"], r["node"]): r["dist"] for r in out}
+    assert len(out) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
