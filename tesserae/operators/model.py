@@ -133,20 +133,18 @@ def _ahead(seen: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 def fit_joint(df: DataFrame, cols: list[str], wards: DataFrame, reg: float = 0.0, strength: float | None = None, y: str = "n") -> tuple[RateModel, DataFrame]:
     """M8 and M9 together: the model and the areas' effects. wards: (area, ward). A round takes the effects from the rates without
     them, and then one step of the regression with the effects' logarithms as an offset, until a step changes nothing. Effects
-    and columns that go together share what they explain, instead of all of it going to the columns."""
+    and columns that go together share what they explain, instead of all of it going to the columns. Areas' sums and effects are
+    written each round, so that a round has as few tasks as its tables need; a kept plan has as many as a shuffle may have."""
     rows = irls.matrix(df, cols, y, None, None, "area").drop("offset").persist()
     ward_of = materialise(wards.select("area", "ward").distinct(), "wards")
-    kept = [rows]
 
     def effects_of(b: np.ndarray) -> DataFrame:
-        while len(kept) > 1:
-            kept.pop().unpersist()
         rated = rows.select("area", "y", F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), _linear(b, F.col("x"))))).alias("mu"))
-        kept.append(rated.groupBy("area").agg(F.sum("y").alias("y"), F.sum("mu").alias("mu")).join(ward_of, "area").persist())
-        kept.append(pooled_effects(kept[1], strength, "y").persist())
+        sums = materialise(rated.groupBy("area").agg(F.sum("y").alias("y"), F.sum("mu").alias("mu")).join(ward_of, "area"), "area-sums")
+        pooled = materialise(pooled_effects(sums, strength, "y"), "pooled-effects")
         # the level of all is the intercept's: else each of many intercepts would have effects to go with it
-        level = kept[2].join(kept[1].select("area", "mu"), "area").agg(F.sum(F.col("effect") * F.col("mu")) / F.sum("mu")).first()[0] or 1.0
-        return kept[2].withColumns({k: F.col(k) / F.lit(level) for k in ("effect", "ward_effect")})
+        level = pooled.join(sums.select("area", "mu"), "area").agg(F.sum(F.col("effect") * F.col("mu")) / F.sum("mu")).first()[0] or 1.0
+        return pooled.withColumns({k: F.col(k) / F.lit(level) for k in ("effect", "ward_effect")})
 
     try:
         own = irls.Problem(list(range(len(cols))), reg)
@@ -165,8 +163,7 @@ def fit_joint(df: DataFrame, cols: list[str], wards: DataFrame, reg: float = 0.0
             own.beta = _ahead(seen)
         return _as_model(cols, own), materialise(effects_of(own.plain()), "area-effects")
     finally:
-        for k in kept:
-            k.unpersist()
+        rows.unpersist()
 
 
 def predict_rate(df: DataFrame, model: RateModel, effects: DataFrame | None = None) -> DataFrame:

@@ -157,7 +157,8 @@ add("e11_median_counts", lambda s, d: ev.median_counts(fr.draws(s, d)), f"WITH {
 
 
 def _features(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[str]]]:
-    rows = _wards(s, d).withColumn("region", (c("area") % 5).cast("double")).withColumn("orders", ((c("area") * 31 + F.month("month") * 7 + F.year("month")) % 100).cast("double"))
+    counts = materialise(_wards(s, d), "ward-months")  # read by each step of the build, which would otherwise count the incidents again
+    rows = counts.withColumn("region", (c("area") % 5).cast("double")).withColumn("orders", ((c("area") * 31 + F.month("month") * 7 + F.year("month")) % 100).cast("double"))
     return ft.build_features(rows, fr.squares(s, d), _edges(s, d), ["region"], ["orders"])
 
 

@@ -180,3 +180,22 @@ def test_significant_columns(spark):
     rows = simulated(spark).withColumns({"u": uniform(F.col("area"), F.col("month"), "u"), "v": uniform(F.col("area"), F.col("month"), "v")})
     fit = model.fit_rate(rows, ["a", "u", "b", "v"])
     assert {r["column"] for r in model.significant(model.coef_summary(spark, fit, {"g": fit.cols}, 0.01)).collect()} == {"a", "b"}
+
+
+def test_rounds_of_the_joint_fit_take_few_tasks(spark):
+    """Some tables of a few areas each round: their tasks go with their rows, not with the partitions that a shuffle may have."""
+    rows, sc = confounded(spark).persist(), spark.sparkContext
+    wards = rows.select("area", (F.col("area") % 6).alias("ward")).distinct()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    sc.setJobGroup("joint-fit", "joint-fit")
+    try:
+        model.fit_joint(rows, ["a", "b"], wards)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {i for j in tracker.getJobIdsForGroup("joint-fit") for i in tracker.getJobInfo(j).stageIds}
+    ran = [t.numCompletedTasks for t in map(tracker.getStageInfo, stages) if t]
+    print(len(ran), sum(ran))
+    assert sum(ran) <= 10 * len(ran)
