@@ -47,49 +47,132 @@ def residential(edges: DataFrame) -> DataFrame:
     return edges.where(has_any(F.col("highway"), ["residential"]))
 
 
+def _shuffled(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the nodes: no side is collected for a broadcast, which each round would send to the driver anew."""
+    return df.join(other.hint("merge"), on, how)
+
+
 def _reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """ward, node, label: the least node from which each node can be reached along edges (ward, u, v)."""
     labels = nodes.select("ward", "node", F.col("node").alias("label"))
     while True:
-        along = edges.join(labels.select("ward", F.col("node").alias("u"), "label"), ["ward", "u"]).groupBy("ward", F.col("v").alias("node")).agg(F.min("label").alias("near"))
+        along = _shuffled(edges, labels.select("ward", F.col("node").alias("u"), "label"), ["ward", "u"]).groupBy("ward", F.col("v").alias("node")).agg(F.min("label").alias("near"))
         # whatever reaches a node's label reaches the node
         jump = labels.select("ward", F.col("node").alias("label"), F.col("label").alias("far"))
-        step = labels.join(along, ["ward", "node"], "left").join(jump, ["ward", "label"], "left")
+        step = _shuffled(_shuffled(labels, along, ["ward", "node"], "left"), jump, ["ward", "label"], "left")
         new = materialise(step.select("ward", "node", F.least("label", "near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("changed")), "reach")
         labels = new.select("ward", "node", "label")
         if new.where("changed").isEmpty():
             return labels
 
 
+def _strong(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the component that it is in, by edges from u to v (Tarjan)."""
+    order = np.argsort(u, kind="stable")
+    near, first = v[order].tolist(), np.searchsorted(u[order], np.arange(n + 1)).tolist()
+    at, low, component, stack = [0] * n, [0] * n, [-1] * n, []
+    seen = 0
+    for start in range(n):
+        if at[start]:
+            continue
+        path = [start]
+        nxt = {start: first[start]}
+        seen += 1
+        at[start] = low[start] = seen
+        stack.append(start)
+        while path:
+            p = path[-1]
+            if nxt[p] < first[p + 1]:
+                q = near[nxt[p]]
+                nxt[p] += 1
+                if not at[q]:
+                    seen += 1
+                    at[q] = low[q] = seen
+                    stack.append(q)
+                    path.append(q)
+                    nxt[q] = first[q]
+                elif component[q] < 0:
+                    low[p] = min(low[p], at[q])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1]] = min(low[path[-1]], low[p])
+                if low[p] == at[p]:
+                    while True:
+                        q = stack.pop()
+                        component[q] = p
+                        if q == p:
+                            break
+    return np.array(component, np.int64)
+
+
+def _components_in_blocks(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """ward, node, label: nodes (ward, node) that are strongly connected within a block (a range of nodes, as for distances) have its least
+    node as their label; and how many blocks there are."""
+    blocks = max(1, -(-nodes.count() // BLOCK), -(-edges.count() // (BLOCK * DENSE)))
+    numbered = materialise(nodes.repartitionByRange(blocks, "ward", "node").select("ward", "node", F.monotonically_increasing_id().alias("n")), "numbered")
+    ends = _shuffled(edges, numbered.select("ward", F.col("node").alias("u"), F.col("n").alias("_u")), ["ward", "u"])
+    ends = _shuffled(ends, numbered.select("ward", F.col("node").alias("v"), F.col("n").alias("_v")), ["ward", "v"])
+    inner = ends.where(_block("_u") == _block("_v")).select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+
+    def run(t: pa.Table) -> pa.Table:
+        both, places = np.unique(np.concatenate([t.column(k).to_numpy() for k in ("u", "v")]), return_inverse=True)
+        u, v = places[: t.num_rows], places[t.num_rows :]
+        return pa.table({"n": both, "c": both[_strong(u, v, len(both))]})
+
+    # as many tasks as blocks, as for distances
+    found = materialise(inner.withColumn("block", _block("u")).repartition(blocks, "block").groupBy("block").applyInArrow(run, "n long, c long"), "block-components")
+    # nodes without an edge in their block are alone
+    of = _shuffled(numbered, found, ["n"], "left").select("ward", "node", F.coalesce("c", "n").alias("c"))
+    names = of.groupBy("c").agg(F.min("node").alias("label"))
+    return materialise(_shuffled(of, names, ["c"]).select("ward", "node", "label"), "block-labels"), blocks
+
+
 def largest_scc(edges: DataFrame) -> DataFrame:
     """K4. The edges within each ward's largest strongly connected component; ties go to the one with the least node.
 
-    In a round, nodes whose least source and least target agree form components; they are set aside and the rest goes on
-    until every ward's rest is smaller than its best component. Nodes of one component have the same least source and
-    target, so edges between nodes that differ in them are cut. Each round sets aside one component of every open ward at least.
+    First, what is strongly connected within blocks of nodes becomes one node, named by its least, again and again while that halves the
+    nodes: where ids follow place, few are left, and where all fit one block these are the components. In a round over the rest, nodes whose
+    least source and least target agree form components; they are set aside and the rest goes on until every ward's rest is smaller
+    than its best component. Nodes of one component have the same least source and target, so edges between nodes that differ in them are
+    cut. Each round sets aside one component of every open ward at least.
     """
     flat = materialise(edges.select("ward", "u", "v").distinct(), "edges")
-    nodes = flat.select("ward", F.col("u").alias("node")).union(flat.select("ward", "v")).distinct()
-    done = None
+    nodes = materialise(flat.select("ward", F.col("u").alias("node")).union(flat.select("ward", "v")).distinct(), "nodes")
+    member = nodes.select("ward", "node", F.col("node").alias("label"))
+    n = nodes.count()
     while True:
+        own, blocks = _components_in_blocks(nodes, flat)
+        member = materialise(_shuffled(member.withColumnRenamed("label", "_l"), own.select("ward", F.col("node").alias("_l"), "label"), ["ward", "_l"]).select("ward", "node", "label"), "members")
+        cut = _shuffled(flat, own.select("ward", F.col("node").alias("u"), F.col("label").alias("_u")), ["ward", "u"])
+        cut = _shuffled(cut, own.select("ward", F.col("node").alias("v"), F.col("label").alias("_v")), ["ward", "v"])
+        flat = materialise(cut.where("_u <> _v").select("ward", F.col("_u").alias("u"), F.col("_v").alias("v")).distinct(), "edges")
+        nodes = materialise(own.select("ward", F.col("label").alias("node")).distinct(), "nodes")
+        before, n = n, nodes.count()
+        if blocks == 1 or n > before / 2:
+            break
+    weight = materialise(member.groupBy("ward", F.col("label").alias("node")).agg(F.count(F.lit(1)).alias("size")), "sizes")
+    done = nodes.select("ward", "node", F.col("node").alias("label")) if blocks == 1 else None
+    while blocks > 1:
         ahead = _reach(nodes, flat)
         back = _reach(nodes, flat.select("ward", F.col("v").alias("u"), F.col("u").alias("v"))).withColumnRenamed("label", "target")
-        both = materialise(ahead.join(back, ["ward", "node"]), "components")
+        both = materialise(_shuffled(ahead, back, ["ward", "node"]), "components")
         found = both.where("label = target").select("ward", "node", "label")
         done = found if done is None else done.unionByName(found)
         rest = both.where("label <> target").select("ward", "node", "label", "target")
-        best = done.groupBy("ward", "label").count().groupBy("ward").agg(F.max("count").alias("best"))
-        open_ = rest.groupBy("ward").count().join(best, "ward", "left").where(F.col("count") >= F.coalesce("best", F.lit(0))).select("ward")
+        best = _shuffled(done, weight, ["ward", "node"]).groupBy("ward", "label").agg(F.sum("size").alias("size")).groupBy("ward").agg(F.max("size").alias("best"))
+        open_ = _shuffled(rest, weight, ["ward", "node"]).groupBy("ward").agg(F.sum("size").alias("size")).join(best, "ward", "left").where(F.col("size") >= F.coalesce("best", F.lit(0))).select("ward")
         rest = materialise(rest.join(open_, "ward", "left_semi"), "rest")
         if rest.isEmpty():
             break
         nodes = rest.select("ward", "node")
-        flat = flat.join(rest.withColumnRenamed("node", "u"), ["ward", "u"]).join(rest.withColumnRenamed("node", "v"), ["ward", "v", "label", "target"], "left_semi")
+        flat = _shuffled(_shuffled(flat, rest.withColumnRenamed("node", "u"), ["ward", "u"]), rest.withColumnRenamed("node", "v"), ["ward", "v", "label", "target"], "left_semi")
         flat = materialise(flat.select("ward", "u", "v"), "edges")
-    sizes = done.groupBy("ward", "label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = _shuffled(done, weight, ["ward", "node"]).groupBy("ward", "label").agg(F.sum("size").alias("size"))
     top = sizes.groupBy("ward").agg(F.min_by("label", F.struct(-F.col("size"), F.col("label"))).alias("label"))
-    keep = done.join(top, ["ward", "label"], "left_semi").select("ward", "node")
-    return edges.join(keep.withColumnRenamed("node", "u"), ["ward", "u"], "left_semi").join(keep.withColumnRenamed("node", "v"), ["ward", "v"], "left_semi")
+    chosen = done.join(top, ["ward", "label"], "left_semi").select("ward", F.col("node").alias("label"))
+    keep = materialise(_shuffled(member, chosen, ["ward", "label"], "left_semi").select("ward", "node"), "largest")
+    return _shuffled(_shuffled(edges, keep.withColumnRenamed("node", "u"), ["ward", "u"], "left_semi"), keep.withColumnRenamed("node", "v"), ["ward", "v"], "left_semi")
 
 
 def _shortest(edges: DataFrame) -> DataFrame:

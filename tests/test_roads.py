@@ -224,3 +224,24 @@ def test_distances_to_targets_alone(spark, monkeypatch, inside, block):
     want = {k: d for k, d in expected(edges, sources).items() if (k[0], k[2]) in targets}
     got = {(r["ward"], r["source"], r["node"]): r["dist"] for r in out}
     assert len(out) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_components_by_small_blocks(spark, monkeypatch):
+    """Blocks of a few nodes: components that cross them, ties, chains one way, and ids that don't follow place."""
+    monkeypatch.setattr(net, "BLOCK", 8)
+    rng = random.Random(9)
+    edges = [(0, i, j) for i in range(40) for j in (i + 1, i - 1) if j >= 0] + [(0, 40, 41), (0, 41, 42)]
+    edges += [(1, rng.randrange(40), rng.randrange(40)) for _ in range(60)] + [(2, 7 * i % 41, 7 * (i + 1) % 41) for i in range(41)]
+    edges += [(3, a + i, a + (i + 1) % 6) for a in (10, 30) for i in range(6)] + [(3, 12, 33), (4, 5, 5)]
+    assert scc(spark, edges) == largest(sorted(set(edges)))
+
+
+def test_components_of_a_strip_take_few_tables(spark, monkeypatch):
+    """What goes through the driver or a round grows with the blocks: a long strip becomes a few nodes at once, and no table of nodes is broadcast."""
+    written, real = [], net.materialise
+    monkeypatch.setattr(net, "materialise", lambda df, name: written.append(name) or real(df, name))
+    monkeypatch.setattr(net, "BLOCK", 500)
+    both = [(0, a, b) for _, u, v, _ in strip(2000) for a, b in ((u, v), (v, u))] + [(0, 1999, 2000)]
+    out = net.largest_scc(spark.createDataFrame(both, "ward int, u int, v int"))
+    assert out.count() == len(both) - 1
+    assert "reach" not in written and len(written) <= 16
