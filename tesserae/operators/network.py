@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,7 +29,7 @@ QUIET_ROADS = ["residential", "living_street", "tertiary", "unclassified"]
 #: are read together before they become one.
 CHAINS, SHORTCUTS, COMPACT = 0.1, 64, 8
 #: Nodes of a block, roads a node that it may have, and the share of roads inside blocks from which distances go by blocks; bits of a place in one.
-BLOCK, DENSE, INSIDE, PLACE = 8192, 16, 0.5, 33
+BLOCK, DENSE, INSIDE, PLACE = 32768, 16, 0.5, 33
 
 
 def edge_cost(edges: DataFrame, rule: str) -> DataFrame:
@@ -179,8 +178,8 @@ def _shortest(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").groupBy("ward", "u", "v").agg(F.min("w").alias("w"))
 
 
-def contracted(roads: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """roads between the nodes that aren't a source and have other than two neighbours, chains of nodes with two as one edge each; and
+def contracted(roads: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """roads between the nodes that are a source or have other than two neighbours, chains of nodes with two as one edge each; their nodes; and
     (ward, node, end, w) for the nodes of chains: both ends, and how far they are. None where few nodes are in chains.
 
     Each edge into a chain points to the last edge of what is known of its way; pointers double each round, so rounds grow
@@ -189,7 +188,7 @@ def contracted(roads: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFra
     inner = materialise(degree.select("ward", "u", ((F.col("c") == 2) & F.col("s").isNull()).alias("inner")), "chain-nodes")
     n = inner.agg(F.count_if("inner").alias("inner"), F.count(F.lit(1)).alias("all")).first()
     if n["inner"] < n["all"] * CHAINS:
-        return roads, None
+        return roads, inner.select("ward", F.col("u").alias("node")), None
     chain = inner.where("inner").select("ward", F.col("u").alias("node"))
     ends = lambda df, c, name: df.join(chain.select("ward", F.col("node").alias(c), F.lit(True).alias(name)), ["ward", c], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     ways = ends(roads.withColumns({"a": F.col("u"), "b": F.col("v")}), "b", "open")
@@ -203,7 +202,8 @@ def contracted(roads: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFra
     ways = ends(ways.where("not open"), "u", "from_chain")
     kept = _shortest(ways.where("not from_chain").select("ward", "u", F.col("b").alias("v"), "w"))
     inside = ways.where("from_chain").groupBy("ward", F.col("u").alias("node"), F.col("b").alias("end")).agg(F.min("w").alias("w"))
-    return materialise(kept, "contracted"), materialise(inside, "inside-chains")
+    kept = materialise(kept, "contracted")
+    return kept, materialise(kept.select("ward", F.col("u").alias("node")).distinct(), "nodes"), materialise(inside, "inside-chains")
 
 
 def with_shortcuts(roads: DataFrame) -> DataFrame:
@@ -219,15 +219,14 @@ def with_shortcuts(roads: DataFrame) -> DataFrame:
     return roads
 
 
-def _in_blocks(roads: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(ward, node, n) and roads as (u, v, w) by n; and how many blocks there are. Blocks are ranges of (ward, node) of BLOCK nodes or so, fewer
+def _in_blocks(roads: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (ward, node) as (ward, node, n), and their roads by blocks. Blocks are ranges of (ward, node) of BLOCK nodes or so, fewer
     where roads are dense; n is the block in its high bits and the place within it. Written, so that all uses see the same numbers."""
-    nodes = materialise(roads.select("ward", F.col("u").alias("node")).distinct(), "nodes")
     blocks = max(1, -(-nodes.count() // BLOCK), -(-roads.count() // (BLOCK * DENSE)))
     # the id is the partition and the row's place in it
     nodes = materialise(nodes.repartitionByRange(blocks, "ward", "node").select("ward", "node", F.monotonically_increasing_id().alias("n")), "numbered")
     ends = roads.join(nodes.select("ward", F.col("node").alias("u"), F.col("n").alias("_u")), ["ward", "u"]).join(nodes.select("ward", F.col("node").alias("v"), F.col("n").alias("_v")), ["ward", "v"])
-    return nodes, materialise(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v"), "w"), "numbered-roads"), blocks
+    return nodes, _packed(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v"), "w"), blocks)
 
 
 def _block(n: str) -> Column:
@@ -235,70 +234,130 @@ def _block(n: str) -> Column:
 
 
 def _packed(roads: DataFrame, blocks: int) -> DataFrame:
-    """block, u, v, w: a row a block, its roads by the places of their ends, as bytes; to: the places that have roads to other blocks."""
+    """A row a block: its inner roads by the places of their ends, as bytes, those from place p at first[p] to first[p + 1]; over: its roads to
+    other blocks; border: where they start; inside, roads: how many of its roads stay inside, and all."""
 
     def pack(t: pa.Table) -> pa.Table:
         u, v, w = (t.column(k).to_numpy() for k in ("u", "v", "w"))
-        inner = u >> PLACE == v >> PLACE
-        places = lambda a: (a & (1 << PLACE) - 1).astype(np.int32).tobytes()
-        return pa.table({"block": [int(u[0] >> PLACE)], "u": [places(u[inner])], "v": [places(v[inner])], "w": [w[inner].tobytes()], "to": pa.array([(np.unique(u[~inner]) & (1 << PLACE) - 1).tolist()], pa.list_(pa.int32()))})
+        order = np.argsort(u, kind="stable")
+        u, v, w = u[order], v[order], w[order]
+        inner, place = u >> PLACE == v >> PLACE, (1 << PLACE) - 1
+        first = np.searchsorted(u[inner] & place, np.arange((u[-1] & place) + 2)).astype(np.int32)
+        leave = pa.StructArray.from_arrays([u[~inner], v[~inner], w[~inner]], names=["u", "v", "w"])
+        row = {"block": [int(u[0] >> PLACE)], "first": [first.tobytes()], "v": [(v[inner] & place).astype(np.int32).tobytes()], "w": [w[inner].tobytes()]}
+        row["border"] = pa.array([(np.unique(u[~inner]) & place).tolist()], pa.list_(pa.int32()))
+        return pa.table({**row, "inside": [int(inner.sum())], "roads": [len(u)], "over": pa.ListArray.from_arrays(pa.array([0, len(leave)], pa.int32()), leave)})
 
     # few rows, each of much work: as many tasks as blocks, which adaptive execution would join by their bytes
     dealt = roads.withColumn("block", _block("u")).repartition(blocks, "block")
-    return materialise(dealt.groupBy("block").applyInArrow(pack, "block long, u binary, v binary, w binary, to array<int>"), "blocks")
+    return materialise(dealt.groupBy("block").applyInArrow(pack, "block long, first binary, v binary, w binary, border array<int>, inside long, roads long, over array<struct<u: long, v: long, w: double>>"), "blocks")
 
 
-def _least(start: list[tuple[float, int]], near: dict[int, list[tuple[int, float]]]) -> dict[int, float]:
-    """Least distances from places that have some already, along near."""
-    best: dict[int, float] = {}
-    heapq.heapify(start)
-    while start:
-        d, u = heapq.heappop(start)
-        if u not in best:
+def _least(best: list[float | None], start: list[tuple[float, int]], near: list[tuple[int, float]], first: list[int]) -> list[int]:
+    """Lowers the least distances of places in best by those to start from, along near; the places that have become nearer."""
+    heap, nearer = [], []
+    for d, u in start:
+        if best[u] is None or d < best[u]:
             best[u] = d
-            for v, w in near.get(u, ()):
-                if v not in best:
-                    heapq.heappush(start, (d + w, v))
-    return best
-
-
-def _within(blocks: DataFrame, front: DataFrame) -> DataFrame:
-    """s, n, dist: the front's distances (s, n, dist) carried on inside each block, to the places in its column to; to all where that is null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for r in range(rows.num_rows):
-                block, *packed, to = (rows.column(k)[r].as_py() for k in ("block", "u", "v", "w", "to"))
-                u, v = (np.frombuffer(packed[k], np.int32).tolist() for k in (0, 1))
-                near, starts = defaultdict(list), defaultdict(list)
-                for a, b, w in zip(u, v, np.frombuffer(packed[2]).tolist(), strict=True):
-                    near[a].append((b, w))
-                own = rows.column("front")[r].values
-                for s, n, d in zip(*(own.field(k).to_pylist() for k in ("s", "n", "dist")), strict=True):
-                    starts[s].append((d, n - (block << PLACE)))
-                for s, start in starts.items():
-                    best = _least(start, near)
-                    at = list(best) if to is None else [p for p in to if p in best]
-                    n = pa.array(np.array(at, np.int64) + (block << PLACE))
-                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.int64()), n, pa.array([best[p] for p in at], pa.float64())], names=["s", "n", "dist"])
-
-    by = front.groupBy(_block("n").alias("block")).agg(F.collect_list(F.struct("s", "n", "dist")).alias("front"))
-    return blocks.join(by, "block").mapInArrow(run, "s long, n long, dist double")
-
-
-def _by_blocks(nodes: DataFrame, roads: DataFrame, blocks: int, sources: DataFrame, targets: DataFrame | None) -> DataFrame:
+            heap.append((d, u))
+    heapq.heapify(heap)
+    while heap:
+        d, u = heapq.heappop(heap)
+        if d > best[u]:
+            continue
+        nearer.append(u)
+        for v, w in near[first[u] : first[u + 1]]:
+            to, known = d + w, best[v]
+            if known is None or to < known:
+                best[v] = to
+                heapq.heappush(heap, (to, v))
+    return nearer
+
+
+#: What a search of a block gives for a source: the places that have become nearer and their distances, as bytes; of them, by n, those with roads to other blocks.
+_NEARER = "block long, s long, places binary, dists binary, leave array<struct<n: long, dist: double>>"
+
+
+def _within(packed: DataFrame, tasks: int, front: DataFrame, reached: DataFrame | None) -> DataFrame:
+    """The front's distances (s, n, dist) carried on inside each block, where they lower those that earlier searches have reached."""
+
+    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
+        out: dict[str, list] = {k: [] for k in ("block", "s", "places", "dists", "leave")}
+        if block.num_rows and rows.num_rows:
+            number, first, v, w, border = (block.column(k)[0].as_py() for k in ("block", "first", "v", "w", "border"))
+            first = np.frombuffer(first, np.int32).tolist()
+            near = list(zip(np.frombuffer(v, np.int32).tolist(), np.frombuffer(w).tolist(), strict=True))
+            base, border = number << PLACE, set(border)
+            before, starts = defaultdict(list), defaultdict(list)
+            for s, n, d, places, dists in zip(*(rows.column(k).to_pylist() for k in ("s", "n", "dist", "places", "dists")), strict=True):
+                if places is None:
+                    starts[s].append((d, n - base))
+                else:
+                    before[s].append((places, dists))
+            for s, start in starts.items():
+                best: list[float | None] = [None] * (len(first) - 1)
+                for places, dists in before.pop(s, ()):
+                    for p, d in zip(np.frombuffer(places, np.int32).tolist(), np.frombuffer(dists).tolist(), strict=True):
+                        if best[p] is None or d < best[p]:
+                            best[p] = d
+                nearer = _least(best, start, near, first)
+                row = (number, s, np.array(nearer, np.int32).tobytes(), np.array([best[p] for p in nearer], np.float64).tobytes(), [{"n": base + p, "dist": best[p]} for p in nearer if p in border])
+                for k, value in zip(out, row, strict=True):
+                    out[k].append(value)
+        leave = pa.list_(pa.struct([("n", pa.int64()), ("dist", pa.float64())]))
+        return pa.table(out, pa.schema([("block", pa.int64()), ("s", pa.int64()), ("places", pa.binary()), ("dists", pa.binary()), ("leave", leave)]))
+
+    at = front.withColumn("block", _block("n"))
+    rows = at.select("block", "s", "n", "dist", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("dists"))
+    if reached is not None:
+        again = reached.join(at.select("block", "s").distinct(), ["block", "s"], "left_semi")
+        rows = rows.unionByName(again.select("block", "s", "places", "dists"), allowMissingColumns=True)
+    roads = packed.join(at.select("block").distinct(), "block", "left_semi").select("block", "first", "v", "w", "border")
+    dealt = lambda df: df.repartition(tasks, "block").groupBy("block")
+    return dealt(roads).cogroup(dealt(rows)).applyInArrow(run, _NEARER)
+
+
+def _gathered(reached: DataFrame) -> DataFrame:
+    """s, n, dist: the least of all distances that searches have reached; of the places in column to alone, where there is one."""
+
+    def run(t: pa.Table) -> pa.Table:
+        places = np.frombuffer(b"".join(t.column("places").to_pylist()), np.int32)
+        dists = np.frombuffer(b"".join(t.column("dists").to_pylist()))
+        if "to" in t.column_names:
+            wanted = np.isin(places, t.column("to")[0].as_py())
+            places, dists = places[wanted], dists[wanted]
+        order = np.lexsort((dists, places))
+        places, dists = places[order], dists[order]
+        least = np.diff(places, prepend=-1) > 0
+        n = places[least].astype(np.int64) + (t.column("block")[0].as_py() << PLACE)
+        return pa.table({"s": pa.array([t.column("s")[0].as_py()] * len(n), pa.int64()), "n": n, "dist": dists[least]})
+
+    return reached.drop("leave").groupBy("block", "s").applyInArrow(run, "s long, n long, dist double")
+
+
+def _by_blocks(nodes: DataFrame, packed: DataFrame, sources: DataFrame, targets: DataFrame | None) -> DataFrame:
     """ward, source, node, dist from sources that have roads, to targets or all. A round carries distances through whole blocks and over one road to the next, so rounds
-    grow with the blocks that a path crosses, not with its roads; in between only the nodes where a block is entered have a state."""
-    packed = _packed(roads, blocks)
-    over = materialise(roads.where(_block("u") != _block("v")), "between-blocks")
+    grow with the blocks that a path crosses, not with its roads. What a search of a block has reached is kept: the next one of the same
+    source goes on only where it comes nearer, and the rows kept are the result."""
+    blocks = packed.count()
+    over = materialise(packed.select(F.inline("over")), "between-blocks")
     begin = sources.select("ward", F.col("node")).distinct().join(nodes, ["ward", "node"]).select(F.col("n").alias("s"), "n", F.lit(0.0).alias("dist"))
-    known = _relax(materialise(begin, "distances"), ["s", "n"], lambda front: _within(packed, front).join(over.withColumnRenamed("u", "n"), "n").groupBy("s", F.col("v").alias("n")).agg(F.min(F.col("dist") + F.col("w")).alias("dist")))
-    if targets is None:
-        last = packed.withColumn("to", F.lit(None).cast("array<int>"))
-    else:  # only blocks that hold a target are searched again
+    front, written = materialise(begin, "distances"), []
+    reached = None
+    while not front.isEmpty():
+        last = materialise(_within(packed, blocks, front, reached), "reached")
+        written.append(last)
+        reached = reduce(DataFrame.unionByName, written)
+        step = last.select("s", F.inline("leave")).join(over.withColumnRenamed("u", "n"), "n").groupBy("s", F.col("v").alias("n")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        # roads go both ways: a node that another block leads to leads there
+        known = reached.select("s", F.inline("leave")).groupBy("s", "n").agg(F.min("dist").alias("_d"))
+        front = materialise(step.join(known, ["s", "n"], "left").where("_d is null or dist < _d").drop("_d"), "distances")
+    if reached is None:
+        return sources.select("ward", F.col("node").alias("source"), "node", F.lit(0.0).alias("dist")).where("false")
+    if targets is not None:
         own = targets.join(nodes, ["ward", "node"]).groupBy(_block("n").alias("block")).agg(F.collect_list(F.col("n").bitwiseAND((1 << PLACE) - 1).cast("int")).alias("to"))
-        last = packed.drop("to").join(own, "block")
-    found = _within(last, known).join(nodes, "n")
+        reached = reached.join(own, "block")
+    found = _gathered(reached).join(nodes, "n")
     return found.join(nodes.select(F.col("n").alias("s"), F.col("node").alias("source")), "s").select("ward", "source", "node", "dist")
 
 
@@ -326,19 +385,20 @@ def multi_source_dist(edges: DataFrame, sources: DataFrame, cost: str = "length"
     both = materialise(_shortest(one.select("ward", F.inline(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))))), "roads")
     if not both.where("w < 0").isEmpty():
         raise ValueError("edges with a cost below 0")
-    roads, inside = contracted(both, sources)
-    key = ["ward", "source", "node"]
     start = materialise(sources.select("ward", F.col("node").alias("source"), "node", F.lit(0.0).alias("dist")).distinct(), "distances")
+    sources = start.select("ward", "node")  # written, so that all uses read a few rows
+    roads, nodes, inside = contracted(both, sources)
+    key = ["ward", "source", "node"]
     wanted = via = None
     if targets is not None:
         wanted = via = materialise(targets.select("ward", "node").distinct(), "targets")
         if inside is not None:  # inside a chain, from its ends
             via = wanted.union(inside.join(wanted, ["ward", "node"], "left_semi").select("ward", "end")).distinct()
-    nodes, numbered, blocks = _in_blocks(roads)
-    share = numbered.agg(F.avg((_block("u") == _block("v")).cast("int"))).first()[0]
-    if share is not None and share >= INSIDE:
-        found = _by_blocks(nodes, numbered, blocks, sources, via)
-        known = found.unionByName(start).groupBy(*key).agg(F.min("dist").alias("dist"))  # sources without roads
+    nodes, packed = _in_blocks(roads, nodes)
+    n = packed.agg(F.sum("inside").alias("inside"), F.sum("roads").alias("roads")).first()
+    if n["roads"] and n["inside"] >= INSIDE * n["roads"]:
+        found = _by_blocks(nodes, packed, sources, via)
+        known = found.unionByName(start.join(nodes, ["ward", "node"], "left_anti"))  # sources without roads
     else:
         ways = with_shortcuts(roads)
         known = _relax(start, key, lambda front: front.withColumnRenamed("node", "u").join(ways, ["ward", "u"]).groupBy("ward", "source", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist")))

@@ -72,7 +72,7 @@ _AREAS = "areas AS (SELECT n_nationkey AS ward, n_nationkey AS area, (40000 + n_
 
 
 def _table(s: SparkSession, d: str) -> DataFrame:
-    way = _waypoints(s, d)
+    way = materialise(_waypoints(s, d), "waypoints")
     return net.distance_table(net.multi_source_dist(edges(s, d), way, targets=way), way)
 
 
