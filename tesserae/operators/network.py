@@ -476,7 +476,7 @@ def mean_closeness(edges: DataFrame, nodes_in_areas: DataFrame, landmarks: int =
     nodes per ward, chosen by a hash; approximate. nodes_in_areas: (ward, node, area)."""
     nodes = edges.select("ward", F.col("u").alias("node")).union(edges.select("ward", "v")).distinct()
     draw = F.row_number().over(Window.partitionBy("ward").orderBy(uniform(F.col("ward"), F.col("node"), seed), "node"))
-    marks = nodes.withColumn("_i", draw).where(F.col("_i") <= landmarks).select("ward", "node")
+    marks = materialise(nodes.withColumn("_i", draw).where(F.col("_i") <= landmarks).select("ward", "node"), "landmarks")
     dist = multi_source_dist(edges, marks)
     close = dist.where("dist > 0").groupBy("ward", "node").agg((F.count(F.lit(1)) / F.sum("dist")).alias("c"))
     return nodes_in_areas.join(close, ["ward", "node"]).groupBy("area").agg(F.avg("c").alias("closeness"))

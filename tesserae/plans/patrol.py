@@ -91,7 +91,7 @@ def k13(s: SparkSession, d: str) -> DataFrame:
 
 def k14(s: SparkSession, d: str) -> DataFrame:
     own = nodes(s, d).select("ward", "node", c("ward").alias("area"))
-    return net.mean_closeness(materialise(edges(s, d), "roads"), own, 2)
+    return net.mean_closeness(materialise(edges(s, d).select("ward", "u", "v", "length"), "roads"), own, 2)
 
 
 _cost = lambda rule: lambda s, d: net.edge_cost(edges(s, d), rule).select("ward", "u", "v", "cost")
