@@ -30,6 +30,10 @@ QUIET_ROADS = ["residential", "living_street", "tertiary", "unclassified"]
 CHAINS, SHORTCUTS, COMPACT = 0.1, 64, 8
 #: Nodes of a block, roads a node that it may have, and the share of roads inside blocks from which distances go by blocks; bits of a place in one.
 BLOCK, DENSE, INSIDE, PLACE = 32768, 16, 0.5, 33
+#: Nodes of a part whose pairs one task adds up, and of one that is searched from each node, from SOME at a time; distances that a task holds at once.
+PART, LEAF, SOME, CELLS = 131072, 128, 64, 1 << 25
+#: Nodes at a cut between halves of a larger part; classes of nodes that meet in a task; distances written at once where cuts have more nodes.
+CUT, MEET, PAIRS = 512, 4096, 1 << 28
 
 
 def edge_cost(edges: DataFrame, rule: str) -> DataFrame:
@@ -178,6 +182,15 @@ def _shortest(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").groupBy("ward", "u", "v").agg(F.min("w").alias("w"))
 
 
+def _both_ways(edges: DataFrame, cost: str) -> DataFrame:
+    """ward, u, v, w: the least cost of edges that have one, each taken both ways."""
+    one = edges.select("ward", "u", "v", F.col(cost).cast("double").alias("w")).where("w is not null")
+    both = materialise(_shortest(one.select("ward", F.inline(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))))), "roads")
+    if not both.where("w < 0").isEmpty():
+        raise ValueError("edges with a cost below 0")
+    return both
+
+
 def contracted(roads: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """roads between the nodes that are a source or have other than two neighbours, chains of nodes with two as one edge each; their nodes; and
     (ward, node, end, w) for the nodes of chains: both ends, and how far they are. None where few nodes are in chains.
@@ -381,10 +394,7 @@ def multi_source_dist(edges: DataFrame, sources: DataFrame, cost: str = "length"
     roads stay within ranges of nodes, distances go by these blocks; elsewhere ways of a few edges become shortcuts, and each round
     only distances that have just become smaller go on. Edges without a cost lead nowhere; costs below 0 are an error, since distances
     would have no end."""
-    one = edges.select("ward", "u", "v", F.col(cost).cast("double").alias("w")).where("w is not null")
-    both = materialise(_shortest(one.select("ward", F.inline(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))))), "roads")
-    if not both.where("w < 0").isEmpty():
-        raise ValueError("edges with a cost below 0")
+    both = _both_ways(edges, cost)
     start = materialise(sources.select("ward", F.col("node").alias("source"), "node", F.lit(0.0).alias("dist")).distinct(), "distances")
     sources = start.select("ward", "node")  # written, so that all uses read a few rows
     roads, nodes, inside = contracted(both, sources)
@@ -471,12 +481,239 @@ def route_coverage(wards: DataFrame, routes: DataFrame, parent: str) -> DataFram
     return has.groupBy(parent).agg(F.count(F.lit(1)).alias("wards"), F.count_if(F.col("_hit").isNull()).alias("missing"), (F.avg(F.col("_hit").isNotNull().cast("int")) * 100).alias("covered_pct"))
 
 
-def mean_closeness(edges: DataFrame, nodes_in_areas: DataFrame, landmarks: int = 4, seed: int = 0) -> DataFrame:
-    """K14. area, closeness: mean over its nodes of (landmarks reached - 1 or more) / summed distance to `landmarks`
-    nodes per ward, chosen by a hash; approximate. nodes_in_areas: (ward, node, area)."""
-    nodes = edges.select("ward", F.col("u").alias("node")).union(edges.select("ward", "v")).distinct()
-    draw = F.row_number().over(Window.partitionBy("ward").orderBy(uniform(F.col("ward"), F.col("node"), seed), "node"))
-    marks = materialise(nodes.withColumn("_i", draw).where(F.col("_i") <= landmarks).select("ward", "node"), "landmarks")
-    dist = multi_source_dist(edges, marks)
-    close = dist.where("dist > 0").groupBy("ward", "node").agg((F.count(F.lit(1)) / F.sum("dist")).alias("c"))
+def _near(first: np.ndarray, v: np.ndarray, w: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Distances of all places (rows) from sources (columns); the roads from place p are those from first[p] to first[p + 1]. A round goes on
+    from the places whose new distances begin within a mean road of the least."""
+    n = len(first) - 1
+    dist, least, is_open = np.full((n, len(sources)), np.inf), np.full(n, np.inf), np.zeros(n, bool)
+    dist[sources, np.arange(len(sources))], least[sources], is_open[sources] = 0, 0, True
+    step = w.mean() if len(w) else 0
+    while is_open.any():
+        front = np.flatnonzero(is_open)
+        front = front[least[front] <= least[front].min() + step]
+        least[front], is_open[front] = np.inf, False
+        c = first[front + 1] - first[front]
+        road = np.repeat(first[front] - np.cumsum(c) + c, c) + np.arange(c.sum())
+        order = np.argsort(v[road], kind="stable")
+        road = road[order]
+        begin = np.flatnonzero(np.diff(v[road], prepend=-1))
+        if not len(begin):
+            continue
+        along = dist[np.repeat(front, c)[order]]
+        along += w[road][:, None]
+        to, along = v[road][begin], np.minimum.reduceat(along, begin, axis=0)
+        less = along < dist[to]
+        nearer = less.any(axis=1)
+        to, along, less = to[nearer], along[nearer], less[nearer]
+        dist[to] = np.minimum(dist[to], along)
+        least[to], is_open[to] = np.minimum(least[to], np.where(less, along, np.inf).min(axis=1)), True
+    return dist
+
+
+def _meet(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """Two sides' classes: rows of distances to the nodes of a cut, how many nodes each has, the sum of their offsets, and how many have none. For
+    both, by class: nodes of the other side that are reached, the sum of what is between and of their offsets, nodes at no distance."""
+    out = [np.zeros((3, len(side[0]))) for side in (left, right)]
+    for i in range(0, len(left[0]), 128):
+        a = [x[i : i + 128] for x in left]
+        for j in range(0, len(right[0]), 256):
+            b = [x[j : j + 256] for x in right]
+            between = np.full((len(a[0]), len(b[0])), np.inf)
+            along = np.empty_like(between)
+            for x, y in zip(a[0].T, b[0].T, strict=True):
+                np.minimum(between, np.add.outer(x, y, out=along), out=between)
+            reached, none = np.isfinite(between).astype(float), (between == 0).astype(float)
+            between[reached == 0] = 0
+            out[0][:, i : i + 128] += reached @ b[1], between @ b[1] + reached @ b[2], none @ b[3]
+            out[1][:, j : j + 256] += a[1] @ reached, a[1] @ between + a[2] @ reached, a[3] @ none
+    return out
+
+
+def _across(dist: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of distances to the nodes of a cut, of those before half on one side: for each, nodes of the other side that it reaches, and
+    the sum of their distances. Rows that differ by an offset alone are one class; far from a cut nearly all are."""
+    off = dist.min(axis=1)
+    off[np.isinf(off)] = 0
+    sides = []
+    for own in (slice(0, half), slice(half, None)):
+        rows, of = np.unique(dist[own] - off[own, None], axis=0, return_inverse=True)
+        of = of.ravel()
+        sides.append((of, (rows, np.bincount(of).astype(float), np.bincount(of, off[own]), np.bincount(of, off[own] == 0))))
+    met = [by[:, of] for (of, _), by in zip(sides, _meet(sides[0][1], sides[1][1]), strict=True)]
+    reached, between, none = np.concatenate(met, axis=1)
+    return reached - none * (off == 0), off * reached + between
+
+
+def _round_about(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of distances to the nodes of a cut: roads between rows by way of these, without those that two shorter ones make up."""
+    way = np.full((len(dist), len(dist)), np.inf)
+    for x in dist.T:
+        np.minimum(way, np.add.outer(x, x), out=way)
+    keep = np.isfinite(way) & ~np.eye(len(way), dtype=bool)
+    for x in way:
+        keep &= ~((np.add.outer(x, x) <= way) & (x[:, None] < way) & (x < way))
+    u, v = np.nonzero(keep)
+    return u, v, way[u, v]
+
+
+def _sums(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For places 0 to n - 1, with roads both ways: how many places each reaches at a distance above 0, and the sum of their distances.
+
+    A part is cut in halves, by place or, where that cuts more, by distance from its end. Ways across lead through the nodes at the cut;
+    then each half is a part of its own, with roads for the ways between these nodes that leave it. Parts with no small cut are searched from
+    each node."""
+    reached, total = np.zeros(n), np.zeros(n)
+    todo = [(np.arange(n), u, v, w)]
+    while todo:
+        own, u, v, w = todo.pop()
+        m, half = len(own), len(own) // 2
+        ends = None
+        for by_place in (True, False):
+            order = np.argsort(u, kind="stable")
+            u, v, w = u[order], v[order], w[order]
+            first = np.searchsorted(u, np.arange(m + 1))
+            if m <= LEAF:
+                break
+            over = (u < half) & (v >= half)
+            ends = np.unique(u[over]), np.unique(v[over])
+            most = max(map(len, ends))
+            if most <= (4 * m**0.5 if by_place else m / 4) and most * m <= CELLS:
+                break
+            ends = None
+            if by_place:
+                start = _near(first, v, w, np.array([0]))[:, 0]
+                start = np.where(np.isinf(start), -1, start).argmax()
+                order = np.argsort(_near(first, v, w, np.array([start]))[:, 0], kind="stable")
+                place = np.empty(m, np.int64)
+                place[order] = np.arange(m)
+                own, u, v = own[order], place[u], place[v]
+        if ends is None:
+            some = max(1, min(SOME, CELLS // m))
+            for i in range(0, m, some):
+                dist = _near(first, v, w, np.arange(i, min(m, i + some)))
+                far = np.isfinite(dist) & (dist > 0)
+                reached[own[i : i + some]] += far.sum(axis=0)
+                total[own[i : i + some]] += np.where(far, dist, 0).sum(axis=0)
+            continue
+        dist = _near(first, v, w, ends[0])
+        if len(ends[0]):
+            add = _across(dist, half)
+            reached[own] += add[0]
+            total[own] += add[1]
+        for low, high, end in ((0, half, ends[0]), (half, m, ends[1])):
+            inner = (u >= low) & (u < high) & (v >= low) & (v < high)
+            a, b, c = _round_about(dist[end])
+            todo.append((own[low:high], np.concatenate([u[inner], end[a]]) - low, np.concatenate([v[inner], end[b]]) - low, np.concatenate([w[inner], c])))
+    return reached, total
+
+
+_SUMS = "n long, reached double, dist double"
+
+
+def _in_parts(roads: DataFrame, tasks: int) -> DataFrame:
+    """n, reached, dist: _sums of parts that fit a task."""
+
+    def run(t: pa.Table) -> pa.Table:
+        u, v, w = (t.column(k).to_numpy() for k in ("u", "v", "w"))
+        n = np.unique(u)
+        reached, dist = _sums(len(n), np.searchsorted(n, u), np.searchsorted(n, v), w)
+        return pa.table({"n": n, "reached": reached, "dist": dist})
+
+    return roads.repartition(tasks, "part").groupBy("part").applyInArrow(run, _SUMS)
+
+
+def _from_each(nodes: DataFrame, roads: DataFrame) -> list[DataFrame]:
+    """n, reached, dist of parts that are searched from each node, of so many at once that PAIRS distances are written at most."""
+    pairs = nodes.groupBy("part").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+    batches, out = -(-pairs // PAIRS), []
+    for i in range(batches):
+        some = nodes.where(F.pmod(F.xxhash64("n"), F.lit(batches)) == i).select(F.col("part").alias("ward"), F.col("n").alias("node"))
+        dist = multi_source_dist(roads.where("u < v").withColumnRenamed("part", "ward"), some, "w").where("dist > 0")
+        out.append(materialise(dist.groupBy(F.col("source").alias("n")).agg(F.count(F.lit(1)).cast("double").alias("reached"), F.sum("dist").alias("dist")), "sums"))
+    return out
+
+
+def _across_halves(dist: DataFrame, halves: DataFrame) -> DataFrame:
+    """n, reached, dist: what _across gives, for parts (part, mid) of any size and distances (ward, source, node, dist) from the nodes of their cuts."""
+    # the nodes of a cut that a node reaches are those of its component, which the least of them names
+    key, row = ["part", "at", "side", "row"], F.array_sort(F.collect_list(F.struct("source", "dist")))
+    seen = dist.groupBy(F.col("ward").alias("part"), F.col("node").alias("n")).agg(F.min("source").alias("at"), F.min("dist").alias("off"), row.alias("row"))
+    seen = seen.withColumn("row", F.transform("row", lambda x: x["dist"] - F.col("off"))).join(halves, "part").withColumn("side", (F.col("n") > F.col("mid")).cast("int")).drop("mid")
+    seen = materialise(seen, "seen")
+    found = seen.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("nodes"), F.sum("off").alias("offs"), F.count_if(F.col("off") == 0).cast("double").alias("nones"))
+    found = materialise(found.withColumn("id", F.monotonically_increasing_id()), "classes")
+    chunks = found.groupBy("part", "at", "side").agg(F.ceil(F.count(F.lit(1)) / MEET).alias("chunks"))
+    dealt = found.join(chunks, ["part", "at", "side"]).withColumn("own", F.pmod(F.xxhash64("id"), "chunks"))
+    dealt = dealt.join(chunks.select("part", "at", (1 - F.col("side")).alias("side"), F.col("chunks").alias("others")), ["part", "at", "side"])
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    dealt = dealt.withColumns({"left": F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), "right": F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other"))})
+
+    def run(t: pa.Table) -> pa.Table:
+        side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
+        rows = np.array(t.column("row").combine_chunks().flatten()).reshape(t.num_rows, -1)
+        columns = [rows, *(t.column(k).to_numpy() for k in ("nodes", "offs", "nones"))]
+        met = _meet(*(tuple(c[side == k] for c in columns) for k in (0, 1)))
+        reached, between, none = np.concatenate(met, axis=1)
+        return pa.table({"id": np.concatenate([ids[side == k] for k in (0, 1)]), "reached": reached, "between": between, "none": none})
+
+    dealt = dealt.select("part", "at", "left", "right", "side", "id", "row", "nodes", "offs", "nones")
+    met = dealt.groupBy("part", "at", "left", "right").applyInArrow(run, "id long, reached double, between double, none double")
+    by = met.groupBy("id").agg(F.sum("reached").alias("reached"), F.sum("between").alias("between"), F.sum("none").alias("none"))
+    own = _shuffled(seen, found.select(*key, "id"), key).join(by, "id")
+    none = F.when(F.col("off") == 0, F.col("none")).otherwise(0.0)
+    return materialise(own.select("n", (F.col("reached") - none).alias("reached"), (F.col("off") * F.col("reached") + F.col("between")).alias("dist")), "sums")
+
+
+def distance_sums(edges: DataFrame, cost: str = "length") -> DataFrame:
+    """ward, node, reached, dist: how many nodes each node reaches at a distance above 0 along edges taken both ways, and the sum of their distances;
+    every pair counts. Nodes that reach none are left out.
+
+    A ward that is too large for a task is cut in halves as in _sums, with a distributed search from the nodes at the cut; where
+    these are many, since ids don't follow place, the ward is searched from each node instead."""
+    both = _both_ways(edges, cost)
+    nodes = both.select("ward", F.col("u").alias("node")).distinct()
+    n = nodes.count()
+    order = nodes.repartitionByRange(max(1, -(-n // BLOCK)), "ward", "node").sortWithinPartitions("ward", "node")
+    numbered = materialise(order.select("ward", "node", F.monotonically_increasing_id().alias("n")), "numbered")
+    parts = numbered.groupBy("ward").agg(F.min("n").cast("string").alias("part"))
+    ends = _shuffled(both, numbered.select("ward", F.col("node").alias("u"), F.col("n").alias("_u")), ["ward", "u"])
+    ends = _shuffled(ends, numbered.select("ward", F.col("node").alias("v"), F.col("n").alias("_v")), ["ward", "v"])
+    roads = materialise(ends.join(parts, "ward").select("part", F.col("_u").alias("u"), F.col("_v").alias("v"), "w"), "roads")
+    sums, tasks = [], max(1, -(-n // (PART // 32)))
+    while True:
+        nodes = roads.select("part", F.col("u").alias("n")).distinct()
+        size = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("nodes"), F.percentile_approx("n", 0.5).alias("mid")).join(roads.groupBy("part").agg(F.count(F.lit(1)).alias("roads")), "part")
+        halves = materialise(size.where((F.col("nodes") > PART) | (F.col("roads") > PART * DENSE)).select("part", "mid"), "halves")
+        sums.append(materialise(_in_parts(roads.join(halves, "part", "left_anti"), tasks), "sums"))
+        if halves.isEmpty():
+            break
+        roads = materialise(roads.join(halves, "part"), "roads")
+        over = materialise(roads.where("u <= mid and v > mid"), "over")
+        cut = over.groupBy("part").agg(F.greatest(F.count_distinct("u"), F.count_distinct("v")).alias("cut"))
+        wide = materialise(cut.where(F.col("cut") > CUT).select("part"), "wide")
+        if not wide.isEmpty():
+            sums += _from_each(nodes.join(wide, "part", "left_semi"), roads.join(wide, "part", "left_semi").drop("mid"))
+            roads, over, halves = (materialise(df.join(wide, "part", "left_anti"), "narrow") for df in (roads, over, halves))
+        dist = multi_source_dist(roads.where("u < v").withColumnRenamed("part", "ward"), over.select(F.col("part").alias("ward"), F.col("u").alias("node")).distinct(), "w")
+        sums.append(_across_halves(dist, halves))
+        end = over.select("part", F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit("0").alias("side")), F.struct(F.col("v").alias("n"), F.lit("1").alias("side")))).alias("e")).select(F.col("part").alias("ward"), F.col("e.n").alias("node"), F.concat("part", F.lit("."), "e.side").alias("part")).distinct()
+        end = materialise(dist.join(end, ["ward", "node"]), "ends")
+        about = end.select("part", "source", F.col("node").alias("u"), "dist").join(end.select("part", "source", F.col("node").alias("v"), F.col("dist").alias("_d")), ["part", "source"]).select("part", "u", "v", (F.col("dist") + F.col("_d")).alias("w"))
+        inner = roads.where("(u <= mid) = (v <= mid)").select(F.concat("part", F.lit("."), F.when(F.col("u") <= F.col("mid"), "0").otherwise("1")).alias("part"), "u", "v", "w")
+        roads = materialise(_shortest(inner.unionByName(about).withColumnRenamed("part", "ward")).withColumnRenamed("ward", "part"), "roads")
+    total = reduce(DataFrame.unionByName, sums).groupBy("n").agg(F.sum("reached").alias("reached"), F.sum("dist").alias("dist")).where("reached > 0")
+    return materialise(_shuffled(numbered, total, ["n"]).select("ward", "node", "reached", "dist"), "distance-sums")
+
+
+def mean_closeness(edges: DataFrame, nodes_in_areas: DataFrame, landmarks: int | None = None, seed: int = 0) -> DataFrame:
+    """K14. area, closeness: mean over its nodes of nodes reached / their summed distance, over all nodes of the ward. With landmarks, an approximation: distances go
+    to as many nodes per ward only, chosen by a hash. nodes_in_areas: (ward, node, area)."""
+    if landmarks is None:
+        close = distance_sums(edges).select("ward", "node", (F.col("reached") / F.col("dist")).alias("c"))
+    else:
+        nodes = edges.select("ward", F.col("u").alias("node")).union(edges.select("ward", "v")).distinct()
+        draw = F.row_number().over(Window.partitionBy("ward").orderBy(uniform(F.col("ward"), F.col("node"), seed), "node"))
+        marks = materialise(nodes.withColumn("_i", draw).where(F.col("_i") <= landmarks).select("ward", "node"), "landmarks")
+        dist = multi_source_dist(edges, marks)
+        close = dist.where("dist > 0").groupBy("ward", "node").agg((F.count(F.lit(1)) / F.sum("dist")).alias("c"))
     return nodes_in_areas.join(close, ["ward", "node"]).groupBy("area").agg(F.avg("c").alias("closeness"))

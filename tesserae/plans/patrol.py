@@ -91,7 +91,7 @@ def k13(s: SparkSession, d: str) -> DataFrame:
 
 def k14(s: SparkSession, d: str) -> DataFrame:
     own = nodes(s, d).select("ward", "node", c("ward").alias("area"))
-    return net.mean_closeness(materialise(edges(s, d).select("ward", "u", "v", "length"), "roads"), own, 2)
+    return net.mean_closeness(materialise(edges(s, d).select("ward", "u", "v", "length"), "roads"), own)
 
 
 _cost = lambda rule: lambda s, d: net.edge_cost(edges(s, d), rule).select("ward", "u", "v", "cost")
@@ -149,10 +149,10 @@ add(
         SELECT l.ward, count(*) AS legs, round(sum(dist), 6) AS length FROM legs l JOIN dist d ON d.ward = l.ward AND d.source = l.source AND d.node = l.target GROUP BY l.ward""",
 )
 add("k13_route_coverage", k13, f"WITH {_PANEL}, {_AREAS} SELECT n_regionkey AS borough, count(*) AS wards, count_if(NOT coalesce(rate >= 0.4, false))::BIGINT AS missing, round(avg(coalesce(rate >= 0.4, false)::INT) * 100, 6) AS covered_pct FROM nation JOIN areas ON ward = n_nationkey GROUP BY n_regionkey")
-_MARKS = "way AS (SELECT ward, node FROM (SELECT ward, node, row_number() OVER (PARTITION BY ward ORDER BY ('0x' || substr(md5(concat_ws('|', ward, node, 0)), 1, 8))::BIGINT, node) AS place FROM (SELECT DISTINCT ward, u AS node FROM edges UNION SELECT ward, v FROM edges)) WHERE place <= 2)"
+_ALL = "way AS (SELECT ward, node FROM nodes)"
 add(
     "k14_mean_closeness",
     k14,
-    f"""WITH {_DIST.replace(_WAY, _MARKS)}, close AS (SELECT ward, node, count(*) / sum(dist) AS closeness FROM dist WHERE dist > 0 GROUP BY ALL)
+    f"""WITH {_DIST.replace(_WAY, _ALL)}, close AS (SELECT ward, node, count(*) / sum(dist) AS closeness FROM dist WHERE dist > 0 GROUP BY ALL)
         SELECT ward AS area, round(avg(closeness), 6) AS closeness FROM close GROUP BY ward""",
 )
