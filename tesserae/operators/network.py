@@ -30,8 +30,8 @@ QUIET_ROADS = ["residential", "living_street", "tertiary", "unclassified"]
 CHAINS, SHORTCUTS, COMPACT = 0.1, 64, 8
 #: Nodes of a block, roads a node that it may have, and the share of roads inside blocks from which distances go by blocks; bits of a place in one.
 BLOCK, DENSE, INSIDE, PLACE = 32768, 16, 0.5, 33
-#: Nodes of a part whose pairs one task adds up, and of one that is searched from each node, from SOME at a time; distances that a task holds at once.
-PART, LEAF, SOME, CELLS = 131072, 128, 64, 1 << 25
+#: Nodes of a part whose pairs one task adds up, and of one that is searched from each node, from SOME at a time; distances that a task holds at once; nodes that there is a task for.
+PART, LEAF, SOME, CELLS, SHARE = 262144, 128, 64, 1 << 25, 2048
 #: Nodes at a cut between halves of a larger part; classes of nodes that meet in a task; distances written at once where cuts have more nodes.
 CUT, MEET, PAIRS = 512, 4096, 1 << 28
 
@@ -679,7 +679,7 @@ def distance_sums(edges: DataFrame, cost: str = "length") -> DataFrame:
     ends = _shuffled(both, numbered.select("ward", F.col("node").alias("u"), F.col("n").alias("_u")), ["ward", "u"])
     ends = _shuffled(ends, numbered.select("ward", F.col("node").alias("v"), F.col("n").alias("_v")), ["ward", "v"])
     roads = materialise(ends.join(parts, "ward").select("part", F.col("_u").alias("u"), F.col("_v").alias("v"), "w"), "roads")
-    sums, tasks = [], max(1, -(-n // (PART // 32)))
+    sums, tasks = [], max(1, -(-n // SHARE))
     while True:
         nodes = roads.select("part", F.col("u").alias("n")).distinct()
         size = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("nodes"), F.percentile_approx("n", 0.5).alias("mid")).join(roads.groupBy("part").agg(F.count(F.lit(1)).alias("roads")), "part")
